@@ -5,7 +5,7 @@ patterns estimates how often each rule is right about good and about bad documen
 is the posterior probability that a document is good, in place of a must-pass-all filter.
 
 Documents are scanned once: their measures (a few numbers a document) are written to the shared
-folder, the vote patterns (3 ** rules at most, whatever the input) are counted from them, and each
+folder, the vote patterns (a bounded number, whatever the input) are counted from them, and each
 EM step is one small aggregate over the pattern table.
 """
 
@@ -27,6 +27,8 @@ RULES = [
     ("length", "n_words < 15", "n_words >= 40"),
     ("word_length", "word_chars < 2.2 * n_words OR word_chars > 14 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     ("symbols", "n_symbols > 0.15 * n_words", "n_symbols <= 0.02 * n_words"),
+    ("symbol_rate", "n_symbols > 0.3 * n_words", "n_symbols <= 0.05 * n_words"),
+    ("symbol_share", "n_symbols > 0.05 * word_chars", "n_symbols <= 0.01 * word_chars"),
     ("duplicate_lines", "n_dup_lines > 0.25 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
     ("repeats", "n_repeat_words > 0.1 * n_words", "n_repeat_words <= 0.04 * n_words"),
     ("variety", "n_distinct_words < 0.15 * n_words", "n_distinct_words > 0.3 * n_words"),
@@ -139,7 +141,7 @@ def fit_votes(voted: DataFrame, steps: int = STEPS) -> dict:
     others. Without documents the start values stay.
     """
     names = [name for name, _, _ in RULES]
-    fit = {"prior": 0.85, "good": [[0.04, 0.86, 0.10]] * len(names), "bad": [[0.40, 0.40, 0.20]] * len(names)}
+    fit = {"prior": 0.85, "good": [[0.02, 0.78, 0.20]] * len(names), "bad": [[0.30, 0.60, 0.10]] * len(names)}
     counted = voted.groupBy(*(f"vote_{n}" for n in names)).agg(F.count("*").alias("n"))
     patterns = written(counted.coalesce(1), "vote-patterns")
     for _ in range(steps):
