@@ -33,7 +33,7 @@ SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 NO_RANK = np.iinfo(np.int64).max
 #: A worker keeps the ids of about so many words, the first that it meets.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -198,15 +198,27 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with a column ``out``: the token ids (array<int>) of column ``text``.
+#: What ``encode`` can return for a text.
+OUTPUTS = {
+    "ids": T.ArrayType(T.IntegerType(), False),
+    "n_tokens": T.LongType(),
+    "ids_sha256": T.StringType(),
+    "decoded": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
+
+
+def encode(df: DataFrame, path: str, text: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """``df`` with OUTPUTS of its text column: the token ids (array<int>), their number, the
+    SHA-256 of the ids as little-endian unsigned 32-bit integers, the ids decoded again and the
+    SHA-256 of that.
 
     A null text counts as empty and gives an empty array; very long texts are encoded whole.
-    Repeated rows give repeated results; an empty table stays empty. A column that is already
-    named ``out`` is replaced.
+    Repeated rows give repeated results; an empty table stays empty. Columns that are already
+    named like an output are replaced.
     """
-    df = df.drop(out) if out in df.columns else df
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    df = df.drop(*(o for o in outputs if o != text))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(o, OUTPUTS[o]) for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -214,10 +226,22 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
             texts = [x or "" for x in batch.column(text).to_pylist()]
             for a, b in slices(texts):
                 ids, counts = t.encode(texts[a:b])
-                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                column = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                ends = np.cumsum(counts)
+                each = [ids[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
+                columns = []
+                for o in outputs:
+                    if o == "ids":
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    elif o == "n_tokens":
+                        columns.append(pa.array(counts, pa.int64()))
+                    elif o == "ids_sha256":
+                        columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each], pa.string()))
+                    elif o == "decoded":
+                        columns.append(pa.array([t.decode(x) for x in each], pa.string()))
+                    else:
+                        columns.append(pa.array([hashlib.sha256(t.decode(x).encode()).hexdigest() for x in each], pa.string()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -244,20 +268,3 @@ def id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
     values, offsets = np.asarray(column.values), np.asarray(column.offsets)
     for i in range(len(column)):
         yield values[offsets[i] : offsets[i + 1]] if column[i].is_valid else values[:0]
-
-
-def digests(df: DataFrame, ids: str = "ids") -> DataFrame:
-    """``df`` with ``n_tokens`` and ``ids_sha256`` (of the ids as little-endian unsigned 32-bit
-    integers) in place of column ``ids``."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != ids), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, sums = [], []
-            for x in id_arrays(batch.column(ids)):
-                counts.append(len(x))
-                sums.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
-            rest = [n for n in batch.schema.names if n != ids]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(counts, pa.int64()), pa.array(sums, pa.string())], names=[*rest, "n_tokens", "ids_sha256"])
-
-    return df.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Python code looks at this many characters at a time, so that memory does not follow the
 #: length of an Arrow batch.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,9 +22,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    rows = bpe.decode(bpe.encode(documents(spark, sf_dir, "doc_id", "text"), path).drop("text"), path)
-    return bpe.digests(rows.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    rows = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(TOKENIZER), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return rows.drop("text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
