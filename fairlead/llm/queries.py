@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, media, packing, pii, quality_rules, warc
+from fairlead.llm import bpe, jaccard_join, media, packing, pii, quality_rules, warc
 from fairlead.llm.common import table
 
 #: Arrow batches of the queries over whole texts: long documents come in small batches.
@@ -48,6 +48,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(documents(spark, sf_dir, "doc_id", "text")))
 
@@ -59,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op8_media, op9_warc]
+    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op6_jaccard_join, op8_media, op9_warc]
     return {f.__name__: f for f in own}
 
 
