@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, jaccard_join, media, packing, pii, quality_rules, warc
+from fairlead.llm import bpe, jaccard_join, lm_score, media, packing, pii, quality_rules, warc
 from fairlead.llm.common import table
 
 #: Arrow batches of the queries over whole texts: long documents come in small batches.
@@ -62,8 +62,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(warc.with_revisits(pages))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir, "doc_id", "text", "lang"), group="lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op6_jaccard_join, op8_media, op9_warc]
+    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op6_jaccard_join, op8_media, op9_warc, op10_lm_score]
     return {f.__name__: f for f in own}
 
 
