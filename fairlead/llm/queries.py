@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, jaccard_join, lm_score, media, packing, pii, quality_rules, warc
+from fairlead.llm import bpe, html_extract, jaccard_join, lm_score, media, packing, pii, quality_classifier, quality_rules, warc
 from fairlead.llm.common import table
 
 #: Arrow batches of the queries over whole texts: long documents come in small batches.
@@ -48,10 +48,21 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model).select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(documents(spark, sf_dir, "doc_id", "text")))
 
@@ -67,7 +78,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op6_jaccard_join, op8_media, op9_warc, op10_lm_score]
+    own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op5_quality_classifier, op6_jaccard_join, op7_html_extract, op8_media, op9_warc, op10_lm_score]
     return {f.__name__: f for f in own}
 
 
