@@ -4,7 +4,7 @@
 2. A fixed-size count sketch of all shingles gives every task the same order, rare shingles first.
    Two sets of Jaccard similarity t share a shingle of their prefixes, the first n - ceil(t n) + 1
    shingles in that order.
-3. Classes of equal size and prefix become one group. Groups that share a prefix shingle are
+3. Classes of equal size and prefix are one group. Groups that share a prefix shingle are
    candidates; connected candidates form a cluster. Rare shingles first keeps clusters small.
 4. A cluster is dealt out in blocks, each pair of blocks to a task of its own. There, group pairs
    are filtered by size and by the places of their first shared prefix shingle; what is left is
@@ -35,8 +35,8 @@ CHUNKS = 64
 #: A block has about this many documents; clusters of more than BLOCK * SPLITS get larger blocks,
 #: up to LARGEST_BLOCK documents.
 BLOCK, SPLITS, LARGEST_BLOCK = 64, 32, 1024
-#: Up to so many rows (60 bytes each) of cluster members are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Tables of up to so many rows are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 BASE = 0x9E3779B97F4A7C15
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -99,8 +99,8 @@ def shingles(texts: list[str], size: int = 3) -> list[np.ndarray]:
 
 
 def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of all shingles by the first bits of their hash, up to 65535: 2 ** bits small
-    numbers, whatever the input. Tasks send theirs in chunks, which are summed in two steps."""
+    """Counts of all shingles by the first bits of their hash: 2 ** bits small numbers, whatever the
+    input. Tasks send theirs, up to 255 each, in chunks, which are summed in two steps."""
     width = (1 << bits) // CHUNKS
     schema = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("salt", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
@@ -120,7 +120,7 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
         if n:
             counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
         if counts.any():
-            small = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, width)
+            small = np.minimum(counts, 255).astype("u1").reshape(CHUNKS, width)
             salt = TaskContext.get().partitionId() % 64
             for i in range(0, CHUNKS, 8):
                 yield pa.RecordBatch.from_arrays([pa.array(range(i, i + 8), pa.int32()), pa.array([salt] * 8, pa.int32()), pa.array([r.tobytes() for r in small[i : i + 8]], pa.binary())], names=schema.names)
@@ -128,7 +128,8 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
     def total(part: pa.Table) -> pa.Table:
         counts = np.zeros(width, np.int64)
         for x in part.column("counts"):
-            counts += np.frombuffer(x.as_buffer(), "<u2")
+            raw = x.as_buffer()
+            counts += np.frombuffer(raw, "<u2" if raw.size == 2 * width else "u1")
         return pa.table([part.column("chunk").slice(0, 1), part.column("salt").slice(0, 1), pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()], pa.binary())], names=schema.names)
 
     sums = df.select(text).mapInArrow(count, schema)
@@ -150,10 +151,10 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def with_prefixes(df: DataFrame, text: str, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """The other columns of ``df`` with n_shingles, node (null without shingles) and prefix (the
-    first shingles of the set in the sketch's order)."""
+    """The other columns of ``df`` with n_shingles, node (null without shingles), prefix (the
+    first shingles of the set in the sketch's order) and group (a hash of size and prefix)."""
     rest = [c for c in df.columns if c != text]
-    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType(), False))])
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("group", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType(), False))])
     shared = df.sparkSession.sparkContext.broadcast(order)  # 2 ** SKETCH_BITS numbers of 2 bytes
     shift = np.uint64(64 - int(len(order)).bit_length() + 1)
 
@@ -161,7 +162,7 @@ def with_prefixes(df: DataFrame, text: str, size: int, percent: int, order: np.n
         counts = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, groups, prefixes = [], [], [], []
             for a, b in slices(texts):
                 for x in shingles(texts[a:b], size):
                     x = np.unique(x)
@@ -169,13 +170,19 @@ def with_prefixes(df: DataFrame, text: str, size: int, percent: int, order: np.n
                     nodes.append(node_of(x) if len(x) else None)
                     first = np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[: prefix_length(len(x), percent)]
                     prefixes.append(x[first].view(np.int64))
+                    groups.append(node_of(np.r_[x[first], np.uint64(len(x))]) if len(x) else None)
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64()), lists], names=schema.names)
 
     return df.select(*rest, text).mapInArrow(run, schema)
 
 
+def if_small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for the nodes of an edge table (a, b): label is the smallest node that is
     reachable. Labels move along edges and jump to their label's label until none changes; every
@@ -255,9 +262,7 @@ def verify(rows: list[tuple[int, np.ndarray, np.ndarray]], left: np.ndarray, rig
 def links_of(df: DataFrame, members: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, spanning their components. members: (doc_id, node, prefix,
     cluster, blocks), a document for each class in a cluster."""
-    n = members.count()
-    small = F.broadcast(members) if n <= BROADCAST_ROWS else members
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(small, "doc_id")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(if_small(members), "doc_id")
     fields = [("cluster", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("own", T.IntegerType()), ("node", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("members", T.BinaryType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
@@ -305,17 +310,19 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = written(with_prefixes(docs, "text", size, percent, sketch(docs, "text", size)), "jaccard-rows")
     full = rows.filter("node IS NOT NULL")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))
-    groups = classes.groupBy("n", "prefix").agg(F.min("node").alias("lead"))
-    tokens = written(groups.select("lead", F.explode("prefix").alias("token")), "jaccard-prefixes")
-    shared = tokens.groupBy("token").agg(F.min("lead").alias("head"), F.max("lead").alias("last")).filter("head < last").select("token", "head")
-    candidates = tokens.join(shared, "token").filter("lead <> head").select(F.col("lead").alias("a"), F.col("head").alias("b"))
-    # classes of one group are candidates too
-    own = classes.join(groups, ["n", "prefix"]).filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    clusters = components(candidates.union(own), "jaccard-clusters").withColumnRenamed("label", "cluster")
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    tokens = full.select("group", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("group").alias("head"), F.max("group").alias("last")).filter("head < last")
+    shared = written(shared.select("token", "head"), "jaccard-shared")
+    candidates = tokens.join(if_small(shared), "token").filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
+    labels = components(candidates, "jaccard-clusters").select(F.col("node").alias("group"), F.col("label").alias("cluster"))
+    # a group of several classes is a cluster by itself
+    several = full.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group")
+    clusters = labels.unionByName(several.join(labels, "group", "left_anti").withColumn("cluster", F.col("group")))
+    inside = full.join(written(clusters, "jaccard-clusters"), "group")
+    classes = inside.groupBy("node", "cluster").agg(F.min(F.struct("doc_id", "prefix")).alias("c")).select("node", "cluster", F.col("c.doc_id").alias("doc_id"), F.col("c.prefix").alias("prefix"))
+    counts = inside.groupBy("cluster").agg(F.countDistinct("node").alias("m"))
     blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("m") / LARGEST_BLOCK)).cast("int")
-    members = clusters.join(counts.select("cluster", blocks.alias("blocks")), "cluster").join(classes, "node").select(F.col("first").alias("doc_id"), "node", "prefix", "cluster", "blocks")
+    members = classes.join(counts.filter("m > 1").select("cluster", blocks.alias("blocks")), "cluster").select("doc_id", "node", "prefix", "cluster", "blocks")
     links = links_of(docs, written(members, "jaccard-members"), "doc_id", "text", size, percent)
     labels = components(written(links, "jaccard-links"), "jaccard-components")
     known = full.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
