@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,13 +151,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def with_prefixes(df: DataFrame, text: str, size: int, percent: int, order: np.ndarray) -> DataFrame:
+def prefix_of(x: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set in the sketch's order, rare ones first."""
+    shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
+    return x[np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[: prefix_length(len(x), percent)]]
+
+
+def with_prefixes(df: DataFrame, text: str, size: int, percent: int, shared: Broadcast) -> DataFrame:
     """The other columns of ``df`` with n_shingles, node (null without shingles), prefix (the
     first shingles of the set in the sketch's order) and group (a hash of size and prefix)."""
     rest = [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("group", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType(), False))])
-    shared = df.sparkSession.sparkContext.broadcast(order)  # 2 ** SKETCH_BITS numbers of 2 bytes
-    shift = np.uint64(64 - int(len(order)).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -168,9 +173,9 @@ def with_prefixes(df: DataFrame, text: str, size: int, percent: int, order: np.n
                     x = np.unique(x)
                     sizes.append(len(x))
                     nodes.append(node_of(x) if len(x) else None)
-                    first = np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[: prefix_length(len(x), percent)]
-                    prefixes.append(x[first].view(np.int64))
-                    groups.append(node_of(np.r_[x[first], np.uint64(len(x))]) if len(x) else None)
+                    first = prefix_of(x, counts, percent)
+                    prefixes.append(first.view(np.int64))
+                    groups.append(node_of(np.r_[first, np.uint64(len(x))]) if len(x) else None)
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(groups, pa.int64()), lists], names=schema.names)
@@ -259,14 +264,15 @@ def verify(rows: list[tuple[int, np.ndarray, np.ndarray]], left: np.ndarray, rig
     return links
 
 
-def links_of(df: DataFrame, members: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, spanning their components. members: (doc_id, node, prefix,
-    cluster, blocks), a document for each class in a cluster."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(if_small(members), "doc_id")
+def links_of(docs: DataFrame, members: DataFrame, size: int, percent: int, shared: Broadcast) -> DataFrame:
+    """Links (a, b) between classes, spanning their components. docs: (doc_id, text); members:
+    (id, node, cluster, blocks), a document for each class in a cluster."""
+    rows = docs.join(if_small(members), F.col("doc_id").eqNullSafe(F.col("id")))
     fields = [("cluster", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("own", T.IntegerType()), ("node", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("members", T.BinaryType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketched = shared.value
         for batch in batches:
             data = batch.to_pydict()
             for a, b in slices([x or "" for x in data["text"]], 500_000):
@@ -276,8 +282,8 @@ def links_of(df: DataFrame, members: DataFrame, doc_id: str, text: str, size: in
                     node, blocks = data["node"][k], data["blocks"][k]
                     if not len(x) or node_of(x) != node:  # another text with this doc_id
                         continue
-                    own, packed = (node >> 7) % blocks, x.astype("<u8").tobytes()
-                    out += [(data["cluster"][k], min(own, o), max(own, o), own, node, data["prefix"][k], packed) for o in range(blocks)]
+                    own, packed, prefix = (node >> 7) % blocks, x.astype("<u8").tobytes(), prefix_of(x, sketched, percent).view(np.int64)
+                    out += [(data["cluster"][k], min(own, o), max(own, o), own, node, prefix, packed) for o in range(blocks)]
                 for c in range(0, len(out), 1000):
                     part = list(zip(*out[c : c + 1000]))
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -295,7 +301,7 @@ def links_of(df: DataFrame, members: DataFrame, doc_id: str, text: str, size: in
         found = verify(rows, np.flatnonzero(own == i), np.flatnonzero(own == j), percent) if (own == i).any() and (own == j).any() else []
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return rows.select("text", "node", "prefix", "cluster", "blocks").mapInArrow(deal, schema).groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
+    return rows.select("text", "node", "cluster", "blocks").mapInArrow(deal, schema).groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
 
 
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
@@ -308,22 +314,24 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     linked with each other. A null doc_id is never the smallest, unless no other is there.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(with_prefixes(docs, "text", size, percent, sketch(docs, "text", size)), "jaccard-rows")
+    # 2 ** SKETCH_BITS numbers of 2 bytes
+    shared = df.sparkSession.sparkContext.broadcast(sketch(docs, "text", size))
+    rows = written(with_prefixes(docs, "text", size, percent, shared), "jaccard-rows")
     full = rows.filter("node IS NOT NULL")
     tokens = full.select("group", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("group").alias("head"), F.max("group").alias("last")).filter("head < last")
-    shared = written(shared.select("token", "head"), "jaccard-shared")
-    candidates = tokens.join(if_small(shared), "token").filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
+    common = tokens.groupBy("token").agg(F.min("group").alias("head"), F.max("group").alias("last")).filter("head < last")
+    common = written(common.select("token", "head"), "jaccard-shared")
+    candidates = tokens.join(if_small(common), "token").filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
     labels = components(candidates, "jaccard-clusters").select(F.col("node").alias("group"), F.col("label").alias("cluster"))
     # a group of several classes is a cluster by itself
     several = full.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group")
     clusters = labels.unionByName(several.join(labels, "group", "left_anti").withColumn("cluster", F.col("group")))
     inside = full.join(written(clusters, "jaccard-clusters"), "group")
-    classes = inside.groupBy("node", "cluster").agg(F.min(F.struct("doc_id", "prefix")).alias("c")).select("node", "cluster", F.col("c.doc_id").alias("doc_id"), F.col("c.prefix").alias("prefix"))
+    classes = inside.groupBy("node", "cluster").agg(F.min("doc_id").alias("id"))
     counts = inside.groupBy("cluster").agg(F.countDistinct("node").alias("m"))
     blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("m") / LARGEST_BLOCK)).cast("int")
-    members = classes.join(counts.filter("m > 1").select("cluster", blocks.alias("blocks")), "cluster").select("doc_id", "node", "prefix", "cluster", "blocks")
-    links = links_of(docs, written(members, "jaccard-members"), "doc_id", "text", size, percent)
+    members = classes.join(counts.filter("m > 1").select("cluster", blocks.alias("blocks")), "cluster").select("id", "node", "cluster", "blocks")
+    links = links_of(docs, written(members, "jaccard-members"), size, percent, shared)
     labels = components(written(links, "jaccard-links"), "jaccard-components")
     known = full.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     firsts = known.groupBy("label").agg(F.min("first").alias("component_id"))
