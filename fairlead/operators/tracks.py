@@ -75,23 +75,25 @@ def running_state(df: DataFrame) -> DataFrame:
     return df.withColumns({**before, **first, "messages": F.count("*").over(so_far)})
 
 
-def ticks(df: DataFrame, n_ticks: int = 60) -> DataFrame:
+def ticks(df: DataFrame, n_ticks: int = 60, slices: int = 10_000) -> DataFrame:
     """Positions with ``tick``: batches of equal size in order of (timestamp, vessel_id, seq), the
     step being rows div ticks, one at least.
 
-    The dense order is made without one task holding all rows: rows are range-partitioned by time,
-    counted by partition, and numbered within theirs from the sum of those before.
+    The dense order is made without one task holding all rows: the time span is cut into
+    ``slices``, rows are counted by slice and numbered within theirs from the sum of those before.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), "timestamp", "vessel_id", "seq").withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row for each partition: a bounded table
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("timestamp", "vessel_id", "seq")) - 1
-    numbered = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_part")
+    micros = F.unix_micros("timestamp")
+    span = df.agg(F.struct(F.min(micros).alias("a"), F.max(micros).alias("b"))).scalar()
+    width = F.greatest(F.lit(1.0), (span["b"] - span["a"] + 1) / slices)
+    cut = df.withColumn("_slice", F.floor((micros - span["a"]) / width))
+    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
+    # one row for each slice: a bounded table
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("timestamp", "vessel_id", "seq")) - 1
+    numbered = cut.withColumn("_place", place).join(F.broadcast(offsets), "_slice")
     step = F.greatest(F.lit(1), F.expr(f"_all div {int(n_ticks)}"))
-    return numbered.withColumn("tick", F.floor((F.col("_place") + F.col("_before")) / step).cast("int")).drop("_part", "_place", "_before", "_all")
+    return numbered.withColumn("tick", F.floor((F.col("_place") + F.col("_before")) / step).cast("int")).drop("_slice", "_place", "_before", "_all")
 
 
 def state_at(df: DataFrame, tick: int) -> DataFrame:

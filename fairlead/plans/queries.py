@@ -127,8 +127,7 @@ def behaviour_labels(spark, sf_dir):
 def base_features(spark, sf_dir):
     t, latest, zones = parts(spark, sf_dir)
     rows = features.base_features(latest, t, geofence.check_zones(latest, zones))
-    places = {"speed": 2, "path_length_deg": 4, "heading_variance": 2, "bearing_change_rate": 2}
-    return rows.select("vessel_id", *(F.round(n, places.get(n, 3)).alias(n) for n in BASE_FEATURES))
+    return rows.select("vessel_id", *BASE_FEATURES)
 
 
 def feature_matrix(spark, sf_dir):

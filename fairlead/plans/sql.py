@@ -1 +1,308 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL with the rows of the queries of the same name.
+
+Written apart from the operators: tracks come from ``fixtures.TRACKS_SQL``, the rest is built from
+the named parts below.
+"""
+
+from __future__ import annotations
+
+from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL
+from fairlead.plans.queries import FIXED_FOREST
+from fairlead.sources.dimensions import ZONES
+
+W = "(PARTITION BY vessel_id ORDER BY us, seq)"
+
+
+def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"CASE WHEN {lat1} IS NOT NULL THEN 2 * CAST(6371.0088 AS DOUBLE) * asin(least(CAST(1 AS DOUBLE), sqrt({a}))) END"
+
+
+def turn(a: str, b: str) -> str:
+    return f"((({b} - {a} + 180) % 360 + 360) % 360 - 180)"
+
+
+def select(parts: str, query: str) -> str:
+    return f"WITH {parts}\n{query}"
+
+
+def rounded(x: str, places: int) -> str:
+    """Half up on the decimal digits that a double shows, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {places}) AS DOUBLE)"
+
+
+LATEST = f""",
+latest AS (
+  SELECT vessel_id, {rounded("p.latitude", 4)} AS latitude, {rounded("p.longitude", 4)} AS longitude, {rounded("p.speed", 1)} AS speed, {rounded("p.heading", 1)} AS heading, p.us AS us
+  FROM (SELECT vessel_id, arg_max(struct_pack(latitude := latitude, longitude := longitude, speed := speed, heading := heading, us := us), struct_pack(us := us, seq := seq)) AS p FROM clean GROUP BY vessel_id)
+)"""
+
+STEPS = f""",
+lagged AS (
+  SELECT *, lag(latitude) OVER {W} AS lat0, lag(longitude) OVER {W} AS lon0, lag(us) OVER {W} AS us0, lag(speed) OVER {W} AS speed0, lag(heading) OVER {W} AS heading0 FROM clean
+),
+steps AS (
+  SELECT *, latitude - lat0 AS dlat, longitude - lon0 AS dlon, {haversine("lat0", "lon0", "latitude", "longitude")} AS km, sqrt(pow(latitude - lat0, 2) + pow(longitude - lon0, 2)) AS step_deg,
+    (degrees(atan2(longitude - lon0, latitude - lat0)) % 360 + 360) % 360 AS bearing, {turn("heading0", "heading")} AS heading_change, (us - us0) / CAST(60000000 AS DOUBLE) AS gap_minutes, abs(speed - speed0) AS dspeed
+  FROM lagged
+)"""
+
+
+def sides() -> str:
+    """VALUES of the default zones' sides: ord, name, start lat, lon, end lat, lon."""
+    rows = []
+    for i, (name, south, north, west, east) in enumerate(ZONES["default"][1]):
+        ring = [(north, west), (north, east), (south, east), (south, west)]
+        for k in range(4):
+            (la, oa), (lb, ob) = ring[k - 1], ring[k]
+            rows.append(f"({i}, '{name}', CAST({la} AS DOUBLE), CAST({oa} AS DOUBLE), CAST({lb} AS DOUBLE), CAST({ob} AS DOUBLE))")
+    return ", ".join(rows)
+
+
+def zones(of: str, key: str) -> str:
+    """``geo``: the rows of ``of`` (with ``key``) with what the zones say of them."""
+    return f""",
+sides(ord, name, la, oa, lb, ob) AS (VALUES {sides()}),
+each AS (
+  SELECT {key}, ord, name, sum(CASE WHEN (ob > longitude) <> (oa > longitude) AND latitude < (la - lb) * (longitude - ob) / (oa - ob + CAST(1e-12 AS DOUBLE)) + lb THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+    min(sqrt(pow(longitude - (oa + t * (ob - oa)), 2) + pow(latitude - (la + t * (lb - la)), 2))) AS dist
+  FROM (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ((longitude - oa) * (ob - oa) + (latitude - la) * (lb - la)) / ((ob - oa) * (ob - oa) + (lb - la) * (lb - la)))) AS t FROM {of} CROSS JOIN sides)
+  GROUP BY {key}, ord, name
+),
+best AS (SELECT {key}, b.inside AS inside, b.name AS name, CASE WHEN b.inside THEN 0 ELSE b.dist END AS dist
+  FROM (SELECT {key}, min(struct_pack(o := NOT inside, d := CASE WHEN inside THEN CAST(0 AS DOUBLE) ELSE dist END, ord := ord, inside := inside, name := name, dist := dist)) AS b FROM each GROUP BY {key})),
+geo AS (
+  SELECT {key}, inside, CASE WHEN inside THEN name ELSE '' END AS zone_name, NOT inside AND dist <= CAST(0.15 AS DOUBLE) AS near, name AS nearest_zone, round(dist, 5) AS min_dist_deg,
+    CASE WHEN inside THEN 'INSIDE ' || name WHEN dist <= CAST(0.15 AS DOUBLE) THEN 'Near ' || name ELSE 'Open Waters' END AS zone_status FROM best
+)"""
+
+
+BEHAVIOUR = f""",
+sums AS (
+  SELECT vessel_id, coalesce(sum(km), 0) AS distance_travelled_km, coalesce(avg(speed), 0) AS avg_speed, coalesce(max(speed), 0) AS max_speed, coalesce(stddev_pop(speed), 0) AS speed_std,
+    coalesce(avg(CASE WHEN gap_minutes > 0 THEN dspeed / gap_minutes END), 0) AS speed_change_rate, coalesce(avg(abs(heading_change)), 0) AS mean_heading_change, coalesce(max(abs(heading_change)), 0) AS max_heading_change,
+    coalesce(stddev_pop(abs(heading_change)), 0) AS heading_change_std, avg(CASE WHEN speed <= 1 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS stationary_ratio, coalesce(max(gap_minutes), 0) AS max_ais_gap_minutes,
+    coalesce(avg(gap_minutes), 0) AS mean_ais_gap_minutes, count(CASE WHEN gap_minutes >= 30 THEN 1 END) AS significant_gap_count, coalesce(sum(gap_minutes), 0) AS trajectory_duration_minutes, count(*) AS position_count,
+    {haversine("min(latitude)", "min(longitude)", "max(latitude)", "max(longitude)")} AS diagonal
+  FROM steps GROUP BY vessel_id
+),
+behave AS (
+  SELECT *, CASE WHEN mean_heading_change > 0 AND mean_ais_gap_minutes > 0 THEN mean_heading_change / mean_ais_gap_minutes ELSE 0 END AS turning_rate,
+    least(1, CASE WHEN position_count >= 2 AND distance_travelled_km > 1e-6 THEN CAST(0.6 AS DOUBLE) * (1 - least(diagonal / (distance_travelled_km + CAST(1e-6 AS DOUBLE)), 1)) ELSE 0 END + CAST(0.4 AS DOUBLE) * stationary_ratio) AS loitering_score
+  FROM sums
+)"""
+
+LABELS = """,
+flags AS (
+  SELECT *, list_filter([CASE WHEN loitering_score >= 0.6 THEN 'LOITERING' END, CASE WHEN stationary_ratio >= 0.5 THEN 'SLOW_MOVEMENT' END, CASE WHEN mean_heading_change >= 45 THEN 'HIGH_TURNING' END,
+      CASE WHEN significant_gap_count > 0 OR max_ais_gap_minutes >= 30 THEN 'AIS_GAP' END, CASE WHEN speed_std >= 6 THEN 'SPEED_ANOMALY' END], lambda x: x IS NOT NULL) AS found
+  FROM behave
+),
+labelled AS (
+  SELECT *, CASE WHEN position_count <= 1 THEN ['INSUFFICIENT_DATA'] WHEN len(found) = 0 THEN ['NORMAL_TRANSIT'] WHEN len(found) >= 2 THEN list_append(found, 'MIXED_SUSPICIOUS') ELSE found END AS behavior_labels,
+    array_to_string(list_transform(found, lambda x: CASE x WHEN 'LOITERING' THEN 'prolonged loitering' WHEN 'SLOW_MOVEMENT' THEN 'sustained low-speed/stationary movement' WHEN 'HIGH_TURNING' THEN 'frequent sharp course changes'
+      WHEN 'AIS_GAP' THEN 'significant AIS gap (' || CAST(CAST(floor(max_ais_gap_minutes) AS BIGINT) AS VARCHAR) || ' min)' ELSE 'highly variable speed' END), ', ') AS said
+  FROM flags
+)"""
+
+FEATURES = f""",
+turned AS (SELECT *, abs({turn(f"lag(bearing) OVER {W}", "bearing")}) AS turn FROM steps),
+paths AS (
+  SELECT vessel_id, count(step_deg) AS n_steps, coalesce(sum(step_deg), 0) AS path, coalesce(var_pop(turn), 0) AS heading_variance, coalesce(avg(turn), 0) AS bearing_change_rate, avg(step_deg) AS m, stddev_pop(step_deg) AS s,
+    arg_min(struct_pack(a := latitude, o := longitude), struct_pack(us := us, seq := seq)) AS f, arg_max(struct_pack(a := latitude, o := longitude), struct_pack(us := us, seq := seq)) AS l
+  FROM turned GROUP BY vessel_id
+),
+ratios AS (
+  SELECT *, CASE WHEN path > 1e-6 THEN least(sqrt(pow(l.a - f.a, 2) + pow(l.o - f.o, 2)) / path, 1) ELSE 1 END AS displacement, CASE WHEN n_steps > 1 AND m > 1e-8 THEN least(s / m, 1) ELSE 0 END AS erratic FROM paths
+),
+base AS (
+  SELECT vessel_id, round(speed, 3) AS speed, round(least(1, CASE WHEN speed < 3 THEN (3 - speed) / 3 WHEN speed > 9 THEN (speed - 9) / 9 ELSE 0 END), 4) AS speed_deviation,
+    round(CASE WHEN n_steps = 0 THEN 0 ELSE heading_variance END, 4) AS heading_variance, round(CASE WHEN n_steps = 0 THEN 1 ELSE displacement END, 4) AS displacement_ratio,
+    round(CASE WHEN n_steps = 0 THEN 0 ELSE least(1, (1 - displacement) * CAST(0.7 AS DOUBLE) + greatest(0, 1 - speed / 3) * CAST(0.3 AS DOUBLE)) END, 4) AS loitering_score, round(path, 5) AS path_length_deg,
+    round(CASE WHEN n_steps = 0 THEN 0 ELSE bearing_change_rate END, 4) AS bearing_change_rate, round(CASE WHEN inside THEN 1 ELSE greatest(0, 1 - min_dist_deg / CAST(0.3 AS DOUBLE)) END, 4) AS zone_proximity_norm,
+    round(CASE WHEN n_steps = 0 THEN 0 ELSE erratic END, 4) AS erratic_score
+  FROM latest JOIN ratios USING (vessel_id) JOIN geo USING (vessel_id)
+)"""
+
+BASE = CLEAN_SQL + LATEST + STEPS + zones("latest", "vessel_id") + FEATURES
+
+N = "CAST(substr(vessel_id, 2) AS BIGINT)"
+RISK = BASE + BEHAVIOUR + LABELS + f""",
+inputs AS (
+  SELECT b.vessel_id, g.inside, g.near, g.zone_name, g.nearest_zone, g.zone_status, b.speed, b.speed_deviation, b.loitering_score, b.zone_proximity_norm, b.erratic_score, round(l.mean_heading_change, 2) AS mean_heading_change,
+    ((n * 7) % 100) / CAST(100 AS DOUBLE) AS iso, CASE WHEN n % 4 = 0 THEN 0 ELSE ((n * 3) % 100) / CAST(100 AS DOUBLE) END AS temp, greatest(round(l.max_ais_gap_minutes, 2), CASE WHEN n % 5 = 0 THEN n % 70 ELSE 0 END) AS gap
+  FROM (SELECT *, {N} AS n FROM base) b JOIN geo g USING (vessel_id) JOIN labelled l USING (vessel_id)
+),
+comps AS (
+  SELECT *, CASE WHEN inside THEN 1 WHEN near THEN zone_proximity_norm ELSE 0 END AS c_geo, least(1, greatest(loitering_score, speed_deviation, erratic_score, mean_heading_change / 120)) AS c_beh,
+    CASE WHEN gap < 20 THEN 0 ELSE least(gap / 60, 1) END AS c_gap FROM inputs
+),
+scored AS (
+  SELECT *, CAST(round_even(least(CAST(0.3 AS DOUBLE) * c_geo + CAST(0.25 AS DOUBLE) * iso + CAST(0.15 AS DOUBLE) * temp + CAST(0.2 AS DOUBLE) * c_beh + CAST(0.1 AS DOUBLE) * c_gap, 1) * 100, 0) AS INT) AS overall_score FROM comps
+),
+risk AS (
+  SELECT *, CASE WHEN overall_score >= 55 THEN 'HIGH' WHEN overall_score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+    CASE WHEN inside AND loitering_score > 0.5 THEN 'Loitering / Zone Violation' WHEN inside THEN 'Zone Violation' WHEN loitering_score > 0.6 THEN 'Suspicious Loitering' WHEN erratic_score > 0.5 THEN 'Erratic Movement'
+      WHEN speed_deviation > 0.4 THEN 'Speed Anomaly' WHEN near THEN 'Proximity to Restricted Zone' WHEN iso >= 0.55 THEN 'Anomalous Behaviour' WHEN speed <= 9 THEN 'Normal Fishing' ELSE 'Normal Transit' END AS behavior,
+    CAST(round_even(gap, 0) AS INT) AS ais_gap_minutes, 'Significant AIS gap (' || CAST(CAST(floor(gap) AS INT) AS VARCHAR) || ' min)' AS gap_text
+  FROM scored
+),
+factors AS (
+  SELECT vessel_id, place, factor, CAST(round_even(c * w * 100, 0) AS INT) AS contribution, CAST(round(w * 100) AS INT) AS max_weight FROM (
+    SELECT vessel_id, 1 AS place, CASE WHEN inside THEN 'Inside monitoring zone (' || zone_name || ')' WHEN near THEN 'Near monitoring zone (' || nearest_zone || ')' END AS factor, c_geo AS c, CAST(0.3 AS DOUBLE) AS w FROM risk
+    UNION ALL SELECT vessel_id, 2, 'Isolation Forest anomaly', iso, CAST(0.25 AS DOUBLE) FROM risk
+    UNION ALL SELECT vessel_id, 3, 'Temporal sequence anomaly', temp, CAST(0.15 AS DOUBLE) FROM risk
+    UNION ALL SELECT vessel_id, 4, 'Behavioural anomaly (loitering/turning/speed)', c_beh, CAST(0.2 AS DOUBLE) FROM risk
+    UNION ALL SELECT vessel_id, 5, gap_text, c_gap, CAST(0.1 AS DOUBLE) FROM risk)
+  WHERE factor IS NOT NULL AND round(c, 4) > 0.01
+),
+reasons AS (SELECT vessel_id, arg_min(factor, struct_pack(c := -contribution, p := place)) AS reason, array_to_string(list(factor ORDER BY place)[1:3], '; ') AS top_factors FROM factors GROUP BY vessel_id),
+alerts AS (
+  SELECT risk_level AS level, vessel_id, overall_score, coalesce(reason, behavior) AS reason,
+    CASE WHEN contains(behavior, 'Zone Violation') OR contains(zone_status, 'INSIDE') THEN vessel_id || ' detected inside monitoring zone — ' || zone_status || '. Suspicious fishing-related behaviour indicators detected.'
+      WHEN contains(behavior, 'Loitering') THEN vessel_id || ' sustained loitering behaviour (risk ' || overall_score || '/100). Suspicious fishing-related behaviour indicators detected.'
+      WHEN ais_gap_minutes >= 20 THEN vessel_id || ' AIS signal gap of ' || ais_gap_minutes || ' minutes — suspicious reporting-gap behaviour indicator.'
+      WHEN contains(coalesce(reason, behavior), 'Temporal') THEN vessel_id || ' elevated temporal sequence anomaly (risk ' || overall_score || '/100).'
+      WHEN contains(behavior, 'Speed Anomaly') THEN vessel_id || ' speed anomaly — movement inconsistent with normal fishing.'
+      WHEN contains(behavior, 'Erratic') THEN vessel_id || ' erratic course changes — behaviour inconsistent with transit.'
+      WHEN contains(behavior, 'Proximity') OR contains(zone_status, 'Near') THEN vessel_id || ' operating close to monitoring zone (' || zone_status || ') — monitor.'
+      WHEN contains(behavior, 'Anomalous') THEN vessel_id || ' flagged by anomaly detection (risk ' || overall_score || '/100).'
+      ELSE vessel_id || ' risk ' || overall_score || '/100 — ' || coalesce(reason, behavior) || '.' END AS message
+  FROM risk LEFT JOIN reasons USING (vessel_id) WHERE risk_level <> 'LOW'
+)"""
+
+TICKS = CLEAN_SQL + """,
+ticked AS (SELECT *, CAST((row_number() OVER (ORDER BY us, vessel_id, seq) - 1) // greatest(1, (SELECT count(*) FROM clean) // 60) AS INT) AS tick FROM clean)"""
+
+RULES = CLEAN_SQL + """,
+tr AS (
+  SELECT vessel_id, seq, CAST(floor(us / CAST(600000000 AS DOUBLE)) AS BIGINT) AS tick, seq % 10 = 0 AS zone, (seq * 3) % 100 >= 34 AS quiet, (seq * 7) % 100 >= 60 AS odd, (seq * 11) % 100 >= 55 AS temp, CAST((seq * 13) % 101 AS INT) AS overall_score FROM clean
+),
+called AS (
+  SELECT vessel_id, tick, overall_score, unnest(list_filter([CASE WHEN zone THEN 'ZONE_ENTRY' END, CASE WHEN quiet THEN 'AIS_GAP' END, CASE WHEN odd THEN 'BEHAVIOUR_ANOMALY' END, CASE WHEN temp THEN 'TEMPORAL_ANOMALY' END,
+    CASE WHEN overall_score >= 55 THEN 'HIGH_RISK' END, CASE WHEN CAST(zone AS INT) + CAST(quiet AS INT) + CAST(odd AS INT) + CAST(temp AS INT) >= 2 THEN 'COMBINED' END], lambda x: x IS NOT NULL)) AS alert_type FROM tr
+)"""
+
+STATIC = CLEAN_SQL + """,
+static AS (
+  SELECT seq, CAST(user_id AS VARCHAR) AS vessel_id, CASE WHEN seq % 2 = 0 THEN 'SHIP ' || user_id END AS ship_name,
+    CASE WHEN c <= 0 THEN 'Unknown' WHEN c = 30 THEN 'Fishing' WHEN c IN (31, 32) THEN 'Towing' WHEN c = 33 THEN 'Dredging' WHEN c = 34 THEN 'Diving Ops' WHEN c = 35 THEN 'Military Ops' WHEN c = 36 THEN 'Sailing' WHEN c = 37 THEN 'Pleasure Craft'
+      WHEN c = 50 THEN 'Pilot Vessel' WHEN c = 51 THEN 'Search & Rescue' WHEN c = 52 THEN 'Tug' WHEN c = 53 THEN 'Port Tender' WHEN c = 54 THEN 'Anti-pollution' WHEN c = 55 THEN 'Law Enforcement' WHEN c = 58 THEN 'Medical Transport' WHEN c = 59 THEN 'Non-combatant Ship'
+      WHEN c // 10 = 2 THEN 'Wing-in-Ground' WHEN c // 10 = 3 THEN 'Fishing / Special' WHEN c // 10 = 4 THEN 'High-Speed Craft' WHEN c // 10 = 6 THEN 'Passenger' WHEN c // 10 = 7 THEN 'Cargo' WHEN c // 10 = 8 THEN 'Tanker' ELSE 'Other' END AS ship_type,
+    CASE WHEN seq % 3 = 0 THEN 'PORT ' || (seq % 10) END AS destination,
+    CASE WHEN seq % 13 <> 0 AND seq % 29 <> 0 THEN printf('%02d-%02d %02d:%02d UTC', seq % 13, seq % 29, CASE WHEN seq % 25 = 24 THEN 0 ELSE seq % 25 END, CASE WHEN seq % 61 = 60 THEN 0 ELSE seq % 61 END) END AS eta,
+    CASE WHEN seq % 4 <> 0 THEN CAST(seq % 4 AS DOUBLE) END AS draught
+  FROM (SELECT *, seq % 100 AS c FROM clean WHERE seq % 7 = 0 AND seq % 31 <> 0)
+)"""
+
+
+def forest() -> str:
+    """The score of the fixed forest for speed and displacement_ratio, as one expression."""
+    c = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else None
+    path = lambda n: f"(CAST(2 AS DOUBLE) * (ln({n} - 1) + CAST(0.5772156649015329 AS DOUBLE)) - CAST(2 AS DOUBLE) * ({n} - 1) / {n})" if c(n) is None else f"CAST({c(n)} AS DOUBLE)"
+
+    def walk(tree: int, node: int) -> str:
+        _, _, f, t, left, right, size, depth = next(x for x in FIXED_FOREST if x[:2] == (tree, node))
+        if f < 0:
+            return f"({depth} + {path(size)})"
+        return f"CASE WHEN {('speed', 'displacement_ratio')[f]} < CAST({t} AS DOUBLE) THEN {walk(tree, left)} ELSE {walk(tree, right)} END"
+
+    return f"pow(CAST(2 AS DOUBLE), -(({walk(0, 0)}) + ({walk(1, 0)})) / 2 / {path(64)})"
+
+
+METRICS = ["distance_travelled_km", "avg_speed", "max_speed", "speed_std", "mean_heading_change", "max_heading_change", "heading_change_std", "stationary_ratio", "loitering_score", "max_ais_gap_minutes", "mean_ais_gap_minutes", "trajectory_duration_minutes", "speed_change_rate", "turning_rate"]
+BASE_PLACES = {"speed": 3, "speed_deviation": 4, "heading_variance": 4, "displacement_ratio": 4, "loitering_score": 4, "path_length_deg": 5, "bearing_change_rate": 4, "zone_proximity_norm": 4, "erratic_score": 4}
+COMPONENTS = {"geofence_component": "c_geo", "isolation_component": "iso", "temporal_component": "temp", "behaviour_component": "c_beh", "ais_gap_component": "c_gap"}
+
+ORACLES: dict[str, str] = {
+    "clean_positions": select(RAW_SQL, "SELECT vessel_id, seq, us, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(coalesce(speed, 0), 4) AS speed, coalesce(heading, 0) AS heading FROM judged WHERE reason IS NULL"),
+    "quality_report": select(
+        RAW_SQL,
+        "SELECT count(*) AS input_rows, count(*) FILTER (reason IS NULL) AS output_rows, count(reason) AS rows_removed, "
+        + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}_rows" for r in ("missing_timestamp", "missing_id", "missing_coordinate", "invalid_coordinate", "invalid_speed", "duplicate"))
+        + ", count(DISTINCT CASE WHEN reason IS NULL THEN vessel_id END) AS unique_vessels, count(*) FILTER (reason IS NULL AND speed IS NULL) AS speed_fills, count(*) FILTER (reason IS NULL AND heading IS NULL) AS heading_fills FROM judged",
+    ),
+    "alias_normalise": select(RAW_SQL, "SELECT vessel_id, count(*) AS n, max(us) AS last_us, round(sum(heading), 2) AS headings FROM raw WHERE vessel_id <> '' AND us IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 GROUP BY vessel_id"),
+    "region_filter": select(CLEAN_SQL, "SELECT vessel_id, count(*) AS n FROM clean WHERE latitude BETWEEN 8 AND 13.5 AND longitude BETWEEN 78 AND 82 GROUP BY vessel_id"),
+    "latest_position": select(CLEAN_SQL + LATEST, "SELECT vessel_id, latitude, longitude, speed, heading, us FROM latest"),
+    "recent_window_20": select(CLEAN_SQL, "SELECT vessel_id, seq, CAST(recency AS INT) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY vessel_id ORDER BY us DESC, seq DESC) AS recency FROM clean) WHERE recency <= 20"),
+    "first_seen_prev_value": select(
+        CLEAN_SQL, f"SELECT vessel_id, seq, round(lag(latitude) OVER {W}, 5) AS prev_latitude, round(lag(speed) OVER {W}, 3) AS prev_speed, first_value(us) OVER {W} AS first_us, round(first_value(longitude) OVER {W}, 5) AS first_longitude, row_number() OVER {W} AS messages FROM clean"
+    ),
+    "step_metrics": select(CLEAN_SQL + STEPS, "SELECT vessel_id, seq, round(km, 3) AS km, round(step_deg, 5) AS step_deg, round(heading_change, 2) AS heading_change, round(gap_minutes, 3) AS gap_minutes FROM steps"),
+    "trajectory_export": select(CLEAN_SQL, "SELECT vessel_id, CAST(count(*) AS INT) AS n_points, arg_min(seq, struct_pack(us := us, seq := seq)) AS first_seq, arg_max(seq, struct_pack(us := us, seq := seq)) AS last_seq FROM clean GROUP BY vessel_id"),
+    "tick_buckets": select(TICKS, "SELECT tick, count(*) AS n, max(us) AS sim_us, CAST(sum(seq) AS BIGINT) AS seqs FROM ticked GROUP BY tick"),
+    "state_as_of_tick": select(TICKS, "SELECT vessel_id, arg_max(seq, struct_pack(us := us, seq := seq)) AS seq, arg_max(tick, struct_pack(us := us, seq := seq)) AS tick FROM ticked WHERE tick <= 29 GROUP BY vessel_id"),
+    "tick_progress": select(TICKS, "SELECT tick, max(last) OVER (ORDER BY tick) AS us, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS rows_so_far, round((tick + 1) / CAST(max(tick) OVER () + 1 AS DOUBLE), 4) AS done FROM (SELECT tick, max(us) AS last, count(*) AS n FROM ticked GROUP BY tick)"),
+    "geofence_latest": select(CLEAN_SQL + LATEST + zones("latest", "vessel_id"), "SELECT vessel_id, inside, zone_name, near, nearest_zone, round(min_dist_deg, 4) AS min_dist_deg, zone_status FROM geo"),
+    "geofence_all_positions": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, zone_status, count(*) AS n FROM geo GROUP BY ALL"),
+    "geofence_grid": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT zone_status, count(*) AS n, count(*) FILTER (g.inside OR dist <= CAST(0.3 AS DOUBLE)) AS in_reach FROM geo g JOIN best USING (vessel_id, seq) GROUP BY ALL"),
+    "behaviour_metrics": select(CLEAN_SQL + STEPS + BEHAVIOUR, f"SELECT vessel_id, {', '.join(f'round(CAST({n} AS DOUBLE), 2) AS {n}' for n in METRICS)}, significant_gap_count, position_count FROM behave"),
+    "behaviour_labels": select(
+        CLEAN_SQL + STEPS + BEHAVIOUR + LABELS,
+        "SELECT vessel_id, array_to_string(behavior_labels, '|') AS labels, CASE WHEN position_count <= 1 THEN 'Only one position available — insufficient for behaviour analysis.' WHEN len(found) = 0 THEN 'Consistent transit movement — no notable suspicious indicators.' ELSE upper(said[1]) || substr(said, 2) || '.' END AS behavior_summary FROM labelled",
+    ),
+    "base_features": select(BASE, f"SELECT vessel_id, {', '.join(f'round(CAST({n} AS DOUBLE), {d}) AS {n}' for n, d in BASE_PLACES.items())} FROM base"),
+    "sequence_windows": select(
+        CLEAN_SQL + STEPS,
+        f"""SELECT vessel_id, count(*) AS n_windows, max(start) AS last_start, round(sum(total), 1) AS total FROM (
+  SELECT vessel_id, CAST(rn - 10 AS INT) AS start, sum(v) OVER (PARTITION BY vessel_id ORDER BY us, seq ROWS 9 PRECEDING) AS total, rn
+  FROM (SELECT vessel_id, us, seq, speed + coalesce(heading_change, 0) + dlat + dlon + km + greatest(gap_minutes, 0) AS v, row_number() OVER {W} AS rn FROM steps WHERE dlat IS NOT NULL)) WHERE rn >= 10 AND start < 50 GROUP BY vessel_id""",
+    ),
+    "iforest_fixed_score": select(
+        BASE, f"SELECT vessel_id, round(s, 3) AS anomaly_score, round(s, 4) >= 0.55 AS is_anomalous FROM (SELECT vessel_id, CASE WHEN max(r) OVER () - min(r) OVER () > 1e-12 THEN round((r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()), 4) ELSE 0 END AS s FROM (SELECT vessel_id, {forest()} AS r FROM base))"
+    ),
+    "minmax_normalise": select(CLEAN_SQL + STEPS + BEHAVIOUR, "SELECT vessel_id, round((avg_speed - min(avg_speed) OVER ()) / (max(avg_speed) OVER () - min(avg_speed) OVER ()), 4) AS scaled FROM behave"),
+    "risk_components": select(RISK, f"SELECT vessel_id, {', '.join(f'round(round(CAST({c} AS DOUBLE), 4), 3) AS {n}' for n, c in COMPONENTS.items())}, ais_gap_minutes FROM risk"),
+    "risk_scores": select(
+        RISK,
+        "SELECT vessel_id, overall_score, risk_level, behavior, zone_status, CASE risk_level WHEN 'HIGH' THEN 'Multiple or strong suspicious fishing-related behaviour indicators detected.' WHEN 'MEDIUM' THEN 'Some suspicious behaviour indicators present; monitor.' ELSE 'No significant suspicious behaviour indicators.' END AS explanation FROM risk",
+    ),
+    "risk_factor_breakdown": select(RISK, "SELECT vessel_id, factor, contribution, max_weight FROM factors"),
+    "risk_reasons": select(
+        RISK,
+        """SELECT vessel_id, CASE WHEN len(r) = 0 THEN 'No elevated risk indicators' ELSE array_to_string(r, '|') END AS reasons FROM (SELECT vessel_id, list_filter([
+  CASE WHEN inside THEN 'Inside demonstration monitoring zone (' || zone_name || ')' WHEN near THEN 'Operating near monitoring zone (' || nearest_zone || ')' END, CASE WHEN iso >= 0.55 THEN 'Elevated Isolation Forest anomaly' END,
+  CASE WHEN temp >= 0.55 THEN 'Elevated temporal sequence anomaly' END, CASE WHEN loitering_score >= 0.6 THEN 'Loitering behaviour' END, CASE WHEN mean_heading_change >= 45 THEN 'High turning activity' END,
+  CASE WHEN speed_deviation >= 0.4 THEN 'Speed anomaly' END, CASE WHEN c_gap > 0.01 THEN gap_text END], lambda x: x IS NOT NULL) AS r FROM risk)""",
+    ),
+    "risk_alerts": select(RISK, "SELECT level, vessel_id, message, reason, overall_score FROM alerts"),
+    "fleet_stats": select(RISK, "SELECT count(*) AS total, count(*) FILTER (risk_level = 'HIGH') AS high, count(*) FILTER (risk_level = 'MEDIUM') AS medium, count(*) FILTER (risk_level = 'LOW') AS low, (SELECT count(*) FROM alerts WHERE level = 'HIGH') AS active_high_alerts FROM risk"),
+    "fleet_ranked": select(RISK, "SELECT vessel_id, overall_score, risk_level, behavior, zone_status FROM risk"),
+    "medium_risk_top_factors": select(RISK, "SELECT vessel_id, overall_score, top_factors FROM risk JOIN reasons USING (vessel_id) WHERE risk_level = 'MEDIUM'"),
+    "score_histogram": select(RISK, "SELECT CAST(least(overall_score // 10 + 1, 10) AS INT) AS bucket, count(*) AS vessels FROM risk GROUP BY 1"),
+    "stream_alert_rules": select(RULES, "SELECT vessel_id, alert_type, CASE WHEN alert_type IN ('HIGH_RISK', 'COMBINED') OR (alert_type = 'ZONE_ENTRY' AND overall_score >= 55) THEN 'HIGH' ELSE 'MEDIUM' END AS level, count(*) AS n FROM called GROUP BY ALL"),
+    "alert_cooldown": "WITH RECURSIVE " + RULES + """,
+seen AS (SELECT DISTINCT vessel_id, alert_type, tick FROM called),
+fired AS (
+  SELECT vessel_id, alert_type, min(tick) AS tick FROM seen GROUP BY vessel_id, alert_type
+  UNION ALL
+  SELECT f.vessel_id, f.alert_type, min(s.tick) FROM fired f JOIN seen s ON s.vessel_id = f.vessel_id AND s.alert_type = f.alert_type AND s.tick >= f.tick + 10 GROUP BY f.vessel_id, f.alert_type
+)
+SELECT vessel_id, alert_type, tick FROM fired""",
+    "vessel_upsert": select(
+        CLEAN_SQL,
+        """SELECT vessel_id, least(o.a, n.a) AS first_us, greatest(o.b, n.b) AS last_us, 'feed' AS source, CASE WHEN n.b IS NULL OR o.b >= n.b THEN 'old' ELSE 'new' END AS region
+FROM (SELECT vessel_id, min(us) AS a, max(us) AS b FROM clean WHERE seq % 3 <> 0 GROUP BY vessel_id) o FULL JOIN (SELECT vessel_id, min(us) AS a, max(us) AS b FROM clean WHERE seq % 2 = 0 GROUP BY vessel_id) n USING (vessel_id)""",
+    ),
+    "positions_anti_append": select(CLEAN_SQL, "SELECT vessel_id, count(*) AS n FROM clean WHERE seq % 2 = 0 AND seq % 3 = 0 GROUP BY vessel_id"),
+    "recent_alerts_topk": select(RULES, "SELECT DISTINCT vessel_id, alert_type, tick AS created_at, overall_score FROM called ORDER BY tick DESC, vessel_id || alert_type || lpad(CAST(overall_score AS VARCHAR), 3, '0') DESC LIMIT 20"),
+    "vessel_recent_topk": select(CLEAN_SQL, "SELECT vessel_id, seq, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY vessel_id ORDER BY us DESC, seq DESC) AS rn FROM clean) WHERE rn <= 3"),
+    "parse_position_json": select(
+        CLEAN_SQL,
+        """SELECT seq, CAST(user_id AS VARCHAR) AS vessel_id, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude, CASE WHEN seq % 5 <> 0 THEN round(speed, 3) END AS speed, heading, CAST(seq % 16 AS INT) AS nav_status, us // 1000000 * 1000000 AS us
+FROM clean WHERE seq % 31 <> 0 AND seq % 7 <> 0 AND seq % 11 <> 0""",
+    ),
+    "parse_static_json": select(STATIC, "SELECT seq, vessel_id, ship_name, ship_type, destination, eta, draught FROM static"),
+    "ship_type_decode": select(STATIC.replace("seq % 100 AS c FROM clean WHERE seq % 7 = 0 AND seq % 31 <> 0", "seq % 105 - 3 AS c FROM clean"), "SELECT ship_type, count(*) AS n FROM static GROUP BY ship_type"),
+    "static_merge": select(
+        STATIC,
+        "SELECT vessel_id, arg_max(ship_name, CASE WHEN ship_name IS NOT NULL THEN seq END) AS ship_name, coalesce(arg_max(ship_type, CASE WHEN ship_type <> 'Unknown' THEN seq END), 'Unknown') AS ship_type, arg_max(destination, CASE WHEN destination IS NOT NULL THEN seq END) AS destination, arg_max(eta, CASE WHEN eta IS NOT NULL THEN seq END) AS eta, arg_max(draught, CASE WHEN draught IS NOT NULL THEN seq END) AS draught FROM static GROUP BY vessel_id",
+    ),
+    "stale_eviction": select(CLEAN_SQL + LATEST, "SELECT vessel_id FROM latest WHERE (SELECT max(us) FROM clean) - us <= 3600000000"),
+    "session_gaps": select(
+        CLEAN_SQL,
+        f"SELECT vessel_id, min(us) AS start_us, count(*) AS positions FROM (SELECT *, sum(fresh) OVER {W} AS s FROM (SELECT *, CASE WHEN us - lag(us) OVER {W} < 1800000000 THEN 0 ELSE 1 END AS fresh FROM clean)) GROUP BY vessel_id, s",
+    ),
+    "tumbling_counts": select(CLEAN_SQL, "SELECT us // 3600000000 * 3600000000 AS start_us, count(*) AS messages FROM clean GROUP BY 1"),
+}
