@@ -5,7 +5,8 @@
    Two sets of Jaccard similarity t share a shingle of their prefixes, the first n - ceil(t n) + 1
    shingles in that order.
 3. Classes of equal size and prefix are one group. Groups that share a prefix shingle are
-   candidates; connected candidates form a cluster. Rare shingles first keeps clusters small.
+   candidates if their sizes and the places of that shingle allow it; connected candidates form a
+   cluster. Rare shingles first keeps clusters small.
 4. A cluster is dealt out in blocks, each pair of blocks to a task of its own. There, group pairs
    are filtered by size and by the places of their first shared prefix shingle; what is left is
    expanded to its members and verified on whole sets. A task returns links that span its own
@@ -20,6 +21,7 @@ keys to Spark to split.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,10 @@ CHUNKS = 64
 #: A block has about this many documents; clusters of more than BLOCK * SPLITS get larger blocks,
 #: up to LARGEST_BLOCK documents.
 BLOCK, SPLITS, LARGEST_BLOCK = 64, 32, 1024
+#: Groups that share a prefix shingle are paired one by one up to so many.
+FEW = 16
 #: Tables of up to so many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 250_000
 
 BASE = 0x9E3779B97F4A7C15
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -304,6 +308,34 @@ def links_of(docs: DataFrame, members: DataFrame, size: int, percent: int, share
     return rows.select("text", "node", "cluster", "blocks").mapInArrow(deal, schema).groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
 
 
+def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all groups which can hold a link. groups: (group, n, prefix).
+
+    Of a prefix shingle that FEW groups share, the pairs that pass the filters by size and place
+    are edges. Those that share a commoner one are tied to the first of their band of sizes, and
+    bands to the next: sizes that differ by more than one band can't be similar enough.
+    """
+    tokens = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
+    hits = tokens.join(if_small(common), "token")
+    each = F.collect_list(F.struct("group", "n", "place"))
+    few = hits.filter(F.col("m") <= FEW).groupBy("token").agg(each.alias("l"))
+    x = F.col("x")
+    fits = lambda y: (
+        (y["group"] > x["group"])
+        & (F.least(y["n"], x["n"]) * 100 >= percent * F.greatest(y["n"], x["n"]))
+        & ((y["place"] + x["place"]) * (100 + percent) <= (y["n"] + x["n"]) * (100 - percent))
+    )
+    pairs = few.select("l", F.explode("l").alias("x")).select(x["group"].alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.group").alias("b"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+    many = hits.filter(F.col("m") > FEW).withColumn("band", band).select("token", "band", "group")
+    heads = many.groupBy("token", "band").agg(F.min("group").alias("head"))
+    tied = many.join(heads, ["token", "band"]).filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
+    above = heads.select("token", (F.col("band") - 1).alias("band"), F.col("head").alias("next"))
+    bands = heads.join(above, ["token", "band"]).select(F.col("head").alias("a"), F.col("next").alias("b"))
+    return pairs.union(tied).union(bands)
+
+
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of ``df``: doc_id, n_shingles (size of its shingle set), node (its
     class: equal for equal sets) and component_id, the smallest doc_id reachable by links.
@@ -318,10 +350,8 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     shared = df.sparkSession.sparkContext.broadcast(sketch(docs, "text", size))
     rows = written(with_prefixes(docs, "text", size, percent, shared), "jaccard-rows")
     full = rows.filter("node IS NOT NULL")
-    tokens = full.select("group", F.explode("prefix").alias("token"))
-    common = tokens.groupBy("token").agg(F.min("group").alias("head"), F.max("group").alias("last")).filter("head < last")
-    common = written(common.select("token", "head"), "jaccard-shared")
-    candidates = tokens.join(if_small(common), "token").filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
+    groups = full.groupBy("group").agg(F.any_value("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))
+    candidates = group_pairs(written(groups, "jaccard-groups"), percent)
     labels = components(candidates, "jaccard-clusters").select(F.col("node").alias("group"), F.col("label").alias("cluster"))
     # a group of several classes is a cluster by itself
     several = full.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group")
