@@ -27,10 +27,11 @@ from pyspark.sql import types as T
 from fairlead.llm.common import ragged, slices
 
 #: The pieces that the tokenizer file's Split pattern takes from a text.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+")
+SPACE = regex.compile("[" + WHITE + "]+")
 #: Python's split() also splits at these, which are no white space to the tokenizer.
-NOT_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 NO_RANK = np.iinfo(np.int64).max
 #: A worker keeps the ids of about so many words, the first that it meets.
 KEPT_WORDS = 200_000
