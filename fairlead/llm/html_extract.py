@@ -49,6 +49,7 @@ CONTEXTS = ("none", "article", *sorted({*SIDE.values(), *MARKS}))
 #: Weights without labelled pages, and how many labelled tokens they count as.
 WORD_PRIOR = {"none": 0.7, "article": 0.98}
 SIDE_PRIOR, TAG_PRIOR, TAG_LOSS, PRIOR_TOKENS = 0.02, 0.6, 3.25, 20
+TEXT_TAGS, TEXT_TAG_PRIOR = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption other".split()), 0.12
 
 
 def context(name: str, attributes: str, outer: str) -> str:
@@ -156,7 +157,7 @@ def weights(found: dict[str, tuple[int, int]]) -> dict[str, float]:
             out[f"w:{c}:{link}"] = (a + prior * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
     for name in (*BLOCKS, "a", "other"):
         a, b = found.get(f"t:{name}", (0, 0))
-        outside = (b + TAG_PRIOR * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
+        outside = (b + (TEXT_TAG_PRIOR if name in TEXT_TAGS else TAG_PRIOR) * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
         out[f"t:{name}"] = -TAG_LOSS * outside
     return out
 

@@ -4,8 +4,8 @@ Every document is tokenised and closed with an end id. Full long windows are cut
 the rest is routed to the tier of the smallest context size that holds it. Each tier packs its
 pieces, longest first, into sequences of its own size, and what is left open in long windows is
 filled with pieces of shorter tiers, cut where they don't fit. Sequences of the tiers below the
-longest are powers of two and so need no padding; the last pieces of a task are laid into ever
-shorter tiers, so that a task pads one sequence at most.
+longest are powers of two and so need no padding; the last pieces of a pool are laid into ever
+shorter powers of two, so that none pads any.
 
 Sequences are numbered within their task and carry the task's number; steps group sequences of
 one tier so that every step has the same number of tokens. Documents stay in the task that reads
@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from fairlead.llm.bpe import tokenizer
-from fairlead.llm.common import slices
+from fairlead.llm.common import ragged, slices
 
 TIERS = (2048, 1024, 512, 256)
 #: A task packs about this many tokens together; memory is bounded by it.
 POOL_TOKENS = 2_000_000
 #: Tokens that one training step takes.
 STEP_TOKENS = 65_536
-SMALLEST = 16
 
 COLUMNS = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("tier", "int"), ("step_group", "long")]
 
@@ -55,11 +54,11 @@ class Packer:
             offset += length
         self.next += 1
 
-    def pack(self, rows: np.ndarray, sizes: np.ndarray, last: bool) -> list[tuple[int, int, int]]:
-        """Packs documents of ``sizes`` tokens; returns pieces left for the next pool."""
+    def pack(self, sizes: np.ndarray) -> None:
+        """Packs documents of ``sizes`` tokens."""
         longest = self.tiers[0]
         pools: dict[int, list[tuple[int, int, int]]] = {t: [] for t in self.tiers}
-        for row, size in zip(rows.tolist(), sizes.tolist()):
+        for row, size in enumerate(sizes.tolist()):
             start = 0
             while size - start >= longest:
                 self.close([(row, start, longest)], longest)
@@ -69,7 +68,7 @@ class Packer:
         for t in self.tiers:
             pools[t].sort(key=lambda p: (p[2], p[0], p[1]))  # the longest are taken from the end
         for i, tier in enumerate(self.tiers):
-            below = [t for t in self.tiers[i:]]
+            below = self.tiers[i:]
             while pools[tier]:
                 held, room = [], tier
                 while room:
@@ -87,7 +86,6 @@ class Packer:
                     self.finish(held)
                 else:
                     self.close(held, tier)
-        return []
 
     def put(self, pools: dict[int, list], piece: tuple[int, int, int]) -> None:
         """Back into its pool, at its place by length."""
@@ -106,7 +104,6 @@ class Packer:
         pieces = pieces[::-1]
         while total:
             size = 1 << (total.bit_length() - 1)
-            size = size if size >= SMALLEST else total
             held, room = [], size
             while room:
                 row, start, length = pieces.pop()
@@ -148,7 +145,7 @@ def pack(df: DataFrame, path: str, text: str = "text", end_id: int = 1, tiers: t
                 return
             flat, sizes = np.concatenate(ids), np.concatenate(counts)
             begins = np.cumsum(sizes) - sizes
-            packer.pack(np.arange(len(sizes)), sizes, True)
+            packer.pack(sizes)
             out, packer.out = packer.out, []
             row, start, length, sequence, offset, tier, step = (np.array(x, np.int64) for x in zip(*out))
             a = begins[row] + start
@@ -157,8 +154,6 @@ def pack(df: DataFrame, path: str, text: str = "text", end_id: int = 1, tiers: t
             cols = [whole.column(c).take(pa.array(row)).combine_chunks() for c in keep]
             cols += [pa.array(x) for x in (start, length, sums, sizes[row], sequence, offset)] + [pa.array(tier.astype(np.int32)), pa.array(step)]
             if with_ids:
-                from fairlead.llm.common import ragged
-
                 cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat[ragged(a, length)].astype(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
             held, ids, counts, tokens = [], [], [], 0

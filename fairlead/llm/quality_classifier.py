@@ -84,11 +84,23 @@ class Model:
     out: np.ndarray
     shift: float
     prior: float
+    centre: float = 0.0
+    slope: float = 1.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) * self.scale, -6, 6)
-        a = np.tanh(z @ self.hidden + self.bias)
-        return 1 / (1 + np.exp(-np.clip(a @ self.out + self.shift, -30, 30)))
+        return np.tanh(z @ self.hidden + self.bias) @ self.out + self.shift
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((self.margins(x) - self.centre) * self.slope, -30, 30)))
+
+    def calibrate(self, unlabelled: np.ndarray) -> None:
+        """Sets the scale by the prior: the unlabelled rows fall into its share of good ones and
+        the rest; if their mean margins lie well apart, they go to 0.95 and 0.05."""
+        m = np.sort(self.margins(unlabelled))
+        cut = round(len(m) * (1 - self.prior))
+        if 0 < cut < len(m) and (gap := m[cut:].mean() - m[:cut].mean()) > 1.5:
+            self.centre, self.slope = float(m[cut:].mean() + m[:cut].mean()) / 2, float(6 / gap)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, batch: int = 256, units: int = 16, rate: float = 0.003, seed: int = 7) -> Model:
@@ -123,7 +135,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, params[0].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32), float(params[3][0]), prior)
+    model = Model(mean, scale, params[0].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32), float(params[3][0]), prior)
+    model.calibrate(unlabelled)
+    return model
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

@@ -101,6 +101,8 @@ def frame_end(data: memoryview, at: int) -> int:
     at += 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
     last = False
     while not last:
+        if at + 3 > len(data):
+            raise ValueError("WARC: archive is cut off")
         head = int.from_bytes(data[at : at + 3], "little")
         last, kind, size = head & 1, head >> 1 & 3, head >> 3
         at += 3 + (1 if kind == 1 else size)
@@ -127,7 +129,11 @@ def records(data: bytes) -> Iterator[bytes]:
         if magic != FRAME_MAGIC:
             raise ValueError("WARC: no frame where a record should start")
         end = frame_end(view, at)
-        yield decompressor.decompressobj().decompress(view[at:end])
+        frame = decompressor.decompressobj()
+        raw = frame.decompress(view[at:end])
+        if end > len(data) or not frame.eof:
+            raise ValueError("WARC: archive is cut off")
+        yield raw
         at = end
 
 
