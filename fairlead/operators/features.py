@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from fairlead.config import BASE_FEATURES, BEHAVIOUR_FEATURES, DEFAULT, FEATURES, Config
 from fairlead.functions.motion import angular_diff
 from fairlead.operators.behaviour import feature_row
-from fairlead.operators.tracks import ORDER, steps
+from fairlead.operators.tracks import in_order, steps
 
 
 def path_features(df: DataFrame) -> DataFrame:
     """Unrounded path measures of every vessel: from its steps and the turns between them."""
-    turned = steps(df).withColumn("_turn", F.abs(angular_diff(F.lag("bearing").over(ORDER), F.col("bearing"))))
+    turned = steps(df).withColumn("_turn", F.abs(angular_diff(F.lag("bearing").over(in_order()), F.col("bearing"))))
     at = F.struct("latitude", "longitude")
     sums = turned.groupBy("vessel_id").agg(
         F.count("step_deg").alias("n_steps"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
 from fairlead.operators.iforest import compatible, metadata
-from fairlead.operators.tracks import ORDER, steps
+from fairlead.operators.tracks import in_order, steps
 
 STEP_FEATURES = ["speed", "heading_change", "dlat", "dlon", "km", "gap_minutes"]
 VERSION = 1
@@ -24,7 +24,7 @@ def windows(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     step = F.array(zero(F.col("speed")), zero(F.col("heading_change")), F.col("dlat"), F.col("dlon"), F.col("km"), F.greatest(zero(F.col("gap_minutes")), F.lit(0.0)))
     moved = steps(df).filter("dlat IS NOT NULL").withColumn("step", step)
-    out = moved.select("vessel_id", F.collect_list("step").over(ORDER.rowsBetween(-(n - 1), 0)).alias("w"), F.row_number().over(ORDER).alias("_n"))
+    out = moved.select("vessel_id", F.collect_list("step").over(in_order().rowsBetween(-(n - 1), 0)).alias("w"), F.row_number().over(in_order()).alias("_n"))
     out = out.filter(F.size("w") == n).select("vessel_id", (F.col("_n") - n).alias("start"), F.flatten("w").alias("features"))
     return out if cfg.windows_per_vessel is None else out.filter(F.col("start") < cfg.windows_per_vessel)
 

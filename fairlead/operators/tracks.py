@@ -5,12 +5,15 @@ All operators share one exchange by vessel_id; positions are ordered by (timesta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fairlead.functions.motion import angular_diff, bearing, haversine_km, step_length
 
-ORDER = Window.partitionBy("vessel_id").orderBy("timestamp", "seq")
+
+def in_order() -> WindowSpec:
+    """A vessel's positions in order."""
+    return Window.partitionBy("vessel_id").orderBy("timestamp", "seq")
 
 
 def minutes_between(a: Column, b: Column) -> Column:
@@ -20,7 +23,7 @@ def minutes_between(a: Column, b: Column) -> Column:
 def steps(df: DataFrame) -> DataFrame:
     """Positions with the step that led to each: dlat, dlon, km, step_deg, bearing, heading_change
     (signed), gap_minutes, dspeed. A vessel's first position has nulls."""
-    before = lambda n: F.lag(n).over(ORDER)
+    before = lambda n: F.lag(n).over(in_order())
     out = df.withColumns({"_lat": before("latitude"), "_lon": before("longitude"), "_ts": before("timestamp"), "_speed": before("speed"), "_heading": before("heading")})
     dlat, dlon = F.col("latitude") - F.col("_lat"), F.col("longitude") - F.col("_lon")
     return out.withColumns(
@@ -69,8 +72,8 @@ def recent(df: DataFrame, n: int) -> DataFrame:
 def running_state(df: DataFrame) -> DataFrame:
     """Positions with what a live view knows at each: previous values, first-seen time and place,
     number of messages so far."""
-    so_far = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    before = {f"prev_{n}": F.lag(n).over(ORDER) for n in ("latitude", "longitude", "speed", "heading")}
+    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
+    before = {f"prev_{n}": F.lag(n).over(in_order()) for n in ("latitude", "longitude", "speed", "heading")}
     first = {f"first_{n}": F.first(n).over(so_far) for n in ("timestamp", "latitude", "longitude")}
     return df.withColumns({**before, **first, "messages": F.count("*").over(so_far)})
 
