@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from fairlead.llm.common import slices, written
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 CHUNKS = 64
 #: A block has about this many documents; clusters of more than BLOCK * SPLITS get larger blocks,
 #: up to LARGEST_BLOCK documents.
@@ -112,23 +112,27 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, held, n = np.zeros(1 << bits, np.uint32), [], 0
+        counts, held, n = np.zeros(1 << bits, np.uint8), [], 0
+
+        def add() -> None:
+            seen, times = np.unique(np.concatenate(held), return_counts=True)
+            counts[seen] = np.minimum(counts[seen] + times, 255)
+
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for a, b in slices(texts):
                 for x in shingles(texts[a:b], size):
                     held.append((x >> np.uint64(64 - bits)).astype(np.int32))
                     n += len(x)
-                if n >= 1 << bits:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                if n >= 4_000_000:
+                    add()
                     held, n = [], 0
         if n:
-            counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+            add()
         if counts.any():
-            small = np.minimum(counts, 255).astype("u1").reshape(CHUNKS, width)
             salt = TaskContext.get().partitionId() % 64
-            for i in range(0, CHUNKS, 8):
-                yield pa.RecordBatch.from_arrays([pa.array(range(i, i + 8), pa.int32()), pa.array([salt] * 8, pa.int32()), pa.array([r.tobytes() for r in small[i : i + 8]], pa.binary())], names=schema.names)
+            for i, row in enumerate(counts.reshape(CHUNKS, width)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=schema.names)
 
     def total(part: pa.Table) -> pa.Table:
         counts = np.zeros(width, np.int64)
@@ -137,7 +141,8 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
             counts += np.frombuffer(raw, "<u2" if raw.size == 2 * width else "u1")
         return pa.table([part.column("chunk").slice(0, 1), part.column("salt").slice(0, 1), pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()], pa.binary())], names=schema.names)
 
-    sums = df.select(text).mapInArrow(count, schema)
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism  # so many sketches, whatever the input
+    sums = df.select(text).coalesce(tasks).mapInArrow(count, schema)
     for keys in (["chunk", "salt"], ["chunk"]):
         sums = sums.groupBy(*keys).applyInArrow(total, schema)
     out = np.zeros((CHUNKS, width), np.uint16)
@@ -317,7 +322,7 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """
     tokens = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
     common = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
-    hits = tokens.join(if_small(common), "token")
+    hits = tokens.join(common, "token")
     each = F.collect_list(F.struct("group", "n", "place"))
     few = hits.filter(F.col("m") <= FEW).groupBy("token").agg(each.alias("l"))
     x = F.col("x")
