@@ -29,7 +29,7 @@ class VesselState(StatefulProcessor):
         self.value = handle.getValueState("vessel", STATE)
         self.track = handle.getListState("track", "timestamp timestamp, latitude double, longitude double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values(["timestamp", "seq"])
         old = self.value.get() if self.value.exists() else None
         track = list(self.track.get()) if old is not None else []
@@ -55,7 +55,7 @@ class VesselState(StatefulProcessor):
         names = [x.split(" ")[0] for x in OUTPUT.split(", ")]
         yield pd.DataFrame([(key[0], *state, min(len(track), self.points))], columns=names)
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.value.clear()
         self.track.clear()
         return iter(())
@@ -82,7 +82,7 @@ class Cooldown(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "tick long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values("tick").drop_duplicates("tick")
         last = self.last.get()[0] if self.last.exists() else None
         fired = []
