@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,14 +133,14 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
         if counts.any():
             salt = TaskContext.get().partitionId() % 64
             for i, row in enumerate(counts.reshape(CHUNKS, width)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(row.tobytes(), 1)], pa.binary())], names=schema.names)
 
     def total(part: pa.Table) -> pa.Table:
         counts = np.zeros(width, np.int64)
         for x in part.column("counts"):
-            raw = x.as_buffer()
-            counts += np.frombuffer(raw, "<u2" if raw.size == 2 * width else "u1")
-        return pa.table([part.column("chunk").slice(0, 1), part.column("salt").slice(0, 1), pa.array([np.minimum(counts, 65535).astype("<u2").tobytes()], pa.binary())], names=schema.names)
+            raw = zlib.decompress(x.as_buffer())
+            counts += np.frombuffer(raw, "<u2" if len(raw) == 2 * width else "u1")
+        return pa.table([part.column("chunk").slice(0, 1), part.column("salt").slice(0, 1), pa.array([zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)], pa.binary())], names=schema.names)
 
     tasks = 2 * df.sparkSession.sparkContext.defaultParallelism  # so many sketches, whatever the input
     sums = df.select(text).coalesce(tasks).mapInArrow(count, schema)
@@ -147,7 +148,7 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
         sums = sums.groupBy(*keys).applyInArrow(total, schema)
     out = np.zeros((CHUNKS, width), np.uint16)
     for row in sums.collect():  # CHUNKS rows at most
-        out[row["chunk"]] = np.frombuffer(row["counts"], "<u2")
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u2")
     return out.reshape(-1)
 
 
