@@ -3,11 +3,14 @@
 A page is a sequence of words and tags. A word scores the share of such words that are content in
 labelled pages, a tag loses by the share of such tags that stand outside of it, so words are
 positive and tags negative; one linear scan finds the contiguous region with the largest sum. The
-region is widened to whole blocks and to the article element that holds it; blocks in menus,
-notices, adverts, forms or comments inside of it are left out.
-
-Labelled pages are those that mark their article themselves (article or main elements). Their
-counts are summed by Spark for a fixed set of features; pages are handled in their own rows.
+region is widened to whole blocks; blocks in menus, notices, adverts, forms or comments inside of
+it are left out.
+
+Words are told apart by what every page has: the kind of block that holds them, its length, its
+share of links, and whether it stands in boilerplate. Labelled pages are those that mark one article
+(article or main element). The marks only label: they give no tokens and no features, so the scanned
+region chooses the blocks of every page in the same way. Counts are summed by Spark for a fixed set of features; pages are
+handled in their own rows.
 """
 
 from __future__ import annotations
@@ -45,38 +48,41 @@ MARKS = {
     "header": "masthead header site-header".split(),
 }
 MARK_OF = {word: kind for kind, words in MARKS.items() for word in words}
-CONTEXTS = ("none", "article", *sorted({*SIDE.values(), *MARKS}))
+CONTEXTS = ("none", *sorted({*SIDE.values(), *MARKS}))
+#: Contexts whose blocks can be main text; a header can be that of the article.
+OPEN_CONTEXTS = frozenset(("none", "header"))
+#: What holds a word: the nearest block element, by kind.
+HOLDERS = {**{f"h{i}": "h" for i in range(1, 7)}, **dict.fromkeys("p blockquote pre dd dt figcaption".split(), "p"), "li": "li", "td": "cell", "th": "cell"}
+KINDS = ("p", "h", "li", "cell", "other")
 #: Weights without labelled pages, and how many labelled tokens they count as.
-WORD_PRIOR = {"none": 0.7, "article": 0.98}
+WORD_PRIOR, LINKS_PRIOR, HEADING_PRIOR = 0.7, 0.1, 0.5
 SIDE_PRIOR, TAG_PRIOR, TAG_LOSS, PRIOR_TOKENS = 0.02, 0.6, 3.25, 20
 TEXT_TAGS, TEXT_TAG_PRIOR = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption other".split()), 0.12
 
 
 def context(name: str, attributes: str, outer: str) -> str:
-    """The context inside an element: a kind of boilerplate, article, or that outside."""
-    if outer not in ("none", "article"):
+    """The context inside an element: a kind of boilerplate, or that outside."""
+    if outer not in OPEN_CONTEXTS or name in ARTICLE:
         return outer
     if attributes and name not in ("html", "body"):
         for m in NAMES.finditer(attributes):
             for word in re.split(r"[^a-z0-9]+", m[1].lower()):
-                kind = MARK_OF.get(word)
-                if kind and not (kind == "header" and outer == "article"):
+                if kind := MARK_OF.get(word):
                     return kind
-    if name in SIDE and not (name == "header" and outer == "article"):
-        return SIDE[name]
-    return "article" if name in ARTICLE else outer
+    return SIDE.get(name, outer)
 
 
-def parsed(page: str) -> tuple[list[tuple[str, str, bool, int, int]], list[str]]:
+def parsed(page: str) -> tuple[list[tuple[str, str, int, bool, int, int]], list[str]]:
     """The page's tokens and its blocks' raw texts.
 
-    A token is (feature, context, is word run, number of words, block); a run of words is one
-    token. Article elements are told apart by a number that is part of the block list's order.
+    A token is (feature, context, article, is word run, number of words, block); a run of words is
+    one token. Outermost article elements are numbered from 1, 0 is outside of them.
     """
-    tokens: list[tuple[str, str, bool, int, int]] = []
+    tokens: list[tuple[str, str, int, bool, int, int]] = []
     blocks: list[list[str]] = [[]]
-    stack: list[tuple[str, str, bool]] = []  # name, context outside, link outside
-    now, link, at = "none", False, 0
+    sizes: list[list[int]] = [[0, 0]]  # words and linked words of each block
+    stack: list[tuple[str, str, bool, str, int]] = []  # name; outside: context, link, holder, article
+    now, link, holder, article, articles, at = "none", False, "other", 0, 0, 0
     length = len(page)
 
     def words(a: int, b: int) -> None:
@@ -84,7 +90,9 @@ def parsed(page: str) -> tuple[list[tuple[str, str, bool, int, int]], list[str]]
             text = entities.unescape(page[a:b])
             blocks[-1].append(text)
             if n := len(text.split()):
-                tokens.append((f"w:{now}:{int(link)}", now, True, n, len(blocks) - 1))
+                sizes[-1][0] += n
+                sizes[-1][1] += n * link
+                tokens.append((f"w:{now}:{holder}", now, article, True, n, len(blocks) - 1))
 
     while at < length:
         m = TOKEN.search(page, at)
@@ -98,13 +106,16 @@ def parsed(page: str) -> tuple[list[tuple[str, str, bool, int, int]], list[str]]
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS and blocks[-1]:
             blocks.append([])
+            sizes.append([0, 0])
         if name == "br":
             blocks[-1].append(" ")
+        tag = f"t:{name if name in BLOCKS or name == 'a' else 'other'}"
         if closing:
-            tokens.append((f"t:{name if name in BLOCKS or name == 'a' else 'other'}", now, False, 0, len(blocks) - 1))
+            if name not in ARTICLE:
+                tokens.append((tag, now, article, False, 0, len(blocks) - 1))
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
-                now, link = stack[k][1:]
+                now, link, holder, article = stack[k][1:]
                 del stack[k:]
             continue
         if name in RAW:
@@ -115,30 +126,36 @@ def parsed(page: str) -> tuple[list[tuple[str, str, bool, int, int]], list[str]]
             elif not m[3].endswith("/"):
                 at = length
             continue
-        tokens.append((f"t:{name if name in BLOCKS or name == 'a' else 'other'}", now, False, 0, len(blocks) - 1))
+        if name not in ARTICLE:
+            tokens.append((tag, now, article, False, 0, len(blocks) - 1))
         if name in VOID or m[3].endswith("/") or (name not in BLOCKS and name not in ("a", "span", "button", "select", "label")):
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            now, link = stack.pop()[1:]
-        if name == "li" and stack and stack[-1][0] == "li":
-            now, link = stack.pop()[1:]
-        stack.append((name, now, link))
+        if name in ("p", "li") and stack and stack[-1][0] == name:
+            now, link, holder, article = stack.pop()[1:]
+        stack.append((name, now, link, holder, article))
         now, link = context(name, m[3], now), link or name == "a"
-    return tokens, ["".join(b) for b in blocks]
+        if name in ARTICLE:
+            if not article:
+                articles += 1
+                article = articles
+        elif name in BLOCKS:
+            holder = HOLDERS.get(name, "other")
+    ends = [f":{int(2 * linked > n)}:{(n > 4) + (n > 20)}" for n, linked in sizes]
+    return [(t[0] + ends[t[5]], *t[1:]) if t[3] else t for t in tokens], ["".join(b) for b in blocks]
 
 
 def counts(pages: DataFrame, html: str = "html") -> dict[str, tuple[int, int]]:
-    """For every feature how often it is inside and outside of the article, in pages that mark
-    theirs. Features are a fixed set: words by context and link, tags by name."""
+    """For every feature how often it is inside and outside of the article, in pages that mark one.
+    Features are a fixed set: words by context, holder, links and length, tags by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 tokens, _ = parsed(page or "")
-                if any(c == "article" for _, c, *_ in tokens):
-                    for feature, c, word, n, _ in tokens:
-                        (inside if c == "article" else outside)[feature] += n if word else 1
+                if {t[2] for t in tokens if t[2]} == {1}:
+                    for feature, c, article, word, n, _ in tokens:
+                        (inside if article and c in OPEN_CONTEXTS else outside)[feature] += n if word else 1
         names = sorted({*inside, *outside})
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["feature", "inside", "outside"])
@@ -151,10 +168,14 @@ def weights(found: dict[str, tuple[int, int]]) -> dict[str, float]:
     """What a word of a context earns (0 to 1) and what a tag loses (-TAG_LOSS to 0)."""
     out = {}
     for c in CONTEXTS:
-        for link in (0, 1):
-            a, b = found.get(f"w:{c}:{link}", (0, 0))
-            prior = WORD_PRIOR.get(c, SIDE_PRIOR) * (0.3 if link and c == "none" else 1)
-            out[f"w:{c}:{link}"] = (a + prior * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
+        for kind in KINDS:
+            for links in (0, 1):
+                prior = SIDE_PRIOR if c != "none" else LINKS_PRIOR if links else WORD_PRIOR
+                if c == "header" and kind == "h" and not links:
+                    prior = HEADING_PRIOR
+                for size in (0, 1, 2):
+                    a, b = found.get(key := f"w:{c}:{kind}:{links}:{size}", (0, 0))
+                    out[key] = (a + prior * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
     for name in (*BLOCKS, "a", "other"):
         a, b = found.get(f"t:{name}", (0, 0))
         outside = (b + (TEXT_TAG_PRIOR if name in TEXT_TAGS else TAG_PRIOR) * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
@@ -177,13 +198,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The page's main text: one line for each block; empty if there is none."""
     tokens, blocks = parsed(page or "")
-    a, b = best_region([weight[f] * (n if word else 1) for f, _, word, n, _ in tokens])
-    if a == b:
-        return ""
-    if any(word and c == "article" for _, c, word, *_ in tokens[a:b]):  # all of that article
-        inside = {k for _, c, word, _, k in tokens if word and c == "article"}
-    else:
-        inside = {k for _, c, word, _, k in tokens[a:b] if word and c == "none"}
+    a, b = best_region([weight[f] * (n if word else 1) for f, _, _, word, n, _ in tokens])
+    inside = {k for _, c, _, word, _, k in tokens[a:b] if word and c in OPEN_CONTEXTS}
     lines = (" ".join(blocks[k].split()) for k in sorted(inside))
     return "\n".join(x for x in lines if x)
 

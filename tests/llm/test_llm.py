@@ -278,6 +278,24 @@ def test_html_without_article_marks():
         assert isinstance(html_extract.main_text(bad, weight), str)
 
 
+def test_html_marks_only_label(spark):
+    words = lambda i, n: " ".join(f"w{(i * 31 + k * 7) % 97}" for k in range(n))
+    menu = '<nav><ul><li><a href="/a">Some page</a></li><li><a href="/b">Other page</a></li></ul></nav><div class="ad">Buy it now</div><div>Terms of use and all rights of this site</div>'
+    cards = "".join(f'<article><h3><a href="/{k}">Next story {k}</a></h3></article>' for k in range(3))
+
+    def page(i, tag, after=""):
+        return f'<body>{menu}<{tag} class="sidebar-left"><h1>Title {i}</h1><p>{words(i, 40)}</p><p>{words(i + 1, 3)}</p></{tag}>{after}<div>Imprint and terms of this site</div><footer>Legal</footer>'
+
+    for size in (20, 1500):
+        marked = [(i, page(i, "article"), i) for i in range(size)]
+        plain = [(size + i, page(i, "div").replace(' class="sidebar-left"', ""), i) for i in range(size // 5)]
+        teased = [(2 * size + i, page(i, "article", f"<div>{cards}</div>"), i) for i in range(size // 5)]
+        df = spark.createDataFrame([x[:2] for x in (*marked, *plain, *teased)], "page_id long, html string")
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+        for d, _, i in (*marked, *plain, *teased):
+            assert got[d] == f"Title {i}\n{words(i, 40)}\n{words(i + 1, 3)}", (size, d)
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<article><p>words of it</article>", "x")], "page_id long, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html_extract.extract(df).orderBy("page_id").collect()] == [("", 0), ("", 0), ("words of it", 11)]
