@@ -4,7 +4,8 @@ Trusted positives are documents labelled good; the unlabelled set is a sample of
 With the class prior (the share of good ones) known, the risk on bad documents is what is left of
 the unlabelled risk when the positives' share is taken out; held at zero or more, it can't be
 driven negative by a model that learns the positives by heart. A small network is fitted to that
-risk. The prior is estimated from the labelled rows: the share of good ones among them.
+risk. The prior is estimated from the labelled rows: the share of good ones among them by the rule
+of succession, so it nears 1 with the number of labels where none is bad.
 
 Features are dense and cheap: shares of byte-class pairs and a few measures of repetition. Fitting
 takes two bounded samples (``sample`` rows each, by hash of doc_id); scoring is one pass over all
@@ -26,7 +27,6 @@ from pyspark.sql import types as T
 
 #: At most so many positives, and so many unlabelled rows, are fitted.
 SAMPLE = 6_000
-PRIOR_WITHOUT_NEGATIVES = 0.85
 
 #: Byte classes: letters and bytes from 128 on 0, capitals 1, digits 2, then each of these its own,
 #: other bytes the last.
@@ -96,11 +96,22 @@ class Model:
 
     def calibrate(self, unlabelled: np.ndarray) -> None:
         """Sets the scale by the prior: the unlabelled rows fall into its share of good ones and
-        the rest; if their mean margins lie well apart, they go to 0.95 and 0.05."""
+        the rest; if their mean margins lie well apart with a valley between them, they go to 0.95
+        and 0.05. One bell-shaped population is not cut: scores stay those of the fit."""
         m = np.sort(self.margins(unlabelled))
         cut = round(len(m) * (1 - self.prior))
-        if 0 < cut < len(m) and (gap := m[cut:].mean() - m[:cut].mean()) > 1.5:
-            self.centre, self.slope = float(m[cut:].mean() + m[:cut].mean()) / 2, float(6 / gap)
+        if not 0 < cut < len(m):
+            return
+        low, high = float(m[:cut].mean()), float(m[cut:].mean())
+        if (gap := high - low) > 1.5 and valley(m, low, high):
+            self.centre, self.slope = (high + low) / 2, 6 / gap
+
+
+def valley(m: np.ndarray, low: float, high: float) -> bool:
+    """Whether fewer than half as many of ``m`` lie around the middle of ``low`` and ``high`` as
+    around the emptier of these two, each time in a range as wide as a third of their distance."""
+    near = lambda x: int((np.abs(m - x) <= (high - low) / 6).sum())
+    return 2 * near((low + high) / 2) < min(near(low), near(high))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, batch: int = 256, units: int = 16, rate: float = 0.003, seed: int = 7) -> Model:
@@ -166,10 +177,9 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     good, bad = known.agg(F.count_if(F.col(quality) == 1), F.count_if(F.col(quality) == 0)).first()
     if not good:
         return None
-    prior = good / (good + bad) if bad else PRIOR_WITHOUT_NEGATIVES
     positive = sampled(df, known.filter(F.col(quality) == 1), text, doc_id, sample)
     unlabelled = sampled(df, df, text, doc_id, sample)
-    return fit(positive, unlabelled, min(0.98, max(0.02, prior)))
+    return fit(positive, unlabelled, (good + 1) / (good + bad + 2))
 
 
 def classify(df: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.3) -> DataFrame:

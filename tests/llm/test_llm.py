@@ -209,6 +209,29 @@ def test_classifier_edges(spark):
     assert scored[3]["score"] == scored[4]["score"]
 
 
+def test_classifier_keeps_an_all_good_input(spark, small, docs):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    good = [t for d, t in docs.items() if labels.get(d) == 1]
+    random.seed(4)
+    words = [w for t in good for w in t.split()]
+    texts = [" ".join(random.choices(words, k=random.randint(30, 300))) for _ in range(1500)]
+    df = frame(spark, texts).select("doc_id", "text")
+    known = spark.createDataFrame([(i, 1) for i in range(0, len(texts), 3)], "doc_id long, quality int")
+    kept = quality_classifier.classify(df, quality_classifier.train(df, known)).filter("predicted = 1").count()
+    assert kept >= 0.99 * len(texts)
+
+
+def test_calibration_cuts_two_groups_but_not_one():
+    rng = np.random.default_rng(1)
+    one, two = rng.normal(2, 2, 6000), np.concatenate([rng.normal(-4, 1, 900), rng.normal(4, 1, 5100)])
+    model = quality_classifier.Model(np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.zeros(1), 0.0, 0.85)
+    model.margins = lambda x: x
+    model.calibrate(one)
+    assert (model.centre, model.slope) == (0.0, 1.0)
+    model.calibrate(two)
+    assert abs(model.centre) < 0.2 and abs((model.scores(two) < 0.3).sum() - 900) <= 9
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for d, t in texts.items():
