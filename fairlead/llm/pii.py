@@ -47,18 +47,23 @@ AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punto|punkt|point"
 CHARACTERS = str.maketrans({**LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **{chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966) for d in range(10)}})
 ODD = re.compile("[" + re.escape("".join(map(chr, CHARACTERS)) + INVISIBLE) + "]")
 DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-GAP = r"[ \t\n,./-]{1,3}"
-#: Four or more digits in a row of which the first or a later one is spelled; dots between count.
-RUN = re.compile(rf"(?<![^\W_])(?:plus[ \t\n]+)?(?:{DIGIT}|[0-9]+)(?:{GAP}(?:{DIGIT}|[0-9]+|(?:{DOT_WORDS}))(?![^\W_]))+(?![^\W_])", re.I)
-RUN_HINT = re.compile(rf"\b{DIGIT}{GAP}(?:{DIGIT}|{DOT_WORDS})\b")
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+")
+GAP = r"[ \t\n,./()-]{1,3}"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
+BRACKETED = rf"[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*"
+NUMBER = rf"(?:{DIGIT}|[0-9]++)(?![^\W_])"
+#: Digits, spelled or not, with what stands between them; dots in words or brackets count.
+RUN = re.compile(rf"(?<![^\W_])(?:plus[ \t\n]+{NUMBER}|{NUMBER}(?=[ \t\n,./()\[{{<-]))(?:{BRACKETED}{NUMBER}|{GAP}(?:{NUMBER}|(?:{DOT_WORDS})(?![^\W_])))*", re.I)
+WORDS = f"{DIGIT}|plus|{DOT_WORDS}"
+RUN_HINT = re.compile(rf"\b(?:{WORDS}){GAP}(?:[0-9]|(?:{WORDS})\b)|[0-9]{GAP}(?:{WORDS})\b|[0-9][ \t]*{OPEN}[ \t]*(?:\.|(?:{DOT_WORDS})\b)")
+TOKEN = re.compile(rf"[0-9]+|[^\W\d_]+|(?<=[\[({{<])[ \t]*\.(?=[ \t]*{CLOSE})")
 AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT_WORDS}|@)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{AT_WORDS})[ \t]+|[ \t]+@[ \t]+|[ \t]+@|@[ \t]+|@)"
 DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+|\.)"
 DISGUISE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>{AT})[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
 IN_LOCAL = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+)(?=[A-Za-z0-9_%+-]{{1,63}}{AT}[A-Za-z0-9-])", re.I)
 DOTS = re.compile(DOT, re.I)
-DISGUISE_HINT = re.compile(rf"{OPEN}[ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)|\b(?:dot|punto|punkt|arroba|arobase)\b|[ \t]@|@[ \t]")
+DISGUISE_HINT = re.compile(rf"{OPEN}[ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)|\b(?:{AT_WORDS.removeprefix('at|')}|{DOT_WORDS})\b|[ \t]@|@[ \t]")
+#: Fixed value: top-level domains that are no English words, for "at" with "point" ("at this point in").
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es eu ch nl pl pt se dk fi cz ru cn jp ca au br mx".split())
 
 
 def luhn(digits: str) -> bool:
@@ -162,21 +167,49 @@ def characters(r: Rewritten) -> Rewritten:
 
 
 def digits(r: Rewritten) -> Rewritten:
-    """Runs of spelled digits to digits."""
+    """Runs of digits with spelled digits or disguised dots among them to plain ones, where a
+    detector then finds something or four digits are in a row of which three are spelled."""
     if RUN_HINT.search(r.text.lower()) is None:
         return r
     edits = []
     for m in RUN.finditer(r.text):
-        words = [(t.start() + m.start(), t.end() + m.start(), t[0].lower()) for t in TOKEN.finditer(m[0])]
-        if sum(w in SPELLED for *_, w in words) < 3 or sum(w in SPELLED or w.isdigit() for *_, w in words) < 4:
+        words = [(t.start() + m.start(), t.end() + m.start(), t[0].strip().lower()) for t in TOKEN.finditer(m[0])]
+        spelled = sum(w in SPELLED for *_, w in words)
+        if spelled == len(words) == 1 or all(w.isdigit() for *_, w in words):
             continue
-        put = [(a, b, SPELLED.get(w) or ("+" if w == "plus" else w if w.isdigit() else ".")) for a, b, w in words]
-        for (a, b, x), after in zip(put, [*put[1:], None]):
-            gap = r.text[b : after[0]] if after else ""
-            edits.append((a, after[0] if after else b, x + ("." if "." in gap and x != "." and after and after[2] != "." else "")))
+        whole = spelled >= 3 and sum(w in SPELLED or w.isdigit() for *_, w in words) >= 4
+        put = []  # start, end, end with the gap behind it, what takes its place
+        for (a, b, w), after in zip(words, [*words[1:], None]):
+            x = SPELLED.get(w) or ("+" if w == "plus" else w if w.isdigit() else ".")
+            gap, then = (r.text[b : after[0]], after[2]) if after else ("", ".")
+            if x not in "+." and (then in SPELLED or then.isdigit()):
+                if gap == "." or whole and "." in gap:  # a full stop before a space is prose
+                    x += "."
+                elif w.isdigit() and then.isdigit() and len(w + then) > 2:
+                    x += " "  # two numbers stay two
+            put.append((a, b, after[0] if after else b, x))
+        chosen = set(range(len(put))) if whole else hits(put, words, "+" if r.text[m.start() - 1 : m.start()] == "+" else "")
+        for i in sorted(chosen):
+            a, b, end, x = put[i]
+            edits.append((a, end, x) if i + 1 in chosen else (a, b, x.rstrip(" ") if x.strip(".") else x))
     return r.apply(edits)
 
 
+def hits(put: list[tuple[int, int, int, str]], words: list[tuple[int, int, str]], sign: str) -> set[int]:
+    """The places in a rewritten run that detectors find to be in an identifier together with a
+    spelled or disguised one; ``sign`` is what stands before the run."""
+    starts, size = [], len(sign)
+    for *_, x in put:
+        starts.append(size)
+        size += len(x)
+    chosen: set[int] = set()
+    for _, a, b in detect(sign + "".join(x for *_, x in put)):
+        within = range(max(0, bisect_right(starts, a) - 1), bisect_right(starts, b - 1))
+        if any(not words[i][2].isdigit() for i in within):
+            chosen.update(within)
+    return chosen
+
+
 def signs(r: Rewritten) -> Rewritten:
     """At and dot disguises of e-mail addresses to their signs."""
     if DISGUISE_HINT.search(r.text.lower()) is None:
@@ -191,7 +224,10 @@ def signs(r: Rewritten) -> Rewritten:
         bracketed = any(c in p for p in parts for c in "[({<")
         spelled_dot = any(p.strip().isalpha() for p in parts[1:])
         # a bare "at" before a plain host name is prose
-        hidden = bracketed or spelled_dot or (parts[0].strip() == "@" and parts[0] != "@")
+        sign = parts[0].strip().lower()
+        hidden = bracketed or spelled_dot or (sign == "@" and parts[0] != "@") or sign in AT_WORDS.split("|")[1:]
+        if sign == "at" and any(p.strip().lower() == "point" for p in parts[1:]) and last.lower() not in TOP_LEVEL:
+            continue
         if not hidden or not (2 <= len(last) <= 24 and last.isalpha()):
             continue
         edits.append((a, b, "@"))

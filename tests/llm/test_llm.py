@@ -173,6 +173,34 @@ def test_deobfuscation_maps_back_to_the_source(text, hidden, kind):
     assert (kind, hidden) in added
 
 
+@pytest.mark.parametrize(
+    "text, hidden, kind",
+    [
+        ("host 192 dot 168 dot 1 dot 10 up", "192 dot 168 dot 1 dot 10", "ip"),
+        ("host 192 dot 168 dot one dot 1 up", "192 dot 168 dot one dot 1", "ip"),
+        ("port 80 192 punto 168 punto 1 punto 10.", "192 punto 168 punto 1 punto 10", "ip"),
+        ("host 10[.]0[.]0[.]1 up", "10[.]0[.]0[.]1", "ip"),
+        ("host 10 [dot] 0 (dot) 0 [.] 1", "10 [dot] 0 (dot) 0 [.] 1", "ip"),
+        ("host 10.0.zero.1 up", "10.0.zero.1", "ip"),
+        ("call plus 4 nine 1 five 5 one 2 three 4 now", "plus 4 nine 1 five 5 one 2 three 4", "phone"),
+        ("call +4 nine 1 five 5 one 2 three 4 now", "+4 nine 1 five 5 one 2 three 4", "phone"),
+        ("call plus 14155550123 now", "plus 14155550123", "phone"),
+        ("card 4111 1111 1111 one 1 1 1 ok", "4111 1111 1111 one 1 1 1", "card"),
+        ("write to joe at mail point com now", "joe at mail point com", "email"),
+        ("escribe a joe arroba mail.es ya", "joe arroba mail.es", "email"),
+        ("schreib an joe klammeraffe mail punkt de bitte", "joe klammeraffe mail punkt de", "email"),
+    ],
+)
+def test_mixed_and_defanged_forms(text, hidden, kind):
+    base, spans = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, hidden)]
+
+
+def test_numbers_in_prose_are_no_identifiers():
+    for text in ("at this point in time", "see 1.2.3. One more", "from 2 to 4, one of 10 (or 12) dots", "we had one, two or 3 of 1000 dot", "arrive at some point then", "rows 12 13 14 plus 15 of [1] and 2 [.] 3"):
+        assert pii.find(text) == ([], [])
+
+
 def test_op4_leaves_clean_text_alone(spark, small, docs):
     for r in queries.op4_pii(spark, small).collect():
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(docs[r["doc_id"]] or ""))
