@@ -38,7 +38,7 @@ class Config:
     recent_live: int = 50
     stale_seconds: int = 300
     sequence_length: int = 10
-    windows_per_vessel: int = 50
+    windows_per_vessel: int | None = None  # all; the reference stops at 50
     temporal_components: int = 32
     trees: int = 200
     tree_rows: int = 256

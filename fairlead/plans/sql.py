@@ -248,6 +248,12 @@ ORACLES: dict[str, str] = {
         f"""SELECT vessel_id, count(*) AS n_windows, max(start) AS last_start, round(sum(total), 1) AS total FROM (
   SELECT vessel_id, CAST(rn - 10 AS INT) AS start, sum(v) OVER (PARTITION BY vessel_id ORDER BY us, seq ROWS 9 PRECEDING) AS total, rn
   FROM (SELECT vessel_id, us, seq, speed + coalesce(heading_change, 0) + dlat + dlon + km + greatest(gap_minutes, 0) AS v, row_number() OVER {W} AS rn FROM steps WHERE dlat IS NOT NULL)) WHERE rn >= 10 AND start < 50 GROUP BY vessel_id""",
+    ),
+    "sequence_windows_all": select(
+        CLEAN_SQL + STEPS,
+        f"""SELECT vessel_id, count(*) AS n_windows, max(start) AS last_start, round(sum(total), 1) AS total FROM (
+  SELECT vessel_id, CAST(rn - 10 AS INT) AS start, sum(v) OVER (PARTITION BY vessel_id ORDER BY us, seq ROWS 9 PRECEDING) AS total, rn
+  FROM (SELECT vessel_id, us, seq, speed + coalesce(heading_change, 0) + dlat + dlon + km + greatest(gap_minutes, 0) AS v, row_number() OVER {W} AS rn FROM steps WHERE dlat IS NOT NULL)) WHERE rn >= 10 GROUP BY vessel_id""",
     ),
     "iforest_fixed_score": select(
         BASE, f"SELECT vessel_id, round(s, 3) AS anomaly_score, round(s, 4) >= 0.55 AS is_anomalous FROM (SELECT vessel_id, CASE WHEN max(r) OVER () - min(r) OVER () > 1e-12 THEN round((r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()), 4) ELSE 0 END AS s FROM (SELECT vessel_id, {forest()} AS r FROM base))"

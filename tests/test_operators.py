@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,6 +261,16 @@ def test_features_without_a_track(spark):
     assert (row["displacement_ratio"], row["loitering_score"], row["zone_proximity_norm"]) == (1.0, 0.0, 0.0)
 
 
+def test_windows_of_a_long_track(spark):
+    points = [(0.01 * i, 0.0, 8.0, 90.0) for i in range(100)]
+    points[90] = (5.0, 7.0, 60.0, 270.0)
+    df = track(spark, points)
+    assert sequences.windows(df).count() == 90
+    assert sequences.windows(df, replace(DEFAULT, windows_per_vessel=50)).count() == 50
+    model = sequences.fit(sequences.windows(track(spark, points[:90])))
+    assert sequences.score(df.select("vessel_id"), sequences.windows(df), model).first()["temporal_anomaly_score"] == 1.0
+
+
 def test_recent_and_trajectories(spark):
     df = track(spark, [(float(i), 0.0, 1.0, 1.0) for i in range(5)])
     assert sorted(r["latitude"] for r in tracks.recent(df, 2).collect()) == [3.0, 4.0]
