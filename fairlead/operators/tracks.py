@@ -55,12 +55,15 @@ def latest(df: DataFrame, label: str = "AIS Track") -> DataFrame:
     )
 
 
-def trajectories(df: DataFrame) -> DataFrame:
-    """vessel_id with its points in order as an array, for export; a vessel's points must fit a
-    task's memory. Points without coordinates are left out, and vessels without points."""
+def trajectories(df: DataFrame, size: int = 1000) -> DataFrame:
+    """(vessel_id, slice, chunk, points): a vessel's points in order, cut by hour (slice) and into
+    chunks of at most ``size``, for export; no row grows with a vessel. Rows in order of slice and
+    chunk make the trajectory. Points without coordinates are left out, and vessels without points."""
     points = df.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    cut = points.withColumn("slice", F.floor(F.unix_micros("timestamp") / 3600e6).cast("long"))
+    place = F.row_number().over(Window.partitionBy("vessel_id", "slice").orderBy("timestamp", "seq")) - 1
     ordered = F.array_sort(F.collect_list(F.struct("timestamp", "seq", "latitude", "longitude")))
-    return points.groupBy("vessel_id").agg(ordered.alias("points"))
+    return cut.withColumn("chunk", F.floor(place / size).cast("long")).groupBy("vessel_id", "slice", "chunk").agg(ordered.alias("points"))
 
 
 def recent(df: DataFrame, n: int) -> DataFrame:

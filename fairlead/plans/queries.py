@@ -73,7 +73,9 @@ def step_metrics(spark, sf_dir):
 
 def trajectory_export(spark, sf_dir):
     rows = tracks.trajectories(fixtures.tracks(spark, sf_dir))
-    return rows.select("vessel_id", F.size("points").alias("n_points"), F.get("points", F.lit(0))["seq"].alias("first_seq"), F.element_at("points", -1)["seq"].alias("last_seq"))
+    ends = rows.select("vessel_id", F.size("points").alias("n"), F.get("points", F.lit(0)).alias("a"), F.element_at("points", -1).alias("b"))
+    key = lambda p: F.struct(f"{p}.timestamp", f"{p}.seq")
+    return ends.groupBy("vessel_id").agg(F.sum("n").cast("int").alias("n_points"), F.min_by("a.seq", key("a")).alias("first_seq"), F.max_by("b.seq", key("b")).alias("last_seq"))
 
 
 def tick_buckets(spark, sf_dir):

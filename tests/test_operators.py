@@ -275,3 +275,11 @@ def test_recent_and_trajectories(spark):
     df = track(spark, [(float(i), 0.0, 1.0, 1.0) for i in range(5)])
     assert sorted(r["latitude"] for r in tracks.recent(df, 2).collect()) == [3.0, 4.0]
     assert [p["latitude"] for p in tracks.trajectories(df).first()["points"]] == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_trajectory_rows_are_bounded(spark):
+    df = track(spark, [(float(i % 80), 0.0, 1.0, 1.0) for i in range(50)], minutes=1).union(track(spark, [(float(i), 0.0, 1.0, 1.0) for i in range(30)], minutes=5, vessel="B"))
+    chunks = tracks.trajectories(df, size=7).orderBy("vessel_id", "slice", "chunk").collect()
+    assert max(len(r["points"]) for r in chunks) == 7
+    for vessel, n in (("A", 50), ("B", 30)):
+        assert [p["seq"] for r in chunks if r["vessel_id"] == vessel for p in r["points"]] == list(range(n))
