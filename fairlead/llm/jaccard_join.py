@@ -5,17 +5,17 @@
    Two sets of Jaccard similarity t share a shingle of their prefixes, the first n - ceil(t n) + 1
    shingles in that order.
 3. Classes of equal size and prefix are one group. Groups that share a prefix shingle are
-   candidates if their sizes and the places of that shingle allow it; connected candidates form a
-   cluster. Rare shingles first keeps clusters small.
-4. A cluster is dealt out in blocks, each pair of blocks to a task of its own. There, group pairs
-   are filtered by size and by the places of their first shared prefix shingle; what is left is
-   expanded to its members and verified on whole sets. A task returns links that span its own
-   components, not all pairs, so hot clusters give results in proportion to their rows.
-5. Links are joined to components.
-
-Sketch, order, filters and verification are exact: no link is lost, nothing is capped. Shared
-shingles are counted before they are shuffled, and joins on shingle, class or node leave skewed
-keys to Spark to split.
+   candidates if their sizes and the places of that shingle allow it.
+4. First every group meets only the highest ranking groups of its shingles' lists: as many pairs as
+   rows. They are expanded to classes and verified on whole sets; the links make components.
+5. Then all candidates that are not in one component yet meet, and are expanded and verified.
+6. Links are joined to components.
+
+Sketch, order, filters and verification are exact: no link is lost, nothing is capped. Large groups
+of copies are connected in step 4, so that step 5 has few pairs. Pairs are verified by cells:
+the classes around one head, in parts of bounded volume, so that a text travels once for each pair
+of cells and never once for each pair of texts. Shared shingles are counted before they are
+shuffled, and joins on shingle, class or node leave skewed keys to Spark to split.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +36,8 @@ from fairlead.llm.common import slices, written
 
 SKETCH_BITS = 24
 CHUNKS = 64
-#: A block has about this many documents; clusters of more than BLOCK * SPLITS get larger blocks,
-#: up to LARGEST_BLOCK documents.
-BLOCK, SPLITS, LARGEST_BLOCK = 64, 32, 1024
-#: Groups that share a prefix shingle are paired one by one up to so many.
-FEW = 16
+#: Cells of classes that are verified together have about this many, and so many shingles.
+CELL, CELL_SHINGLES = 256, 1_000_000
 #: Tables of up to so many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -214,164 +211,182 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def verify(rows: list[tuple[int, np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks that span their components. rows: node, prefix, sorted set;
-    left and right: the places of the blocks' rows (equal places: within one block)."""
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sizes = np.array([len(r[2]) for r in rows], np.int64)
-    # groups: equal size and prefix
-    kinds: dict[tuple, int] = {}
-    group = np.array([kinds.setdefault((len(s), p.tobytes()), len(kinds)) for _, p, s in rows])
-    lead = np.array([int(np.flatnonzero(group == g)[0]) for g in range(len(kinds))])
-    places: dict[int, list[tuple[int, int]]] = {}
-    for g, i in enumerate(lead.tolist()):
-        for place, token in enumerate(rows[i][1].tolist()):
-            places.setdefault(token, []).append((g, place))
-    # group pairs: those whose first shared prefix shingle leaves room for enough overlap
-    first: dict[tuple[int, int], int] = {}
-    for found in places.values():
-        if len(found) > 1:
-            for x, (g, p) in enumerate(found):
-                for h, q in found[x + 1 :]:
-                    if (g, h) not in first or p + q < first[g, h]:
-                        first[g, h] = p + q
-    allowed = np.eye(len(kinds), dtype=bool)
-    for (g, h), lost in first.items():
-        a, b = int(sizes[lead[g]]), int(sizes[lead[h]])
-        # union - overlap >= lost, so overlap >= percent / (100 + percent) of both sizes needs:
-        if min(a, b) * 100 >= percent * max(a, b) and lost * (100 + percent) <= (a + b) * (100 - percent):
-            allowed[g, h] = allowed[h, g] = True
-    tokens = np.concatenate([rows[i][2] for i in right])
-    owners = np.repeat(np.arange(len(right)), sizes[right])
-    by = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[by], owners[by]
-    links = []
-    same = np.array_equal(left, right)
-    for k, i in enumerate(left.tolist()):
-        want = allowed[group[i], group[right]]
-        if same:
-            want = want & (np.arange(len(right)) > k)
-        mates = [j for j in right[want].tolist() if root(i) != root(j)]
-        if not mates:
-            continue
-        a, b = np.searchsorted(tokens, rows[i][2]), np.searchsorted(tokens, rows[i][2], "right")
-        n = b - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        overlap = np.bincount(owners[at], minlength=len(right))
-        union = sizes[i] + sizes[right] - overlap
-        for j in right[want & (100 * overlap >= percent * union)].tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                parent[x] = y
-                links.append((rows[i][0], rows[j][0]))
-    return links
-
-
-def links_of(docs: DataFrame, members: DataFrame, size: int, percent: int, shared: Broadcast) -> DataFrame:
-    """Links (a, b) between classes, spanning their components. docs: (doc_id, text); members:
-    (id, node, cluster, blocks), a document for each class in a cluster."""
-    rows = docs.join(if_small(members), F.col("doc_id").eqNullSafe(F.col("id")))
-    fields = [("cluster", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("own", T.IntegerType()), ("node", T.LongType()), ("prefix", T.ArrayType(T.LongType())), ("members", T.BinaryType())]
-    schema = T.StructType([T.StructField(*f) for f in fields])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketched = shared.value
+def written_if_any(df: DataFrame, name: str) -> DataFrame | None:
+    """The written table, or None if it has no rows."""
+    table = written(df, name)
+    return None if table.isEmpty() else table
+
+
+def classes_of(full: DataFrame) -> DataFrame:
+    """(node, group, n, id, key): a class with the doc_id and text hash of one of its documents."""
+    first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
+    found = full.groupBy("node").agg(F.any_value("group").alias("group"), F.any_value("n_shingles").alias("n"), first)
+    return found.select("node", "group", "n", F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
+
+
+def hits_of(groups: DataFrame) -> DataFrame:
+    """(token, group, n, place, rank) for the prefix shingles that several groups share. rank: how
+    many shared places the group's shingles have in all; the original of many copies has most."""
+    tokens = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
+    hits = written(tokens.join(shared, "token"), "jaccard-hits")
+    ranks = hits.groupBy("group").agg(F.sum("m").alias("rank"))
+    return hits.drop("m").join(ranks, "group")
+
+
+def fitting(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * 100 >= percent * F.greatest(n, m)
+
+
+def stars(hits: DataFrame, percent: int) -> DataFrame:
+    """(group, head, rank of head): each group with the highest ranking group of its shingles' lists,
+    one for each band of sizes. A list gives as many pairs as it has rows, not their square."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+    banded = hits.withColumn("band", band)
+    heads = banded.groupBy("token", "band").agg(F.max(F.struct("rank", "group", "n")).alias("head"))
+    near = heads.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "head")
+    met = banded.join(near, ["token", "band"]).filter((F.col("head.group") != F.col("group")) & fitting(F.col("n"), F.col("head.n"), percent))
+    return met.select("group", F.col("head.group").alias("head"), F.col("head.rank").alias("rank")).distinct()
+
+
+def placed(classes: DataFrame, hits: DataFrame, star: DataFrame) -> DataFrame:
+    """``classes`` that can have links, with lead (the smallest class of the group) and cell: the
+    classes around one head are dealt out in cells of bounded size."""
+    own = hits.groupBy("group").agg(F.max("rank").alias("rank")).select("group", F.col("group").alias("head"), "rank")
+    anchors = own.unionByName(star.select("group", "head", "rank")).groupBy("group").agg(F.max(F.struct("rank", "head")).alias("top")).select("group", F.col("top.head").alias("anchor"))
+    leads = classes.groupBy("group").agg(F.min("node").alias("lead"), F.count("*").alias("members"))
+    known = classes.join(leads, "group").join(anchors, "group", "left").filter("anchor IS NOT NULL OR members > 1").withColumn("anchor", F.coalesce("anchor", "group"))
+    sizes = known.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("volume"))
+    cells = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("volume") / CELL_SHINGLES))
+    return known.join(sizes, "anchor").select("node", "group", "n", "id", "key", "lead", F.xxhash64("anchor", F.pmod("node", cells)).alias("cell"))
+
+
+def linked(a: int, mates: list[int], sets: dict[int, np.ndarray], root: Callable[[int], int], parent: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Those of ``mates`` that are similar to ``a`` and not yet in its component."""
+    x, out = sets[a], []
+    todo = [b for b in mates if root(b) != root(a)]
+    while todo:
+        part, volume = [], 0
+        while todo and volume < 1_000_000:
+            part.append(todo.pop())
+            volume += len(sets[part[-1]])
+        sizes = np.array([len(sets[b]) for b in part], np.int64)
+        y = np.concatenate([sets[b] for b in part])
+        same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        overlap = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+        for b in np.array(part, np.int64)[100 * overlap >= percent * (len(x) + sizes - overlap)].tolist():
+            if root(a) != root(b):
+                parent[root(b)] = root(a)
+                out.append((a, b))
+    return out
+
+
+def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of the pairs (a, b) whose whole sets are similar enough, as many as connect them.
+
+    Pairs meet by their two cells. A text goes once to each pair of cells that asks for it, however
+    many pairs it is in there; a cell holds a bounded volume.
+    """
+    cell = places.select("node", "cell")
+    both = pairs.join(cell.toDF("a", "u"), "a").join(cell.toDF("b", "v"), "b").select("a", "b", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    lists = written(both.groupBy("u", "v", "a").agg(F.collect_set("b").alias("mates")), "jaccard-pairs")
+    asked = lists.select("u", "v", F.explode(F.array_union(F.array("a"), "mates")).alias("node")).distinct().join(places.select("node", "id", "key"), "node")
+    # doc_id and hash of the text tell which document it is, also where ids repeat or are null
+    texts = docs.join(if_small(written(asked, "jaccard-asked")).withColumnRenamed("key", "_key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("_key")))
+    rows = texts.select("u", "v", "node", "text", F.lit(None).cast("array<bigint>").alias("mates")).unionByName(lists.select("u", "v", F.col("a").alias("node"), F.lit("").alias("text"), "mates"))
+    rows = rows.repartition("u", "v").sortWithinPartitions("u", "v", F.col("mates").isNotNull())
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+        now = None
+
+        def root(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         for batch in batches:
             data = batch.to_pydict()
-            for a, b in slices([x or "" for x in data["text"]], 500_000):
-                out = []
-                for k, x in enumerate(shingles([t or "" for t in data["text"][a:b]], size), a):
-                    x = np.unique(x)
-                    node, blocks = data["node"][k], data["blocks"][k]
-                    if not len(x) or node_of(x) != node:  # another text with this doc_id
-                        continue
-                    own, packed, prefix = (node >> 7) % blocks, x.astype("<u8").tobytes(), prefix_of(x, sketched, percent).view(np.int64)
-                    out += [(data["cluster"][k], min(own, o), max(own, o), own, node, prefix, packed) for o in range(blocks)]
-                for c in range(0, len(out), 1000):
-                    part = list(zip(*out[c : c + 1000]))
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(part, types)], names=schema.names)
-
-    def check(part: pa.Table) -> pa.Table:
-        data = part.to_pydict()
-        seen, rows, own = set(), [], []
-        for k, node in enumerate(data["node"]):
-            if node not in seen:  # a repeated row
-                seen.add(node)
-                rows.append((node, np.array(data["prefix"][k], np.int64), np.frombuffer(data["members"][k], "<u8")))
-                own.append(data["own"][k])
-        own, i, j = np.array(own), data["i"][0], data["j"][0]
-        found = verify(rows, np.flatnonzero(own == i), np.flatnonzero(own == j), percent) if (own == i).any() and (own == j).any() else []
-        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return rows.select("text", "node", "cluster", "blocks").mapInArrow(deal, schema).groupBy("cluster", "i", "j").applyInArrow(check, "a long, b long")
-
-
-def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all groups which can hold a link. groups: (group, n, prefix).
-
-    Of a prefix shingle that FEW groups share, the pairs that pass the filters by size and place
-    are edges. Those that share a commoner one are tied to the first of their band of sizes, and
-    bands to the next: sizes that differ by more than one band can't be similar enough.
+            for start, end in slices(data["text"]):
+                found, out = shingles(data["text"][start:end], size), []
+                for i in range(start, end):
+                    if now != (cells := (data["u"][i], data["v"][i])):
+                        now, sets, parent = cells, {}, {}
+                    if data["mates"][i] is None:
+                        sets[data["node"][i]] = np.unique(found[i - start])
+                    else:
+                        out += linked(data["node"][i], data["mates"][i], sets, root, parent, percent)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def open_pairs(hits: DataFrame, places: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of classes that can be similar and are not in one component yet.
+
+    Of groups that share a prefix shingle, those whose sizes and places of that shingle allow it; a
+    pair that is similar passes at its first shared shingle. Spark splits the lists of common ones.
     """
-    tokens = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
-    common = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
-    hits = tokens.join(common, "token")
-    each = F.collect_list(F.struct("group", "n", "place"))
-    few = hits.filter(F.col("m") <= FEW).groupBy("token").agg(each.alias("l"))
-    x = F.col("x")
-    fits = lambda y: (
-        (y["group"] > x["group"])
-        & (F.least(y["n"], x["n"]) * 100 >= percent * F.greatest(y["n"], x["n"]))
-        & ((y["place"] + x["place"]) * (100 + percent) <= (y["n"] + x["n"]) * (100 - percent))
-    )
-    pairs = few.select("l", F.explode("l").alias("x")).select(x["group"].alias("a"), F.explode(F.filter("l", fits)).alias("y")).select("a", F.col("y.group").alias("b"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    many = hits.filter(F.col("m") > FEW).withColumn("band", band).select("token", "band", "group")
-    heads = many.groupBy("token", "band").agg(F.min("group").alias("head"))
-    tied = many.join(heads, ["token", "band"]).filter("group <> head").select(F.col("group").alias("a"), F.col("head").alias("b"))
-    above = heads.select("token", (F.col("band") - 1).alias("band"), F.col("head").alias("next"))
-    bands = heads.join(above, ["token", "band"]).select(F.col("head").alias("a"), F.col("next").alias("b"))
-    return pairs.union(tied).union(bands)
+    now = written(places.join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "jaccard-open")
+    of_group = now.select("group", "label").distinct()
+    spanned = hits.select("token", "group", "n", "place").join(of_group, "group")
+    several = spanned.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    left = written(spanned.join(several, "token"), "jaccard-open-hits")
+    x, y = left.alias("x"), left.alias("y")
+    lost, both = F.col("x.place") + F.col("y.place"), F.col("x.n") + F.col("y.n")
+    # union - overlap >= lost, so overlap >= percent / (100 + percent) of both sizes needs:
+    allowed = fitting(F.col("x.n"), F.col("y.n"), percent) & (lost * (100 + percent) <= both * (100 - percent))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.label") != F.col("y.label")) & allowed)
+    groups = met.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
+    g, h = now.toDF("a", "g", "la"), now.toDF("b", "h", "lb")
+    across = groups.join(g, "g").join(h, "h").filter("la <> lb")
+    within = g.join(h, (F.col("g") == F.col("h")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
+    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(within.select("a", "b"))
 
 
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row for each row of ``df``: doc_id, n_shingles (size of its shingle set), node (its
-    class: equal for equal sets) and component_id, the smallest doc_id reachable by links.
+    """One row for each row of ``df``: doc_id, key (xxhash64 of its text), n_shingles (size of its
+    shingle set), node (its class: equal for equal sets), component (the smallest class reachable by
+    links) and component_id, the smallest doc_id there.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their sets of word
-    ``size``-shingles. Null and empty texts, and texts without words, have an empty set and are
-    linked with nothing; a text with fewer words than ``size`` has one shingle. Repeated rows are
-    linked with each other. A null doc_id is never the smallest, unless no other is there.
+    ``size``-shingles. Null and empty texts, and texts without words, have an empty set, null node
+    and component, and are linked with nothing; a text with fewer words than ``size`` has one
+    shingle. Repeated rows are linked with each other. A null doc_id is never the smallest, unless no
+    other is there. An empty table gives no rows. Very long texts are handled in parts until their
+    set is whole; other columns of ``df`` are left out, so their names can't clash.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
     # 2 ** SKETCH_BITS numbers of 2 bytes
     shared = df.sparkSession.sparkContext.broadcast(sketch(docs, "text", size))
     rows = written(with_prefixes(docs, "text", size, percent, shared), "jaccard-rows")
     full = rows.filter("node IS NOT NULL")
-    groups = full.groupBy("group").agg(F.any_value("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))
-    candidates = group_pairs(written(groups, "jaccard-groups"), percent)
-    labels = components(candidates, "jaccard-clusters").select(F.col("node").alias("group"), F.col("label").alias("cluster"))
-    # a group of several classes is a cluster by itself
-    several = full.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group")
-    clusters = labels.unionByName(several.join(labels, "group", "left_anti").withColumn("cluster", F.col("group")))
-    inside = full.join(written(clusters, "jaccard-clusters"), "group")
-    classes = inside.groupBy("node", "cluster").agg(F.min("doc_id").alias("id"))
-    counts = inside.groupBy("cluster").agg(F.countDistinct("node").alias("m"))
-    blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(SPLITS)), F.ceil(F.col("m") / LARGEST_BLOCK)).cast("int")
-    members = classes.join(counts.filter("m > 1").select("cluster", blocks.alias("blocks")), "cluster").select("id", "node", "cluster", "blocks")
-    links = links_of(docs, written(members, "jaccard-members"), size, percent, shared)
-    labels = components(written(links, "jaccard-links"), "jaccard-components")
-    known = full.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    firsts = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = known.join(firsts, "label").select("node", "component_id")
-    linked = full.select("doc_id", "n_shingles", "node").join(of_node, "node").select("doc_id", "n_shingles", "node", "component_id")
-    alone = rows.filter("node IS NULL").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    labels = links = None
+    classes = written(classes_of(full), "jaccard-classes")
+    hits = written(hits_of(full.groupBy("group").agg(F.any_value("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))), "jaccard-ranked")
+    star = written(stars(hits, percent), "jaccard-stars")
+    places = written(placed(classes, hits, star), "jaccard-places")
+    leads = places.filter("node = lead").select(F.col("group").alias("head"), F.col("lead").alias("a"))
+    first = star.join(leads, "head").join(places.select("group", F.col("node").alias("b")), "group").select("a", "b").union(places.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    first = written_if_any(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-first")
+    if first is not None:
+        links = written(verified(first, places, docs, size, percent), "jaccard-links")
+        labels = components(links, "jaccard-stars")
+        rest = written_if_any(open_pairs(hits, places, labels, percent).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+        if rest is not None:
+            more = written_if_any(verified(rest, places, docs, size, percent), "jaccard-more")
+            if more is not None:
+                labels = components(links.union(more), "jaccard-components")
+    if labels is None:
+        labels = classes.select("node", F.lit(None).cast("long").alias("label")).limit(0)
+    known = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = known.groupBy("label").agg(F.min("id").alias("component_id"))
+    of_node = known.join(firsts, "label").select("node", F.col("label").alias("component"), "component_id")
+    columns = ["doc_id", "key", "n_shingles", "node", "component", "component_id"]
+    joined = full.select("doc_id", "key", "n_shingles", "node").join(of_node, "node").select(columns)
+    alone = rows.filter("node IS NULL").select("doc_id", "key", "n_shingles", "node", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone)
