@@ -8,14 +8,15 @@
    candidates if their sizes and the places of that shingle allow it.
 4. First every group meets only the highest ranking groups of its shingles' lists: as many pairs as
    rows. They are expanded to classes and verified on whole sets; the links make components.
-5. Then all candidates that are not in one component yet meet, and are expanded and verified.
+5. Then all candidates of different components meet and are verified: a class asks for the cells in
+   which a candidate is, and a task compares what meets in two cells, without a list of pairs.
 6. Links are joined to components.
 
 Sketch, order, filters and verification are exact: no link is lost, nothing is capped. Large groups
-of copies are connected in step 4, so that step 5 has few pairs. Pairs are verified by cells:
-the classes around one head, in parts of bounded volume, so that a text travels once for each pair
-of cells and never once for each pair of texts. Shared shingles are counted before they are
-shuffled, and joins on shingle, class or node leave skewed keys to Spark to split.
+of copies are connected in step 4, so that step 5 has little left. Cells are the classes around one
+head, in parts of bounded volume: a text travels once for each pair of cells and never once for each
+pair of texts. Shared shingles are counted before they are shuffled, and joins on shingle, class or
+node leave skewed keys to Spark to split.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlead.llm.common import slices, written
+from fairlead.llm.common import MIX, mixed, powers, ragged, slices, word_hashes, written
 
 SKETCH_BITS = 24
 CHUNKS = 64
 #: Cells of classes that are verified together have about this many, and so many shingles.
-CELL, CELL_SHINGLES = 256, 1_000_000
+CELL, CELL_SHINGLES = 512, 1_000_000
 #: Tables of up to so many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 250_000
 
-BASE = 0x9E3779B97F4A7C15
-MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WHITE = np.zeros(256, bool)
-WHITE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
-
 
 def shingles(texts: list[str], size: int = 3) -> list[np.ndarray]:
     """64-bit hashes of the word shingles of each text, in order and with repetitions.
@@ -71,19 +49,8 @@ def shingles(texts: list[str], size: int = 3) -> list[np.ndarray]:
     A-Z count as a-z; words end at ASCII white space. A text with fewer words than ``size`` has its
     whole sequence as one shingle; one without words has none.
     """
-    raw = [t.encode() for t in texts]
-    data = LOWER[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
-    if not len(data):
-        return [np.empty(0, np.uint64) for _ in texts]
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    text_ends = np.cumsum(lengths)
-    white = WHITE[data]
-    starts = np.flatnonzero(~white & np.r_[True, white[:-1]])
-    ends = np.flatnonzero(white & np.r_[False, ~white[:-1]])
-    up, down = powers(len(data) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(BYTES[data] * up[: len(data)], dtype=np.uint64)]
-    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    cuts = np.r_[0, np.searchsorted(starts, text_ends)]
+    words, counts = word_hashes(texts)
+    cuts = np.r_[0, np.cumsum(counts)]
     weights = powers(size + 2)[0]
     total = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
@@ -262,10 +229,30 @@ def placed(classes: DataFrame, hits: DataFrame, star: DataFrame) -> DataFrame:
     return known.join(sizes, "anchor").select("node", "group", "n", "id", "key", "lead", F.xxhash64("anchor", F.pmod("node", cells)).alias("cell"))
 
 
-def linked(a: int, mates: list[int], sets: dict[int, np.ndarray], root: Callable[[int], int], parent: dict[int, int], percent: int) -> list[tuple[int, int]]:
+class Joined:
+    """Which things are in one component, as links come in."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, i: int) -> int:
+        up = self.parent
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Joins the components of two; whether they were apart."""
+        i, j = self.root(i), self.root(j)
+        self.parent[j] = i
+        return i != j
+
+
+def linked(a: int, mates: list[int], sets: dict[int, np.ndarray], joined: Joined, percent: int) -> list[tuple[int, int]]:
     """Those of ``mates`` that are similar to ``a`` and not yet in its component."""
     x, out = sets[a], []
-    todo = [b for b in mates if root(b) != root(a)]
+    todo = [b for b in mates if joined.root(b) != joined.root(a)]
     while todo:
         part, volume = [], 0
         while todo and volume < 1_000_000:
@@ -275,14 +262,41 @@ def linked(a: int, mates: list[int], sets: dict[int, np.ndarray], root: Callable
         y = np.concatenate([sets[b] for b in part])
         same = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
         overlap = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
-        for b in np.array(part, np.int64)[100 * overlap >= percent * (len(x) + sizes - overlap)].tolist():
-            if root(a) != root(b):
-                parent[root(b)] = root(a)
-                out.append((a, b))
+        hits = np.array(part, np.int64)[100 * overlap >= percent * (len(x) + sizes - overlap)]
+        out += [(a, b) for b in hits.tolist() if joined.join(a, b)]
     return out
 
 
-def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def crossing(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between rows (node, cell, label, sorted set) of two cells, or of one, that join labels.
+    The overlaps of a row with all of the right cell come from one list of its shingles."""
+    if not left or not right:
+        return []
+    joined, out = Joined(), []
+    sizes = np.array([len(r[3]) for r in right], np.int64)
+    tokens = np.concatenate([r[3] for r in right])
+    owners = np.repeat(np.arange(len(right)), sizes)
+    by = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[by], owners[by]
+    for node, _, label, x in left:
+        if all(joined.root(r[2]) == joined.root(label) for r in right):
+            continue
+        a = np.searchsorted(tokens, x)
+        overlap = np.bincount(owners[ragged(a, np.searchsorted(tokens, x, "right") - a)], minlength=len(right))
+        for j in np.flatnonzero(100 * overlap >= percent * (len(x) + sizes - overlap)).tolist():
+            if joined.join(label, right[j][2]):
+                out.append((node, right[j][0]))
+    return out
+
+
+def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """``asked`` (node, id, key and more) with the texts, by id and hash of the text: these tell
+    which document it is, also where ids repeat or are null."""
+    asked = if_small(written(asked, "jaccard-asked")).withColumnRenamed("key", "_key")
+    return docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("_key"))).drop("doc_id", "id", "key", "_key")
+
+
+def star_links(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of the pairs (a, b) whose whole sets are similar enough, as many as connect them.
 
     Pairs meet by their two cells. A text goes once to each pair of cells that asks for it, however
@@ -292,60 +306,76 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int, pe
     both = pairs.join(cell.toDF("a", "u"), "a").join(cell.toDF("b", "v"), "b").select("a", "b", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     lists = written(both.groupBy("u", "v", "a").agg(F.collect_set("b").alias("mates")), "jaccard-pairs")
     asked = lists.select("u", "v", F.explode(F.array_union(F.array("a"), "mates")).alias("node")).distinct().join(places.select("node", "id", "key"), "node")
-    # doc_id and hash of the text tell which document it is, also where ids repeat or are null
-    texts = docs.join(if_small(written(asked, "jaccard-asked")).withColumnRenamed("key", "_key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("_key")))
-    rows = texts.select("u", "v", "node", "text", F.lit(None).cast("array<bigint>").alias("mates")).unionByName(lists.select("u", "v", F.col("a").alias("node"), F.lit("").alias("text"), "mates"))
+    texts = texts_of(asked, docs).select("u", "v", "node", "text", F.lit(None).cast("array<bigint>").alias("mates"))
+    rows = texts.unionByName(lists.select("u", "v", F.col("a").alias("node"), F.lit("").alias("text"), "mates"))
     rows = rows.repartition("u", "v").sortWithinPartitions("u", "v", F.col("mates").isNotNull())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        parent: dict[int, int] = {}
-        now = None
-
-        def root(i: int) -> int:
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        now, sets, joined = None, {}, Joined()
         for batch in batches:
             data = batch.to_pydict()
-            for start, end in slices(data["text"]):
-                found, out = shingles(data["text"][start:end], size), []
+            for start, end in slices([x or "" for x in data["text"]]):
+                found, out = shingles([x or "" for x in data["text"][start:end]], size), []
                 for i in range(start, end):
                     if now != (cells := (data["u"][i], data["v"][i])):
-                        now, sets, parent = cells, {}, {}
+                        now, sets, joined = cells, {}, Joined()
                     if data["mates"][i] is None:
                         sets[data["node"][i]] = np.unique(found[i - start])
                     else:
-                        out += linked(data["node"][i], data["mates"][i], sets, root, parent, percent)
+                        out += linked(data["node"][i], data["mates"][i], sets, joined, percent)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 
 
-def open_pairs(hits: DataFrame, places: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: all pairs of classes that can be similar and are not in one component yet.
+def open_meets(hits: DataFrame, places: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(u, v, node, own, label, id, key): the classes that can be similar to one of another component,
+    with each pair of cells (u, v) in which they can meet it; own is their cell.
 
-    Of groups that share a prefix shingle, those whose sizes and places of that shingle allow it; a
-    pair that is similar passes at its first shared shingle. Spark splits the lists of common ones.
+    A class asks for a cell that has one of its prefix shingles, if sizes and places there allow it:
+    a list of m classes in c cells gives m * c rows, not the pairs. A class that is similar to another
+    passes at their first shared shingle, and so does the other. Classes of one group share all.
     """
-    now = written(places.join(labels, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "jaccard-open")
-    of_group = now.select("group", "label").distinct()
-    spanned = hits.select("token", "group", "n", "place").join(of_group, "group")
+    now = written(places.join(labels, "node", "left").select("node", "group", "n", "cell", "id", "key", F.coalesce("label", "node").alias("label")), "jaccard-open")
+    spanned = hits.select("token", "group", "place").join(now.select("node", "group", "n", "cell", "label"), "group").drop("group")
+    grouped = now.select(F.xxhash64("group", F.lit("group")).alias("token"), F.lit(0).alias("place"), "node", "n", "cell", "label")
+    spanned = spanned.unionByName(grouped)
     several = spanned.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     left = written(spanned.join(several, "token"), "jaccard-open-hits")
-    x, y = left.alias("x"), left.alias("y")
-    lost, both = F.col("x.place") + F.col("y.place"), F.col("x.n") + F.col("y.n")
+    ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")]
+    cells = left.groupBy("token", "cell").agg(*ends).withColumnRenamed("cell", "other")
     # union - overlap >= lost, so overlap >= percent / (100 + percent) of both sizes needs:
-    allowed = fitting(F.col("x.n"), F.col("y.n"), percent) & (lost * (100 + percent) <= both * (100 - percent))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & (F.col("x.label") != F.col("y.label")) & allowed)
-    groups = met.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
-    g, h = now.toDF("a", "g", "la"), now.toDF("b", "h", "lb")
-    across = groups.join(g, "g").join(h, "h").filter("la <> lb")
-    within = g.join(h, (F.col("g") == F.col("h")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")))
-    return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(within.select("a", "b"))
+    room = (F.col("place") + F.col("first")) * (100 + percent) <= (F.col("n") + F.col("most")) * (100 - percent)
+    sizes = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent)
+    met = left.join(cells, "token").filter(room & sizes & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))))
+    pairs = met.select(F.least("cell", "other").alias("u"), F.greatest("cell", "other").alias("v"), "node").distinct()
+    return pairs.join(now.select("node", F.col("cell").alias("own"), "label", "id", "key"), "node")
+
+
+def open_links(meets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, as many as connect them, of the classes that meet in two cells."""
+    rows = texts_of(meets, docs).select("u", "v", "node", "own", "label", "text").repartition("u", "v").sortWithinPartitions("u", "v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, {}
+
+        def links() -> Iterator[pa.RecordBatch]:
+            out = crossing([r for r in rows.values() if r[1] == now[0]], [r for r in rows.values() if r[1] == now[1]], percent) if now else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+        for batch in batches:
+            data = batch.to_pydict()
+            for start, end in slices([x or "" for x in data["text"]]):
+                for i, found in enumerate(shingles([x or "" for x in data["text"][start:end]], size), start):
+                    if now != (cells := (data["u"][i], data["v"][i])):
+                        yield from links()
+                        now, rows = cells, {}
+                    rows[data["node"][i]] = (data["node"][i], data["own"][i], data["label"][i], np.unique(found))
+        yield from links()
+
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
@@ -374,13 +404,11 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     first = star.join(leads, "head").join(places.select("group", F.col("node").alias("b")), "group").select("a", "b").union(places.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
     first = written_if_any(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-first")
     if first is not None:
-        links = written(verified(first, places, docs, size, percent), "jaccard-links")
+        links = written(star_links(first, places, docs, size, percent), "jaccard-links")
         labels = components(links, "jaccard-stars")
-        rest = written_if_any(open_pairs(hits, places, labels, percent).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-        if rest is not None:
-            more = written_if_any(verified(rest, places, docs, size, percent), "jaccard-more")
-            if more is not None:
-                labels = components(links.union(more), "jaccard-components")
+        more = written_if_any(open_links(open_meets(hits, places, labels, percent), docs, size, percent), "jaccard-more")
+        if more is not None:
+            labels = components(links.union(more), "jaccard-components")
     if labels is None:
         labels = classes.select("node", F.lit(None).cast("long").alias("label")).limit(0)
     known = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
