@@ -450,6 +450,82 @@ def test_lm_scores_do_not_depend_on_the_deal_or_the_head(spark, small):
     assert all(abs(few[d][0] - many[d][0]) < 1e-6 * max(1, abs(many[d][0])) and few[d][1] == many[d][1] for d in few)
 
 
+def small_code(depth, n=40):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    words = np.r_[np.uint64(lm_score.END), rng.integers(1 << 60, 1 << 63, n - 1, dtype=np.uint64)]
+    head = pa.table({"word": words.view(np.int64), "n": np.sort(rng.integers(2, 400, n))[::-1], "group": [["en", "de", None][i % 3] for i in range(n)]})
+    code = lm_score.Code(head, int(head.column("n").to_numpy().sum()) + 30, n + 20, depth)
+    return code, words, rng.integers(-90, 90, (lm_score.COUNTED, 1 << 12)).astype(np.int8)
+
+
+@pytest.mark.parametrize("depth", [2, 6, None])
+def test_lm_continuations_sum_to_one(depth):
+    code, words, tables = small_code(depth)
+    for before in ([], [3], [3, 9], [2, 2, 7, 2, 2, 7]):
+        ends = [*words, np.uint64(12345)]  # the last is rare
+        texts = [[*(words[i] for i in before), w] for w in ends]
+        cost, ids = lm_score.token_costs(code, tables, np.array([w for t in texts for w in t], np.uint64), np.full(len(texts), len(before) + 1))
+        assert ids[-1] == code.rare and abs(sum(10 ** cost[len(before) :: len(before) + 1]) - 1) < 1e-4
+
+
+def plain_cost(code, tables, words):
+    """log10 probability of one text, bit by bit in plain Python."""
+    from fairlead.llm.lm_score import CELLS, COUNTED, FIRST_STEP, LEVELS, LONGEST_STEP, OWN_BITS, PLACES, RATE, REFINE_RATE, SCALE, START_WEIGHT
+
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    weights = collections.defaultdict(lambda: [START_WEIGHT] * (COUNTED + 1))
+    table = collections.defaultdict(lambda: [squash((i - CELLS // 2) / 2) for i in range(CELLS)])
+    own = collections.defaultdict(lambda: [0, 0])
+    index = {int(w): i for i, w in enumerate(code.words[:-1])}
+    ids = [index.get(int(w), code.rare) for w in words]
+    _, bits = lm_score.bits_of(code, np.array(words, np.uint64), np.array([len(words)]))
+    slots = [lm_score.slots_of(bits, k, tables.shape[1].bit_length() - 1) for k in range(COUNTED)]
+    total, at, end, waiting = 0.0, 0, FIRST_STEP, []
+    for t, i in enumerate(ids):
+        place = min(int(math.log2(t + 1)), 15)
+        for level in range(code.lengths[i]):
+            bit, node = code.codes[i] >> level & 1, int(code.codes[i] & ((1 << level) - 1) | 1 << level)
+            gate = (min(level, LEVELS - 1), min(place // 3, PLACES - 1))
+            zero, one = own[node]
+            x = [tables[k][slots[k][at]] / SCALE for k in range(COUNTED)] + [math.log((one + 0.4) / (zero + 0.4)) if node < 1 << OWN_BITS else 0.0]
+            score = sum(a * b for a, b in zip(weights[gate], x))
+            p = min(max(squash(score), 0.0005), 0.9995)
+            cell = min(max(round(score * 2), -(CELLS // 2)), CELLS // 2) + CELLS // 2
+            mixed = min(max(0.75 * p + 0.25 * table[gate[0]][cell], 0.0005), 0.9995)
+            total += math.log10(mixed if bit else 1 - mixed)
+            waiting.append((gate, cell, node, bit, x, bit - p, bit - table[gate[0]][cell]))
+            at += 1
+            if at == end:
+                seen, hits = collections.Counter(w[0] for w in waiting), collections.Counter((w[0][0], w[1]) for w in waiting)
+                for g, c, n, b, inputs, error, off in waiting:
+                    for j in range(len(inputs)):
+                        weights[g][j] += RATE / math.sqrt(1 + seen[g]) * error * inputs[j]
+                    table[g[0]][c] += off * REFINE_RATE / (1 + REFINE_RATE * hits[g[0], c])
+                    own[n][b] += 1
+                waiting, end = [], end + min(end, LONGEST_STEP)
+        total += code.inside[i]
+    return total
+
+
+@pytest.mark.parametrize("depth", [3, 6, None])
+def test_lm_score_equals_a_plain_version(depth):
+    code, words, tables = small_code(depth)
+    random.seed(9)
+    texts = [[random.choice([*words, np.uint64(77), np.uint64(78)]) for _ in range(n)] for n in (1, 2, 30, 400, 1500)]
+    cost, _ = lm_score.token_costs(code, tables, np.array([w for t in texts for w in t], np.uint64), np.array([len(t) for t in texts]))
+    sums = np.add.reduceat(cost, np.cumsum([0, *(len(t) for t in texts[:-1])]))
+    assert all(abs(a - plain_cost(code, tables, t)) < 1e-4 * abs(a) + 1e-4 for a, t in zip(sums, texts))
+
+
+def test_lm_head_is_filled_from_a_bucket_that_does_not_fit(spark):
+    counts = spark.createDataFrame([(0, 5000, None), *((i * 7919 + 1, 3, None) for i in range(1000))], "word long, n long, group string")
+    head = lm_score.head_words(counts, 500)
+    assert 430 <= head.num_rows <= 500 and head.column("n").to_pylist()[:2] == [5000, 3]
+    assert lm_score.head_words(counts, 2000).num_rows == 1001
+
+
 def test_lm_edges(spark):
     rows = lm_score.score(frame(spark, EDGES)).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in rows] == [len((t or "").split()) + 1 for t in EDGES]
