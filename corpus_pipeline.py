@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm import jaccard_join, packing, pii, quality_classifier, quality_rules
-from fairlead.llm.common import table, written
+from fairlead.llm.common import if_small, table, written
 from fairlead.llm.queries import BATCH_ROWS, TOKENIZER
 
 
@@ -39,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("kept"))
     told = found.join(kept, "component", "left").withColumn("copy", F.col("kept").isNotNull() & (F.col("kept") != order))
     told = written(told.filter("copy OR n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copy"), "near-copies")
-    rows = docs.join(jaccard_join.if_small(told), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    rows = docs.join(if_small(told), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     single = rows.filter("copy IS NULL").select(docs.columns)
     return single.union(rows.filter("NOT copy").select(docs.columns).dropDuplicates(same[:1] + ["text"]))
 

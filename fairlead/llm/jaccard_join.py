@@ -33,14 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlead.llm.common import MIX, mixed, powers, ragged, slices, word_hashes, written
+from fairlead.llm.common import MIX, discard, if_small, mixed, powers, ragged, slices, word_hashes, written
 
 SKETCH_BITS = 24
 CHUNKS = 64
 #: Cells of classes that are verified together have about this many, and so many shingles.
 CELL, CELL_SHINGLES = 512, 1_000_000
-#: Tables of up to so many rows are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 250_000
 
 
 def shingles(texts: list[str], size: int = 3) -> list[np.ndarray]:
@@ -157,25 +155,24 @@ def with_prefixes(df: DataFrame, text: str, size: int, percent: int, shared: Bro
     return df.select(*rest, text).mapInArrow(run, schema)
 
 
-def if_small(table: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for the nodes of an edge table (a, b): label is the smallest node that is
     reachable. Labels move along edges and jump to their label's label until none changes; every
     round is a written table."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), f"{name}-labels")
+    start = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+    labels = written(start.select("node", F.col("node").alias("old"), "label"), f"{name}-labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        near = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        near = labels.drop("old").join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = written(near.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), f"{name}-labels")
-        labels = new.select("node", "label")
-        if new.filter("old <> label").isEmpty():
-            return labels
+        done = new.filter("old <> label").isEmpty()
+        discard(labels)
+        labels = new
+        if done:
+            discard(both)
+            return labels.select("node", "label")
 
 
 def written_if_any(df: DataFrame, name: str) -> DataFrame | None:
