@@ -2,8 +2,8 @@
 
 Base detectors find plain identifiers. Beside them a chain of transducers rewrites a text and
 keeps, for every piece of the rewritten text, the range of the source that it came from:
-look-alike letters and digits become ASCII and invisible characters go, spelled digits become
-digits, and "at" and "dot" disguises become signs. The same detectors run over the rewritten text;
+character references become characters, look-alike letters and digits become ASCII and invisible
+characters go, spelled digits become digits, and "at" and "dot" disguises become signs. The same detectors run over the rewritten text;
 what they find there is mapped back to source characters and added where a rewrite took part.
 
 A text is handled in its own row: nothing is shuffled. All scans are linear in the text.
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fairlead.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +48,7 @@ AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punto|punkt|point"
 
 CHARACTERS = str.maketrans({**LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **{chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966) for d in range(10)}})
 ODD = re.compile("[" + re.escape("".join(map(chr, CHARACTERS)) + INVISIBLE) + "]")
+REFERENCE = re.compile(r"&(?:#0{0,5}([0-9]{2,3})|#[xX]0{0,5}([0-9a-fA-F]{2})|(commat|period));?")
 DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 GAP = r"[ \t\n,./()-]{1,3}"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
@@ -57,12 +60,13 @@ WORDS = f"{DIGIT}|plus|{DOT_WORDS}"
 RUN_HINT = re.compile(rf"\b(?:{WORDS}){GAP}(?:[0-9]|(?:{WORDS})\b)|[0-9]{GAP}(?:{WORDS})\b|[0-9][ \t]*{OPEN}[ \t]*(?:\.|(?:{DOT_WORDS})\b)")
 TOKEN = re.compile(rf"[0-9]+|[^\W\d_]+|(?<=[\[({{<])[ \t]*\.(?=[ \t]*{CLOSE})")
 AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT_WORDS}|@)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{AT_WORDS})[ \t]+|[ \t]+@[ \t]+|[ \t]+@|@[ \t]+|@)"
-DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+|\.)"
+DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+|[ \t]+\.[ \t]+|\.)"
 DISGUISE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>{AT})[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
 IN_LOCAL = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+)(?=[A-Za-z0-9_%+-]{{1,63}}{AT}[A-Za-z0-9-])", re.I)
 DOTS = re.compile(DOT, re.I)
 DISGUISE_HINT = re.compile(rf"{OPEN}[ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)|\b(?:{AT_WORDS.removeprefix('at|')}|{DOT_WORDS})\b|[ \t]@|@[ \t]")
-#: Fixed value: top-level domains that are no English words, for "at" with "point" ("at this point in").
+#: Fixed value: top-level domains that are no English words, for "at" with "point" ("at this point in")
+#: and for dots between spaces ("@ noon . Then").
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es eu ch nl pl pt se dk fi cz ru cn jp ca au br mx".split())
 
 
@@ -156,6 +160,16 @@ class Rewritten:
         return new
 
 
+def references(r: Rewritten) -> Rewritten:
+    """Character references of printable ASCII signs to these."""
+    edits = []
+    for m in REFERENCE.finditer(r.text) if "&" in r.text else ():
+        code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else 64 if m[3] == "commat" else 46
+        if 32 < code < 127:
+            edits.append((m.start(), m.end(), chr(code)))
+    return r.apply(edits)
+
+
 def characters(r: Rewritten) -> Rewritten:
     """Look-alikes to ASCII and invisible characters away."""
     if ODD.search(r.text) is None:
@@ -228,6 +242,8 @@ def signs(r: Rewritten) -> Rewritten:
         hidden = bracketed or spelled_dot or (sign == "@" and parts[0] != "@") or sign in AT_WORDS.split("|")[1:]
         if sign == "at" and any(p.strip().lower() == "point" for p in parts[1:]) and last.lower() not in TOP_LEVEL:
             continue
+        if any(p.strip() == "." != p for p in parts[1:]) and last.lower() not in TOP_LEVEL:
+            continue
         if not hidden or not (2 <= len(last) <= 24 and last.isalpha()):
             continue
         edits.append((a, b, "@"))
@@ -236,27 +252,39 @@ def signs(r: Rewritten) -> Rewritten:
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and all spans with those that only show after rewriting."""
+    """The base spans, and all spans with those that only show after rewriting. A base span stays
+    beside a wider one of which it is a part; what a base span of its kind covers is not added."""
     base = detect(text)
-    r = signs(digits(characters(Rewritten(text))))
+    r = signs(digits(characters(references(Rewritten(text)))))
     if not r.pieces:
         return base, base
-    added = []
+    added = set()
     for kind, a, b in detect(r.text):
         i = bisect_right(r.starts, b - 1) - 1
         if i < 0 or r.pieces[i][1] <= a:
             continue  # no rewritten character in it
         x, y = r.back(a, False), r.back(b, True)
-        if x < y and not any(k == kind and x < e and s < y for k, s, e in base):
-            added.append((kind, x, y))
+        near = bisect_right(base, (kind, x, len(text))) - 1  # the last of its kind that starts at x or before
+        if x < y and not (near >= 0 and base[near][0] == kind and base[near][2] >= y):
+            added.add((kind, x, y))
     return base, sorted({*base, *added})
 
 
+def batches_by_size(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of the batches with about CHARS_AT_ONCE characters, and their texts."""
+    for batch in batches:
+        texts = batch.column(text).to_pylist()
+        for a, b in slices([x or "" for x in texts]):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
 def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with base_spans and spans: arrays of (kind, start, end) in code points, end exclusive.
 
-    base_spans are plain identifiers, spans also the deobfuscated ones. Null texts count as empty
-    and have none. Repeated rows give repeated results; columns of these names are replaced.
+    base_spans are plain identifiers, spans also the deobfuscated ones, ordered by kind and start (of
+    equal starts the shorter first). Null texts count as empty and have none. Very long texts are
+    scanned whole, once a detector. Repeated rows give repeated results; an empty table stays empty;
+    columns of these names are replaced.
     """
     df = df.drop("base_spans", "spans")
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -265,8 +293,8 @@ def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
     named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [find(x or "") for x in batch.column(text).to_pylist()]
+        for batch, texts in batches_by_size(batches, text):
+            found = [find(x or "") for x in texts]
             columns = [pa.array([named(f[i]) for f in found], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
@@ -275,16 +303,17 @@ def detect_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of personal data in column ``text`` replaced by its kind in angle
-    brackets; a null text stays null."""
+    brackets; of spans that overlap, the union by the kind of the first, the longest of equal starts.
+    A null text stays null, an empty one empty; repeated rows stay repeated, an empty table empty."""
     schema = df.schema
 
     def clean(value: str | None) -> str | None:
         if not value:
             return value
-        spans = sorted((a, b, k) for k, a, b in find(value)[1])
+        spans = sorted(((a, b, k) for k, a, b in find(value)[1]), key=lambda s: (s[0], -s[1], s[2]))
         out, done = [], 0
         for a, b, k in spans:
-            if a < done:  # kinds may overlap: the first replaces both
+            if a < done:
                 done = max(done, b)
                 continue
             out += [value[done:a], f"<{KINDS[k]}>"]
@@ -292,10 +321,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return "".join([*out, value[done:]]) if spans else value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i = batch.schema.get_field_index(text)
+        for batch, texts in batches_by_size(batches, text):
             columns = list(batch.columns)
-            columns[i] = pa.array([clean(x) for x in columns[i].to_pylist()], pa.string())
+            columns[batch.schema.get_field_index(text)] = pa.array([clean(x) for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(run, schema)
