@@ -1,13 +1,14 @@
 """Zstandard WARC archives: writer and reader.
 
 An archive is a leading skippable frame that holds its dictionary, then one frame a record. The
-dictionary is trained from the archive's own first records. The reader loads it, walks the frames
-by their block headers without inflating them twice, decodes one record at a time and validates
+dictionary comes from the archive's own first records. The reader loads it, walks the frames by
+their block headers without inflating them twice, decodes one record at a time and validates
 version, headers, lengths and the payload digest.
 
-Archives are cut by size, so a task holds one at a time. Equal payloads meet only as digests: the
-largest page id of each digest is aggregated before the shuffle and joined back, where Spark
-splits digests that many pages share.
+Archives are cut by size, so a task holds one at a time. They are stored as (path, content) rows of a
+Parquet table in the shared folder and read back from there; ``read_archives`` takes files in the
+same way, as ``binaryFile`` gives them. Equal payloads meet only as digests: the largest page id of
+each repeated digest is aggregated before the shuffle and joined back.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlead.llm.common import if_small, written
+
 #: Fixed values of the formats: magic of the skippable frame with a dictionary, and of a frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: A task closes an archive at this many bytes of records.
@@ -47,14 +50,16 @@ def with_revisits(df: DataFrame, html: str = "html", least_bytes: int = 0) -> Da
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest page_id are
     responses (refers_to is null), others refer to that page_id. A null html counts as empty. A
     null page_id is never the largest: such a row revisits, unless all its equals are null too.
-    Rows that repeat a page_id and its html are responses both.
+    Rows that repeat a page_id and its html are responses both. An empty table stays empty. Columns
+    of these names are replaced, others stay.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     digest = sha1_base32(payload)
     df = df.drop("payload", "payload_digest", "refers_to")
     known = df.filter(F.octet_length(payload) >= least_bytes) if least_bytes else df
     heads = known.groupBy(digest.alias("payload_digest")).agg(F.max("page_id").alias("_head"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    rows = df.withColumn("payload_digest", digest).join(heads, "payload_digest", "left")
+    # only repeated digests come back; few of them are broadcast, and no page is shuffled
+    rows = df.withColumn("payload_digest", digest).join(if_small(written(heads, "warc-heads")), "payload_digest", "left")
     refers = F.when(F.col("_head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_head")), F.col("_head"))
     if least_bytes:
         refers = F.when(F.octet_length(payload) >= least_bytes, refers)
@@ -77,21 +82,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes], level: int = 3) -> bytes:
-    """One archive. With too few records to train a dictionary it has none."""
-    trained = None
+def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained from the first records; where these are too few, too short or too much alike to train
+    one, the start of the first record itself serves as a raw dictionary."""
     if len(records) >= 16:
         try:
-            trained = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:8192] for r in records[:DICTIONARY_RECORDS]])
-        except zstandard.ZstdError:  # records too short or too much alike
-            trained = None
-    compressor = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True)
-    out = []
-    if trained is not None:
-        raw = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
-        out.append(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
-    out += [compressor.compress(r) for r in records]
-    return b"".join(out)
+            return zstandard.train_dictionary(DICTIONARY_BYTES, [r[:8192] for r in records[:DICTIONARY_RECORDS]])
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(records[0][:DICTIONARY_BYTES])
+
+
+def archive(records: list[bytes], level: int = 3) -> bytes:
+    """One archive: the dictionary in its leading skippable frame, then a frame for each record."""
+    loaded = dictionary(records)
+    compressor = zstandard.ZstdCompressor(level=level, dict_data=loaded, write_checksum=True)
+    raw = zstandard.ZstdCompressor(level=level).compress(loaded.as_bytes())
+    return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(raw)), raw, *(compressor.compress(r) for r in records)])
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -166,7 +173,8 @@ def parse(raw: bytes) -> tuple:
 
 
 def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archives (path, content) of the rows of ``with_revisits``: one or more for each task."""
+    """Archives (path, content) of the rows of ``with_revisits``, stored in the shared folder: one or
+    more for each task that has rows. A page longer than ``archive_bytes`` is an archive by itself."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +190,7 @@ def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
         if held:
             yield made()
 
-    return rows.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, schema)
+    return written(rows.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, schema), "warc-archives")
 
 
 def read_archives(archives: DataFrame, content: str = "content", with_payload: bool = False) -> DataFrame:
