@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlead.llm.common import slices
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+\Z""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
@@ -73,7 +75,7 @@ def context(name: str, attributes: str, outer: str) -> str:
 
 
 def parsed(page: str) -> tuple[list[tuple[str, str, int, bool, int, int]], list[str]]:
-    """The page's tokens and its blocks' raw texts.
+    """The page's tokens and its blocks' raw texts, without what stands in boilerplate.
 
     A token is (feature, context, article, is word run, number of words, block); a run of words is
     one token. Outermost article elements are numbered from 1, 0 is outside of them.
@@ -88,7 +90,7 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int, bool, int, int]], list[
     def words(a: int, b: int) -> None:
         if a < b:
             text = entities.unescape(page[a:b])
-            blocks[-1].append(text)
+            blocks[-1].append(text if now in OPEN_CONTEXTS else " ")
             if n := len(text.split()):
                 sizes[-1][0] += n
                 sizes[-1][1] += n * link
@@ -209,7 +211,8 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", weight: dic
 
     Weights are learned from the same pages unless given. Null and empty pages, and pages without
     a region of positive score, give an empty text. A page that is cut off counts as far as it
-    goes. Very long pages are scanned once. Columns of these names are replaced.
+    goes. Very long pages are scanned once. Repeated rows give repeated results; an empty table stays
+    empty. Columns of these names are replaced.
     """
     weight = weight or weights(counts(pages, html))
     rest = [c for c in pages.columns if c not in (html, out, "n_chars")]
@@ -217,7 +220,10 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", weight: dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, weight) for x in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
+            pages_of = [x or "" for x in batch.column(len(rest)).to_pylist()]
+            for a, b in slices(pages_of):
+                texts = [main_text(x, weight) for x in pages_of[a:b]]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
     return pages.select(*rest, html).mapInArrow(run, schema)

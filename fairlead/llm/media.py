@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fairlead.llm.common import slices
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: A payload is padded to a multiple of this, one row of an image.
 WIDTH = 576
@@ -138,20 +140,24 @@ def to_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFra
 
     The text's UTF-8 bytes, followed by bytes 255 up to a positive multiple of WIDTH, are the
     samples of an image WIDTH wide. Null and empty texts are one row of 255s. Long texts give high
-    images. Columns of these names are replaced.
+    images. Repeated rows give equal images; an empty table stays empty. Columns of these names are
+    replaced.
     """
     rest = [c for c in df.columns if c not in (text, media, "n_bytes")]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, images = [], []
-            for value in batch.column(len(rest)).to_pylist():
-                raw = (value or "").encode()
-                size = max(1, -(-len(raw) // WIDTH)) * WIDTH
-                lengths.append(len(raw))
-                images.append(png(np.frombuffer(raw.ljust(size, b"\xff"), np.uint8).reshape(-1, WIDTH)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(lengths, pa.int64()), pa.array(images, pa.binary())], names=schema.names)
+            texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
+            for a, b in slices(texts):
+                lengths, images = [], []
+                for value in texts[a:b]:
+                    raw = value.encode()
+                    size = max(1, -(-len(raw) // WIDTH)) * WIDTH
+                    lengths.append(len(raw))
+                    images.append(png(np.frombuffer(raw.ljust(size, b"\xff"), np.uint8).reshape(-1, WIDTH)))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(lengths, pa.int64()), pa.array(images, pa.binary())], names=schema.names)
 
     return df.select(*rest, text).mapInArrow(run, schema)
 
@@ -160,7 +166,8 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` without the media column, with what its images hold: payload_bytes, payload_sha256,
     tail_crc32 (the last 32 samples), media_bytes, media_sha256 and feature (the cosine hash).
 
-    Of a null or damaged image only media_bytes and media_sha256 are known (null: neither).
+    Of a null or damaged image only media_bytes and media_sha256 are known (null: neither). Repeated
+    rows give equal results; an empty table stays empty; columns of these names are replaced.
     """
     own = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     rest = [c for c in df.columns if c != media and c not in dict(own)]

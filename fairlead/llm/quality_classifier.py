@@ -158,15 +158,18 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def sampled(df: DataFrame, ids: DataFrame, text: str, doc_id: str, sample: int) -> np.ndarray:
-    """Features of at most about ``sample`` documents: those whose id has the smallest hashes."""
+    """Features of at most ``sample`` rows: those whose id has the smallest hashes, of rows with the
+    same id those with the smallest hashes of their text."""
     chosen = ids.select(doc_id).filter(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
-    schema = T.StructType([T.StructField("x", T.BinaryType())])
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x).astype(np.float16).tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["x"])
+            x = [features(t).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary())], names=schema.names)
 
-    rows = df.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(text).mapInArrow(run, schema).toArrow().column("x")
+    rows = df.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.xxhash64(doc_id).alias("at"), F.xxhash64(text).alias("hash"), text)
+    rows = rows.mapInArrow(run, schema).orderBy("at", "hash").limit(sample).toArrow().column("x")
     found = sorted(x.as_py() for x in rows)  # the order of rows must not matter
     return np.frombuffer(b"".join(found), np.float16).reshape(len(found), FEATURES).astype(np.float32)
 
@@ -185,8 +188,9 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def classify(df: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``df`` with score (0 to 1, higher: good likelier) and predicted (1 from ``threshold`` on).
 
-    Null and empty texts are scored as texts without words. Without a model every score is 0.5.
-    Repeated rows get equal scores; columns of these names are replaced.
+    Null and empty texts are scored as texts without words, very long ones whole. Without a model
+    every score is 0.5. Repeated rows get equal scores; an empty table stays empty; columns of these
+    names are replaced.
     """
     df = df.drop("score", "predicted")
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
