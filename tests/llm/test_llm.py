@@ -131,9 +131,30 @@ def test_op3(spark, small, docs, hf):
     assert padding < 0.01 * tokens
 
 
+def test_steps_are_balanced_over_the_table(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet").repartition(4, "doc_id")
+    rows = packing.pack(df, PATH, step_tokens=8192).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["tier"], r["step_group"], r["sequence_id"]] += r["length"]
+    assert len({s >> packing.TASK_BITS for _, _, s in sizes}) == 4
+    for tier in packing.TIERS:
+        steps = collections.Counter(g for t, g, _ in sizes if t == tier)
+        last = max(steps, default=0)
+        assert sorted(steps) == list(range(last + 1)) and all(n == 8192 // tier for g, n in steps.items() if g < last)
+    assert all(n == t for (t, _, _), n in sizes.items())
+    short = collections.Counter(s >> packing.TASK_BITS for t, _, s in sizes if t not in packing.TIERS)
+    assert all(n <= 8 for n in short.values())
+    few = packing.pack(df.coalesce(1), PATH, pool_tokens=3000).collect()  # many pools carry their rest over
+    assert len({r["sequence_id"] for r in few if r["tier"] not in packing.TIERS}) <= 8
+    check = lambda rows: sorted((r["doc_id"], r["start"] + r["length"]) for r in rows if r["start"] + r["length"] == r["doc_tokens"])
+    assert check(few) == check(rows)
+
+
 def test_packing_edges(spark, hf):
     want = {i: [*hf.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(EDGES)}
     check_packing(packing.pack(frame(spark, EDGES), PATH, pool_tokens=500).collect(), want)
+    check_packing(packing.pack(frame(spark, EDGES).coalesce(1), PATH, pool_tokens=30).collect(), want)
     assert packing.pack(frame(spark, []), PATH).isEmpty()
 
 
@@ -196,8 +217,67 @@ def test_mixed_and_defanged_forms(text, hidden, kind):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, hidden)]
 
 
+@pytest.mark.parametrize(
+    "text, hidden, spans",
+    [
+        ("write jοe@example.com now", "jοe@example.com", ["jοe@example.com", "e@example.com"]),
+        ("write a.b@mail.ex\u00adample.com", "a.b@mail.ex\u00adample.com", ["a.b@mail.ex\u00adample.com", "a.b@mail.ex"]),
+        ("mail joe@mail.com and jοe@mail.com", "jοe@mail.com", ["joe@mail.com", "jοe@mail.com", "e@mail.com"]),
+    ],
+)
+def test_wider_spans_stand_beside_base_spans(spark, text, hidden, spans):
+    base, found = pii.find(text)
+    assert {text[a:b] for _, a, b in found} == set(spans) and set(base) <= set(found)
+    clean = pii.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
+    assert hidden not in clean and all(part not in clean for part in ("jο", "ample"))
+
+
+def disguises(rng):
+    """A sentence with one disguised identifier, the place of that and its kind, by disguise."""
+    name = "".join(rng.choice("abcdefghkmnprstuvw") for _ in range(rng.randint(3, 9)))
+    host, top = "".join(rng.choice("bcdfgklmnprst") for _ in range(rng.randint(3, 9))), rng.choice(["com", "org", "net", "de", "fr", "es"])
+    octets = [rng.randint(0, 255) for _ in range(4)]
+    number = "".join(str(rng.randint(0, 9)) for _ in range(10))
+    card = "".join(str(rng.randint(0, 9)) for _ in range(15))
+    card += next(c for c in "0123456789" if pii.luhn(card + c))
+    spell = lambda x, words: " ".join(words[int(c)] for c in x)
+    english, german = "zero one two three four five six seven eight nine".split(), "null eins zwei drei vier fünf sechs sieben acht neun".split()
+    alike = {v: k for k, v in pii.LOOK_ALIKES.items() if v.isalpha()}
+    yield "brackets", f"{name} [at] {host} [dot] {top}", "email"
+    yield "round", f"{name}(at){host}(dot){top}", "email"
+    yield "words", f"{name} at {host} dot {top}", "email"
+    yield "spaces", f"{name} @ {host} . {top}", "email"
+    yield "references", f"{name}&#64;{host}&#x2e;{top}", "email"
+    yield "named references", f"{name}&commat;{host}&period;{top}", "email"
+    yield "look-alikes", "".join(alike.get(c, c) for c in name) + f"@{host}.{top}", "email"
+    yield "wide", f"{name}＠{host}．{top}", "email"
+    yield "invisible", f"{name[:2]}\u200b{name[2:]}@{host}.{top}", "email"
+    yield "other words", f"{name} arroba {host} punto {top}", "email"
+    yield "spelled ip", " dot ".join(spell(str(o), english) for o in octets), "ip"
+    yield "dotted ip", " dot ".join(map(str, octets)), "ip"
+    yield "defanged ip", "[.]".join(map(str, octets)), "ip"
+    yield "spelled phone", f"plus {spell(number, english)}", "phone"
+    yield "german phone", f"plus {spell(number, german)}", "phone"
+    yield "wide phone", "+" + number.translate({48 + d: 0xFF10 + d for d in range(10)}), "phone"
+    yield "spelled card", spell(card, english), "card"
+    yield "invisible card", "\u200b".join(card[i : i + 4] for i in range(0, 16, 4)), "card"
+
+
+def test_recall_by_disguise():
+    rng = random.Random(21)
+    seen, caught = collections.Counter(), collections.Counter()
+    for _ in range(300):
+        for kind_of, hidden, kind in disguises(rng):
+            before = rng.choice(["", "Please write to ", "Sie ist: ", "see, "])
+            text = before + hidden + rng.choice(["", ", thanks", " now", "\nand more"])
+            seen[kind_of] += 1
+            caught[kind_of] += any(pii.KINDS[k] == kind and a == len(before) and b == len(before) + len(hidden) for k, a, b in pii.find(text)[1])
+    assert len(seen) == 18
+    assert {k: caught[k] / seen[k] for k in seen if caught[k] < 0.95 * seen[k]} == {}
+
+
 def test_numbers_in_prose_are_no_identifiers():
-    for text in ("at this point in time", "see 1.2.3. One more", "from 2 to 4, one of 10 (or 12) dots", "we had one, two or 3 of 1000 dot", "arrive at some point then", "rows 12 13 14 plus 15 of [1] and 2 [.] 3"):
+    for text in ("at this point in time", "see 1.2.3. One more", "from 2 to 4, one of 10 (or 12) dots", "we had one, two or 3 of 1000 dot", "arrive at some point then", "rows 12 13 14 plus 15 of [1] and 2 [.] 3", "meet @ noon . Then we go", "AT&T &#8364; 5 &amp; &#10;"):
         assert pii.find(text) == ([], [])
 
 
@@ -347,6 +427,22 @@ def test_html_marks_only_label(spark):
             assert got[d] == f"Title {i}\n{words(i, 40)}\n{words(i + 1, 3)}", (size, d)
 
 
+def test_the_region_decides(spark, small, monkeypatch):
+    pages = [re.sub(r"</?(?:article|main)\b[^>]*>", "", r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    weight = html_extract.weights(html_extract.counts(spark.read.parquet(f"{small}/pages.parquet")))
+    loose = [p.replace("<body>", "<body><div><a href='/terms'>Terms and rules of this site, in short</a></div>", 1) for p in pages if "<body>" in p]
+    assert loose
+    scanned = [html_extract.main_text(p, weight) for p in loose]
+    monkeypatch.setattr(html_extract, "best_region", lambda scores: (0, len(scores)))
+    assert sum(a == html_extract.main_text(p, weight) for a, p in zip(scanned, loose)) < 0.05 * len(loose)
+    assert not any(x.startswith("Terms and rules") for x in scanned)
+
+
+def test_an_advert_within_a_paragraph_is_left_out():
+    page = "<article><h1>Title</h1><p>" + "words of it " * 20 + '<span class="ad">Buy this now</span> and more words of it.</p></article>'
+    assert "Buy" not in html_extract.main_text(page, html_extract.weights({})) and "and more words" in html_extract.main_text(page, html_extract.weights({}))
+
+
 def test_html_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "<article><p>words of it</article>", "x")], "page_id long, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html_extract.extract(df).orderBy("page_id").collect()] == [("", 0), ("", 0), ("words of it", 11)]
@@ -413,6 +509,20 @@ def test_warc_edges(spark):
     assert [bytes(r["payload"]).decode() for r in found if r["page_id"] == 5] == ["é" * 20000]
 
 
+def test_short_archives_have_a_dictionary_too():
+    for made in ([b"WARC/1.1\r\n" + b"x" * 50], [b"record one of few", b"record two of few"], [bytes(20)] * 40):
+        data = warc.archive(made)
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC and list(warc.records(data)) == made
+
+
+def test_archives_are_stored(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html")
+    stored = warc.write_archives(warc.with_revisits(pages.withColumn("payload", F.lit("clash"))))
+    again = spark.read.parquet(stored.written_to)
+    assert again.columns == ["path", "content"] and warc.read_archives(again).count() == pages.count()
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)))).isEmpty()
+
+
 def test_warc_dictionary_and_damage():
     made = [warc.record(i, "u", (f"<html>page {i} " + "words and more words " * 40).encode(), base64.b32encode(hashlib.sha1((f"<html>page {i} " + "words and more words " * 40).encode()).digest()).decode(), None) for i in range(300)]
     data = warc.archive(made)
@@ -533,6 +643,32 @@ def test_lm_edges(spark):
     assert lm_score.score(frame(spark, ["a b"]).withColumn("doc_id", F.lit(None).cast("long"))).first()["train_tokens"] == 0
 
 
+def test_near_copies_keeps_one_of_each_group(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, a + " x"), (None, b), (None, "c d e f g h"), (4, None), (4, None), (5, ""), (1, a)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.near_copies(spark, df, small)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == [(0, "c d e f g h"), (1, a), (2, b), (4, ""), (5, "")]
+    assert pipeline.near_copies(spark, df.limit(0), small).isEmpty()
+
+
+def test_hot_groups_of_copies(spark):
+    random.seed(13)
+    words = [f"w{i}" for i in range(5000)]
+    base = [random.choice(words) for _ in range(120)]
+    texts = {}
+    for k in range(1300):  # more than a cell; few are similar to each other, nearly all to the original
+        copy = list(base)
+        for _ in range(k % 4):
+            copy[random.randrange(120)] = random.choice(words)
+        texts[k] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(df).collect()}
+    assert got == brute_components(texts, 3, 90)
+
+
 def test_pipeline_stages(spark, small, docs, hf):
     pipeline = pytest.importorskip("corpus_pipeline")
     from fairlead.llm.common import written
