@@ -33,15 +33,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similar five-word shingles (Jaccard 0.8): the one with
     the smallest doc_id (null last), then text hash; of equal rows one. A document that shares its
     doc_id with a copy, but not its text, stays. Documents without words are no copies."""
-    same = ["doc_id", "key"]
-    found = jaccard_join.similar(docs, size=5, percent=80).groupBy("component", *same).agg(F.count("*").alias("n"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("kept"))
-    told = found.join(kept, "component", "left").withColumn("copy", F.col("kept").isNotNull() & (F.col("kept") != order))
+    found = jaccard_join.similar(docs, size=5, percent=80)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    told = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.any_value(F.col("component").isNotNull() & ~first).alias("copy"))
     told = written(told.filter("copy OR n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "copy"), "near-copies")
     rows = docs.join(if_small(told), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     single = rows.filter("copy IS NULL").select(docs.columns)
-    return single.union(rows.filter("NOT copy").select(docs.columns).dropDuplicates(same[:1] + ["text"]))
+    return single.union(rows.filter("NOT copy").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

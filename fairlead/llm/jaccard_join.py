@@ -188,14 +188,21 @@ def classes_of(full: DataFrame) -> DataFrame:
     return found.select("node", "group", "n", F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
 
 
-def hits_of(groups: DataFrame) -> DataFrame:
+def hits_of(rows: DataFrame) -> DataFrame:
     """(token, group, n, place, rank) for the prefix shingles that several groups share. rank: how
-    many shared places the group's shingles have in all; the original of many copies has most."""
-    tokens = groups.select("group", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
-    hits = written(tokens.join(shared, "token"), "jaccard-hits")
+    many documents have the group's shingles in all; the original of many copies has most. Groups
+    are told apart by their hash alone, so that no prefix is shuffled to find them."""
+    tokens = rows.select("group", "n_shingles", F.posexplode("prefix").alias("place", "token"))
+    tokens = tokens.select("token", "group", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("place")).alias("at"))  # a narrow row
+    counts = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
+    shared = written(counts.filter("low < high").select("token", "m"), "jaccard-shared")
+    hits = written(tokens.join(shared, "token").groupBy("token", "group").agg(F.max("at").alias("at"), F.max("m").alias("m")), "jaccard-hits")
+    discard(shared)
     ranks = hits.groupBy("group").agg(F.sum("m").alias("rank"))
-    return hits.drop("m").join(ranks, "group")
+    places = [F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place")]
+    found = written(hits.select("token", "group", *places).join(ranks, "group"), "jaccard-ranked")
+    discard(hits)
+    return found
 
 
 def fitting(n: Column, m: Column, percent: int) -> Column:
@@ -336,7 +343,7 @@ def open_meets(hits: DataFrame, places: DataFrame, labels: DataFrame, percent: i
     """
     now = written(places.join(labels, "node", "left").select("node", "group", "n", "cell", "id", "key", F.coalesce("label", "node").alias("label")), "jaccard-open")
     spanned = hits.select("token", "group", "place").join(now.select("node", "group", "n", "cell", "label"), "group").drop("group")
-    grouped = now.select(F.xxhash64("group", F.lit("group")).alias("token"), F.lit(0).alias("place"), "node", "n", "cell", "label")
+    grouped = now.select(F.xxhash64("group", F.lit("group")).alias("token"), F.lit(0).cast("long").alias("place"), "node", "n", "cell", "label")
     spanned = spanned.unionByName(grouped)
     several = spanned.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
     left = written(spanned.join(several, "token"), "jaccard-open-hits")
@@ -378,7 +385,7 @@ def open_links(meets: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 3, percent: int = 90) -> DataFrame:
     """One row for each row of ``df``: doc_id, key (xxhash64 of its text), n_shingles (size of its
     shingle set), node (its class: equal for equal sets), component (the smallest class reachable by
-    links) and component_id, the smallest doc_id there.
+    links), component_id (the smallest doc_id there) and component_key (of its texts the smallest key).
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their sets of word
     ``size``-shingles. Null and empty texts, and texts without words, have an empty set, null node
@@ -394,7 +401,7 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     full = rows.filter("node IS NOT NULL")
     labels = links = None
     classes = written(classes_of(full), "jaccard-classes")
-    hits = written(hits_of(full.groupBy("group").agg(F.any_value("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))), "jaccard-ranked")
+    hits = hits_of(full)
     star = written(stars(hits, percent), "jaccard-stars")
     places = written(placed(classes, hits, star), "jaccard-places")
     leads = places.filter("node = lead").select(F.col("group").alias("head"), F.col("lead").alias("a"))
@@ -408,10 +415,11 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
             labels = components(links.union(more), "jaccard-components")
     if labels is None:
         labels = classes.select("node", F.lit(None).cast("long").alias("label")).limit(0)
-    known = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    firsts = known.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_node = known.join(firsts, "label").select("node", F.col("label").alias("component"), "component_id")
-    columns = ["doc_id", "key", "n_shingles", "node", "component", "component_id"]
-    joined = full.select("doc_id", "key", "n_shingles", "node").join(of_node, "node").select(columns)
-    alone = rows.filter("node IS NULL").select("doc_id", "key", "n_shingles", "node", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    known = classes.select("node", "id", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = known.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    ends = [F.col("label").alias("component"), F.col("first.id").alias("component_id"), F.col("first.key").alias("component_key")]
+    of_node = known.select("node", "label").join(firsts, "label").select("node", *ends)
+    own = ["doc_id", "key", "n_shingles", "node"]
+    joined = full.select(own).join(of_node, "node").select(*own, "component", "component_id", "component_key")
+    alone = rows.filter("node IS NULL").select(*own, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.col("key").alias("component_key"))
     return joined.unionByName(alone)

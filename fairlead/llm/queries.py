@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, html_extract, jaccard_join, lm_score, media, packing, pii, quality_classifier, quality_rules, warc
+from fairlead.llm import bpe, html_extract, jaccard_join, lm_score, media, packing, pii, quality_classifier, quality_rules, sql, warc
 from fairlead.llm.common import table
 
 #: Arrow batches of the queries over whole texts: long documents come in small batches.
@@ -77,10 +77,32 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir, "doc_id", "text", "lang"), group="lang")
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can say: all but the verdict."""
+    return op2_quality_rules(spark, sf_dir).drop("kept", "quality_probability")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4 SQL can say: how many base identifiers of each kind."""
+    return op4_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
+
+
+def media_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8 SQL can say: the payload that comes back from the images."""
+    return op8_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 SQL can say: the base scores."""
+    rows = op10_lm_score(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 2).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op5_quality_classifier, op6_jaccard_join, op7_html_extract, op8_media, op9_warc, op10_lm_score]
+    own += [rules_base, pii_counts, media_payload, lm_base]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)

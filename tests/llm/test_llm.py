@@ -691,3 +691,17 @@ def test_pipeline_stages(spark, small, docs, hf):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     clean = [d for d in kept["start"] if labels.get(d) == 1 and 100 * measures(kept["start"][d])[4] <= 20 * measures(kept["start"][d])[0] and measures(kept["start"][d])[0] >= 10]
     assert sum(d in kept["quality classifier"] for d in clean) >= 0.97 * len(clean)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, small, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, small)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(want.select(*columns).fetchall(), key=key)
