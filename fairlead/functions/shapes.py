@@ -28,7 +28,3 @@ def segment_distance(lat: Column, lon: Column, e: Column) -> Column:
     t = F.when(square == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - ax) * dx + (lat - ay) * dy) / F.when(square == 0, F.lit(1.0)).otherwise(square))))
     return F.hypot(lon - (ax + t * dx), lat - (ay + t * dy))
 
-
-def polygon_distance(lat: Column, lon: Column, sides: Column) -> Column:
-    """Distance to the border, 0 inside."""
-    return F.when(point_in_polygon(lat, lon, sides), F.lit(0.0)).otherwise(F.array_min(F.transform(sides, lambda e: segment_distance(lat, lon, e))))

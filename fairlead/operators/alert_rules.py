@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +43,27 @@ def evaluate(risk: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def with_cooldown(alerts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Alerts that fire: the first of a vessel and type, then each that is cooldown ticks or more
-    after the last that fired. A fold over the ticks in order; a vessel's alerts of one type must
-    fit a task. Repeated alerts of one tick fire once."""
-    last = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("fired"))
-
-    def step(acc: Column, tick: Column) -> Column:
-        due = acc["last"].isNull() | (tick - acc["last"] >= cfg.cooldown_ticks)
-        return F.struct(F.when(due, tick).otherwise(acc["last"]).alias("last"), F.when(due, F.array_append(acc["fired"], tick)).otherwise(acc["fired"]).alias("fired"))
+    after the last that fired. Repeated alerts of one tick fire once.
 
-    ticks = F.array_sort(F.collect_set(F.col("tick").cast("long")))
-    fired = alerts.groupBy("vessel_id", "alert_type").agg(F.aggregate(ticks, last, step, lambda a: a["fired"]).alias("_fired"))
-    kept = fired.select("vessel_id", "alert_type", F.explode("_fired").alias("tick"))
+    Each vessel and type passes by in order of ticks and only its last tick is kept in mind, so
+    memory and time are linear however many alerts a vessel has.
+    """
     once = alerts.withColumn("tick", F.col("tick").cast("long")).dropDuplicates(["vessel_id", "alert_type", "tick"])
-    return once.join(kept, ["vessel_id", "alert_type", "tick"], "left_semi")
+    ordered = once.repartition("vessel_id", "alert_type").sortWithinPartitions("vessel_id", "alert_type", "tick")
+    names, wait = once.columns, cfg.cooldown_ticks
+    at = [names.index(n) for n in ("vessel_id", "alert_type", "tick")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            fired = []
+            for i, (vessel, kind, tick) in enumerate(zip(*(batch.column(k).to_pylist() for k in at))):
+                if key != (vessel, kind) or tick - last >= wait:
+                    key, last = (vessel, kind), tick
+                    fired.append(i)
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    return ordered.mapInArrow(scan, once.schema)
 
 
 def order() -> list[Column]:

@@ -14,15 +14,16 @@ METRICS = {
     "distance_travelled_km": 3, "avg_speed": 2, "max_speed": 2, "speed_std": 3, "speed_change_rate": 4, "mean_heading_change": 2, "max_heading_change": 2, "heading_change_std": 3,
     "turning_rate": 4, "stationary_ratio": 4, "loitering_score": 4, "max_ais_gap_minutes": 2, "mean_ais_gap_minutes": 2, "trajectory_duration_minutes": 2,
 }
+COLUMNS = [*METRICS, "significant_gap_count", "position_count", "behavior_labels", "behavior_summary"]
 
 
-def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Unrounded metrics of every vessel in one aggregate over its steps. Missing speeds, headings
-    or times leave their metrics at 0."""
+def metric_sums(cfg: Config = DEFAULT) -> list[Column]:
+    """What ``metrics_of`` needs of a vessel's steps. Missing speeds, headings or times leave their
+    metrics at 0."""
     gap = F.when(F.col("gap_minutes") >= 0, F.col("gap_minutes"))
     turn = F.abs("heading_change")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    sums = steps(df).groupBy("vessel_id").agg(
+    return [
         zero(F.sum("km")).alias("distance_travelled_km"),
         zero(F.avg("speed")).alias("avg_speed"),
         zero(F.max("speed")).alias("max_speed"),
@@ -38,7 +39,11 @@ def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         zero(F.sum(gap)).alias("trajectory_duration_minutes"),
         F.count("*").alias("position_count"),
         zero(haversine_km(F.min("latitude"), F.min("longitude"), F.max("latitude"), F.max("longitude"))).alias("_diagonal"),
-    )
+    ]
+
+
+def metrics_of(sums: DataFrame) -> DataFrame:
+    """Unrounded metrics from ``metric_sums``; other columns go along."""
     mean_gap = F.col("mean_ais_gap_minutes")
     contained = 1 - F.least(F.col("_diagonal") / (F.col("distance_travelled_km") + 1e-6), F.lit(1.0))
     still = 0.4 * F.col("stationary_ratio")
@@ -50,6 +55,11 @@ def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     ).drop("_diagonal")
 
 
+def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Unrounded metrics of every vessel in one aggregate over its steps."""
+    return metrics_of(steps(df).groupBy("vessel_id").agg(*metric_sums(cfg)))
+
+
 def labels(cfg: Config) -> tuple[Column, Column]:
     """The labels of unrounded metrics and their summary in words."""
     minutes = F.floor("max_ais_gap_minutes").cast("long")
@@ -72,12 +82,15 @@ def labels(cfg: Config) -> tuple[Column, Column]:
     return named, said
 
 
+def analysed(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Rows of ``metrics_of`` with their metrics rounded, behavior_labels and behavior_summary."""
+    named, said = labels(cfg)
+    return rows.withColumns({"behavior_labels": named, "behavior_summary": said}).withColumns({n: F.round(n, d) for n, d in METRICS.items()})
+
+
 def analyse(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """A row for each vessel: its rounded metrics, behavior_labels and behavior_summary."""
-    named, said = labels(cfg)
-    rows = metrics(df, cfg).withColumns({"behavior_labels": named, "behavior_summary": said})
-    rounded = [F.round(n, d).alias(n) for n, d in METRICS.items()]
-    return rows.select("vessel_id", *rounded, "significant_gap_count", "position_count", "behavior_labels", "behavior_summary")
+    return analysed(metrics(df, cfg), cfg).select("vessel_id", *COLUMNS)
 
 
 def feature_row(behaviour: DataFrame) -> DataFrame:

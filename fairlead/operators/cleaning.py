@@ -42,9 +42,10 @@ def judged(df: DataFrame) -> DataFrame:
         .when(~(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)), "invalid_coordinate")
         .when(F.col("speed") < 0, "invalid_speed")
     )
-    nth = F.row_number().over(Window.partitionBy("_reason", *KEY).orderBy("seq"))
-    rows = typed.withColumn("_reason", reason)
-    return rows.withColumn("reject_reason", F.coalesce("_reason", F.when(nth > 1, "duplicate"))).drop("_reason")
+    # rejected rows are dealt out by their number: rows without id, time and place are no hot key
+    nth = F.row_number().over(Window.partitionBy("_reason", "_apart", *KEY).orderBy("seq"))
+    rows = typed.withColumn("_reason", reason).withColumn("_apart", F.when(F.col("_reason").isNotNull(), F.col("seq")))
+    return rows.withColumn("reject_reason", F.coalesce("_reason", F.when(nth > 1, "duplicate"))).drop("_reason", "_apart")
 
 
 def clean(rows: DataFrame, fill_defaults: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fairlead.config import DEFAULT, Config
 from fairlead.functions.shapes import edges, point_in_polygon, segment_distance
 
-#: Up to so many zones are compared with every position; more go by grid.
-FEW_ZONES = 64
+#: Up to so many sides of all zones are written out as plain expressions.
+FEW_SIDES = 96
 
 
 def verdict(best: Column, cfg: Config) -> dict[str, Column]:
@@ -35,18 +35,47 @@ def candidate(lat: Column, lon: Column, zone) -> Column:
     return F.struct((~inside).alias("outside"), dist.alias("dist"), zone("zone_ord").alias("zone_ord"), inside.alias("inside"), zone("name").alias("name"))
 
 
+def written_out(lat: Column, lon: Column, order: int, name: str, ring: list[tuple[float, float]]) -> Column:
+    """``candidate`` of one known zone as plain arithmetic; whether it contains the position is only
+    asked within its box."""
+    crossed, dists = F.lit(0), []
+    for (la, oa), (lb, ob) in zip([ring[-1], *ring[:-1]], ring):
+        dy, dx = lb - la, ob - oa
+        if (square := dx * dx + dy * dy) == 0:
+            dists.append(F.hypot(lon - oa, lat - la))
+            continue
+        # the place along the side that is nearest
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - oa) * dx + (lat - la) * dy) / square))
+        dists.append(F.hypot(lon - (oa + t * dx), lat - (la + t * dy)))
+        if dx:
+            crossed = crossed + F.when((F.lit(ob) > lon) != (F.lit(oa) > lon), (lat < (la - lb) * (lon - ob) / (oa - ob + 1e-12) + lb).cast("int")).otherwise(0)
+    lats, lons = zip(*ring)
+    inside = F.when(lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons)), crossed % 2 == 1).otherwise(False)
+    dist = F.when(inside, F.lit(0.0)).otherwise(F.least(*dists) if len(dists) > 1 else dists[0])
+    return F.struct((~inside).alias("outside"), dist.alias("dist"), F.lit(order).alias("zone_ord"), inside.alias("inside"), F.lit(name).alias("name"))
+
+
 def check_zones(df: DataFrame, zones: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """``df`` (latitude, longitude) with inside, zone_name, near, nearest_zone, min_dist_deg and
-    zone_status.
+    zone_status. No zones, or no place: open waters, distance null.
 
-    The zones are one array, a scalar subquery; they are few, FEW_ZONES at most (see
-    ``check_zones_by_grid`` for many). No zones, or no place: open waters, distance null.
+    Every position is compared with every zone. Zones of up to FEW_SIDES sides in all are known when
+    the plan is made and become plain expressions; more are one array, a scalar subquery. For
+    hundreds of zones see ``check_zones_by_grid``.
     """
-    array = zones.agg(F.array_sort(F.collect_list(F.struct("zone_ord", "name", edges(F.col("ring")).alias("sides")))).alias("_zones")).scalar()
     lat, lon = F.col("latitude"), F.col("longitude")
+    known = lat.isNotNull() & lon.isNotNull()
+    head = zones.select("zone_ord", "name", "ring").limit(FEW_SIDES // 3 + 1).collect()  # more can't have few sides
+    if sum(len(z["ring"]) for z in head) <= FEW_SIDES and all(z["ring"] for z in head):
+        each = [written_out(lat, lon, z["zone_ord"], z["name"], [(p["lat"], p["lon"]) for p in z["ring"]]) for z in head]
+        if not each:
+            none = F.lit(None).cast("struct<outside: boolean, dist: double, zone_ord: int, inside: boolean, name: string>")
+            return df.withColumns(verdict(none, cfg))
+        rows = df.withColumn("_best", F.when(known, F.array_min(F.array(*each))))
+        return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_best")
+    array = zones.agg(F.array_sort(F.collect_list(F.struct("zone_ord", "name", edges(F.col("ring")).alias("sides")))).alias("_zones")).scalar()
     each = F.transform("_zones", lambda z: candidate(lat, lon, lambda n: z[n]))
-    best = F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(each))
-    rows = df.withColumn("_zones", array).withColumn("_best", best)
+    rows = df.withColumn("_zones", array).withColumn("_best", F.when(known, F.array_min(each)))
     return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_zones", "_best")
 
 

@@ -1,8 +1,9 @@
 """Isolation forest: fit, score, load or train.
 
-Trees are built from bounded samples, each in a group of its own, so fitting moves trees * tree_rows
-rows whatever the size of the matrix. A forest is a table of nodes; scoring carries it to every task
-(its size is bounded by trees and tree_rows) and walks all trees for a batch of rows at once.
+Trees are built from bounded samples, each in a group of its own; rows draw their trees by hash, so
+fitting makes and moves about 2.5 * trees * tree_rows rows whatever the size of the matrix. A forest is
+a table of nodes; scoring carries it to every task as arrays (their size is bounded by trees and
+tree_rows) and walks all trees at once, level by level.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
+from fairlead.sources.tables import written
 
 VERSION = 1
 EULER = 0.5772156649015329
@@ -56,15 +59,22 @@ def build_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 
 
 def fit(matrix: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT) -> DataFrame:
-    """The forest's NODES. Each tree takes the tree_rows rows with the smallest hash of (key,
-    tree): rows pass a hash test first that keeps about twice as many, so no tree sees them all."""
+    """The forest's NODES. Each tree takes, of the rows that drew it, the tree_rows with the smallest
+    hash of (key, tree). A row draws as many trees as 2.5 * tree_rows rows a tree come to; in a small
+    matrix every row draws all."""
     n = matrix.count()
-    share = min(1.0, 2.5 * cfg.tree_rows / max(1, n))
-    trees = F.sequence(F.lit(0), F.lit(cfg.trees - 1))
-    rank = F.xxhash64(F.col(key), F.col("tree"), F.lit(cfg.seed))
+    draws = min(1.0, 2.5 * cfg.tree_rows / max(1, n)) * cfg.trees
     values = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
-    drawn = matrix.select(key, values.alias("x")).withColumn("tree", F.explode(trees)).withColumn("rank", rank)
-    drawn = drawn.filter(F.pmod(F.col("rank"), F.lit(1_000_003)) < F.lit(math.ceil(share * 1_000_003))) if share < 1 else drawn
+    hashed = lambda *salt: F.pmod(F.xxhash64(F.col(key), *(F.lit(x) for x in salt)), F.lit(1_000_003))
+    if draws == cfg.trees:
+        trees = F.sequence(F.lit(0), F.lit(cfg.trees - 1))
+    else:
+        # the whole draws, and one more in the share of rows that the rest comes to
+        many = int(draws) + (hashed(cfg.seed, "more") < math.ceil((draws - int(draws)) * 1_000_003)).cast("int")
+        drawn = F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(cfg.seed)), F.lit(cfg.trees)).cast("int"))
+        trees = F.when(many > 0, F.array_distinct(drawn))
+    rank = F.xxhash64(F.col(key), F.col("tree"), F.lit(cfg.seed))
+    drawn = matrix.select(key, values.alias("x"), trees.alias("_trees")).filter("_trees IS NOT NULL").select(key, "x", F.explode("_trees").alias("tree")).withColumn("rank", rank)
     rows, seed = cfg.tree_rows, cfg.seed
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
@@ -77,30 +87,54 @@ def fit(matrix: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Conf
     return drawn.select(key, "x", "tree", "rank").groupBy("tree").applyInPandas(grow, NODES)
 
 
-def raw_scores(nodes: pd.DataFrame, x: np.ndarray, tree_rows: int) -> np.ndarray:
+@dataclass
+class Forest:
+    """The nodes as arrays (tree x node); a leaf leads to itself, ``length`` is its path."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    length: np.ndarray
+    depth: int
+    most: int  # rows of the largest tree
+
+
+def arrays(nodes: pd.DataFrame) -> Forest:
+    nodes = nodes.assign(tree=nodes["tree"].rank(method="dense").astype(int) - 1)
+    shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1) if len(nodes) else (0, 1)
+    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
+    leaf = nodes["feature"].to_numpy() < 0
+
+    def table(values: np.ndarray, kind: type) -> np.ndarray:
+        out = np.zeros(shape, kind)
+        out[at] = values
+        return out
+
+    own = nodes["node"].to_numpy()
+    left, right = (np.where(leaf, own, nodes[c].to_numpy()) for c in ("left", "right"))
+    length = nodes["depth"].to_numpy() + average_path(nodes["size"].to_numpy())
+    most = int(nodes.loc[nodes["depth"] == 0, "size"].max()) if len(nodes) else 2
+    return Forest(table(np.maximum(nodes["feature"].to_numpy(), 0), int), table(nodes["threshold"].to_numpy(), float), table(left, int), table(right, int), table(length, float), int(nodes["depth"].max()) if len(nodes) else 0, most)
+
+
+def raw_scores(forest: Forest, x: np.ndarray, tree_rows: int, rows: int = 2000) -> np.ndarray:
     """2 ** (- mean path / average path): near 1 for rows that are isolated early."""
-    total, trees = np.zeros(len(x)), 0
-    for _, tree in nodes.groupby("tree", sort=True):
-        t = tree.sort_values("node")
-        feature, threshold, left, right = (t[c].to_numpy() for c in ("feature", "threshold", "left", "right"))
-        at = np.zeros(len(x), int)
-        while True:
-            inner = feature[at] >= 0
-            if not inner.any():
-                break
-            f = np.maximum(feature[at], 0)
-            down = np.where(x[np.arange(len(x)), f] < threshold[at], left[at], right[at])
-            at = np.where(inner, down, at)
-        total += t["depth"].to_numpy()[at] + average_path(t["size"].to_numpy()[at])
-        trees += 1
-    most = nodes[nodes["depth"] == 0]["size"].max() if trees else 2
-    return 2 ** (-total / max(1, trees) / max(1e-9, float(average_path(min(tree_rows, max(2, most))))))
+    trees = len(forest.feature)
+    t, out = np.arange(trees), np.zeros(len(x))
+    for a in range(0, len(x) if trees else 0, rows):
+        part = x[a : a + rows]
+        at, each = np.zeros((len(part), trees), int), np.arange(len(part))[:, None]
+        for _ in range(forest.depth):
+            at = np.where(part[each, forest.feature[t, at]] < forest.threshold[t, at], forest.left[t, at], forest.right[t, at])
+        out[a : a + rows] = forest.length[t, at].mean(axis=1)
+    return 2 ** (-out / max(1e-9, float(average_path(min(tree_rows, max(2, forest.most))))))
 
 
 def score(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT) -> DataFrame:
     """(key, anomaly_score, is_anomalous): raw scores min-max scaled over the rows of ``matrix``,
     4 places; all 0 if they are equal. is_anomalous from the threshold on."""
-    forest = nodes.toPandas()  # at most trees * 2 * tree_rows nodes
+    forest = arrays(nodes.toPandas())  # at most trees * 2 * tree_rows nodes
     shared = matrix.sparkSession.sparkContext.broadcast(forest)
     schema = f"{key} string, raw double"
     tree_rows = cfg.tree_rows
@@ -110,7 +144,7 @@ def score(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "v
             x = part[columns].fillna(0.0).to_numpy(float)
             yield pd.DataFrame({key: part[key], "raw": raw_scores(shared.value, x, tree_rows)})
 
-    raw = matrix.select(key, *columns).mapInPandas(run, schema)
+    raw = written(matrix.select(key, *columns).mapInPandas(run, schema), "forest-scores")  # its bounds are read too
     return minmax(raw, "raw").select(key, F.round("scaled", 4).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= cfg.anomaly_threshold)
 
 

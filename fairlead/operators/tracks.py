@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fairlead.functions.motion import angular_diff, bearing, haversine_km, step_length
+from fairlead.sources.tables import written
 
 
 def in_order() -> WindowSpec:
@@ -22,7 +23,8 @@ def minutes_between(a: Column, b: Column) -> Column:
 
 def steps(df: DataFrame) -> DataFrame:
     """Positions with the step that led to each: dlat, dlon, km, step_deg, bearing, heading_change
-    (signed), gap_minutes, dspeed. A vessel's first position has nulls."""
+    (signed), gap_minutes, dspeed. A vessel's first position has nulls; a position without
+    coordinates has no step, and neither has the one after it."""
     before = lambda n: F.lag(n).over(in_order())
     out = df.withColumns({"_lat": before("latitude"), "_lon": before("longitude"), "_ts": before("timestamp"), "_speed": before("speed"), "_heading": before("heading")})
     dlat, dlon = F.col("latitude") - F.col("_lat"), F.col("longitude") - F.col("_lon")
@@ -40,19 +42,38 @@ def steps(df: DataFrame) -> DataFrame:
     ).drop("_lat", "_lon", "_ts", "_speed", "_heading")
 
 
+def turned(df: DataFrame) -> DataFrame:
+    """``steps`` with turn: by how much the bearing changed from the step before."""
+    return steps(df).withColumn("turn", F.abs(angular_diff(F.lag("bearing").over(in_order()), F.col("bearing"))))
+
+
+def latest_sums() -> list[Column]:
+    """What ``latest_of`` needs of a vessel's positions."""
+    row = F.struct("latitude", "longitude", "speed", "heading", "timestamp")
+    return [F.max_by(row, F.struct("timestamp", "seq")).alias("_latest")]
+
+
+def latest_of(sums: DataFrame, label: str = "AIS Track") -> DataFrame:
+    """The last position of every vessel, rounded, from ``latest_sums``; other columns go along."""
+    p = "_latest"
+    own = {"latitude": F.round(f"{p}.latitude", 4), "longitude": F.round(f"{p}.longitude", 4), "speed": F.round(f"{p}.speed", 1), "heading": F.round(f"{p}.heading", 1), "timestamp": F.col(f"{p}.timestamp"), "behavior": F.lit(label)}
+    return sums.withColumns(own).drop(p)
+
+
 def latest(df: DataFrame, label: str = "AIS Track") -> DataFrame:
     """One row for each vessel: its last position, rounded."""
-    row = F.struct("latitude", "longitude", "speed", "heading", "timestamp")
-    last = df.groupBy("vessel_id").agg(F.max_by(row, F.struct("timestamp", "seq")).alias("p"))
-    return last.select(
-        "vessel_id",
-        F.round("p.latitude", 4).alias("latitude"),
-        F.round("p.longitude", 4).alias("longitude"),
-        F.round("p.speed", 1).alias("speed"),
-        F.round("p.heading", 1).alias("heading"),
-        F.col("p.timestamp").alias("timestamp"),
-        F.lit(label).alias("behavior"),
-    )
+    return latest_of(df.groupBy("vessel_id").agg(*latest_sums()), label)
+
+
+def track(df: DataFrame, vessel_id: str) -> DataFrame:
+    """One vessel's positions in order, those without coordinates left out."""
+    return df.filter((F.col("vessel_id") == vessel_id) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).orderBy("timestamp", "seq")
+
+
+def ordered(df: DataFrame) -> DataFrame:
+    """Positions dealt out by vessel, each vessel's in order within one task: for writing files that
+    readers scan vessel by vessel. No global sort."""
+    return df.repartition("vessel_id").sortWithinPartitions("vessel_id", "timestamp", "seq")
 
 
 def trajectories(df: DataFrame, size: int = 1000) -> DataFrame:
@@ -81,25 +102,25 @@ def running_state(df: DataFrame) -> DataFrame:
     return df.withColumns({**before, **first, "messages": F.count("*").over(so_far)})
 
 
-def ticks(df: DataFrame, n_ticks: int = 60, slices: int = 10_000) -> DataFrame:
+def ticks(df: DataFrame, n_ticks: int = 60) -> DataFrame:
     """Positions with ``tick``: batches of equal size in order of (timestamp, vessel_id, seq), the
-    step being rows div ticks, one at least.
+    step being rows div ticks, one at least. Rows without a timestamp come first.
 
-    The dense order is made without one task holding all rows: the time span is cut into
-    ``slices``, rows are counted by slice and numbered within theirs from the sum of those before.
+    The dense order is made without one task holding all rows: rows are dealt out by ranges of that
+    order, which a written table fixes, counted by range and numbered within theirs from the sum of
+    those before. Ranges follow a sample, so neither outlying dates nor ties make a large one.
     """
-    micros = F.unix_micros("timestamp")
-    span = df.agg(F.struct(F.min(micros).alias("a"), F.max(micros).alias("b"))).scalar()
-    width = F.greatest(F.lit(1.0), (span["b"] - span["a"] + 1) / slices)
-    cut = df.withColumn("_slice", F.floor((micros - span["a"]) / width))
-    sizes = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
-    # one row for each slice: a bounded table
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy("timestamp", "vessel_id", "seq")) - 1
-    numbered = cut.withColumn("_place", place).join(F.broadcast(offsets), "_slice")
+    order = ["timestamp", "vessel_id", "seq"]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ticks")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row for each range: a bounded table
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
     step = F.greatest(F.lit(1), F.expr(f"_all div {int(n_ticks)}"))
-    return numbered.withColumn("tick", F.floor((F.col("_place") + F.col("_before")) / step).cast("int")).drop("_slice", "_place", "_before", "_all")
+    return numbered.withColumn("tick", F.floor((F.col("_place") + F.col("_before")) / step).cast("int")).drop("_range", "_place", "_before", "_all")
 
 
 def state_at(df: DataFrame, tick: int) -> DataFrame:

@@ -12,6 +12,7 @@ from fairlead.functions import codes
 from fairlead.operators import alert_rules, behaviour, cleaning, features, geofence, iforest, reports, risk, sequences, tracks
 from fairlead.plans import fixtures, pipeline
 from fairlead.sources import dimensions, history, positions
+from fairlead.sources.tables import written
 from fairlead.streaming import jobs, messages
 
 
@@ -133,15 +134,20 @@ def base_features(spark, sf_dir):
 
 
 def feature_matrix(spark, sf_dir):
-    t, latest, zones = parts(spark, sf_dir)
-    base = features.base_features(latest, t, geofence.check_zones(latest, zones))
-    return features.feature_matrix(base, behaviour.analyse(t))
+    t, _, zones = parts(spark, sf_dir)
+    return pipeline.matrix_of(pipeline.fleet(t, zones))
 
 
 def feature_json(spark, sf_dir):
     return features.feature_json(feature_matrix(spark, sf_dir))
 
 
+def feature_json_values(spark, sf_dir):
+    """The stored JSON, read back: a row for each feature."""
+    rows = feature_json(spark, sf_dir).select("vessel_id", F.explode(F.from_json("feature_json", "map<string, double>")).alias("feature", "value"))
+    return rows.select("vessel_id", "feature", F.round("value", 5).alias("value"))
+
+
 # -- models ---------------------------------------------------------------------------------------
 
 
@@ -164,8 +170,25 @@ def temporal_scores(spark, sf_dir):
     return sequences.detect(latest, t)[0]
 
 
+#: A model of two components, to hold windows, errors and scoring against SQL.
+FIXED_MEAN, FIXED_SCALE, FIXED_REFERENCE = [5.0, 0.0, 0.0, 0.0, 1.0, 10.0], [5.0, 60.0, 0.1, 0.1, 5.0, 20.0], 2.0
+FIXED_SEQUENCES = sequences.Model(FIXED_MEAN * 10, FIXED_SCALE * 10, [[60**-0.5, (-1) ** i * 60**-0.5] for i in range(60)], FIXED_REFERENCE)
+
+
+def temporal_fixed_score(spark, sf_dir):
+    t, latest, _ = parts(spark, sf_dir)
+    rows, _ = sequences.detect(latest, t, model=FIXED_SEQUENCES)
+    return rows.select("vessel_id", F.round("temporal_anomaly_score", 3).alias("temporal_anomaly_score"), "temporal_model_status")
+
+
 def iforest_scores(spark, sf_dir):
-    return iforest.detect(feature_matrix(spark, sf_dir), FEATURES)[0]
+    return iforest.detect(written(feature_matrix(spark, sf_dir), "matrix"), FEATURES)[0]
+
+
+def anomaly_ranking(spark, sf_dir):
+    """The fixed forest's scores as text, by rank."""
+    rows = iforest_fixed_score(spark, sf_dir)
+    return reports.anomaly_ranking(rows)
 
 
 #: A forest of two small trees, to hold scoring against SQL.
@@ -200,14 +223,12 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk with model scores that follow from the vessel's number, so that SQL can tell them."""
-    t, latest, zones = parts(spark, sf_dir)
+    t, _, zones = parts(spark, sf_dir)
+    rows = written(pipeline.fleet(t, zones), "fleet")
     n = F.substring("vessel_id", 2, 10).cast("int")
-    anomaly = latest.select("vessel_id", ((n * 7) % 100 / 100.0).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= 0.55)
-    temporal = latest.select("vessel_id", ((n * 3) % 100 / 100.0).alias("temporal_anomaly_score"), F.when(n % 4 == 0, "insufficient_data").otherwise("scored").alias("temporal_model_status"))
-    geo = geofence.check_zones(latest, zones)
-    behave = behaviour.analyse(t)
-    matrix = features.feature_matrix(features.base_features(latest, t, geo), behave)
-    return risk.score(risk.joined(latest, geo, matrix, behave, anomaly, temporal, gaps(spark, sf_dir)))
+    anomaly = rows.select("vessel_id", ((n * 7) % 100 / 100.0).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= 0.55)
+    temporal = rows.select("vessel_id", ((n * 3) % 100 / 100.0).alias("temporal_anomaly_score"), F.when(n % 4 == 0, "insufficient_data").otherwise("scored").alias("temporal_model_status"))
+    return risk.score(pipeline.inputs_of(rows, anomaly, temporal, gaps(spark, sf_dir)))
 
 
 def risk_components(spark, sf_dir):
@@ -249,10 +270,60 @@ def score_histogram(spark, sf_dir):
     return reports.score_histogram(risk_rows(spark, sf_dir))
 
 
+def high_risk_top_factors(spark, sf_dir):
+    return reports.high_risk(risk_rows(spark, sf_dir))
+
+
+def alert_panel(spark, sf_dir):
+    """The ten alerts on top, HIGH first."""
+    return risk.alerts(risk_rows(spark, sf_dir)).orderBy(*risk.alert_order()).limit(10).select("level", "vessel_id", "reason", "overall_score")
+
+
+def fleet_enriched(spark, sf_dir):
+    t, latest, _ = parts(spark, sf_dir)
+    rows = reports.enriched(latest, risk_rows(spark, sf_dir))
+    return rows.select("vessel_id", "latitude", "longitude", "overall_score", "risk_level", "behavior", "zone_status")
+
+
+def live_table(spark, sf_dir):
+    """The live table of the fleet: static data and risk with their defaults."""
+    _, latest, _ = parts(spark, sf_dir)
+    static = messages.merged_static(messages.static_data(parsed(spark, sf_dir))).withColumn("vessel_id", F.concat(F.lit("V"), F.lpad("vessel_id", 4, "0")))
+    rows = reports.live_table(latest.drop("behavior"), static, risk_rows(spark, sf_dir).filter("overall_score >= 20"))
+    return rows.select("vessel_id", "ship_name", "ship_type", "destination", "overall_score", "risk_level")
+
+
+def vessel_report(spark, sf_dir):
+    """Everything about the vessel with the highest score."""
+    t, latest, zones = parts(spark, sf_dir)
+    rows = risk_rows(spark, sf_dir)
+    top = rows.orderBy(F.desc("overall_score"), "vessel_id").first()["vessel_id"]
+    temporal, _ = sequences.detect(latest, t, model=FIXED_SEQUENCES)
+    found = reports.vessel_report(top, rows, feature_matrix(spark, sf_dir), behaviour.analyse(t), temporal)
+    return found.select("vessel_id", "overall_score", "risk_level", F.col("features.path_length_deg").alias("path_length_deg"), F.round("max_ais_gap_minutes", 1).alias("max_ais_gap_minutes"), F.round("temporal_anomaly_score", 3).alias("temporal_anomaly_score"))
+
+
+def vessel_track(spark, sf_dir):
+    """The track of the vessel that reported last."""
+    t, latest, _ = parts(spark, sf_dir)
+    last = latest.orderBy(F.desc("timestamp"), "vessel_id").first()["vessel_id"]
+    return tracks.track(t, last).select("vessel_id", "seq", us(), F.round("latitude", 5).alias("latitude"))
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    return rows.select("vessel_id", "overall_score", "risk_level", "behavior", "zone_status", F.array_join("risk_factors", "; ").alias("reasons")).orderBy(F.desc("overall_score"), "vessel_id")
+
+
+def ranked_risk_fixed(spark, sf_dir):
+    """The pipeline end to end with fixed models."""
+    t, _, zones = parts(spark, sf_dir)
+    forest = (spark.createDataFrame(FIXED_FOREST, iforest.NODES), ["speed", "displacement_ratio"])
+    return ranked(pipeline.run(t, zones, gaps(spark, sf_dir), forest=forest, sequence_model=FIXED_SEQUENCES, cfg=replace(DEFAULT, tree_rows=64)).risk)
+
+
 def ranked_risk(spark, sf_dir):
     t, _, zones = parts(spark, sf_dir)
-    rows = pipeline.run(t, zones, gaps(spark, sf_dir)).risk
-    return rows.select("vessel_id", "overall_score", "risk_level", "behavior", "zone_status", F.array_join("risk_factors", "; ").alias("reasons")).orderBy(F.desc("overall_score"), "vessel_id")
+    return ranked(pipeline.run(t, zones, gaps(spark, sf_dir)).risk)
 
 
 # -- alerts over ticks ----------------------------------------------------------------------------
@@ -330,6 +401,17 @@ def static_merge(spark, sf_dir):
     return messages.merged_static(messages.static_data(parsed(spark, sf_dir))).select("vessel_id", "ship_name", "ship_type", "destination", "eta", "draught")
 
 
+def message_counters(spark, sf_dir):
+    """What a live view counts over its messages."""
+    return messages.counters(parsed(spark, sf_dir)).select("messages", "positions", "static_messages", "failures", "vessels", us("last_time").alias("last_us"))
+
+
+def evicted_count(spark, sf_dir):
+    t, latest, _ = parts(spark, sf_dir)
+    as_of = t.agg(F.max("timestamp")).scalar()
+    return messages.evicted(latest, as_of, 3600)
+
+
 def stale_eviction(spark, sf_dir):
     t, latest, _ = parts(spark, sf_dir)
     as_of = t.agg(F.max("timestamp")).scalar()
@@ -341,6 +423,18 @@ def session_gaps(spark, sf_dir):
     return rows.select("vessel_id", us("session_start").alias("start_us"), "positions")
 
 
+def streaming_state(spark, sf_dir):
+    """The fleet's state after the whole message stream has passed, vessel by vessel."""
+    rows = jobs.final_state(spark, fixtures.messages(spark, sf_dir).select("value"))
+    names = ["latitude", "longitude", "speed", "prev_latitude", "prev_speed"]
+    return rows.select("vessel_id", us(), *(F.round(n, 4).alias(n) for n in names), "nav_status", "prev_heading", us("first_timestamp").alias("first_us"), "messages", "track_points", "ship_name", "ship_type", "destination")
+
+
+def streaming_alerts(spark, sf_dir):
+    """Alerts with cooldown from a stream of ticks."""
+    return jobs.cooled(spark, alert_rules.evaluate(ticked_risk(spark, sf_dir))).select("vessel_id", "alert_type", "tick")
+
+
 def tumbling_counts(spark, sf_dir):
     rows = jobs.counts_by_window(fixtures.tracks(spark, sf_dir), "1 hour")
     return rows.select(us("window_start").alias("start_us"), "messages")
@@ -348,8 +442,8 @@ def tumbling_counts(spark, sf_dir):
 
 ALL = [
     clean_positions, quality_report, alias_normalise, region_filter, latest_position, recent_window_20, first_seen_prev_value, step_metrics, trajectory_export, tick_buckets, state_as_of_tick,
-    tick_progress, geofence_latest, geofence_all_positions, geofence_grid, behaviour_metrics, behaviour_labels, base_features, feature_matrix, feature_json, sequence_windows, sequence_windows_all, temporal_scores,
-    iforest_scores, iforest_fixed_score, minmax_normalise, risk_components, risk_scores, risk_factor_breakdown, risk_reasons, risk_alerts, fleet_stats, fleet_ranked, medium_risk_top_factors,
-    score_histogram, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
-    ship_type_decode, static_merge, stale_eviction, session_gaps, tumbling_counts,
+    tick_progress, geofence_latest, geofence_all_positions, geofence_grid, behaviour_metrics, behaviour_labels, base_features, feature_matrix, feature_json, feature_json_values, sequence_windows, sequence_windows_all, temporal_scores,
+    temporal_fixed_score, iforest_scores, iforest_fixed_score, anomaly_ranking, minmax_normalise, risk_components, risk_scores, risk_factor_breakdown, risk_reasons, risk_alerts, fleet_stats, fleet_ranked, medium_risk_top_factors,
+    high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
+    ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts,
 ]

@@ -7,7 +7,7 @@ the named parts below.
 from __future__ import annotations
 
 from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL
-from fairlead.plans.queries import FIXED_FOREST
+from fairlead.plans.queries import FIXED_FOREST, FIXED_MEAN, FIXED_REFERENCE, FIXED_SCALE
 from fairlead.sources.dimensions import ZONES
 
 W = "(PARTITION BY vessel_id ORDER BY us, seq)"
@@ -210,8 +210,57 @@ def forest() -> str:
     return f"pow(CAST(2 AS DOUBLE), -(({walk(0, 0)}) + ({walk(1, 0)})) / 2 / {path(64)})"
 
 
+def fixed_z() -> list[str]:
+    """The six standardised step values of the fixed sequence model."""
+    values = ["coalesce(speed, 0)", "coalesce(heading_change, 0)", "dlat", "dlon", "km", "greatest(coalesce(gap_minutes, 0), 0)"]
+    return [f"(({v}) - CAST({m} AS DOUBLE)) / CAST({d} AS DOUBLE)" for v, m, d in zip(values, FIXED_MEAN, FIXED_SCALE)]
+
+
+TEMPORAL = f""",
+zs AS (
+  SELECT vessel_id, us, seq, row_number() OVER {W} AS rn, {" + ".join(fixed_z())} AS s1, {" + ".join(f"pow({z}, 2)" for z in fixed_z())} AS s2, {" ".join(f"{'-' if i % 2 else '+'} ({z})" for i, z in enumerate(fixed_z()))} AS alt
+  FROM steps WHERE dlat IS NOT NULL
+),
+errs AS (
+  SELECT vessel_id, rn, greatest(0, (sum(s2) OVER w - pow(sum(s1) OVER w, 2) / 60 - pow(sum(alt) OVER w, 2) / 60) / 60) AS error
+  FROM zs WINDOW w AS (PARTITION BY vessel_id ORDER BY us, seq ROWS 9 PRECEDING)
+),
+temporal AS (
+  SELECT vessel_id, coalesce({rounded(f"least(CAST(1 AS DOUBLE), max(error) / CAST({FIXED_REFERENCE} AS DOUBLE))", 4)}, 0) AS temporal_anomaly_score, 'scored' AS temporal_model_status
+  FROM errs WHERE rn >= 10 GROUP BY vessel_id
+)"""
+
+ISOLATION = f""",
+iso_raw AS (SELECT vessel_id, {forest()} AS r FROM base),
+isolation AS (SELECT vessel_id, CASE WHEN max(r) OVER () - min(r) OVER () > 1e-12 THEN round((r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()), 4) ELSE 0 END AS anomaly_score FROM iso_raw)"""
+
+#: As RISK, with the fixed models' scores.
+RISK_FIXED = (
+    BASE + ISOLATION + TEMPORAL + RISK.removeprefix(BASE)
+    .replace("((n * 7) % 100) / CAST(100 AS DOUBLE) AS iso", "(SELECT anomaly_score FROM isolation x WHERE x.vessel_id = b.vessel_id) AS iso")
+    .replace("CASE WHEN n % 4 = 0 THEN 0 ELSE ((n * 3) % 100) / CAST(100 AS DOUBLE) END AS temp", "coalesce((SELECT temporal_anomaly_score FROM temporal x WHERE x.vessel_id = b.vessel_id), 0) AS temp")
+)
+
+REASONS = """SELECT vessel_id, CASE WHEN len(r) = 0 THEN ['No elevated risk indicators'] ELSE r END AS reasons FROM (SELECT vessel_id, list_filter([
+  CASE WHEN inside THEN 'Inside demonstration monitoring zone (' || zone_name || ')' WHEN near THEN 'Operating near monitoring zone (' || nearest_zone || ')' END, CASE WHEN iso >= 0.55 THEN 'Elevated Isolation Forest anomaly' END,
+  CASE WHEN temp >= 0.55 THEN 'Elevated temporal sequence anomaly' END, CASE WHEN loitering_score >= 0.6 THEN 'Loitering behaviour' END, CASE WHEN mean_heading_change >= 45 THEN 'High turning activity' END,
+  CASE WHEN speed_deviation >= 0.4 THEN 'Speed anomaly' END, CASE WHEN c_gap > 0.01 THEN gap_text END], lambda x: x IS NOT NULL) AS r FROM risk)"""
+
+BEHAVIOUR_PLACES = {
+    "b_distance_km": ("distance_travelled_km", 3), "b_avg_speed": ("avg_speed", 2), "b_max_speed": ("max_speed", 2), "b_speed_std": ("speed_std", 3), "b_mean_heading_change": ("mean_heading_change", 2),
+    "b_max_heading_change": ("max_heading_change", 2), "b_stationary_ratio": ("stationary_ratio", 4), "b_loitering_score": ("behave.loitering_score", 4), "b_max_gap_minutes": ("max_ais_gap_minutes", 2),
+    "b_significant_gap_count": ("significant_gap_count", 0), "b_duration_minutes": ("trajectory_duration_minutes", 2), "b_position_count": ("position_count", 0),
+}
+
+MESSAGES = CLEAN_SQL + """,
+heard AS (SELECT *, CAST(user_id AS VARCHAR) AS id, us // 1000000 * 1000000 AS t FROM clean WHERE seq % 31 <> 0 AND seq % 7 <> 0 AND seq % 11 <> 0)"""
+
 METRICS = ["distance_travelled_km", "avg_speed", "max_speed", "speed_std", "mean_heading_change", "max_heading_change", "heading_change_std", "stationary_ratio", "loitering_score", "max_ais_gap_minutes", "mean_ais_gap_minutes", "trajectory_duration_minutes", "speed_change_rate", "turning_rate"]
 BASE_PLACES = {"speed": 3, "speed_deviation": 4, "heading_variance": 4, "displacement_ratio": 4, "loitering_score": 4, "path_length_deg": 5, "bearing_change_rate": 4, "zone_proximity_norm": 4, "erratic_score": 4}
+MATRIX = (
+    "SELECT vessel_id, " + ", ".join(f"round(CAST(base.{n} AS DOUBLE), {d}) AS {n}" for n, d in BASE_PLACES.items())
+    + ", " + ", ".join(f"{rounded(f'CAST({c} AS DOUBLE)', d)} AS {n}" for n, (c, d) in BEHAVIOUR_PLACES.items()) + " FROM base JOIN behave USING (vessel_id)"
+)
 COMPONENTS = {"geofence_component": "c_geo", "isolation_component": "iso", "temporal_component": "temp", "behaviour_component": "c_beh", "ais_gap_component": "c_gap"}
 
 ORACLES: dict[str, str] = {
@@ -243,6 +292,27 @@ ORACLES: dict[str, str] = {
         "SELECT vessel_id, array_to_string(behavior_labels, '|') AS labels, CASE WHEN position_count <= 1 THEN 'Only one position available — insufficient for behaviour analysis.' WHEN len(found) = 0 THEN 'Consistent transit movement — no notable suspicious indicators.' ELSE upper(said[1]) || substr(said, 2) || '.' END AS behavior_summary FROM labelled",
     ),
     "base_features": select(BASE, f"SELECT vessel_id, {', '.join(f'round(CAST({n} AS DOUBLE), {d}) AS {n}' for n, d in BASE_PLACES.items())} FROM base"),
+    "feature_matrix": select(BASE + BEHAVIOUR, MATRIX),
+    "feature_json_values": select(BASE + BEHAVIOUR, f"SELECT vessel_id, feature, round(value, 5) AS value FROM (UNPIVOT ({MATRIX}) ON COLUMNS(* EXCLUDE (vessel_id)) INTO NAME feature VALUE value)"),
+    "temporal_fixed_score": select(CLEAN_SQL + STEPS + TEMPORAL, f"""SELECT v.vessel_id, {rounded("coalesce(temporal_anomaly_score, 0)", 3)} AS temporal_anomaly_score, coalesce(temporal_model_status, 'insufficient_data') AS temporal_model_status
+FROM (SELECT DISTINCT vessel_id FROM clean) v LEFT JOIN temporal USING (vessel_id)"""),
+    "ranked_risk_fixed": select(RISK_FIXED, f"SELECT vessel_id, overall_score, risk_level, behavior, zone_status, array_to_string(r.reasons, '; ') AS reasons FROM risk JOIN ({REASONS}) r USING (vessel_id)"),
+    "anomaly_ranking": select(BASE + ISOLATION, f"SELECT vessel_id, printf('%.3f', {rounded('anomaly_score', 3)}) AS score, CASE WHEN anomaly_score >= 0.55 THEN 'yes' ELSE 'no' END AS flag FROM isolation"),
+    "high_risk_top_factors": select(RISK, "SELECT vessel_id, overall_score, top_factors FROM risk JOIN reasons USING (vessel_id) WHERE risk_level = 'HIGH'"),
+    "alert_panel": select(RISK, "SELECT level, vessel_id, reason, overall_score FROM alerts ORDER BY level <> 'HIGH', overall_score DESC, vessel_id LIMIT 10"),
+    "fleet_enriched": select(RISK, "SELECT vessel_id, l.latitude, l.longitude, overall_score, risk_level, risk.behavior, risk.zone_status FROM latest l JOIN risk USING (vessel_id)"),
+    "vessel_track": select(CLEAN_SQL + LATEST, "SELECT vessel_id, seq, us, round(latitude, 5) AS latitude FROM clean WHERE vessel_id = (SELECT vessel_id FROM latest ORDER BY us DESC, vessel_id LIMIT 1)"),
+    "vessel_report": select(
+        RISK + TEMPORAL,
+        f"""SELECT risk.vessel_id, overall_score, risk_level, base.path_length_deg, {rounded(rounded("behave.max_ais_gap_minutes", 2), 1)} AS max_ais_gap_minutes, {rounded("coalesce(temporal_anomaly_score, 0)", 3)} AS temporal_anomaly_score
+FROM risk JOIN base USING (vessel_id) JOIN behave USING (vessel_id) LEFT JOIN temporal USING (vessel_id) ORDER BY overall_score DESC, risk.vessel_id LIMIT 1""",
+    ),
+    "message_counters": select(
+        MESSAGES,
+        """SELECT count(*) AS messages, (SELECT count(*) FROM heard) AS positions, count(*) FILTER (seq % 7 = 0 AND seq % 31 <> 0) AS static_messages, count(*) - (SELECT count(*) FROM heard) - count(*) FILTER (seq % 7 = 0 AND seq % 31 <> 0) AS failures,
+  (SELECT count(DISTINCT id) FROM heard) AS vessels, (SELECT max(t) FROM heard) AS last_us FROM clean""",
+    ),
+    "evicted_count": select(CLEAN_SQL + LATEST, "SELECT count(*) FILTER ((SELECT max(us) FROM clean) - us > 3600000000) AS evicted, count(*) FILTER ((SELECT max(us) FROM clean) - us <= 3600000000) AS active FROM latest"),
     "sequence_windows": select(
         CLEAN_SQL + STEPS,
         f"""SELECT vessel_id, count(*) AS n_windows, max(start) AS last_start, round(sum(total), 1) AS total FROM (
@@ -312,3 +382,22 @@ FROM clean WHERE seq % 31 <> 0 AND seq % 7 <> 0 AND seq % 11 <> 0""",
     ),
     "tumbling_counts": select(CLEAN_SQL, "SELECT us // 3600000000 * 3600000000 AS start_us, count(*) AS messages FROM clean GROUP BY 1"),
 }
+STATIC_LAST = (
+    "SELECT vessel_id, arg_max(ship_name, CASE WHEN ship_name IS NOT NULL THEN k END) AS ship_name, arg_max(ship_type, CASE WHEN ship_type <> 'Unknown' THEN k END) AS ship_type, arg_max(destination, CASE WHEN destination IS NOT NULL THEN k END) AS destination "
+    "FROM (SELECT static.*, struct_pack(t := us // 1000000, s := static.seq) AS k FROM static JOIN clean ON static.seq = clean.seq) GROUP BY vessel_id"
+)
+ORACLES["streaming_alerts"] = ORACLES["alert_cooldown"]
+ORACLES["streaming_state"] = select(
+    STATIC,
+    f"""SELECT id AS vessel_id, p.t AS us, round(p.latitude, 4) AS latitude, round(p.longitude, 4) AS longitude, round(p.speed, 4) AS speed, round(q.latitude, 4) AS prev_latitude, round(q.speed, 4) AS prev_speed, p.nav_status, q.heading AS prev_heading, first_us, messages,
+  CAST(least(messages, 50) AS INT) AS track_points, ship_name, ship_type, destination
+FROM (SELECT id, list(struct_pack(t := t, latitude := latitude, longitude := longitude, speed := CASE WHEN seq % 5 <> 0 THEN speed END, heading := heading, nav_status := CAST(seq % 16 AS INT)) ORDER BY t DESC, seq DESC) AS ps, min(t) AS first_us, count(*) AS messages,
+    ps[1] AS p, ps[2] AS q FROM (SELECT *, CAST(user_id AS VARCHAR) AS id, us // 1000000 * 1000000 AS t FROM clean WHERE seq % 31 <> 0 AND seq % 7 <> 0 AND seq % 11 <> 0) GROUP BY id)
+  LEFT JOIN ({STATIC_LAST}) s ON s.vessel_id = id""",
+)
+ORACLES["live_table"] = select(
+    RISK + STATIC.removeprefix(CLEAN_SQL),
+    f"""SELECT l.vessel_id, coalesce(ship_name, '') AS ship_name, coalesce(ship_type, 'Unknown') AS ship_type, coalesce(destination, '') AS destination, coalesce(overall_score, 0) AS overall_score, coalesce(risk_level, 'LOW') AS risk_level
+FROM latest l LEFT JOIN (SELECT 'V' || lpad(vessel_id, 4, '0') AS vessel_id, arg_max(ship_name, CASE WHEN ship_name IS NOT NULL THEN seq END) AS ship_name, arg_max(ship_type, CASE WHEN ship_type <> 'Unknown' THEN seq END) AS ship_type, arg_max(destination, CASE WHEN destination IS NOT NULL THEN seq END) AS destination
+    FROM static GROUP BY vessel_id) s USING (vessel_id) LEFT JOIN (SELECT vessel_id, overall_score, risk_level FROM risk WHERE overall_score >= 20) r USING (vessel_id)""",
+)

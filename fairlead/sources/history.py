@@ -1,7 +1,7 @@
 """History tables of pipeline runs, as Parquet folders.
 
-vessels is a snapshot that is rewritten; the others are appended. A run's manifest row is written
-last: readers take only runs that have one, so a run that broke off does not show.
+vessels is a snapshot that is rewritten; the others are appended, a folder for each run. A run's
+manifest row is written last: readers take only runs that have one, so a run that broke off does not show.
 """
 
 from __future__ import annotations
@@ -111,19 +111,27 @@ class HistoryStore:
         counts = {}
         try:
             for name, df in rows.items():
-                folder = f"{self.path}/{name}" + (f"/{run}" if name == "vessels" else "")
-                df.write.mode("append").parquet(folder)
-                written = self.spark.read.schema(self.TABLES[name]).parquet(folder)
-                counts[name] = written.count() if name == "vessels" else written.filter(F.col("run_id") == run).count()
+                part = f"{self.path}/{name}/{run}" if name == "vessels" else f"{self.path}/{name}/run_id={run}"
+                df.drop(*(() if name == "vessels" else ("run_id",))).write.mode("append").parquet(part)
+                counts[name] = self.spark.read.parquet(part).count()  # this run's files alone
             self.spark.createDataFrame([(run, source, region, now)], self.TABLES["runs"]).coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
         except Exception as error:
             raise HistoryError(str(error)) from error
         return counts
 
+    def try_write_run(self, *args, **kwargs) -> dict:
+        """As ``write_run``, but errors don't pass: {"written": whether, "counts": ..., "error": text or
+        None}, so that a sink that fails never breaks the pipeline's result. A run that broke off has
+        no manifest row and does not show."""
+        try:
+            return {"written": True, "counts": self.write_run(*args, **kwargs), "error": None}
+        except Exception as error:
+            return {"written": False, "counts": {}, "error": str(error)}
+
     def append_alerts(self, alerts: DataFrame, run_id: str) -> None:
         """Alerts of a stream's batch, stamped now where created_at is missing."""
         created = F.coalesce("created_at", F.current_timestamp()) if "created_at" in alerts.columns else F.current_timestamp()
-        alerts.select("vessel_id", "level", "message", "reason", "alert_type", F.col("tick").cast("long").alias("tick"), created.alias("created_at"), F.lit(run_id).alias("run_id")).write.mode("append").parquet(f"{self.path}/alerts")
+        alerts.select("vessel_id", "level", "message", "reason", "alert_type", F.col("tick").cast("long").alias("tick"), created.alias("created_at")).write.mode("append").parquet(f"{self.path}/alerts/run_id={run_id}")
 
     def summary(self) -> DataFrame:
         """One row of counts."""
@@ -135,6 +143,10 @@ class HistoryStore:
         alerts = one(self.table("alerts"), n.alias("alerts"), F.count_if(F.col("level") == "HIGH").alias("high_alerts"))
         return out.join(alerts, "_k").drop("_k")
 
+    def alert_panel(self, n: int = 8, buffer: int = 50) -> DataFrame:
+        """The ``n`` alerts on top of the last ``buffer``: HIGH first, then the latest."""
+        return self.recent_alerts(buffer).orderBy((F.col("level") != "HIGH"), F.desc("created_at"), "vessel_id").limit(n)
+
     def recent_alerts(self, n: int = 20) -> DataFrame:
         return recent(self.table("alerts"), n, "created_at", "vessel_id")
 

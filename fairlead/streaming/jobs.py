@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from fairlead.config import DEFAULT, Config
-from fairlead.operators.tracks import ticks
+from fairlead.operators.tracks import recent, ticks
+from fairlead.plans import pipeline
 from fairlead.sources.dimensions import in_region
-from fairlead.streaming import messages
+from fairlead.sources.tables import shared_folder
+from fairlead.streaming import messages, state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,7 +46,8 @@ def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def counts_by_window(df: DataFrame, width: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Messages and vessels by tumbling or sliding event-time window."""
+    """Messages and vessels by tumbling or sliding event-time window; the number of vessels is an
+    estimate (a sketch, within about 5 %), as exact ones would be state of their own."""
     w = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
     return df.groupBy(w.alias("w")).agg(F.count("*").alias("messages"), F.approx_count_distinct("vessel_id").alias("vessels")).select(F.col("w.start").alias("window_start"), "messages", "vessels")
 
@@ -58,8 +63,98 @@ def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def live_risk(state: DataFrame, recent: DataFrame, rescore: Callable[[DataFrame, DataFrame], DataFrame], as_of, cfg: Config = DEFAULT) -> DataFrame:
+def live_messages(stream: DataFrame, region: str | None = None) -> DataFrame:
+    """Positions and static data of a message stream as rows of one kind, for one keyed state: static
+    rows have no place and the time of their message. seq, a hash of the message, decides between
+    messages of one time, so that the result does not depend on how they arrive."""
+    rows = messages.parsed(stream).withColumn("seq", F.xxhash64("value"))
+    places = messages.positions(rows)
+    places = in_region(places, region) if region else places
+    time = F.coalesce(messages.message_time(F.col("m.MetaData.time_utc")), F.current_timestamp())
+    static = messages.static_data(rows.withColumn("timestamp", time))
+    return places.unionByName(static, allowMissingColumns=True)
+
+
+def final_state(spark: SparkSession, lines: DataFrame, files: int = 4, delay: str = "3650 days", stale_seconds: int = 10**9) -> DataFrame:
+    """The state of every vessel after a whole message stream (``lines``: value, JSON) has passed in
+    micro-batches: the last row that the stream wrote of each. The stream reads and writes the
+    shared folder. Lines may come in any order within ``delay``; vessels are dropped after
+    ``stale_seconds`` only."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    lines.select("value").repartition(files).write.text(f"{folder}/in")
+    changed = state.vessel_state(live_messages(message_stream(spark, f"{folder}/in")), delay, stale_seconds=stale_seconds)
+    run_available(changed, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", "update")
+    rows = spark.read.parquet(f"{folder}/out")
+    names = [c for c in rows.columns if c not in ("vessel_id", "batch")]
+    last = rows.groupBy("vessel_id").agg(F.max_by(F.struct(*names), "batch").alias("p"))
+    return last.select("vessel_id", *(F.col(f"p.{n}").alias(n) for n in names))
+
+
+def cooled(spark: SparkSession, alerts: DataFrame) -> DataFrame:
+    """The alerts that fire, from a stream of ``alerts`` in order of ticks."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    alerts.withColumn("tick", F.col("tick").cast("long")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    run_available(state.cooled_alerts(stream), lambda df, n: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+class LiveCounters(StreamingQueryListener):
+    """Counts of running streams, taken from ``observe``-d metrics: messages, positions, failures."""
+
+    NAME = "live"
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {"messages": 0, "static_messages": 0, "failures": 0}
+
+    @classmethod
+    def observed(cls, parsed: DataFrame) -> DataFrame:
+        """``parsed`` messages, watched."""
+        kind = F.coalesce(F.col("m.MessageType"), F.lit(""))
+        static = kind == "ShipStaticData"
+        return parsed.observe(cls.NAME, F.count(F.lit(1)).alias("messages"), F.count_if(static).alias("static_messages"), F.count_if(~static & (kind != "PositionReport")).alias("failures"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.NAME)
+        for n in self.counts if row is not None else ():
+            self.counts[n] += row[n]
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def live_risk(states: DataFrame, positions: DataFrame, rescore: Callable[[DataFrame, DataFrame], DataFrame], as_of, cfg: Config = DEFAULT) -> DataFrame:
     """Risk of the active vessels from their recent tracks: the batch pipeline over the fleet that
     is not stale at ``as_of``."""
-    now = messages.active(state, as_of, cfg.stale_seconds)
-    return rescore(now, recent.join(now.select("vessel_id"), "vessel_id", "left_semi"))
+    now = messages.active(states, as_of, cfg.stale_seconds)
+    return rescore(now, positions.join(now.select("vessel_id"), "vessel_id", "left_semi"))
+
+
+def rescorer(zones: DataFrame, forest: tuple[DataFrame, list[str]] | None = None, sequence_model=None, cfg: Config = DEFAULT) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A rescore for ``live_risk`` with models loaded once: the batch pipeline over the active vessels'
+    recent positions."""
+
+    def rescore(active: DataFrame, recent: DataFrame) -> DataFrame:
+        return pipeline.run(recent, zones, models=forest is not None or sequence_model is not None, forest=forest, sequence_model=sequence_model, cfg=cfg).risk
+
+    return rescore
+
+
+def live_rescore(states: DataFrame, positions: DataFrame, rescore: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, cfg: Config = DEFAULT) -> None:
+    """Rescores the vessels that each micro-batch of ``states`` (see ``vessel_state``) has changed, from the
+    last positions of these in the table ``positions``, and appends their risk to ``out``."""
+
+    def each(changed: DataFrame, n: int) -> None:
+        if changed.isEmpty():
+            return
+        mine = positions.join(changed.select("vessel_id"), "vessel_id", "left_semi")
+        as_of = F.lit(changed.agg(F.max("timestamp")).first()[0])
+        risk = live_risk(changed, recent(mine, cfg.recent_live).drop("recency"), rescore, as_of, cfg)
+        risk.select("vessel_id", "overall_score", "risk_level", F.lit(n).alias("batch")).write.mode("append").parquet(out)
+
+    run_available(states, each, checkpoint, "update")

@@ -79,6 +79,22 @@ def failures(messages: DataFrame) -> DataFrame:
     return messages.filter("m.MessageType IS NULL OR m.MessageType NOT IN ('PositionReport', 'ShipStaticData')")
 
 
+def counters(messages: DataFrame) -> DataFrame:
+    """One row of what a live view counts over ``parsed`` messages: all of them, valid positions, static
+    messages, those that can't be used, vessels seen, and the last position's time."""
+    kind = lambda name, t=None, v=None: [F.lit(name).alias("kind"), (F.lit(None).cast("timestamp") if t is None else F.col(t)).alias("time"), (F.lit(None).cast("string") if v is None else F.col(v)).alias("vessel")]
+    rows = messages.select(*kind("any")).unionByName(positions(messages).select(*kind("position", "timestamp", "vessel_id"))).unionByName(static_data(messages).select(*kind("static")))
+    of = lambda name: F.count_if(F.col("kind") == name)
+    return rows.agg(
+        of("any").alias("messages"),
+        of("position").alias("positions"),
+        of("static").alias("static_messages"),
+        (of("any") - of("position") - of("static")).alias("failures"),
+        F.countDistinct("vessel").alias("vessels"),
+        F.max("time").alias("last_time"),
+    )
+
+
 def merged_static(static: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each vessel: of every field the last value that says something; blanks and
     Unknown never replace one."""
@@ -92,3 +108,10 @@ def active(state: DataFrame, as_of: Column, stale_seconds: int) -> DataFrame:
     """Vessels that reported within stale_seconds before ``as_of``; one without a time stays."""
     age = F.unix_micros(as_of) - F.unix_micros("timestamp")
     return state.filter(F.col("timestamp").isNull() | (age <= stale_seconds * 1_000_000))
+
+
+def evicted(state: DataFrame, as_of: Column, stale_seconds: int) -> DataFrame:
+    """One row: how many vessels are stale at ``as_of`` and how many stay."""
+    age = F.unix_micros(as_of) - F.unix_micros("timestamp")
+    stale = F.coalesce(age > stale_seconds * 1_000_000, F.lit(False))
+    return state.agg(F.count_if(stale).alias("evicted"), F.count_if(~stale).alias("active"))

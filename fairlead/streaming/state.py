@@ -10,16 +10,34 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.config import DEFAULT, Config
 
-STATE = "latitude double, longitude double, speed double, heading double, timestamp timestamp, prev_latitude double, prev_longitude double, first_timestamp timestamp, first_latitude double, first_longitude double, messages long"
+PLACE = "latitude double, longitude double, speed double, heading double, course double, nav_status int"
+STATE = f"timestamp timestamp, {PLACE}, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_latitude double, first_longitude double, messages long, ship_name string, ship_type string, destination string, eta string, draught double, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp"
 OUTPUT = f"vessel_id string, {STATE}, track_points int"
+POINT = "timestamp timestamp, latitude double, longitude double"
+STATIC = ["ship_name", "ship_type", "destination", "eta", "draught"]
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def plain(row: pd.Series, names: list[str]) -> dict:
+    """A row's values as plain Python ones; missing ones as None. pandas makes a whole number a float
+    where others of its column are missing."""
+    values = {n: int(row[n]) if n == "nav_status" and not pd.isna(row[n]) else row[n] for n in names}
+    return {n: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for n, v in values.items()}
 
 
 class VesselState(StatefulProcessor):
-    """Latest, previous and first values, a message count and the last points of each vessel."""
+    """Latest, previous and first values, a message count, the last points and the static data of each
+    vessel. Values follow event time: a position that comes late counts as a message and may become
+    the previous or the first one or a point of the track, but never replaces a newer latest one. Of
+    each static field the last that says something stays; blanks and Unknown replace none."""
 
     def __init__(self, points: int, stale_seconds: int):
         self.points, self.stale = points, stale_seconds
@@ -27,33 +45,42 @@ class VesselState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("vessel", STATE)
-        self.track = handle.getListState("track", "timestamp timestamp, latitude double, longitude double")
+        self.track = handle.getListState("track", POINT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values(["timestamp", "seq"])
-        old = self.value.get() if self.value.exists() else None
-        track = list(self.track.get()) if old is not None else []
-        previous, first, count = (None, None), None, 0
-        if old is not None:
-            previous, first, count = (old[0], old[1]), tuple(old[7:10]), old[10]
-        for i in range(len(data)):
-            r = data.iloc[i]
-            if count:
-                previous = (last[0], last[1]) if i else (old[0], old[1])  # noqa: F821
-            last = (float(r["latitude"]), float(r["longitude"]))
-            first = first or (r["timestamp"].to_pydatetime(), *last)
-            count += 1
-            track.append((r["timestamp"].to_pydatetime(), *last))
-        value = lambda x: None if pd.isna(x) else float(x)
-        when = r["timestamp"].to_pydatetime()
-        state = (*last, value(r["speed"]), value(r["heading"]), when, *previous, *first, count)
-        self.value.update(state)
-        self.track.put(track[-self.points :])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(pd.Timestamp(when).timestamp() * 1000) + self.stale * 1000)
-        names = [x.split(" ")[0] for x in OUTPUT.split(", ")]
-        yield pd.DataFrame([(key[0], *state, min(len(track), self.points))], columns=names)
+        data = pd.concat(list(rows)).sort_values(["timestamp", "seq"], kind="stable")
+        state = dict(zip(names_of(STATE), self.value.get())) if self.value.exists() else dict.fromkeys(names_of(STATE)) | {"messages": 0}
+        for n in STATIC:
+            said = data[data[n].notna() & (data[n].astype(str).str.lower() != "unknown" if n == "ship_type" else True)]
+            if len(said):
+                new = plain(said.iloc[-1], [n, "timestamp"])
+                if state[f"{n}_at"] is None or new["timestamp"] >= state[f"{n}_at"]:
+                    state |= {n: new[n], f"{n}_at": new["timestamp"]}
+        placed = data[data["latitude"].notna()]
+        track = list(self.track.get()) if self.track.exists() else []
+        if len(placed):
+            now = names_of(f"timestamp timestamp, {PLACE}")
+            # the newest two of this batch and of the state decide what is latest and previous
+            known = [{n: state[n] for n in now}] if state["messages"] else []
+            if state["prev_latitude"] is not None:
+                known.insert(0, {n: state.get(f"prev_{n}") for n in now} | {"timestamp": track[-2][0] if len(track) > 1 else state["first_timestamp"]})
+            last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=lambda r: r["timestamp"])
+            state |= last[-1]
+            if len(last) > 1:
+                state |= {f"prev_{n}": last[-2].get(n) for n in ("latitude", "longitude", "speed", "heading")}
+            oldest = plain(placed.iloc[0], ["timestamp", "latitude", "longitude"])
+            if state["first_timestamp"] is None or oldest["timestamp"] < state["first_timestamp"]:
+                state |= {f"first_{n}": v for n, v in oldest.items()}
+            state["messages"] += len(placed)
+            points = placed.tail(self.points)[["timestamp", "latitude", "longitude"]]
+            track = sorted([*map(tuple, track), *((t.to_pydatetime(), a, o) for t, a, o in points.itertuples(index=False))])[-self.points :]
+            self.track.put(track)
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(pd.Timestamp(state["timestamp"]).timestamp() * 1000) + self.stale * 1000)
+        self.value.update(tuple(state[n] for n in names_of(STATE)))
+        if state["messages"]:
+            yield pd.DataFrame([(key[0], *(state[n] for n in names_of(STATE)), len(track))], columns=names_of(OUTPUT))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.value.clear()
@@ -64,13 +91,16 @@ class VesselState(StatefulProcessor):
         pass
 
 
-def vessel_state(positions: DataFrame, delay: str = "10 minutes", cfg: Config = DEFAULT) -> DataFrame:
-    """The changed state of vessels after every micro-batch of ``positions`` (with seq). Needs the
-    RocksDB state store. Positions later than the watermark are not dropped by the operator: they
-    only count once their vessel's state is gone as first seen anew."""
+def vessel_state(positions: DataFrame, delay: str = "10 minutes", cfg: Config = DEFAULT, stale_seconds: int | None = None) -> DataFrame:
+    """The changed state of vessels after every micro-batch of ``positions`` (timestamp, seq, place; course,
+    nav_status and the static fields where it has them). Needs the RocksDB state store. Rows that come
+    more than ``delay`` behind the newest are dropped as late; within it they may come in any order. A
+    vessel that is silent for stale_seconds of event time is dropped; a later report starts it anew."""
     timed = positions.withWatermark("timestamp", delay)
-    grouped = timed.select("vessel_id", "seq", "latitude", "longitude", "speed", "heading", "timestamp").groupBy("vessel_id")
-    return grouped.transformWithStateInPandas(VesselState(cfg.recent_live, cfg.stale_seconds), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+    kinds = dict(x.split(" ") for x in f"{PLACE}, ship_name string, ship_type string, destination string, eta string, draught double".split(", "))
+    columns = [F.col(n).cast(t).alias(n) if n in positions.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
+    grouped = timed.select("vessel_id", "seq", "timestamp", *columns).groupBy("vessel_id")
+    return grouped.transformWithStateInPandas(VesselState(cfg.recent_live, stale_seconds or cfg.stale_seconds), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
 
 
 class Cooldown(StatefulProcessor):

@@ -4,6 +4,8 @@ import datetime as dt
 import json
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,8 +159,8 @@ def test_erratic_vessel_scores_higher(spark):
     df = odd
     for s in steady:
         df = df.union(s)
-    model = sequences.fit(sequences.windows(df.filter("vessel_id <> 'X'")))
-    found = {r[0]: r[1] for r in sequences.score(df.select("vessel_id"), sequences.windows(df), model).collect()}
+    model, _ = sequences.fit(df.filter("vessel_id <> 'X'"))
+    found = {r[0]: r[1] for r in sequences.detect(df.select("vessel_id"), df, model=model)[0].collect()}
     assert found["X"] >= max(v for k, v in found.items() if k != "X")
 
 
@@ -267,8 +269,99 @@ def test_windows_of_a_long_track(spark):
     df = track(spark, points)
     assert sequences.windows(df).count() == 90
     assert sequences.windows(df, replace(DEFAULT, windows_per_vessel=50)).count() == 50
-    model = sequences.fit(sequences.windows(track(spark, points[:90])))
-    assert sequences.score(df.select("vessel_id"), sequences.windows(df), model).first()["temporal_anomaly_score"] == 1.0
+    model, _ = sequences.fit(track(spark, points[:90]))
+    assert sequences.detect(df.select("vessel_id"), df, model=model)[0].first()["temporal_anomaly_score"] == 1.0
+    assert sequences.errors(df, model).count() == 90
+    assert sequences.errors(df, model, replace(DEFAULT, windows_per_vessel=50)).count() == 50
+
+
+def test_windows_in_blocks_equal_window_rows(spark, small, monkeypatch):
+    t = fixtures.tracks(spark, small)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # windows span many batches
+    try:
+        model = sequences.Model([0.0] * 60, [1.0] * 60, [[0.0]] * 60, 1.0)
+        for cfg in (DEFAULT, replace(DEFAULT, windows_per_vessel=5)):
+            square = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x) / 60
+            want = sorted((r[0], round(r[1], 6)) for r in sequences.windows(t, cfg).select("vessel_id", square).collect())
+            assert sorted((r[0], round(r[1], 6)) for r in sequences.errors(t, model, cfg).collect()) == want
+        n, sums, products = sequences.moments(t, DEFAULT)
+        rows = np.array([r[0] for r in sequences.windows(t).select("features").collect()])
+        assert n == len(rows) and np.allclose(sums, rows.sum(0)) and np.allclose(products, rows.T @ rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_quantile_is_exact(spark):
+    for values in ([3.0], [1.0] * 500, [float(x % 97) ** 3 for x in range(700)], [0.0] * 300 + [1e9, 5.0]):
+        table = spark.createDataFrame([(x,) for x in values], "x double")
+        for q in (0.0, 0.5, 0.95, 1.0):
+            assert abs(sequences.quantile(table, "x", q, buckets=8, few=20) - float(np.quantile(values, q))) < 1e-6
+    assert sequences.quantile(spark.createDataFrame([], "x double"), "x", 0.5) is None
+
+
+def test_large_matrix_draws_few_rows_for_each_tree(spark):
+    matrix = spark.range(5000).select(F.concat(F.lit("V"), "id").alias("vessel_id"), (F.col("id") % 83).cast("double").alias("f"))
+    cfg = replace(DEFAULT, trees=8, tree_rows=64)
+    roots = iforest.fit(matrix, ["f"], cfg=cfg).filter("depth = 0").collect()
+    assert len(roots) == 8 and all(r["size"] == 64 for r in roots)
+
+
+def test_forest_arrays_walk_like_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    nodes = pd.DataFrame([(t, *n) for t in (0, 3, 9) for n in iforest.build_tree(x[rng.integers(0, 300, 64)], rng, 6)], columns=[c.split()[0] for c in iforest.NODES.split(", ")])
+
+    def path(tree, row):
+        found = nodes[nodes["tree"] == tree].set_index("node")
+        n = found.loc[0]
+        while n["feature"] >= 0:
+            n = found.loc[int(n["left"] if row[int(n["feature"])] < n["threshold"] else n["right"])]
+        return n["depth"] + float(iforest.average_path(n["size"]))
+
+    got = iforest.raw_scores(iforest.arrays(nodes), x, 64, rows=70)
+    assert np.allclose(got, [2 ** (-np.mean([path(t, r) for t in (0, 3, 9)]) / float(iforest.average_path(64))) for r in x])
+
+
+def test_ticks_keep_rows_without_a_time_and_outliers(spark):
+    rows = [(f"V{i % 3}", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(200)]
+    rows += [("V0", 900, None), ("V1", 901, None), ("V1", 902, dt.datetime(1970, 1, 1)), ("V2", 903, dt.datetime(2200, 1, 1))]
+    got = {r["seq"]: r["tick"] for r in tracks.ticks(spark.createDataFrame(rows, "vessel_id string, seq long, timestamp timestamp"), 10).collect()}
+    order = [900, 901, 902, *range(200), 903]
+    assert got == {s: i // (204 // 10) for i, s in enumerate(order)}
+
+
+def test_rejected_rows_alike_are_all_counted(spark):
+    rows = [(None, None, None, None, i) for i in range(50)] + [("A", 1.0, 2.0, "2024-01-01 00:00:00", 60), ("A", 1.0, 2.0, "2024-01-01 00:00:00", 61)]
+    report = cleaning.quality_report(cleaning.judged(spark.createDataFrame(rows, "vessel_id string, latitude double, longitude double, timestamp string, seq long"))).first()
+    assert (report["missing_timestamp_rows"], report["duplicate_rows"], report["output_rows"]) == (50, 1, 1)
+
+
+def test_many_sides_go_by_array(spark):
+    ring = [(float(np.cos(a)), float(np.sin(a))) for a in np.linspace(0, 6.2, 60)]
+    zones = spark.createDataFrame([("z", 0, "round", "t", ring), ("z", 1, "far", "t", [(x + 9, y) for x, y in ring])], dimensions.ZONE_SCHEMA)
+    one = zones.filter("zone_ord = 0")
+    df = track(spark, [(0.0, 0.0, 1.0, 1.0), (1.05, 0.0, 1.0, 1.0), (0.5, 0.4, 1.0, 1.0), (20.0, 0.0, 1.0, 1.0)])
+    plans = [geofence.check_zones(df, z) for z in (one, zones)]
+    assert [len(p.columns) for p in plans] == [len(df.columns) + 6] * 2
+    assert [[(r["inside"], r["near"]) for r in p.orderBy("seq").collect()] for p in plans] == [[(True, False), (False, True), (True, False), (False, False)]] * 2
+    none = geofence.check_zones(df, zones.filter("false")).collect()
+    assert {(r["zone_status"], r["min_dist_deg"], r["nearest_zone"]) for r in none} == {("Open Waters", None, "")}
+
+
+def test_failing_sink_does_not_break(spark, tmp_path, small):
+    got = pipeline.run(fixtures.tracks(spark, small), dimensions.zones(spark), models=False)
+    (tmp_path / "file").write_text("no folder")
+    store = history.HistoryStore(spark, str(tmp_path / "file"))
+    told = store.try_write_run(got.latest, got.features, got.latest.select("vessel_id", F.lit(0.5).alias("anomaly_score"), F.lit(False).alias("is_anomalous")), got.risk, got.alerts, "feed", "bay")
+    assert told["written"] is False and told["error"] and got.risk.count() == 15
+
+
+def test_pipeline_is_one_pass(spark, small):
+    t = fixtures.tracks(spark, small)
+    plan = pipeline.fleet(t, dimensions.zones(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(vessel_id") == 1 and plan.count("FileScan parquet") == 1 and "Python" not in plan
+    risk_plan = pipeline.run(t, dimensions.zones(spark), models=False).risk._jdf.queryExecution().executedPlan().toString()
+    assert risk_plan.count("FileScan parquet") == 1 and "Exchange" not in risk_plan
 
 
 def test_recent_and_trajectories(spark):

@@ -1,9 +1,14 @@
 """Streams against their batch twins."""
 
+import datetime as dt
+import json
+import time
+
 from pyspark.sql import functions as F
 
 from fairlead.operators import alert_rules, tracks
 from fairlead.plans import fixtures, queries
+from fairlead.sources import dimensions
 from fairlead.streaming import jobs, messages, state
 
 
@@ -44,3 +49,73 @@ def test_windowed_counts_and_replay(spark, small, tmp_path):
     jobs.write_replay(t, str(tmp_path / "r"), 5)
     assert spark.read.parquet(str(tmp_path / "r")).groupBy("tick").count().count() == 5
     assert jobs.counts_by_window(t, "1 hour", "30 minutes").agg(F.sum("messages")).first()[0] == 2 * t.count()
+
+
+OBSERVED = "vessel_id string, seq long, timestamp timestamp, latitude double, longitude double, speed double, heading double, course double, nav_status int"
+
+
+def streamed(spark, folder, batches):
+    """The last state after batches of rows, one file a batch, in this order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, OBSERVED).coalesce(1).write.parquet(f"{folder}/all/{i}")
+    import glob
+    import os
+    import shutil
+
+    os.makedirs(f"{folder}/in")
+    for i in range(len(batches)):
+        (part,) = glob.glob(f"{folder}/all/{i}/part-*.parquet")
+        shutil.copy(part, f"{folder}/in/{i}.parquet")
+        os.utime(f"{folder}/in/{i}.parquet", (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
+    stream = spark.readStream.schema(OBSERVED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = []
+    jobs.run_available(state.vessel_state(stream, "1 day", stale_seconds=10**6), lambda df, n: out.append({r["vessel_id"]: r for r in df.collect()}), f"{folder}/c", "update")
+    return out
+
+
+def at(minute, lat, vessel="A", **more):
+    row = {"speed": lat * 2, "heading": 10.0, "course": 20.0, "nav_status": 1} | more
+    return (vessel, minute, dt.datetime(2025, 1, 1, 0, minute), lat, 0.0, row["speed"], row["heading"], row["course"], row["nav_status"])
+
+
+def test_late_positions_never_replace_newer_ones(spark, tmp_path):
+    out = streamed(spark, tmp_path, [[at(10, 1.0), at(20, 2.0, heading=None)], [at(5, 0.5), at(15, 1.5)], [at(30, 3.0)]])
+    late, last = out[1]["A"], out[2]["A"]
+    assert (late["latitude"], late["timestamp"], late["messages"]) == (2.0, dt.datetime(2025, 1, 1, 0, 20), 4)
+    assert (late["prev_latitude"], late["prev_speed"], late["first_latitude"], late["track_points"]) == (1.5, 3.0, 0.5, 4)
+    assert (last["latitude"], last["prev_latitude"], last["prev_heading"], last["course"], last["nav_status"]) == (3.0, 2.0, None, 20.0, 1)
+
+
+def test_static_data_is_merged_in_state_and_late_blanks_replace_none(spark, tmp_path):
+    static = lambda minute, **s: json.dumps({"MessageType": "ShipStaticData", "MetaData": {"MMSI": 7, "time_utc": f"2025-01-01 00:{minute:02d}:00 +0000 UTC"}, "Message": {"ShipStaticData": s}})
+    place = lambda minute, lat: json.dumps({"MessageType": "PositionReport", "MetaData": {"MMSI": 7, "time_utc": f"2025-01-01 00:{minute:02d}:00 +0000 UTC"}, "Message": {"PositionReport": {"Latitude": lat, "Longitude": 1.0}}})
+    lines = [place(1, 1.0), static(2, Name="OLD", Type="70"), static(9, Name=" ", Type="0", Destination="PORT"), static(5, Name="NEW"), place(8, 2.0), "{bad"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    row = jobs.final_state(spark, df, files=3).collect()
+    assert [(r["vessel_id"], r["latitude"], r["ship_name"], r["ship_type"], r["destination"]) for r in row] == [("7", 2.0, "NEW", "Cargo", "PORT")]
+
+
+def test_live_counters(spark, small, tmp_path):
+    fixtures.messages(spark, small).select("value").repartition(3).write.text(str(tmp_path / "in"))
+    counters = jobs.LiveCounters()
+    spark.streams.addListener(counters)
+    try:
+        watched = jobs.LiveCounters.observed(messages.parsed(jobs.message_stream(spark, str(tmp_path / "in"))))
+        jobs.run_available(watched, lambda df, n: df.write.format("noop").mode("overwrite").save(), str(tmp_path / "c"))
+        for _ in range(100):
+            if counters.counts["messages"] >= 1000:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.counts["messages"] == 1000 and 0 < counters.counts["failures"] < 50 and counters.counts["static_messages"] > 100
+
+
+def test_live_rescore_of_active_vessels(spark, small, tmp_path):
+    t = fixtures.tracks(spark, small)
+    t.repartitionByRange(2, "timestamp").write.parquet(str(tmp_path / "in"))
+    states = state.vessel_state(jobs.replay_stream(spark, str(tmp_path / "in"), t.schema, 10), stale_seconds=10**9)
+    rescore = jobs.rescorer(dimensions.zones(spark))
+    jobs.live_rescore(states, t, rescore, str(tmp_path / "out"), str(tmp_path / "c"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() > 0 and found.agg(F.max("overall_score"), F.min("overall_score")).first()[1] >= 0
