@@ -389,7 +389,7 @@ STATIC_LAST = (
 ORACLES["streaming_alerts"] = ORACLES["alert_cooldown"]
 ORACLES["streaming_state"] = select(
     STATIC,
-    f"""SELECT id AS vessel_id, p.t AS us, round(p.latitude, 4) AS latitude, round(p.longitude, 4) AS longitude, round(p.speed, 4) AS speed, round(q.latitude, 4) AS prev_latitude, round(q.speed, 4) AS prev_speed, p.nav_status, q.heading AS prev_heading, first_us, messages,
+    f"""SELECT id AS vessel_id, p.t AS us, round(p.latitude, 5) AS latitude, round(p.longitude, 5) AS longitude, round(p.speed, 5) AS speed, round(q.latitude, 5) AS prev_latitude, round(q.speed, 5) AS prev_speed, p.nav_status, q.heading AS prev_heading, first_us, messages,
   CAST(least(messages, 50) AS INT) AS track_points, ship_name, ship_type, destination
 FROM (SELECT id, list(struct_pack(t := t, latitude := latitude, longitude := longitude, speed := CASE WHEN seq % 5 <> 0 THEN speed END, heading := heading, nav_status := CAST(seq % 16 AS INT)) ORDER BY t DESC, seq DESC) AS ps, min(t) AS first_us, count(*) AS messages,
     ps[1] AS p, ps[2] AS q FROM (SELECT *, CAST(user_id AS VARCHAR) AS id, us // 1000000 * 1000000 AS t FROM clean WHERE seq % 31 <> 0 AND seq % 7 <> 0 AND seq % 11 <> 0) GROUP BY id)
