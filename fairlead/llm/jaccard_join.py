@@ -39,6 +39,8 @@ SKETCH_BITS = 24
 CHUNKS = 64
 #: Cells of classes that are verified together have about this many, and so many shingles.
 CELL, CELL_SHINGLES = 512, 1_000_000
+#: Texts are hashed in parts of about so many characters: a hash of each byte takes eight.
+CHARS = 500_000
 
 
 def shingles(texts: list[str], size: int = 3) -> list[np.ndarray]:
@@ -83,7 +85,7 @@ def sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS) -> np.n
 
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 for x in shingles(texts[a:b], size):
                     held.append((x >> np.uint64(64 - bits)).astype(np.int32))
                     n += len(x)
@@ -140,7 +142,7 @@ def with_prefixes(df: DataFrame, text: str, size: int, percent: int, shared: Bro
         for batch in batches:
             texts = [x or "" for x in batch.column(len(rest)).to_pylist()]
             sizes, nodes, groups, prefixes = [], [], [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 for x in shingles(texts[a:b], size):
                     x = np.unique(x)
                     sizes.append(len(x))
@@ -318,7 +320,7 @@ def star_links(pairs: DataFrame, places: DataFrame, docs: DataFrame, size: int,
         now, sets, joined = None, {}, Joined()
         for batch in batches:
             data = batch.to_pydict()
-            for start, end in slices([x or "" for x in data["text"]]):
+            for start, end in slices([x or "" for x in data["text"]], CHARS):
                 found, out = shingles([x or "" for x in data["text"][start:end]], size), []
                 for i in range(start, end):
                     if now != (cells := (data["u"][i], data["v"][i])):
@@ -371,7 +373,7 @@ def open_links(meets: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
         for batch in batches:
             data = batch.to_pydict()
-            for start, end in slices([x or "" for x in data["text"]]):
+            for start, end in slices([x or "" for x in data["text"]], CHARS):
                 for i, found in enumerate(shingles([x or "" for x in data["text"][start:end]], size), start):
                     if now != (cells := (data["u"][i], data["v"][i])):
                         yield from links()
