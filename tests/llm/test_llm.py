@@ -669,6 +669,41 @@ def test_hot_groups_of_copies(spark):
     assert got == brute_components(texts, 3, 90)
 
 
+def test_empty_tables_and_repeated_rows(spark):
+    none, twice = frame(spark, []), frame(spark, ["a@b.cd one two", "é"]).union(frame(spark, ["a@b.cd one two", "é"]))
+    assert pii.detect_pii(none).isEmpty() and pii.redact(none).isEmpty()
+    assert media.media_features(media.to_media(none)).isEmpty()
+    assert quality_classifier.classify(none, None).isEmpty() and quality_classifier.train(none, spark.createDataFrame([], "doc_id long, quality int")) is None
+    for rows in (pii.detect_pii(twice).select("doc_id", "spans"), media.media_features(media.to_media(twice)), quality_rules.judge(twice).select("doc_id", "kept"), lm_score.score(twice)):
+        found = [str(r) for r in rows.collect()]
+        assert len(found) == 4 and len(set(found)) == 2
+    pages = spark.createDataFrame([(1, "u", "<p>one two three</p>", "x")] * 2 + [(2, None, "<p>" + "word " * 200_000, "y")], "page_id long, url string, html string, n_chars string")
+    texts = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()]
+    assert len(texts) == 3 and len(set(texts)) == 2 and max(t[2] for t in texts) == 999_999
+
+
+def test_stages_on_edges(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = "The one and the other went to the town, and there they met. " * 6
+    rows = [(1, good), (1, good), (None, good + "Again they met."), (None, None), (2, None), (3, ""), (4, " \n"), (5, "long " + "word and text, " * 40_000), (6, "Mail me at joe@mail.com, " + good)]
+    df = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, df, small)
+        empty = stage(spark, df.limit(0), small)
+        assert empty.isEmpty() and empty.columns == found.columns
+        if name == "packing":
+            assert sum(r["length"] for r in found.collect() if r["start"] + r["length"] == r["doc_tokens"]) > 0
+            continue
+        assert found.columns == df.columns
+        kept = sorted(((r["doc_id"] or 0), r["text"] or "") for r in found.collect())
+        if name == "near copies":
+            assert kept.count((1, good)) == 1 and {(0, ""), (2, ""), (3, ""), (4, " \n")} <= set(kept)
+        elif name == "quality rules":
+            assert not any(not t.strip() for _, t in kept)
+        elif name == "personal data":
+            assert kept == sorted(((d or 0), (t or "").replace("joe@mail.com", "<email>")) for d, t in rows)
+
+
 def test_pipeline_stages(spark, small, docs, hf):
     pipeline = pytest.importorskip("corpus_pipeline")
     from fairlead.llm.common import written
