@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from fairlead.functions import codes
 from fairlead.operators import alert_rules, behaviour, cleaning, features, geofence, iforest, reports, risk, sequences, tracks
 from fairlead.plans import fixtures, pipeline
 from fairlead.sources import dimensions, history, positions
-from fairlead.sources.tables import written
+from fairlead.sources.tables import shared_folder, written
 from fairlead.streaming import jobs, messages
 
 
@@ -37,10 +38,19 @@ def quality_report(spark, sf_dir):
     return cleaning.quality_report(cleaning.judged(fixtures.raw_positions(spark, sf_dir)))
 
 
-def alias_normalise(spark, sf_dir):
+def aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw positions under other names, normalised and coerced."""
     raw = fixtures.raw_positions(spark, sf_dir)
     named = raw.select(F.col("vessel_id").alias(" MMSI "), F.col("timestamp").alias("BaseDateTime"), F.col("latitude").alias("LAT"), F.col("longitude").alias("Long"), F.col("speed").alias("SOG"), F.col("heading").alias("COG"), F.col("heading").alias("Heading"))
-    rows = positions.coerced(positions.normalise(named)).filter("NOT rejected")
+    return positions.coerced(positions.normalise(named))
+
+
+def ingest_report(spark, sf_dir):
+    return positions.ingest_report(aliased(spark, sf_dir))
+
+
+def alias_normalise(spark, sf_dir):
+    rows = aliased(spark, sf_dir).filter("NOT rejected")
     return rows.groupBy("vessel_id").agg(F.count("*").alias("n"), F.max(F.unix_micros("timestamp")).alias("last_us"), F.round(F.sum("Heading_src"), 2).alias("headings"))
 
 
@@ -362,6 +372,38 @@ def positions_anti_append(spark, sf_dir):
     return rows.groupBy("vessel_id").agg(F.count("*").alias("n"))
 
 
+def two_runs(spark: SparkSession, sf_dir: str) -> history.HistoryStore:
+    """A history of two equal runs of the pipeline, in the shared folder."""
+    t, latest, _ = parts(spark, sf_dir)
+    rows = risk_rows(spark, sf_dir)
+    anomaly = latest.select("vessel_id", F.lit(0.5).alias("anomaly_score"), F.lit(False).alias("is_anomalous"))
+    store = history.HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    for _ in range(2):
+        store.write_run(latest, feature_matrix(spark, sf_dir), anomaly, rows, risk.alerts(rows), "feed", "bay", t)
+    return store
+
+
+def history_summary(spark, sf_dir):
+    return two_runs(spark, sf_dir).summary()
+
+
+def history_recent_risk(spark, sf_dir):
+    return two_runs(spark, sf_dir).recent_risk(20).select("vessel_id", "overall_score", "risk_level")
+
+
+def history_vessel(spark, sf_dir):
+    """The history of the first vessel of the fleet: its risk in both runs."""
+    store = two_runs(spark, sf_dir)
+    first = store.table("vessels").agg(F.min("vessel_id")).first()[0]
+    return store.vessel_recent(first, 10)[0].select("vessel_id", "overall_score", "behavior")
+
+
+def dedupe_exact(spark, sf_dir):
+    """Positions that come twice, told from those that come once."""
+    rows = fixtures.raw_positions(spark, sf_dir).drop("seq")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("positions"))
+
+
 def alert_rows(spark, sf_dir):
     return alert_rules.evaluate(ticked_risk(spark, sf_dir)).withColumnRenamed("tick", "created_at")
 
@@ -441,9 +483,9 @@ def tumbling_counts(spark, sf_dir):
 
 
 ALL = [
-    clean_positions, quality_report, alias_normalise, region_filter, latest_position, recent_window_20, first_seen_prev_value, step_metrics, trajectory_export, tick_buckets, state_as_of_tick,
+    clean_positions, quality_report, ingest_report, dedupe_exact, alias_normalise, region_filter, latest_position, recent_window_20, first_seen_prev_value, step_metrics, trajectory_export, tick_buckets, state_as_of_tick,
     tick_progress, geofence_latest, geofence_all_positions, geofence_grid, behaviour_metrics, behaviour_labels, base_features, feature_matrix, feature_json, feature_json_values, sequence_windows, sequence_windows_all, temporal_scores,
     temporal_fixed_score, iforest_scores, iforest_fixed_score, anomaly_ranking, minmax_normalise, risk_components, risk_scores, risk_factor_breakdown, risk_reasons, risk_alerts, fleet_stats, fleet_ranked, medium_risk_top_factors,
-    high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
+    high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, history_summary, history_recent_risk, history_vessel, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
     ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts,
 ]

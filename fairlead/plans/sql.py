@@ -6,7 +6,7 @@ the named parts below.
 
 from __future__ import annotations
 
-from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL
+from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL, TRACKS_SQL
 from fairlead.plans.queries import FIXED_FOREST, FIXED_MEAN, FIXED_REFERENCE, FIXED_SCALE
 from fairlead.sources.dimensions import ZONES
 
@@ -401,3 +401,15 @@ ORACLES["live_table"] = select(
 FROM latest l LEFT JOIN (SELECT 'V' || lpad(vessel_id, 4, '0') AS vessel_id, arg_max(ship_name, CASE WHEN ship_name IS NOT NULL THEN seq END) AS ship_name, arg_max(ship_type, CASE WHEN ship_type <> 'Unknown' THEN seq END) AS ship_type, arg_max(destination, CASE WHEN destination IS NOT NULL THEN seq END) AS destination
     FROM static GROUP BY vessel_id) s USING (vessel_id) LEFT JOIN (SELECT vessel_id, overall_score, risk_level FROM risk WHERE overall_score >= 20) r USING (vessel_id)""",
 )
+ORACLES["ingest_report"] = select(
+    RAW_SQL,
+    "SELECT count(*) AS input_rows, count(*) FILTER (NOT ok) AS dropped_rows, count(*) FILTER (ok) AS positions, count(DISTINCT CASE WHEN ok THEN vessel_id END) AS vessels "
+    "FROM (SELECT *, vessel_id <> '' AND us IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AS ok FROM raw)",
+)
+ORACLES["dedupe_exact"] = select(TRACKS_SQL, "SELECT CAST(CASE WHEN seq % 50 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n, count(*) AS positions FROM tracks GROUP BY 1")
+ORACLES["history_summary"] = select(
+    RISK,
+    "SELECT count(*) AS vessels, (SELECT count(*) FROM (SELECT DISTINCT vessel_id, us, latitude, longitude FROM clean)) AS positions, 2 * count(*) AS risk_scores, 2 * (SELECT count(*) FROM alerts) AS alerts, 2 * (SELECT count(*) FROM alerts WHERE level = 'HIGH') AS high_alerts FROM risk",
+)
+ORACLES["history_recent_risk"] = select(RISK, "SELECT vessel_id, overall_score, risk_level FROM risk ORDER BY vessel_id DESC LIMIT 20")
+ORACLES["history_vessel"] = select(RISK, "SELECT vessel_id, overall_score, behavior FROM risk CROSS JOIN (VALUES (1), (2)) WHERE vessel_id = (SELECT min(vessel_id) FROM risk)")

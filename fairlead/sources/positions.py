@@ -6,16 +6,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The names that a source may give a column, lower-cased.
-ALIASES = {
-    "vessel_id": ["mmsi", "vessel_id", "vesselid", "id", "ship_id"],
-    "latitude": ["lat", "latitude", "y"],
-    "longitude": ["lon", "long", "lng", "longitude", "x"],
-    "speed": ["sog", "speed", "speed_over_ground"],
-    "heading": ["cog", "heading", "course", "course_over_ground"],
-    "timestamp": ["basedatetime", "base_date_time", "timestamp", "time", "datetime", "t"],
-}
-TARGET = {alias: name for name, aliases in ALIASES.items() for alias in aliases}
+#: The names that a source may give a column, lower-cased, and the known names.
+TARGET = {
+    "mmsi": "vessel_id", "vessel_id": "vessel_id", "vesselid": "vessel_id", "id": "vessel_id", "ship_id": "vessel_id",
+    "lat": "latitude", "latitude": "latitude", "y": "latitude",
+    "lon": "longitude", "long": "longitude", "lng": "longitude", "longitude": "longitude", "x": "longitude",
+    "sog": "speed", "speed": "speed", "speed_over_ground": "speed",
+    "cog": "heading", "heading": "heading", "course": "heading", "course_over_ground": "heading",
+    "basedatetime": "timestamp", "base_date_time": "timestamp", "timestamp": "timestamp", "time": "timestamp", "datetime": "timestamp", "t": "timestamp",
+}
 REQUIRED = ("vessel_id", "latitude", "longitude")
 DAY_FIRST = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy")
 
@@ -77,6 +76,12 @@ def coerced(df: DataFrame) -> DataFrame:
     return df.withColumns({"rejected": ~F.coalesce(ok, F.lit(False)), "seq": F.monotonically_increasing_id(), **own})
 
 
+def ingest_report(rows: DataFrame) -> DataFrame:
+    """One row of counts over the rows of ``coerced``: input_rows, dropped_rows, positions, vessels."""
+    kept = ~F.col("rejected")
+    return rows.agg(F.count("*").alias("input_rows"), F.count_if("rejected").alias("dropped_rows"), F.count_if(kept).alias("positions"), F.countDistinct(F.when(kept, F.col("vessel_id"))).alias("vessels"))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """Valid positions of a CSV (with header), Parquet or JSON source."""
     try:

@@ -376,3 +376,59 @@ def test_trajectory_rows_are_bounded(spark):
     assert max(len(r["points"]) for r in chunks) == 7
     for vessel, n in (("A", 50), ("B", 30)):
         assert [p["seq"] for r in chunks if r["vessel_id"] == vessel for p in r["points"]] == list(range(n))
+
+
+def test_source_metadata_has_a_default():
+    assert dimensions.source_meta("Historical AIS")["region"] == "Danish Waters"
+    assert dimensions.source_meta("nowhere") == dimensions.source_meta("Simulated")
+
+
+def test_geometry_alone_leaves_other_metrics_at_zero(spark):
+    df = track(spark, [(0.01 * i, 0.0, 1.0, 1.0) for i in range(5)])
+    bare = df.withColumns({"speed": F.lit(None).cast("double"), "heading": F.lit(None).cast("double"), "timestamp": F.lit(None).cast("timestamp")})
+    row = behaviour.analyse(bare).first()
+    assert row["distance_travelled_km"] > 4 and row["position_count"] == 5
+    assert {row[n] for n in ("avg_speed", "max_speed", "speed_std", "mean_heading_change", "max_ais_gap_minutes", "trajectory_duration_minutes", "stationary_ratio")} == {0.0}
+
+
+def test_history_without_positions_and_streamed_alerts(spark, tmp_path, small):
+    got = pipeline.run(fixtures.tracks(spark, small), dimensions.zones(spark), models=False)
+    anomaly = got.latest.select("vessel_id", F.lit(0.5).alias("anomaly_score"), F.lit(False).alias("is_anomalous"))
+    store = history.HistoryStore(spark, str(tmp_path / "h"))
+    for _ in range(2):
+        counts = store.write_run(got.latest, got.features, anomaly, got.risk, got.alerts, "feed", "bay")
+    assert counts["positions"] == 0 and store.table("positions").filter("timestamp IS NULL").count() == 15  # null equals null
+    run = store.table("risk_scores").first()["run_id"]
+    alerts = spark.createDataFrame([("A", "HIGH", "m", "r", "AIS_GAP", 3)], "vessel_id string, level string, message string, reason string, alert_type string, tick int")
+    before = store.table("alerts").count()
+    store.append_alerts(alerts, run)
+    row = store.table("alerts").filter("vessel_id = 'A'").first()
+    assert store.table("alerts").count() == before + 1 and row["created_at"] is not None and row["tick"] == 3
+    assert store.alert_panel(3).first()["level"] == "HIGH"
+    risk_, alerts_ = store.vessel_recent("V0001")
+    assert risk_.count() == 2 and {r["vessel_id"] for r in risk_.collect()} == {"V0001"}
+
+
+def test_sequence_model_is_stored_and_retrained_when_it_does_not_fit(spark, tmp_path, small):
+    t, path = fixtures.tracks(spark, small), str(tmp_path / "m")
+    vessels = t.select("vessel_id").distinct()
+    first, status = sequences.detect(vessels, t, path)
+    again, loaded = sequences.detect(vessels, t, path)
+    assert (status, loaded) == ("trained", "loaded") and sorted(first.collect()) == sorted(again.collect())
+    _, status = sequences.detect(vessels, t, path, cfg=replace(DEFAULT, sequence_length=8))
+    assert status == "retrained"
+    assert {r[2] for r in sequences.detect(vessels, t.limit(0))[0].collect()} == {"insufficient_data"}
+
+
+def test_tracks_are_written_in_order(spark, small):
+    t = tracks.ordered(fixtures.tracks(spark, small).orderBy(F.desc("seq")))
+    for rows in t.rdd.glom().collect():
+        assert [(r["vessel_id"], r["timestamp"], r["seq"]) for r in rows] == sorted((r["vessel_id"], r["timestamp"], r["seq"]) for r in rows)
+    assert tracks.track(t, "V0003").count() == t.filter("vessel_id = 'V0003'").count()
+
+
+def test_alert_orders(spark):
+    rows = spark.createDataFrame([("MEDIUM", 90, "A"), ("HIGH", 60, "C"), ("HIGH", 60, "B")], "level string, overall_score int, vessel_id string")
+    assert [r["vessel_id"] for r in rows.orderBy(*risk.alert_order()).collect()] == ["B", "C", "A"]
+    ticks = spark.createDataFrame([(1, 5, "A", "X"), (1, 9, "B", "X"), (0, 1, "C", "X")], "tick long, overall_score int, vessel_id string, alert_type string")
+    assert [r["vessel_id"] for r in ticks.orderBy(*alert_rules.order()).collect()] == ["C", "B", "A"]
