@@ -125,11 +125,12 @@ class Packer:
         return pieces
 
 
-def with_steps(pieces: DataFrame, step_tokens: int) -> DataFrame:
-    """``pieces`` (a written table) with step_group in place of _nth, the number of a piece's sequence
-    among those of its tier and task. A number for each task and tier is all that meets."""
+def with_steps(pieces: DataFrame, counted: DataFrame, step_tokens: int) -> DataFrame:
+    """``pieces`` with step_group in place of _nth, the number of a piece's sequence among those of its
+    tier and task. counted: a written table of the same pieces; a number for each task and tier is all
+    that meets."""
     task = F.shiftright("sequence_id", TASK_BITS)
-    counts = pieces.filter("offset = 0").groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.count("*").alias("n"))
+    counts = counted.filter("offset = 0").groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("_tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(counts.select("_task", "_tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "packed-steps")
     joined = pieces.join(if_small(bases), (task == F.col("_task")) & (F.col("tier") == F.col("_tier")))
@@ -147,6 +148,17 @@ def pack(df: DataFrame, path: str, text: str = "text", end_id: int = 1, tiers: t
     documents of the end id alone. Repeated rows are packed each on its own. An empty table gives
     no rows. Other columns of ``df`` are left out, so their names can't clash.
     """
+    if with_ids:
+        # sequences are counted in a pass of their own, so that ids are made once and not written to be read again
+        counted = written(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, False), "packed")
+        return with_steps(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, True), counted, step_tokens)
+    pieces = written(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, False), "packed")
+    return with_steps(pieces, pieces, step_tokens)
+
+
+def pieces_of(df: DataFrame, path: str, text: str, end_id: int, tiers: tuple[int, ...], keep: tuple[str, ...], pool_tokens: int, with_ids: bool) -> DataFrame:
+    """The pieces of ``pack`` with _nth in place of step_group. The same table read again is dealt out in
+    the same way and gives the same pieces."""
     fields = [df.schema[c] for c in keep] + [T.StructField("_nth" if n == "step_group" else n, T.IntegerType() if t == "int" else T.LongType()) for n, t in COLUMNS]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
@@ -200,4 +212,4 @@ def pack(df: DataFrame, path: str, text: str = "text", end_id: int = 1, tiers: t
                     yield from flush(False)
         yield from flush(True)
 
-    return with_steps(written(df.select(*keep, text).mapInArrow(run, schema), "packed"), step_tokens)
+    return df.select(*keep, text).mapInArrow(run, schema)

@@ -149,6 +149,11 @@ def test_steps_are_balanced_over_the_table(spark, small):
     assert len({r["sequence_id"] for r in few if r["tier"] not in packing.TIERS}) <= 8
     check = lambda rows: sorted((r["doc_id"], r["start"] + r["length"]) for r in rows if r["start"] + r["length"] == r["doc_tokens"])
     assert check(few) == check(rows)
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"], r["tier"], r["step_group"])
+    table = packing.written(df, "steps")
+    with_ids = packing.pack(table, PATH, with_ids=True, step_tokens=8192).collect()
+    assert sorted(map(key, with_ids)) == sorted(map(key, packing.pack(table, PATH, step_tokens=8192).collect()))
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in with_ids)
 
 
 def test_packing_edges(spark, hf):
