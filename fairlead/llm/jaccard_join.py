@@ -196,10 +196,13 @@ def hits_of(rows: DataFrame) -> DataFrame:
     are told apart by their hash alone, so that no prefix is shuffled to find them."""
     tokens = rows.select("group", "n_shingles", F.posexplode("prefix").alias("place", "token"))
     tokens = tokens.select("token", "group", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("place")).alias("at"))  # a narrow row
-    counts = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("group").alias("low"), F.max("group").alias("high"))
-    shared = written(counts.filter("low < high").select("token", "m"), "jaccard-shared")
-    hits = written(tokens.join(shared, "token").groupBy("token", "group").agg(F.max("at").alias("at"), F.max("m").alias("m")), "jaccard-hits")
+    # of most shingles only their number is shuffled; copies of one group are told from others after that
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
+    met = written(tokens.join(shared, "token").groupBy("token", "group").agg(F.max("at").alias("at"), F.max("m").alias("m")), "jaccard-met")
     discard(shared)
+    several = met.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("token")
+    hits = written(met.join(several, "token"), "jaccard-hits")
+    discard(met)
     ranks = hits.groupBy("group").agg(F.sum("m").alias("rank"))
     places = [F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("place")]
     found = written(hits.select("token", "group", *places).join(ranks, "group"), "jaccard-ranked")
@@ -400,10 +403,12 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     # 2 ** SKETCH_BITS numbers of 2 bytes
     shared = df.sparkSession.sparkContext.broadcast(sketch(docs, "text", size))
     rows = written(with_prefixes(docs, "text", size, percent, shared), "jaccard-rows")
+    hits = hits_of(rows.filter("node IS NOT NULL"))
+    long, rows = rows, written(rows.drop("prefix"), "jaccard-documents")
+    discard(long)  # the prefixes are the larger part
     full = rows.filter("node IS NOT NULL")
     labels = links = None
     classes = written(classes_of(full), "jaccard-classes")
-    hits = hits_of(full)
     star = written(stars(hits, percent), "jaccard-stars")
     places = written(placed(classes, hits, star), "jaccard-places")
     leads = places.filter("node = lead").select(F.col("group").alias("head"), F.col("lead").alias("a"))
