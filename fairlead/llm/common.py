@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.sources.tables import discard, shared_folder, written  # noqa: F401  shared with the operators
+
 #: Python code looks at this many characters at a time, so that memory does not follow the
 #: length of an Arrow batch.
 CHARS_AT_ONCE = 2_000_000
@@ -20,35 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one
-    machine (tests) takes a folder in the warehouse; on a cluster it is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_fairlead").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    It cuts the lineage: what is computed once is neither recomputed by a second reader nor lost
-    with an executor.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.written_to = path
-    return table
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes what ``written`` wrote, once nothing reads it any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, to be broadcast if it has at most ``rows`` rows."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
