@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, html_extract, jaccard_join, lm_score, media, packing, pii, quality_classifier, quality_rules, sql, warc
+from fairlead.llm import bpe, html_extract, jaccard_join, lexical, lm_score, media, packing, pii, quality_classifier, quality_rules, spelling, sql, vantage, warc
 from fairlead.llm.common import table
 
 #: Arrow batches of the queries over whole texts: long documents come in small batches.
 BATCH_ROWS = 1000
 TOKENIZER = "word_bpe_49k.json"
+#: How far nearest-neighbour search relaxes its pruning.
+FACTOR = 2.0
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -77,6 +79,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir, "doc_id", "text", "lang"), group="lang")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir, "doc_id", "text"), spoil_every=97)
+
+
+def op12_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours(table(spark, sf_dir, "embeddings"), factor=FACTOR)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir, "doc_id", "text"))
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op2 SQL can say: all but the verdict."""
     return op2_quality_rules(spark, sf_dir).drop("kept", "quality_probability")
@@ -100,6 +114,7 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_bpe, op2_quality_rules, op3_packing, op4_pii, op5_quality_classifier, op6_jaccard_join, op7_html_extract, op8_media, op9_warc, op10_lm_score]
+    own += [op11_spelling, op12_vantage, op13_lexical]
     own += [rules_base, pii_counts, media_payload, lm_base]
     return {f.__name__: f for f in own}
 

@@ -89,4 +89,53 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(to
 FROM tokens LEFT JOIN counts ON tokens.w = counts.w CROSS JOIN sums GROUP BY doc_id, held_out
 """
 
-ORACLES = {"op6_jaccard_join": OP6, "op9_warc": OP9, "rules_base": RULES_BASE, "media_payload": MEDIA_PAYLOAD, "pii_counts": PII_COUNTS, "lm_base": LM_BASE}
+OP11 = f"""
+WITH RECURSIVE crcs AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b)) AS crc),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+    WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+    SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h, crc FROM runs, crcs),
+summed AS (
+    SELECT run, n, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+        lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS c FROM hashed),
+spoiled AS (SELECT n, CASE WHEN c % 97 = 0 THEN substr(run, 1, (c % length(run))::INTEGER) || substr(run, (c % length(run))::INTEGER + 2) ELSE run END AS word FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM words)),
+pairs AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -m, 'other': other}}) AS top FROM pairs GROUP BY word),
+forms AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 2 * n THEN top.other END AS form, CASE WHEN -top.less >= 2 * n THEN -top.less END AS form_n
+    FROM words LEFT JOIN best ON words.word = best.word),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN forms ON chain.root = forms.word WHERE form IS NULL)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN ends ON forms.word = ends.word
+"""
+
+OP12 = """
+WITH own AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score FROM own q JOIN own c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, {TERMS} AS ts FROM documents),
+sums AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM texts),
+postings AS (SELECT r, doc_id, len(ts) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS t FROM texts) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, sums GROUP BY t),
+items AS (SELECT DISTINCT item_id, i, unnest(ts) AS t FROM (SELECT item_id, row_number() OVER () AS i, {TERMS} AS ts FROM benchmark)),
+scored AS (
+    SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM items JOIN postings USING (t) JOIN weights USING (t), sums GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op11_spelling": OP11, "op12_vantage": OP12, "op13_lexical": OP13, "op6_jaccard_join": OP6, "op9_warc": OP9, "rules_base": RULES_BASE, "media_payload": MEDIA_PAYLOAD, "pii_counts": PII_COUNTS, "lm_base": LM_BASE}
