@@ -149,10 +149,10 @@ def added(lists: pa.Table, scores: np.ndarray, places: dict[int, int], m: np.nda
 def stage(bundles: DataFrame, lists: DataFrame, owner: int, n_docs: int, n_terms: int, top: int) -> DataFrame:
     """One owner's stage: ``bundles`` with the contributions of its ``lists`` (shard, bundle, docs, freqs,
     items, weight) added, without documents that can't win any more."""
-    names = [f.name for f in bundles.schema]
+    names = bundles.columns  # shard, bundle, ids (can hold nulls), then what is numbers
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0].values.to_numpy() for c in names[2:]}
+        row = {c: left.column(c)[0].values.to_numpy() for c in names[3:]}
         scores = np.zeros((len(row["items"]), len(row["lengths"])), np.int64)
         scores[np.repeat(np.arange(len(row["ends"])), np.diff(row["ends"], prepend=0)), row["docs"]] = row["scores"]
         if right.num_rows:
@@ -165,8 +165,8 @@ def stage(bundles: DataFrame, lists: DataFrame, owner: int, n_docs: int, n_terms
         items, docs = np.nonzero(scores >= least[:, None])
         ends = np.cumsum(np.bincount(items, minlength=len(scores)))
         lists_of = {"ends": ends.astype(np.int32), "docs": docs.astype(np.int32), "scores": scores[items, docs]}
-        cells = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) if (x := lists_of.get(c)) is not None else left.column(c) for c in names[2:]]
-        return pa.table([left.column("shard"), left.column("bundle"), *cells], names=names)
+        cells = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) if (x := lists_of.get(c)) is not None else left.column(c) for c in names]
+        return pa.table(cells, names=names)
 
     return bundles.groupBy("shard", "bundle").cogroup(lists.groupBy("shard", "bundle")).applyInArrow(run, bundles.schema)
 
