@@ -17,10 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_fairlead").rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back; it cuts the lineage."""
+def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back; it cuts the lineage. options: of the
+    Parquet writer."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
