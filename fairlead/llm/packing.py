@@ -31,7 +31,10 @@ from fairlead.llm.common import if_small, ragged, slices, written
 
 TIERS = (2048, 1024, 512, 256)
 #: A task packs about this many tokens together; memory is bounded by it.
-POOL_TOKENS = 2_000_000
+POOL_TOKENS = 1_000_000
+#: Characters that are tokenised together, pieces that go to Spark together, bytes of a row group of the written
+#: table: what a task holds beside its pool.
+CHARS, PIECES_AT_ONCE, ROW_GROUP = 500_000, 1000, 16 << 20
 #: Tokens that one training step takes.
 STEP_TOKENS = 65_536
 
@@ -125,12 +128,11 @@ class Packer:
         return pieces
 
 
-def with_steps(pieces: DataFrame, counted: DataFrame, step_tokens: int) -> DataFrame:
-    """``pieces`` with step_group in place of _nth, the number of a piece's sequence among those of its
-    tier and task. counted: a written table of the same pieces; a number for each task and tier is all
-    that meets."""
+def with_steps(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """A written table of pieces with step_group in place of _nth, the number of a piece's sequence among those
+    of its tier and task. What meets is a number for each task and tier, summed over the very same rows."""
     task = F.shiftright("sequence_id", TASK_BITS)
-    counts = counted.filter("offset = 0").groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.count("*").alias("n"))
+    counts = pieces.filter("offset = 0").groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("_tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(counts.select("_task", "_tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")), "packed-steps")
     joined = pieces.join(if_small(bases), (task == F.col("_task")) & (F.col("tier") == F.col("_tier")))
@@ -148,17 +150,13 @@ def pack(df: DataFrame, path: str, text: str = "text", end_id: int = 1, tiers: t
     documents of the end id alone. Repeated rows are packed each on its own. An empty table gives
     no rows. Other columns of ``df`` are left out, so their names can't clash.
     """
-    if with_ids:
-        # sequences are counted in a pass of their own, so that ids are made once and not written to be read again
-        counted = written(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, False), "packed")
-        return with_steps(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, True), counted, step_tokens)
-    pieces = written(pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, False), "packed")
-    return with_steps(pieces, pieces, step_tokens)
+    # one pass makes the pieces, and what is counted is what is returned, however the input is dealt out
+    pieces = pieces_of(df, path, text, end_id, tiers, keep, pool_tokens, with_ids)
+    return with_steps(written(pieces, "packed", **{"parquet.block.size": ROW_GROUP}), step_tokens)
 
 
 def pieces_of(df: DataFrame, path: str, text: str, end_id: int, tiers: tuple[int, ...], keep: tuple[str, ...], pool_tokens: int, with_ids: bool) -> DataFrame:
-    """The pieces of ``pack`` with _nth in place of step_group. The same table read again is dealt out in
-    the same way and gives the same pieces."""
+    """The pieces of ``pack`` with _nth in place of step_group."""
     fields = [df.schema[c] for c in keep] + [T.StructField("_nth" if n == "step_group" else n, T.IntegerType() if t == "int" else T.LongType()) for n, t in COLUMNS]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
@@ -188,9 +186,12 @@ def pieces_of(df: DataFrame, path: str, text: str, end_id: int, tiers: tuple[int
             whole = pa.Table.from_batches(held).combine_chunks()
             cols = [whole.column(c).take(pa.array(row)).combine_chunks() for c in keep]
             cols += [pa.array(x) for x in (start, length, sums, sizes[row], sequence, offset)] + [pa.array(tier.astype(np.int32)), pa.array(nth)]
-            if with_ids:
-                cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat[ragged(a, length)].astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            for i in range(0, len(a), PIECES_AT_ONCE):
+                part = [c.slice(i, PIECES_AT_ONCE) for c in cols]
+                if with_ids:
+                    x, n = a[i : i + PIECES_AT_ONCE], length[i : i + PIECES_AT_ONCE]
+                    part.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat[ragged(x, n)].astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(part, names=schema.names)
             rest = np.array([piece[0] for piece in left], np.int64)
             tokens = sum(piece[2] for piece in left)
             held = whole.take(pa.array(rest)).to_batches() if len(rest) else []
@@ -200,7 +201,7 @@ def pieces_of(df: DataFrame, path: str, text: str, end_id: int, tiers: tuple[int
         for batch in batches:
             texts = [x or "" for x in batch.column(names.index(text)).to_pylist()]
             rest = batch.select(list(range(len(keep)))) if keep else batch
-            for a, b in slices(texts):
+            for a, b in slices(texts, CHARS):
                 got, n = t.encode(texts[a:b])
                 got = np.insert(got, np.cumsum(n), end_id)
                 held.append(rest.slice(a, b - a))
