@@ -3,7 +3,8 @@
 Base detectors find plain identifiers. Beside them a chain of transducers rewrites a text and
 keeps, for every piece of the rewritten text, the range of the source that it came from:
 character references become characters, look-alike letters and digits become ASCII and invisible
-characters go, spelled digits become digits, and "at" and "dot" disguises become signs. The same detectors run over the rewritten text;
+characters go, spelled digits become digits, and "at" and "dot" disguises become signs; unless one of these is in brackets, the
+address must end in a known top-level domain. The same detectors run over the rewritten text;
 what they find there is mapped back to source characters and added where a rewrite took part.
 
 A text is handled in its own row: nothing is shuffled. All scans are linear in the text.
@@ -44,7 +45,10 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punto|punkt|point"
+#: Words that repeat the digit after them, and spelled digits that are articles too.
+TIMES = {"double": 2, "triple": 3, "doble": 2, "doppel": 2}
+ARTICLES = frozenset(("un", "uno", "one"))
+AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe|at-sign|at sign", "dot|punto|punkt|point|d0t"
 
 CHARACTERS = str.maketrans({**LOOK_ALIKES, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **{chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966) for d in range(10)}})
 ODD = re.compile("[" + re.escape("".join(map(chr, CHARACTERS)) + INVISIBLE) + "]")
@@ -53,21 +57,22 @@ DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 GAP = r"[ \t\n,./()-]{1,3}"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 BRACKETED = rf"[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*"
-NUMBER = rf"(?:{DIGIT}|[0-9]++)(?![^\W_])"
+NUMBER = rf"(?:(?:{'|'.join(TIMES)})[ \t]+)?(?:{DIGIT}|[0-9]++)(?![^\W_])"
 #: Digits, spelled or not, with what stands between them; dots in words or brackets count.
 RUN = re.compile(rf"(?<![^\W_])(?:plus[ \t\n]+{NUMBER}|{NUMBER}(?=[ \t\n,./()\[{{<-]))(?:{BRACKETED}{NUMBER}|{GAP}(?:{NUMBER}|(?:{DOT_WORDS})(?![^\W_])))*", re.I)
-WORDS = f"{DIGIT}|plus|{DOT_WORDS}"
+WORDS = f"{DIGIT}|{'|'.join(TIMES)}|plus|{DOT_WORDS}"
 RUN_HINT = re.compile(rf"\b(?:{WORDS}){GAP}(?:[0-9]|(?:{WORDS})\b)|[0-9]{GAP}(?:{WORDS})\b|[0-9][ \t]*{OPEN}[ \t]*(?:\.|(?:{DOT_WORDS})\b)")
-TOKEN = re.compile(rf"[0-9]+|[^\W\d_]+|(?<=[\[({{<])[ \t]*\.(?=[ \t]*{CLOSE})")
+TOKEN = re.compile(rf"[dD]0[tT](?![^\W_])|[0-9]+|[^\W\d_]+|(?<=[\[({{<])[ \t]*\.(?=[ \t]*{CLOSE})")
 AT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{AT_WORDS}|@)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{AT_WORDS})[ \t]+|[ \t]+@[ \t]+|[ \t]+@|@[ \t]+|@)"
 DOT = rf"(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+|[ \t]+\.[ \t]+|\.)"
 DISGUISE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?P<at>{AT})[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
 IN_LOCAL = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:[ \t]*{OPEN}[ \t]*(?:{DOT_WORDS}|\.)[ \t]*{CLOSE}[ \t]*|[ \t]+(?:{DOT_WORDS})[ \t]+)(?=[A-Za-z0-9_%+-]{{1,63}}{AT}[A-Za-z0-9-])", re.I)
 DOTS = re.compile(DOT, re.I)
 DISGUISE_HINT = re.compile(rf"{OPEN}[ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)|\b(?:{AT_WORDS.removeprefix('at|')}|{DOT_WORDS})\b|[ \t]@|@[ \t]")
-#: Fixed value: top-level domains that are no English words, for "at" with "point" ("at this point in")
-#: and for dots between spaces ("@ noon . Then").
+#: Top-level domains, one of which must close an address without a bracketed sign ("at this point in",
+#: "look at the dot product", "@ noon . Then" are prose), and words that are no host names.
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es eu ch nl pl pt se dk fi cz ru cn jp ca au br mx".split())
+NO_HOSTS = frozenset("the a an one this that these those his her its my our your their some any no each every what which another un una uno der die das ein eine le la les el los las".split())
 
 
 def luhn(digits: str) -> bool:
@@ -187,16 +192,18 @@ def digits(r: Rewritten) -> Rewritten:
         return r
     edits = []
     for m in RUN.finditer(r.text):
-        words = [(t.start() + m.start(), t.end() + m.start(), t[0].strip().lower()) for t in TOKEN.finditer(m[0])]
+        words = without_articles([(t.start() + m.start(), t.end() + m.start(), t[0].strip().lower()) for t in TOKEN.finditer(m[0])])
         spelled = sum(w in SPELLED for *_, w in words)
         if spelled == len(words) == 1 or all(w.isdigit() for *_, w in words):
             continue
         whole = spelled >= 3 and sum(w in SPELLED or w.isdigit() for *_, w in words) >= 4
         put = []  # start, end, end with the gap behind it, what takes its place
         for (a, b, w), after in zip(words, [*words[1:], None]):
-            x = SPELLED.get(w) or ("+" if w == "plus" else w if w.isdigit() else ".")
             gap, then = (r.text[b : after[0]], after[2]) if after else ("", ".")
-            if x not in "+." and (then in SPELLED or then.isdigit()):
+            x = SPELLED.get(w) or ("+" if w == "plus" else w if w.isdigit() else ".")
+            if w in TIMES:  # stands for all but one of the digits
+                x = SPELLED.get(then, then)[:1] * (TIMES[w] - 1)
+            if x not in "+." and w not in TIMES and (then in SPELLED or then in TIMES or then.isdigit()):
                 if gap == "." or whole and "." in gap:  # a full stop before a space is prose
                     x += "."
                 elif w.isdigit() and then.isdigit() and len(w + then) > 2:
@@ -209,6 +216,19 @@ def digits(r: Rewritten) -> Rewritten:
     return r.apply(edits)
 
 
+def without_articles(words: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The words of a run without an article before its first or behind its last number in digits ("... 555-1373 Un
+    ..."), if no other digit in the run is spelled."""
+    if any(w in SPELLED and w not in ARTICLES for *_, w in words):
+        return words
+    a, b = 0, len(words)
+    while b - a > 1 and words[b - 1][2] in ARTICLES and words[b - 2][2].isdigit():
+        b -= 1
+    while b - a > 1 and words[a][2] in ARTICLES and words[a + 1][2].isdigit():
+        a += 1
+    return words[a:b]
+
+
 def hits(put: list[tuple[int, int, int, str]], words: list[tuple[int, int, str]], sign: str) -> set[int]:
     """The places in a rewritten run that detectors find to be in an identifier together with a
     spelled or disguised one; ``sign`` is what stands before the run."""
@@ -236,16 +256,16 @@ def signs(r: Rewritten) -> Rewritten:
         last = r.text[dots[-1][1] : m.end()]
         parts = [r.text[x:y] for x, y in ((a, b), *dots)]
         bracketed = any(c in p for p in parts for c in "[({<")
-        spelled_dot = any(p.strip().isalpha() for p in parts[1:])
+        spelled_dot = any(p.strip().lower() in DOT_WORDS.split("|") for p in parts[1:])
         # a bare "at" before a plain host name is prose
         sign = parts[0].strip().lower()
         hidden = bracketed or spelled_dot or (sign == "@" and parts[0] != "@") or sign in AT_WORDS.split("|")[1:]
-        if sign == "at" and any(p.strip().lower() == "point" for p in parts[1:]) and last.lower() not in TOP_LEVEL:
-            continue
-        if any(p.strip() == "." != p for p in parts[1:]) and last.lower() not in TOP_LEVEL:
-            continue
         if not hidden or not (2 <= len(last) <= 24 and last.isalpha()):
             continue
+        spaced_dot = any(p.strip() == "." != p for p in parts[1:])
+        host = r.text[b : dots[0][0]].lower()
+        if (not bracketed or spaced_dot) and (last.lower() not in TOP_LEVEL or host in NO_HOSTS):
+            continue
         edits.append((a, b, "@"))
         edits += [(x, y, ".") for x, y in dots if r.text[x:y] != "."]
     return r.apply(edits)

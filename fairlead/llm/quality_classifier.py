@@ -4,8 +4,10 @@ Trusted positives are documents labelled good; the unlabelled set is a sample of
 With the class prior (the share of good ones) known, the risk on bad documents is what is left of
 the unlabelled risk when the positives' share is taken out; held at zero or more, it can't be
 driven negative by a model that learns the positives by heart. A small network is fitted to that
-risk. The prior is estimated from the labelled rows: the share of good ones among them by the rule
-of succession, so it nears 1 with the number of labels where none is bad.
+risk. The prior is estimated from the positives and the unlabelled set alone: a first network tells the
+two apart, and on rows that it has not seen, the share of unlabelled rows above a score, over that of positives,
+is at most the share of good ones plus what bad ones score as high. That ratio, where its upper bound of sampling
+error is least, estimates the prior; labels of bad documents are not looked at.
 
 Features are dense and cheap: shares of byte-class pairs and a few measures of repetition. Fitting
 takes two bounded samples (``sample`` rows each, by hash of doc_id); scoring is one pass over all
@@ -114,15 +116,30 @@ def valley(m: np.ndarray, low: float, high: float) -> bool:
     return 2 * near((low + high) / 2) < min(near(low), near(high))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, batch: int = 256, units: int = 16, rate: float = 0.003, seed: int = 7) -> Model:
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, within 0.05 to 0.99. Half of the rows
+    fit a network that tells the two sets apart, the other half is counted above each score."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.99
+    model = fit(positive[::2], unlabelled[::2], None, steps=400)
+    p, u = np.sort(model.margins(positive[1::2])), np.sort(model.margins(unlabelled[1::2]))
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p) / len(u)
+    error = math.sqrt(math.log(40) / (2 * len(p))) + math.sqrt(math.log(40) / (2 * len(u)))  # at nine of ten
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 800, batch: int = 256, units: int = 16, rate: float = 0.003, seed: int = 7) -> Model:
     """Minimises the non-negative risk with the logistic loss by Adam: prior * R+(P) + max(0,
-    R-(U) - prior * R-(P)). While the bracket is negative, its steps go the other way."""
+    R-(U) - prior * R-(P)). While the bracket is negative, its steps go the other way. Without a prior
+    the two sets are told apart."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, spread = both.mean(0), both.std(0)
     scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-3), 0).astype(np.float32)
     p, u = (np.clip((x - mean) * scale, -6, 6) for x in (positive, unlabelled))
-    params = [rng.normal(0, 0.3 / math.sqrt(p.shape[1]), (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.array([math.log(prior / (1 - prior))])]
+    params = [rng.normal(0, 0.3 / math.sqrt(p.shape[1]), (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.array([math.log(prior / (1 - prior)) if prior else 0.0])]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, steps + 1):
         xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
@@ -131,9 +148,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         f = a @ params[2] + params[3]
         s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
         loss_bad = np.logaddexp(0, f)  # of calling a document bad
-        rest = loss_bad[batch:].mean() - prior * loss_bad[:batch].mean()
         d = np.empty_like(f)
-        if rest >= 0:
+        if prior is None:
+            d[:batch], d[batch:] = s[:batch] - 1, s[batch:]
+        elif loss_bad[batch:].mean() >= prior * loss_bad[:batch].mean():
             d[:batch] = prior * (s[:batch] - 1) - prior * s[:batch]
             d[batch:] = s[batch:]
         else:
@@ -146,8 +164,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    model = Model(mean, scale, params[0].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32), float(params[3][0]), prior)
-    model.calibrate(unlabelled)
+    model = Model(mean, scale, params[0].astype(np.float32), params[1].astype(np.float32), params[2].astype(np.float32), float(params[3][0]), prior or 0.5)
+    if prior is not None:
+        model.calibrate(unlabelled)
     return model
 
 
@@ -175,14 +194,14 @@ def sampled(df: DataFrame, ids: DataFrame, text: str, doc_id: str, sample: int)
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model | None:
-    """A model from labels of rows that are not held out; None without a positive."""
-    known = labels.filter(F.col(quality).isNotNull() & ~held_out(doc_id, folds)).select(doc_id, quality).join(df.select(doc_id), doc_id, "left_semi")
-    good, bad = known.agg(F.count_if(F.col(quality) == 1), F.count_if(F.col(quality) == 0)).first()
-    if not good:
+    """A model from the rows labelled good that are not held out; None without one. A doc_id counts once, however often
+    it is labelled, and not at all if it is labelled bad as well."""
+    known = labels.filter(F.col(quality).isNotNull() & ~held_out(doc_id, folds)).groupBy(doc_id).agg(F.min(F.col(quality)).alias("least"))
+    positive = sampled(df, known.filter("least = 1"), text, doc_id, sample)
+    if not len(positive):
         return None
-    positive = sampled(df, known.filter(F.col(quality) == 1), text, doc_id, sample)
     unlabelled = sampled(df, df, text, doc_id, sample)
-    return fit(positive, unlabelled, (good + 1) / (good + bad + 2))
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def classify(df: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.3) -> DataFrame:

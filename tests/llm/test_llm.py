@@ -286,6 +286,47 @@ def test_numbers_in_prose_are_no_identifiers():
         assert pii.find(text) == ([], [])
 
 
+def test_prose_with_at_and_dot_is_no_address():
+    subjects, verbs = "we you they people critics".split(), "look aim laugh arrive work stare point meet".split()
+    things = "the dot product|polka dot dresses|the dot matrix|a dot plot|some point in time|this point de vue|the point of no return|one dot or two|noon dot something|every point on the line|the punkt|a d0t".split("|")
+    for s in subjects:
+        for v in verbs:
+            for t in things:
+                for end in ("", ".", " of two vectors", " and more", " . Then"):
+                    text = f"{s} {v} at {t}{end}"
+                    assert pii.find(text) == ([], []), text
+
+
+def test_plain_numbers_do_not_grow_by_articles():
+    for text, hidden in (("call +1 (848) 555-1373 Un homme", "+1 (848) 555-1373"), ("card 4111 1111 1111 1111 one more", "4111 1111 1111 1111"), ("host 10.0.0.1 one of them", "10.0.0.1"), ("one 10.0.0.1", "10.0.0.1")):
+        base, spans = pii.find(text)
+        assert spans == base and [text[a:b] for _, a, b in base] == [hidden]
+
+
+@pytest.mark.parametrize(
+    "text, hidden, kind",
+    [
+        ("ask joe AT-SIGN mail DOT com", "joe AT-SIGN mail DOT com", "email"),
+        ("ask joe at mail d0t com", "joe at mail d0t com", "email"),
+        ("ask joe at sign mail dot com", "joe at sign mail dot com", "email"),
+        ("call plus one four one five double five five zero one two three now", "plus one four one five double five five zero one two three", "phone"),
+        ("host 192 d0t 168 d0t 1 d0t 10 up", "192 d0t 168 d0t 1 d0t 10", "ip"),
+        ("card 4 triple one 4111 1111 triple one 1 ok", None, "card"),
+    ],
+)
+def test_further_disguises(text, hidden, kind):
+    added = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text)[1]]
+    assert added == ([(kind, hidden)] if hidden else [])
+
+
+def test_op4_adds_nothing_to_the_given_documents():
+    """None of them disguises an identifier."""
+    import pyarrow.parquet
+
+    texts = pyarrow.parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert [(t[a:b], k) for t in texts for base, spans in [pii.find(t or "")] for k, a, b in set(spans) - set(base)] == []
+
+
 def test_op4_leaves_clean_text_alone(spark, small, docs):
     for r in queries.op4_pii(spark, small).collect():
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(docs[r["doc_id"]] or ""))
@@ -651,14 +692,73 @@ def test_lm_edges(spark):
 def test_near_copies_keeps_one_of_each_group(spark, small):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
-    rows = [(1, a), (2, a), (2, b), (2, b), (3, a + " x"), (None, b), (None, "c d e f g h"), (4, None), (4, None), (5, ""), (1, a)]
-    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(1, a, "en"), (2, a, "en"), (2, b, "en"), (2, b, "fr"), (3, a + " x", "en"), (None, b, "en"), (None, "c d e f g h", "en"), (4, None, "en"), (4, None, "en"), (5, "", "en"), (5, "", "de"), (1, a, "en")]
+    df = spark.createDataFrame([(d, t, x, "s", 1, "mine", 8) for d, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, copy string, _id int")
     kept = pipeline.near_copies(spark, df, small)
-    assert kept.columns == df.columns
-    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == [(0, "c d e f g h"), (1, a), (2, b), (4, ""), (5, "")]
+    assert kept.schema == df.schema and {(r["copy"], r["_id"]) for r in kept.collect()} == {("mine", 8)}
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == [(0, "c d e f g h"), (1, a), (2, b), (4, ""), (4, ""), (5, ""), (5, "")]
     assert pipeline.near_copies(spark, df.limit(0), small).isEmpty()
 
 
+def test_stages_keep_columns_with_clashing_names(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    extra = {"n_words": -7, "kept": "mine", "score": -1.5, "predicted": "x", "base_failed": 3, "component": 4, "spans": "s", "row": "r", "key": 5, "id": 6, "vote_length": 7}
+    df = spark.read.parquet(f"{small}/documents.parquet").limit(60).withColumns({k: F.lit(v) for k, v in extra.items()})
+    for _, stage in pipeline.STAGES[:-1]:
+        found = stage(spark, df, small)
+        assert found.columns == df.columns
+        assert {tuple(r) for r in found.select(*extra).distinct().collect()} == {tuple(extra.values())}
+    assert pipeline.STAGES[-1][1](spark, df, small).count() > 0
+
+
+def test_classifier_stage_drops_what_labels_call_bad(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in pipeline.classifier(spark, docs, folder).select("doc_id").collect()}
+    bad, good = ([d for d, q in labels.items() if q == x] for x in (0, 1))
+    assert sum(d not in kept for d in bad) >= 0.95 * len(bad) and sum(d in kept for d in good) >= 0.99 * len(good)
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    good = lambda n: rng.normal(1, 1, (n, 12)).astype(np.float32)
+    bad = lambda n: rng.normal(-1, 1, (n, 12)).astype(np.float32)
+    for share in (0.3, 0.6, 0.9):
+        n = round(4000 * share)
+        u = np.concatenate([good(n), bad(4000 - n)])
+        assert share - 0.03 <= quality_classifier.estimated_prior(good(4000), rng.permutation(u)) <= share + 0.12
+    assert quality_classifier.estimated_prior(good(4000), good(4000)) >= 0.97
+
+
+def test_labels_that_contradict_count_once(spark, small, docs):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    ids = [d for d in sorted(docs) if zlib.crc32(str(d).encode()) % 5]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    once = quality_classifier.train(df, make([(d, 1) for d in ids[:40]]))
+    more = quality_classifier.train(df, make([(d, 1) for d in ids[:40]] * 2 + [(d, q) for d in ids[40:60] for q in (0, 1)]))
+    assert np.array_equal(once.hidden, more.hidden) and once.shift == more.shift
+    assert quality_classifier.train(df, make([(ids[0], 0), (ids[0], 1), (ids[1], 0)])) is None
+
+
+def test_packing_does_not_depend_on_how_its_input_is_dealt(spark, small, docs, hf):
+    want = {d: [*hf.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs.items()}
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    rows = packing.pack(df, PATH, with_ids=True)
+    old = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        for n in ("2", "8"):  # the table is read otherwise after the pieces are made
+            spark.conf.set("spark.sql.files.minPartitionNum", n)
+            found = rows.collect()
+            check_packing(found, want)
+            assert all(r["ids"] == want[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in found)
+            dealt = packing.pack(df.orderBy(F.rand()), PATH, with_ids=True).collect()
+            check_packing(dealt, want)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if old is None else spark.conf.set("spark.sql.files.minPartitionNum", old)
+
+
 def test_hot_groups_of_copies(spark):
     random.seed(13)
     words = [f"w{i}" for i in range(5000)]
