@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import BEHAVIOUR_FEATURES, DEFAULT, Config
 from fairlead.functions.motion import haversine_km
-from fairlead.operators.tracks import steps
+from fairlead.operators.tracks import own, steps
 
 #: The metrics and the places that they are rounded to; labels are told from unrounded ones.
 METRICS = {
@@ -57,7 +57,7 @@ def metrics_of(sums: DataFrame) -> DataFrame:
 
 def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Unrounded metrics of every vessel in one aggregate over its steps."""
-    return metrics_of(steps(df).groupBy("vessel_id").agg(*metric_sums(cfg)))
+    return metrics_of(own(steps(df)).groupBy("vessel_id").agg(*metric_sums(cfg)))
 
 
 def labels(cfg: Config) -> tuple[Column, Column]:

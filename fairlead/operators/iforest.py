@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
-from fairlead.sources.tables import written
+from fairlead.sources.tables import discard, written
 
-VERSION = 1
+VERSION = 2
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 
@@ -131,12 +131,10 @@ def raw_scores(forest: Forest, x: np.ndarray, tree_rows: int, rows: int = 2000)
     return 2 ** (-out / max(1e-9, float(average_path(min(tree_rows, max(2, forest.most))))))
 
 
-def score(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT) -> DataFrame:
-    """(key, anomaly_score, is_anomalous): raw scores min-max scaled over the rows of ``matrix``,
-    4 places; all 0 if they are equal. is_anomalous from the threshold on."""
+def raw_table(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT) -> DataFrame:
+    """(key, raw): the raw score of every row, which does not depend on the others."""
     forest = arrays(nodes.toPandas())  # at most trees * 2 * tree_rows nodes
     shared = matrix.sparkSession.sparkContext.broadcast(forest)
-    schema = f"{key} string, raw double"
     tree_rows = cfg.tree_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,8 +142,26 @@ def score(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "v
             x = part[columns].fillna(0.0).to_numpy(float)
             yield pd.DataFrame({key: part[key], "raw": raw_scores(shared.value, x, tree_rows)})
 
-    raw = written(matrix.select(key, *columns).mapInPandas(run, schema), "forest-scores")  # its bounds are read too
-    return minmax(raw, "raw").select(key, F.round("scaled", 4).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= cfg.anomaly_threshold)
+    return matrix.select(key, *columns).mapInPandas(run, f"{key} string, raw double")
+
+
+def bounds_of(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT) -> tuple[float, float] | None:
+    """The least and the largest raw score of ``matrix``, to be stored with a forest; None without rows."""
+    low, high = raw_table(matrix, nodes, columns, key, cfg).agg(F.min("raw"), F.max("raw")).first()
+    return None if low is None else (low, high)
+
+
+def score(matrix: DataFrame, nodes: DataFrame, columns: list[str], key: str = "vessel_id", cfg: Config = DEFAULT, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(key, anomaly_score, is_anomalous): raw scores min-max scaled, 4 places; all 0 if they are equal.
+    is_anomalous from the threshold on. Scaled over the rows of ``matrix``, or between the given bounds: then
+    a row's score is the same whatever comes with it, and those beyond the bounds count as 0 or 1."""
+    raw = raw_table(matrix, nodes, columns, key, cfg)
+    if bounds is None:
+        scaled = minmax(written(raw, "forest-scores"), "raw")  # its bounds are read too
+    else:
+        low, high = bounds
+        scaled = raw.withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("raw") - low) / (high - low))) if high - low > 1e-12 else F.lit(0.0))
+    return scaled.select(key, F.round("scaled", 4).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= cfg.anomaly_threshold)
 
 
 def minmax(df: DataFrame, column: str, out: str = "scaled") -> DataFrame:
@@ -178,6 +194,14 @@ def save(spark: SparkSession, path: str, nodes: DataFrame, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], tuple[float, float] | None] | None:
+    """(nodes, columns, bounds) of a stored forest, for scoring vessels apart from their fleet; None without one."""
+    meta = metadata(spark, path)
+    if not meta or meta.get("version") != VERSION:
+        return None
+    return spark.read.parquet(f"{path}/nodes"), meta["columns"], tuple(meta["bounds"]) if meta.get("bounds") else None
+
+
 def load_or_train(matrix: DataFrame, columns: list[str], path: str, key: str = "vessel_id", cfg: Config = DEFAULT) -> tuple[DataFrame, str]:
     """(nodes, status): a stored forest if it fits the columns (loaded), else a new one (trained,
     or retrained where one was there)."""
@@ -185,7 +209,10 @@ def load_or_train(matrix: DataFrame, columns: list[str], path: str, key: str = "
     meta = metadata(spark, path)
     if compatible(meta, columns):
         return spark.read.parquet(f"{path}/nodes"), "loaded"
-    save(spark, path, fit(matrix, columns, key, cfg), {"version": VERSION, "columns": list(columns), "trees": cfg.trees, "tree_rows": cfg.tree_rows, "seed": cfg.seed})
+    nodes = written(fit(matrix, columns, key, cfg), "forest")
+    kept = {"trees": cfg.trees, "tree_rows": cfg.tree_rows, "seed": cfg.seed, "bounds": bounds_of(matrix, nodes, columns, key, cfg)}
+    save(spark, path, nodes, {"version": VERSION, "columns": list(columns), **kept})
+    discard(nodes)
     return spark.read.parquet(f"{path}/nodes"), "retrained" if meta else "trained"
 
 

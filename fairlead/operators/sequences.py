@@ -14,11 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
 from fairlead.operators.iforest import compatible, metadata
+from fairlead.operators.segments import before_segments
 from fairlead.operators.tracks import in_order, steps
 from fairlead.sources.tables import written
 
@@ -28,35 +29,48 @@ VERSION = 1
 
 def windows(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(vessel_id, start, features): every run of sequence_length steps as one array, the first
-    windows_per_vessel of a vessel (None: all). Missing values count as 0."""
+    windows_per_vessel of a vessel (None: all). Missing values count as 0. A frame that is cut into segments needs
+    halos of sequence_length positions; starts then count on from segment to segment."""
     n = cfg.sequence_length
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     step = F.array(zero(F.col("speed")), zero(F.col("heading_change")), F.col("dlat"), F.col("dlon"), F.col("km"), F.greatest(zero(F.col("gap_minutes")), F.lit(0.0)))
     moved = steps(df).filter("dlat IS NOT NULL").withColumn("step", step)
-    out = moved.select("vessel_id", F.collect_list("step").over(in_order().rowsBetween(-(n - 1), 0)).alias("w"), F.row_number().over(in_order()).alias("_n"))
+    order = in_order(df)
+    w = F.collect_list("step").over(order.rowsBetween(-(n - 1), 0)).alias("w")
+    if "segment" in df.columns:
+        moved = moved.join(before_segments(moved, ["seq"]).drop("first_seq"), ["vessel_id", "segment"])
+        place = F.col("rows_before") + F.sum((~F.col("halo")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        out = moved.select("vessel_id", "halo", w, place.cast("int").alias("_n")).filter("NOT halo")
+    else:
+        out = moved.select("vessel_id", w, F.row_number().over(order).alias("_n"))
     out = out.filter(F.size("w") == n).select("vessel_id", (F.col("_n") - n).alias("start"), F.flatten("w").alias("features"))
     return out if cfg.windows_per_vessel is None else out.filter(F.col("start") < cfg.windows_per_vessel)
 
 
 def step_rows(df: DataFrame) -> DataFrame:
-    """(vessel_id, the six step features): every vessel's steps in order, within one task."""
+    """(vessel_id, segment, the six step features): every vessel's steps in order, within one task; a segment's
+    if the frame is cut (with halos of sequence_length positions, so that its first window ends with its own first step)."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     values = {"speed": zero(F.col("speed")), "heading_change": zero(F.col("heading_change")), "dlat": F.col("dlat"), "dlon": F.col("dlon"), "km": F.col("km"), "gap_minutes": F.greatest(zero(F.col("gap_minutes")), F.lit(0.0))}
-    moved = steps(df).filter("dlat IS NOT NULL").sortWithinPartitions("vessel_id", "timestamp", "seq")  # as the window left them
-    return moved.select("vessel_id", *(values[n].alias(n) for n in STEP_FEATURES))
+    moved = steps(df).filter("dlat IS NOT NULL")
+    moved = moved if "segment" in df.columns else moved.withColumn("segment", F.lit(0).cast("long"))
+    ordered = moved.sortWithinPartitions("vessel_id", "segment", "timestamp", "seq")  # as the window left them
+    return ordered.select("vessel_id", "segment", *(values[n].alias(n) for n in STEP_FEATURES))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], cfg: Config) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The windows in batches of ``step_rows``: the row of each window's vessel id in an array of ids,
     as ids, and the windows themselves (windows x places). A window may span two batches."""
     n = cfg.sequence_length
+    segments = np.empty(0, np.int64)
     ids, rows, count = np.empty(0, object), np.empty((0, len(STEP_FEATURES))), 0  # the last vessel's last steps, and how many it has had
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)])
-        rows = np.concatenate([rows, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])])
-        fresh = np.r_[True, ids[1:] != ids[:-1]]
+        segments = np.concatenate([segments, batch.column(1).to_numpy()])
+        rows = np.concatenate([rows, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]])])
+        fresh = np.r_[True, (ids[1:] != ids[:-1]) | (segments[1:] != segments[:-1])]
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
         place = np.arange(len(ids)) - first
         held = count - (len(ids) - batch.num_rows) if len(ids) > batch.num_rows else 0
@@ -69,7 +83,7 @@ def blocks(batches: Iterator[pa.RecordBatch], cfg: Config) -> Iterator[tuple[np.
             yield ids[ends], views.transpose(0, 2, 1).reshape(len(ends), -1)
         count = int(place[-1]) + 1
         keep = max(first[-1], len(ids) - (n - 1))
-        ids, rows = ids[keep:], rows[keep:]
+        ids, segments, rows = ids[keep:], segments[keep:], rows[keep:]
 
 
 @dataclass

@@ -1,6 +1,8 @@
 """Trajectories: steps between positions, latest and earlier states, ticks.
 
-All operators share one exchange by vessel_id; positions are ordered by (timestamp, seq).
+All operators share one exchange by vessel_id; positions are ordered by (timestamp, seq). Frames that
+``segments.segmented`` has cut are handled segment by segment: their halo rows take part in what looks back, and
+``own`` leaves them out of the result.
 """
 
 from __future__ import annotations
@@ -9,12 +11,19 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fairlead.functions.motion import angular_diff, bearing, haversine_km, step_length
+from fairlead.operators.segments import before_segments, segmented
 from fairlead.sources.tables import written
 
 
-def in_order() -> WindowSpec:
-    """A vessel's positions in order."""
-    return Window.partitionBy("vessel_id").orderBy("timestamp", "seq")
+def in_order(df: DataFrame | None = None) -> WindowSpec:
+    """A vessel's positions in order; a segment's of a frame that is cut."""
+    keys = ["vessel_id", "segment"] if df is not None and "segment" in df.columns else ["vessel_id"]
+    return Window.partitionBy(*keys).orderBy("timestamp", "seq")
+
+
+def own(df: DataFrame) -> DataFrame:
+    """The rows of a frame without those that only stand before a segment, and without its columns."""
+    return df.filter("NOT halo").drop("segment", "halo") if "segment" in df.columns else df
 
 
 def minutes_between(a: Column, b: Column) -> Column:
@@ -23,9 +32,11 @@ def minutes_between(a: Column, b: Column) -> Column:
 
 def steps(df: DataFrame) -> DataFrame:
     """Positions with the step that led to each: dlat, dlon, km, step_deg, bearing, heading_change
-    (signed), gap_minutes, dspeed. A vessel's first position has nulls; a position without
-    coordinates has no step, and neither has the one after it."""
-    before = lambda n: F.lag(n).over(in_order())
+    (signed), gap_minutes, dspeed. A vessel's first position has nulls. Positions without coordinates
+    are left out, so that those beside them make a step."""
+    df = df.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    order = in_order(df)
+    before = lambda n: F.lag(n).over(order)
     out = df.withColumns({"_lat": before("latitude"), "_lon": before("longitude"), "_ts": before("timestamp"), "_speed": before("speed"), "_heading": before("heading")})
     dlat, dlon = F.col("latitude") - F.col("_lat"), F.col("longitude") - F.col("_lon")
     return out.withColumns(
@@ -44,7 +55,7 @@ def steps(df: DataFrame) -> DataFrame:
 
 def turned(df: DataFrame) -> DataFrame:
     """``steps`` with turn: by how much the bearing changed from the step before."""
-    return steps(df).withColumn("turn", F.abs(angular_diff(F.lag("bearing").over(in_order()), F.col("bearing"))))
+    return steps(df).withColumn("turn", F.abs(angular_diff(F.lag("bearing").over(in_order(df)), F.col("bearing"))))
 
 
 def latest_sums() -> list[Column]:
@@ -93,13 +104,16 @@ def recent(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("recency", F.row_number().over(back)).filter(F.col("recency") <= n)
 
 
-def running_state(df: DataFrame) -> DataFrame:
+def running_state(df: DataFrame, most: int | None = None) -> DataFrame:
     """Positions with what a live view knows at each: previous values, first-seen time and place,
-    number of messages so far."""
-    so_far = in_order().rowsBetween(Window.unboundedPreceding, 0)
-    before = {f"prev_{n}": F.lag(n).over(in_order()) for n in ("latitude", "longitude", "speed", "heading")}
-    first = {f"first_{n}": F.first(n).over(so_far) for n in ("timestamp", "latitude", "longitude")}
-    return df.withColumns({**before, **first, "messages": F.count("*").over(so_far)})
+    number of messages so far. A hot vessel is handled in segments: what came before one is carried into it."""
+    cut = segmented(df, 1, most)
+    order = in_order(cut)
+    before = {f"prev_{n}": F.lag(n).over(order) for n in ("latitude", "longitude", "speed", "heading")}
+    rows = cut.withColumns({**before, "_n": F.sum((~F.col("halo")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    known = before_segments(cut, ["timestamp", "latitude", "longitude"])
+    joined = rows.filter("NOT halo").join(known, ["vessel_id", "segment"])
+    return joined.withColumn("messages", F.col("rows_before") + F.col("_n")).select(*df.columns, *before, "first_timestamp", "first_latitude", "first_longitude", "messages")
 
 
 def ticks(df: DataFrame, n_ticks: int = 60) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.config import BEHAVIOUR_FEATURES, DEFAULT, FEATURES, Config
-from fairlead.operators import behaviour, features, geofence, iforest, risk, sequences, tracks
+from fairlead.operators import behaviour, features, geofence, iforest, risk, segments, sequences, tracks
 from fairlead.sources.tables import written
 
 GEO = ["inside", "near", "zone_name", "nearest_zone", "min_dist_deg", "zone_status"]
@@ -31,10 +31,14 @@ class Results:
     alerts: DataFrame
 
 
+#: Positions before a segment that its steps, turns and windows of steps look at.
+TURN_HALO = 2
+
+
 def fleet(positions: DataFrame, zones: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """A row for each vessel: vessel_id, its latest position, the columns of GEO, and the structs
+    """A row for each vessel (``positions`` may be cut into segments): vessel_id, its latest position, the columns of GEO, and the structs
     behave (as ``behaviour.analyse``) and base (the base features)."""
-    sums = tracks.turned(positions).groupBy("vessel_id").agg(*tracks.latest_sums(), *behaviour.metric_sums(cfg), *features.path_sums())
+    sums = tracks.own(tracks.turned(positions)).groupBy("vessel_id").agg(*tracks.latest_sums(), *behaviour.metric_sums(cfg), *features.path_sums())
     behave = behaviour.analysed(behaviour.metrics_of(sums), cfg)
     behave = behave.withColumn("behave", F.struct(*behaviour.COLUMNS)).drop(*behaviour.COLUMNS)
     placed = geofence.check_zones(tracks.latest_of(features.path_of(behave)), zones, cfg)
@@ -62,17 +66,18 @@ def run(
     models: bool = True,
     model_path: str | None = None,
     cfg: Config = DEFAULT,
-    forest: tuple[DataFrame, list[str]] | None = None,
+    forest: tuple[DataFrame, list[str]] | tuple[DataFrame, list[str], tuple[float, float] | None] | None = None,
     sequence_model: sequences.Model | None = None,
 ) -> Results:
     """All results of a fleet. Without ``models`` both anomaly scores are 0; with a model_path models
-    are loaded from there, or trained and stored; forest (nodes and columns) and sequence_model are
-    taken as they are."""
+    are loaded from there, or trained and stored; forest (nodes, columns and bounds, see ``iforest.score``) and
+    sequence_model are taken as they are."""
+    positions = segments.segmented(positions.filter("latitude IS NOT NULL AND longitude IS NOT NULL"), max(TURN_HALO, cfg.sequence_length))
     rows = written(fleet(positions, zones, cfg), "fleet")
     matrix = matrix_of(rows)
     anomaly = temporal = None
     if models:
-        anomaly = iforest.score(matrix, *forest, cfg=cfg) if forest else iforest.detect(matrix, path=model_path and f"{model_path}/forest", cfg=cfg)[0]
+        anomaly = iforest.score(matrix, *forest[:2], cfg=cfg, bounds=forest[2] if len(forest) > 2 else None) if forest else iforest.detect(matrix, path=model_path and f"{model_path}/forest", cfg=cfg)[0]
         temporal, _ = sequences.detect(rows, positions, path=model_path and f"{model_path}/sequences", cfg=cfg, model=sequence_model)
     scored = risk.score(inputs_of(rows, anomaly, temporal, reported_gaps), cfg)
     return Results(rows.select("vessel_id", *LATEST), rows.select("vessel_id", "behave.*"), rows.select("vessel_id", *GEO), matrix, anomaly, temporal, scored, risk.alerts(scored))

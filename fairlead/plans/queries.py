@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from fairlead.config import BASE_FEATURES, DEFAULT, FEATURES
 from fairlead.functions import codes
-from fairlead.operators import alert_rules, behaviour, cleaning, features, geofence, iforest, reports, risk, sequences, tracks
+from fairlead.operators import alert_rules, behaviour, cleaning, features, geofence, iforest, reports, risk, segments, sequences, tracks
 from fairlead.plans import fixtures, pipeline
 from fairlead.sources import dimensions, history, positions
 from fairlead.sources.tables import shared_folder, written
-from fairlead.streaming import jobs, messages
+from fairlead.streaming import jobs, messages, state
 
 
 def us(name: str = "timestamp"):
@@ -78,7 +78,7 @@ def first_seen_prev_value(spark, sf_dir):
 
 
 def step_metrics(spark, sf_dir):
-    rows = tracks.steps(fixtures.tracks(spark, sf_dir))
+    rows = tracks.own(tracks.steps(segments.segmented(fixtures.tracks(spark, sf_dir), 1)))
     return rows.select("vessel_id", "seq", F.round("km", 3).alias("km"), F.round("step_deg", 5).alias("step_deg"), F.round("heading_change", 2).alias("heading_change"), F.round("gap_minutes", 3).alias("gap_minutes"))
 
 
@@ -127,7 +127,7 @@ def geofence_grid(spark, sf_dir):
 
 
 def behaviour_metrics(spark, sf_dir):
-    rows = behaviour.metrics(fixtures.tracks(spark, sf_dir))
+    rows = behaviour.metrics(segments.segmented(fixtures.tracks(spark, sf_dir), 1))
     names = ["distance_travelled_km", "avg_speed", "max_speed", "speed_std", "mean_heading_change", "max_heading_change", "heading_change_std", "stationary_ratio", "loitering_score", "max_ais_gap_minutes", "mean_ais_gap_minutes", "trajectory_duration_minutes", "speed_change_rate", "turning_rate"]
     return rows.select("vessel_id", *(F.round(n, 2).alias(n) for n in names), "significant_gap_count", "position_count")
 
@@ -145,7 +145,7 @@ def base_features(spark, sf_dir):
 
 def feature_matrix(spark, sf_dir):
     t, _, zones = parts(spark, sf_dir)
-    return pipeline.matrix_of(pipeline.fleet(t, zones))
+    return pipeline.matrix_of(pipeline.fleet(segments.segmented(t, pipeline.TURN_HALO), zones))
 
 
 def feature_json(spark, sf_dir):
@@ -166,7 +166,7 @@ PARITY = replace(DEFAULT, windows_per_vessel=50)
 
 
 def sequence_windows(spark, sf_dir, cfg=PARITY):
-    rows = sequences.windows(fixtures.tracks(spark, sf_dir), cfg)
+    rows = sequences.windows(segments.segmented(fixtures.tracks(spark, sf_dir), cfg.sequence_length), cfg)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy("vessel_id").agg(F.count("*").alias("n_windows"), F.max("start").alias("last_start"), F.round(F.sum(total), 1).alias("total"))
 
@@ -177,7 +177,7 @@ def sequence_windows_all(spark, sf_dir):
 
 def temporal_scores(spark, sf_dir):
     t, latest, _ = parts(spark, sf_dir)
-    return sequences.detect(latest, t)[0]
+    return sequences.detect(latest, segments.segmented(t, DEFAULT.sequence_length))[0]
 
 
 #: A model of two components, to hold windows, errors and scoring against SQL.
@@ -187,7 +187,7 @@ FIXED_SEQUENCES = sequences.Model(FIXED_MEAN * 10, FIXED_SCALE * 10, [[60**-0.5,
 
 def temporal_fixed_score(spark, sf_dir):
     t, latest, _ = parts(spark, sf_dir)
-    rows, _ = sequences.detect(latest, t, model=FIXED_SEQUENCES)
+    rows, _ = sequences.detect(latest, segments.segmented(t, DEFAULT.sequence_length), model=FIXED_SEQUENCES)
     return rows.select("vessel_id", F.round("temporal_anomaly_score", 3).alias("temporal_anomaly_score"), "temporal_model_status")
 
 
@@ -234,7 +234,7 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk with model scores that follow from the vessel's number, so that SQL can tell them."""
     t, _, zones = parts(spark, sf_dir)
-    rows = written(pipeline.fleet(t, zones), "fleet")
+    rows = written(pipeline.fleet(segments.segmented(t, pipeline.TURN_HALO), zones), "fleet")
     n = F.substring("vessel_id", 2, 10).cast("int")
     anomaly = rows.select("vessel_id", ((n * 7) % 100 / 100.0).alias("anomaly_score")).withColumn("is_anomalous", F.col("anomaly_score") >= 0.55)
     temporal = rows.select("vessel_id", ((n * 3) % 100 / 100.0).alias("temporal_anomaly_score"), F.when(n % 4 == 0, "insufficient_data").otherwise("scored").alias("temporal_model_status"))
@@ -482,10 +482,49 @@ def tumbling_counts(spark, sf_dir):
     return rows.select(us("window_start").alias("start_us"), "messages")
 
 
+def by_quarter(rows: DataFrame) -> DataFrame:
+    """``rows`` with the quarter of twelve hours that they fall into, the last one open."""
+    return rows.withColumn("quarter", F.least(F.lit(3), F.floor((F.unix_micros("timestamp") - fixtures.START) / 10800e6)).cast("int"))
+
+
+def streaming_counts(spark, sf_dir):
+    """Hourly counts by risk level of a stream in four micro-batches. Every tenth row comes a batch late, within the
+    watermark's delay; some come last and are dropped where their window has been handed out."""
+    score = (F.col("seq") * 13) % 101
+    rows = by_quarter(fixtures.tracks(spark, sf_dir)).withColumn("risk_level", F.when(score >= 55, "HIGH").when(score >= 20, "MEDIUM").otherwise("LOW"))
+    late = F.when(F.col("seq") % 97 == 0, 3).when(F.col("seq") % 10 == 0, F.least(F.lit(3), F.col("quarter") + 1)).otherwise(F.col("quarter"))
+    build = lambda stream: jobs.counts_by_window(stream.select("vessel_id", "timestamp", "risk_level"), "1 hour", keys=("risk_level",), delay="3 hours")
+    found = jobs.in_batches(rows.withColumn("_batch", late).drop("quarter"), "_batch", 4, build)
+    return found.select(us("window_start").alias("start_us"), "risk_level", "messages", "vessels")
+
+
+def streaming_evictions(spark, sf_dir):
+    """How often each vessel was dropped from the live state for a silence of an hour."""
+    build = lambda stream: state.vessel_state(stream, "1 minute", stale_seconds=3600)
+    found = jobs.in_batches(by_quarter(fixtures.tracks(spark, sf_dir)), "quarter", 4, build, "update")
+    return found.filter("evicted AND messages > 0").groupBy("vessel_id").agg(F.count("*").alias("evictions"))
+
+
+def live_rescore(spark, sf_dir):
+    """Live risk of the fleet from the stream's state, batch by batch; the forest has the bounds of the whole history."""
+    t, latest, zones = parts(spark, sf_dir)
+    nodes, columns, cfg = spark.createDataFrame(FIXED_FOREST, iforest.NODES), ["speed", "displacement_ratio"], replace(DEFAULT, tree_rows=64)
+    base = features.base_features(latest, t, geofence.check_zones(latest, zones))
+    rescore = jobs.rescorer(zones, (nodes, columns, iforest.bounds_of(base, nodes, columns, cfg=cfg)), FIXED_SEQUENCES, gaps(spark, sf_dir), cfg)
+    folder = f"{shared_folder(spark)}/live-risk-{uuid.uuid4().hex}"
+    rows = by_quarter(t)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    for quarters in ((0, 1), (2, 3)):
+        rows.filter(F.col("quarter").isin(*quarters)).drop("quarter").write.mode("append").parquet(f"{folder}/in")
+        states = state.vessel_state(spark.readStream.schema(t.schema).parquet(f"{folder}/in"), "1 day", cfg, stale_seconds=10**9)
+        jobs.live_rescore(states, rescore, f"{folder}/out", f"{folder}/checkpoint")
+    return jobs.active_risk(spark, f"{folder}/out")
+
+
 ALL = [
     clean_positions, quality_report, ingest_report, dedupe_exact, alias_normalise, region_filter, latest_position, recent_window_20, first_seen_prev_value, step_metrics, trajectory_export, tick_buckets, state_as_of_tick,
     tick_progress, geofence_latest, geofence_all_positions, geofence_grid, behaviour_metrics, behaviour_labels, base_features, feature_matrix, feature_json, feature_json_values, sequence_windows, sequence_windows_all, temporal_scores,
     temporal_fixed_score, iforest_scores, iforest_fixed_score, anomaly_ranking, minmax_normalise, risk_components, risk_scores, risk_factor_breakdown, risk_reasons, risk_alerts, fleet_stats, fleet_ranked, medium_risk_top_factors,
     high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, history_summary, history_recent_risk, history_vessel, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
-    ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts,
+    ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts, streaming_counts, streaming_evictions, live_rescore,
 ]

@@ -6,7 +6,7 @@ the named parts below.
 
 from __future__ import annotations
 
-from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL, TRACKS_SQL
+from fairlead.plans.fixtures import CLEAN_SQL, RAW_SQL, START, TRACKS_SQL
 from fairlead.plans.queries import FIXED_FOREST, FIXED_MEAN, FIXED_REFERENCE, FIXED_SCALE
 from fairlead.sources.dimensions import ZONES
 
@@ -411,5 +411,27 @@ ORACLES["history_summary"] = select(
     RISK,
     "SELECT count(*) AS vessels, (SELECT count(*) FROM (SELECT DISTINCT vessel_id, us, latitude, longitude FROM clean)) AS positions, 2 * count(*) AS risk_scores, 2 * (SELECT count(*) FROM alerts) AS alerts, 2 * (SELECT count(*) FROM alerts WHERE level = 'HIGH') AS high_alerts FROM risk",
 )
-ORACLES["history_recent_risk"] = select(RISK, "SELECT vessel_id, overall_score, risk_level FROM risk ORDER BY vessel_id DESC LIMIT 20")
+ORACLES["history_recent_risk"] = select(RISK, "SELECT vessel_id, overall_score, risk_level FROM risk CROSS JOIN (VALUES (1), (2)) runs(run) ORDER BY run DESC, vessel_id DESC LIMIT 20")
 ORACLES["history_vessel"] = select(RISK, "SELECT vessel_id, overall_score, behavior FROM risk CROSS JOIN (VALUES (1), (2)) WHERE vessel_id = (SELECT min(vessel_id) FROM risk)")
+HOUR = 3_600_000_000
+ORACLES["streaming_counts"] = select(
+    CLEAN_SQL,
+    f"""SELECT ws AS start_us, risk_level, count(*) AS messages, count(DISTINCT vessel_id) AS vessels
+FROM (SELECT *, CASE WHEN seq % 97 = 0 THEN 3 WHEN seq % 10 = 0 THEN least(3, quarter + 1) ELSE quarter END AS b FROM (
+    SELECT *, us // {HOUR} * {HOUR} AS ws, least(3, (us - {START}) // (3 * {HOUR})) AS quarter,
+      CASE WHEN (seq * 13) % 101 >= 55 THEN 'HIGH' WHEN (seq * 13) % 101 >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM clean)) r,
+  (SELECT max(us) // 1000 * 1000 - 3 * {HOUR} AS last, max(us) FILTER (seq % 97 <> 0 AND (us - {START}) // (3 * {HOUR}) + CAST(seq % 10 = 0 AS INT) <= 2) // 1000 * 1000 - 3 * {HOUR} AS before FROM clean) marks
+WHERE ws + {HOUR} <= marks.last AND NOT (b = 3 AND ws + {HOUR} <= marks.before) GROUP BY ws, risk_level""",
+)
+ORACLES["streaming_evictions"] = select(
+    CLEAN_SQL,
+    f"""SELECT vessel_id, count(*) AS evictions FROM (SELECT vessel_id, us, lead(us) OVER {W} AS after, (SELECT max(us) FROM clean) AS last FROM clean)
+WHERE after - us > {HOUR} OR (after IS NULL AND us // 1000 + {HOUR} // 1000 <= last // 1000 - 60000) GROUP BY vessel_id""",
+)
+ORACLES["live_rescore"] = select(
+    f"bounds AS (SELECT min(r) AS low, max(r) AS high FROM (WITH {BASE} SELECT {forest()} AS r FROM base)),\n"
+    + RISK_FIXED.replace("clean AS (SELECT * REPLACE (nullif(heading, 511) AS heading) FROM tracks)", f"clean AS (SELECT * REPLACE (nullif(heading, 511) AS heading) FROM tracks QUALIFY row_number() OVER {W.replace('us, seq', 'us DESC, seq DESC')} <= 50)").replace(
+        ISOLATION.split("isolation AS ")[1], "(SELECT vessel_id, greatest(0, least(1, round((r - low) / (high - low), 4))) AS anomaly_score FROM iso_raw, bounds)"
+    ),
+    "SELECT vessel_id, overall_score, risk_level FROM risk",
+)

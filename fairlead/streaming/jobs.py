@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from fairlead.config import DEFAULT, Config
-from fairlead.operators.tracks import recent, ticks
+from fairlead.operators.tracks import ticks
 from fairlead.plans import pipeline
 from fairlead.sources.dimensions import in_region
-from fairlead.sources.tables import shared_folder
+from fairlead.sources.tables import discard, shared_folder, written
 from fairlead.streaming import messages, state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,18 +38,28 @@ def live_positions(stream: DataFrame, region: str | None = None) -> DataFrame:
 
 def write_replay(df: DataFrame, path: str, n_ticks: int = 60) -> None:
     """Positions as one folder for each tick, for a replay in order."""
-    ticks(df, n_ticks).repartition("tick").sortWithinPartitions("tick", "timestamp", "vessel_id", "seq").write.partitionBy("tick").mode("overwrite").parquet(path)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a tick's rows go to several tasks in order of time, not all to one
+    ticks(df, n_ticks).repartitionByRange(parts, "tick", "timestamp", "vessel_id", "seq").sortWithinPartitions("tick", "timestamp", "vessel_id", "seq").write.partitionBy("tick").mode("overwrite").parquet(path)
 
 
 def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def counts_by_window(df: DataFrame, width: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Messages and vessels by tumbling or sliding event-time window; the number of vessels is an
-    estimate (a sketch, within about 5 %), as exact ones would be state of their own."""
+def counts_by_window(df: DataFrame, width: str = "10 minutes", slide: str | None = None, keys: tuple[str, ...] = (), delay: str | None = None) -> DataFrame:
+    """window_start, ``keys``, messages and vessels (exact) by tumbling or sliding event-time window.
+
+    State has two levels: a count for each window and vessel (and keys), and from these the window's sums.
+    With a ``delay`` the frame gets a watermark: windows are handed out once (append mode) when the newest time is
+    ``delay`` past their end, rows that come later are dropped, and state holds open windows only. Without
+    one it is a batch frame."""
+    timed = df.withWatermark("timestamp", delay) if delay else df
     w = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)
-    return df.groupBy(w.alias("w")).agg(F.count("*").alias("messages"), F.approx_count_distinct("vessel_id").alias("vessels")).select(F.col("w.start").alias("window_start"), "messages", "vessels")
+    own = [k for k in keys if k != "vessel_id"]
+    each = timed.groupBy(w.alias("w"), "vessel_id", *own).agg(F.count("*").alias("n"))
+    out = each.groupBy("w", *keys).agg(F.sum("n").alias("messages"), F.count("*").alias("vessels"))
+    return out.select(F.col("w.start").alias("window_start"), *keys, "messages", "vessels")
 
 
 def sessions(df: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -63,6 +73,28 @@ def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def in_batches(rows: DataFrame, batch: str, n: int, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What the stream ``build(rows)`` writes when rows come in ``n`` micro-batches, by their column ``batch``, each with
+    the number of the micro-batch (``written_in``). The stream stops after each and goes on from its checkpoint."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    folder = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    schema = rows.drop(batch).schema
+    for k in range(n):
+        rows.filter(F.col(batch) == k).drop(batch).write.mode("append").parquet(f"{folder}/in")
+        out = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        run_available(out, lambda df, i: df.withColumn("written_in", F.lit(i)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", mode)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def evictions(out: DataFrame) -> DataFrame:
+    """From the rows that a stream of ``vessel_state`` has written (with ``written_in``): for each micro-batch with
+    evictions how many vessels went, and how many have gone so far."""
+    each = out.filter("evicted AND messages > 0").groupBy("written_in").agg(F.count("*").alias("evicted"))
+    so_far = Window.orderBy("written_in").rowsBetween(Window.unboundedPreceding, 0)  # a row for each micro-batch
+    return each.withColumn("evicted_so_far", F.sum("evicted").over(so_far))
+
+
 def live_messages(stream: DataFrame, region: str | None = None) -> DataFrame:
     """Positions and static data of a message stream as rows of one kind, for one keyed state: static
     rows have no place and the time of their message. seq, a hash of the message, decides between
@@ -86,9 +118,9 @@ def final_state(spark: SparkSession, lines: DataFrame, files: int = 4, delay: st
     changed = state.vessel_state(live_messages(message_stream(spark, f"{folder}/in")), delay, stale_seconds=stale_seconds)
     run_available(changed, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", "update")
     rows = spark.read.parquet(f"{folder}/out")
-    names = [c for c in rows.columns if c not in ("vessel_id", "batch")]
-    last = rows.groupBy("vessel_id").agg(F.max_by(F.struct(*names), "batch").alias("p"))
-    return last.select("vessel_id", *(F.col(f"p.{n}").alias(n) for n in names))
+    names = [c for c in rows.columns if c not in ("vessel_id", "batch", "track")]
+    last = rows.groupBy("vessel_id").agg(F.max_by(F.struct(*names), F.struct("batch", "timestamp", "evicted")).alias("p"))
+    return last.filter("NOT p.evicted").select("vessel_id", *(F.col(f"p.{n}").alias(n) for n in names))
 
 
 def cooled(spark: SparkSession, alerts: DataFrame) -> DataFrame:
@@ -108,6 +140,7 @@ class LiveCounters(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.counts: dict[str, int] = {"messages": 0, "static_messages": 0, "failures": 0}
+        self.late = 0  # rows that came too late for a stateful operator; of partial counts each counts as one
 
     @classmethod
     def observed(cls, parsed: DataFrame) -> DataFrame:
@@ -120,6 +153,7 @@ class LiveCounters(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
+        self.late += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
         row = event.progress.observedMetrics.get(self.NAME)
         for n in self.counts if row is not None else ():
             self.counts[n] += row[n]
@@ -128,33 +162,44 @@ class LiveCounters(StreamingQueryListener):
         pass
 
 
-def live_risk(states: DataFrame, positions: DataFrame, rescore: Callable[[DataFrame, DataFrame], DataFrame], as_of, cfg: Config = DEFAULT) -> DataFrame:
-    """Risk of the active vessels from their recent tracks: the batch pipeline over the fleet that
-    is not stale at ``as_of``."""
-    now = messages.active(states, as_of, cfg.stale_seconds)
-    return rescore(now, positions.join(now.select("vessel_id"), "vessel_id", "left_semi"))
-
+def rescorer(zones: DataFrame, forest: tuple | None = None, sequence_model=None, reported_gaps: DataFrame | None = None, cfg: Config = DEFAULT) -> Callable[[DataFrame], DataFrame]:
+    """A rescore for ``live_rescore`` with models loaded once: the batch pipeline over vessels' recent positions.
 
-def rescorer(zones: DataFrame, forest: tuple[DataFrame, list[str]] | None = None, sequence_model=None, cfg: Config = DEFAULT) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """A rescore for ``live_risk`` with models loaded once: the batch pipeline over the active vessels'
-    recent positions."""
+    A vessel's score must not depend on which others are scored with it, so the forest is (nodes, columns, bounds)
+    as ``iforest.stored`` gives it, with the bounds of the fleet that it was fitted to; without bounds it is refused.
+    The sequence model has its reference with it."""
+    if forest is not None and (len(forest) < 3 or forest[2] is None):
+        raise ValueError("a live forest needs stored bounds")
 
-    def rescore(active: DataFrame, recent: DataFrame) -> DataFrame:
-        return pipeline.run(recent, zones, models=forest is not None or sequence_model is not None, forest=forest, sequence_model=sequence_model, cfg=cfg).risk
+    def rescore(positions: DataFrame) -> DataFrame:
+        return pipeline.run(positions, zones, reported_gaps, models=forest is not None or sequence_model is not None, forest=forest, sequence_model=sequence_model, cfg=cfg).risk
 
     return rescore
 
 
-def live_rescore(states: DataFrame, positions: DataFrame, rescore: Callable[[DataFrame, DataFrame], DataFrame], out: str, checkpoint: str, cfg: Config = DEFAULT) -> None:
-    """Rescores the vessels that each micro-batch of ``states`` (see ``vessel_state``) has changed, from the
-    last positions of these in the table ``positions``, and appends their risk to ``out``."""
+def points_of(states: DataFrame) -> DataFrame:
+    """The positions in the tracks of ``vessel_state`` rows."""
+    p = states.select("vessel_id", F.explode("track").alias("p"))
+    return p.select("vessel_id", "p.seq", F.timestamp_micros("p.us").alias("timestamp"), "p.latitude", "p.longitude", "p.speed", "p.heading")
+
+
+def live_rescore(states: DataFrame, rescore: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Rescores the vessels that each micro-batch of ``states`` (see ``vessel_state``) has changed, from the tracks in
+    their state, and appends their risk to ``out``; evicted vessels are appended without one. With stored bounds
+    the others' scores stay what they are, so the table always has the score of the whole active fleet."""
 
     def each(changed: DataFrame, n: int) -> None:
-        if changed.isEmpty():
-            return
-        mine = positions.join(changed.select("vessel_id"), "vessel_id", "left_semi")
-        as_of = F.lit(changed.agg(F.max("timestamp")).first()[0])
-        risk = live_risk(changed, recent(mine, cfg.recent_live).drop("recency"), rescore, as_of, cfg)
-        risk.select("vessel_id", "overall_score", "risk_level", F.lit(n).alias("batch")).write.mode("append").parquet(out)
+        changed = written(changed, "live-changed")
+        last = changed.groupBy("vessel_id").agg(F.max_by(F.struct("track", "evicted"), F.struct("timestamp", "evicted")).alias("s")).select("vessel_id", "s.*")
+        scored = rescore(points_of(last.filter("NOT evicted"))).select("vessel_id", "overall_score", "risk_level", F.lit(False).alias("evicted"))
+        gone = last.filter("evicted").select("vessel_id", F.lit(None).cast("int").alias("overall_score"), F.lit(None).cast("string").alias("risk_level"), "evicted")
+        scored.unionByName(gone).withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        discard(changed)
 
     run_available(states, each, checkpoint, "update")
+
+
+def active_risk(spark: SparkSession, out: str) -> DataFrame:
+    """The risk of all active vessels from what ``live_rescore`` has appended: each vessel's last row, unless it is gone."""
+    last = spark.read.parquet(out).groupBy("vessel_id").agg(F.max_by(F.struct("overall_score", "risk_level", "evicted"), "batch").alias("r"))
+    return last.filter("NOT r.evicted").select("vessel_id", "r.overall_score", "r.risk_level")

@@ -18,8 +18,9 @@ Message struct<
 
 
 def parsed(df: DataFrame, value: str = "value") -> DataFrame:
-    """``df`` with column ``m``, the message; text that is no message gives one without a type."""
-    return df.withColumn("m", F.from_json(F.col(value), SCHEMA, {"mode": "PERMISSIVE"}))
+    """``df`` with column ``m``, the message; text that is no message gives one without a type. The parse
+    stands in a generator of one row, which the optimiser can't copy into every use of a field."""
+    return df.select("*", F.explode(F.array(F.from_json(F.col(value), SCHEMA, {"mode": "PERMISSIVE"}))).alias("m"))
 
 
 def vessel(mmsi: Column) -> Column:
@@ -82,14 +83,18 @@ def failures(messages: DataFrame) -> DataFrame:
 def counters(messages: DataFrame) -> DataFrame:
     """One row of what a live view counts over ``parsed`` messages: all of them, valid positions, static
     messages, those that can't be used, vessels seen, and the last position's time."""
-    kind = lambda name, t=None, v=None: [F.lit(name).alias("kind"), (F.lit(None).cast("timestamp") if t is None else F.col(t)).alias("time"), (F.lit(None).cast("string") if v is None else F.col(v)).alias("vessel")]
-    rows = messages.select(*kind("any")).unionByName(positions(messages).select(*kind("position", "timestamp", "vessel_id"))).unionByName(static_data(messages).select(*kind("static")))
-    of = lambda name: F.count_if(F.col("kind") == name)
+    p, s, meta = F.col("m.Message.PositionReport"), F.col("m.Message.ShipStaticData"), F.col("m.MetaData")
+    vessels = {"position": vessel(F.coalesce(meta["MMSI"], p["UserID"])), "static": vessel(F.coalesce(meta["MMSI"], s["UserID"]))}
+    placed = number(F.coalesce(p["Latitude"], meta["latitude"])).between(-90, 90) & number(F.coalesce(p["Longitude"], meta["longitude"])).between(-180, 180)
+    kind = F.col("m.MessageType")
+    valid = {"position": (kind == "PositionReport") & vessels["position"].isNotNull() & placed, "static": (kind == "ShipStaticData") & vessels["static"].isNotNull()}
+    time = F.coalesce(message_time(meta["time_utc"]), F.current_timestamp())
+    rows = messages.select(*(F.coalesce(v, F.lit(False)).alias(k) for k, v in valid.items()), F.when(valid["position"], vessels["position"]).alias("vessel"), F.when(valid["position"], time).alias("time"))
     return rows.agg(
-        of("any").alias("messages"),
-        of("position").alias("positions"),
-        of("static").alias("static_messages"),
-        (of("any") - of("position") - of("static")).alias("failures"),
+        F.count("*").alias("messages"),
+        F.count_if("position").alias("positions"),
+        F.count_if("static").alias("static_messages"),
+        F.count_if(~F.col("position") & ~F.col("static")).alias("failures"),
         F.countDistinct("vessel").alias("vessels"),
         F.max("time").alias("last_time"),
     )

@@ -1,12 +1,14 @@
 """Keyed state of live vessels, and alerts with cooldown, as stateful streaming operators.
 
 State is one entry for each vessel with a bounded track; event-time timers drop vessels that have
-been silent for stale_seconds, so state follows the active fleet and not history.
+been silent for stale_seconds, those that only sent static data too, so state follows the active fleet and
+not history. What is dropped comes out as a row, so that a sink can count and remove it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +19,8 @@ from fairlead.config import DEFAULT, Config
 
 PLACE = "latitude double, longitude double, speed double, heading double, course double, nav_status int"
 STATE = f"timestamp timestamp, {PLACE}, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_latitude double, first_longitude double, messages long, ship_name string, ship_type string, destination string, eta string, draught double, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp"
-OUTPUT = f"vessel_id string, {STATE}, track_points int"
-POINT = "timestamp timestamp, latitude double, longitude double"
+POINT = "us long, seq long, latitude double, longitude double, speed double, heading double"
+OUTPUT = f"vessel_id string, {STATE}, track_points int, track array<struct<{POINT}>>, evicted boolean"
 STATIC = ["ship_name", "ship_type", "destination", "eta", "draught"]
 
 
@@ -37,7 +39,10 @@ class VesselState(StatefulProcessor):
     """Latest, previous and first values, a message count, the last points and the static data of each
     vessel. Values follow event time: a position that comes late counts as a message and may become
     the previous or the first one or a point of the track, but never replaces a newer latest one. Of
-    each static field the last that says something stays; blanks and Unknown replace none."""
+    each static field the last that says something stays; blanks and Unknown replace none.
+
+    A vessel whose next position is more than stale seconds after its last one was gone in between: it is
+    evicted and starts anew, whether the two come in one batch or a timer has fired before."""
 
     def __init__(self, points: int, stale_seconds: int):
         self.points, self.stale = points, stale_seconds
@@ -49,7 +54,8 @@ class VesselState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         data = pd.concat(list(rows)).sort_values(["timestamp", "seq"], kind="stable")
-        state = dict(zip(names_of(STATE), self.value.get())) if self.value.exists() else dict.fromkeys(names_of(STATE)) | {"messages": 0}
+        state = self.read()
+        track = list(map(tuple, self.track.get())) if self.track.exists() else []
         for n in STATIC:
             said = data[data[n].notna() & (data[n].astype(str).str.lower() != "unknown" if n == "ship_type" else True)]
             if len(said):
@@ -57,35 +63,69 @@ class VesselState(StatefulProcessor):
                 if state[f"{n}_at"] is None or new["timestamp"] >= state[f"{n}_at"]:
                     state |= {n: new[n], f"{n}_at": new["timestamp"]}
         placed = data[data["latitude"].notna()]
-        track = list(self.track.get()) if self.track.exists() else []
-        if len(placed):
-            now = names_of(f"timestamp timestamp, {PLACE}")
-            # the newest two of this batch and of the state decide what is latest and previous
-            known = [{n: state[n] for n in now}] if state["messages"] else []
-            if state["prev_latitude"] is not None:
-                known.insert(0, {n: state.get(f"prev_{n}") for n in now} | {"timestamp": track[-2][0] if len(track) > 1 else state["first_timestamp"]})
-            last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=lambda r: r["timestamp"])
-            state |= last[-1]
-            if len(last) > 1:
-                state |= {f"prev_{n}": last[-2].get(n) for n in ("latitude", "longitude", "speed", "heading")}
-            oldest = plain(placed.iloc[0], ["timestamp", "latitude", "longitude"])
-            if state["first_timestamp"] is None or oldest["timestamp"] < state["first_timestamp"]:
-                state |= {f"first_{n}": v for n, v in oldest.items()}
-            state["messages"] += len(placed)
-            points = placed.tail(self.points)[["timestamp", "latitude", "longitude"]]
-            track = sorted([*map(tuple, track), *((t.to_pydatetime(), a, o) for t, a, o in points.itertuples(index=False))])[-self.points :]
-            self.track.put(track)
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(pd.Timestamp(state["timestamp"]).timestamp() * 1000) + self.stale * 1000)
-        self.value.update(tuple(state[n] for n in names_of(STATE)))
+        last = max((p[0] for p in track), default=None)
+        ends, start = [], 0  # where a silence of more than stale seconds ends
+        for i, us in enumerate(placed["us"].tolist()):
+            if last is not None and us - last > self.stale * 1_000_000:
+                ends.append(i)
+            last = us if last is None else max(last, us)
+        for end in [*ends, len(placed)]:
+            if end > start:
+                state, track = self.moved(state, track, placed.iloc[start:end])
+            if end in ends:
+                if state["messages"]:
+                    yield self.row(key, state, track, True)
+                state, track, start = self.emptied(state), [], end
+        self.write(state, track)
+        heard = state["timestamp"] if state["messages"] else max(t.to_pydatetime() for t in data["timestamp"])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        offset = int(data["us"].iloc[0]) // 1000 - int(pd.Timestamp(data["timestamp"].iloc[0]).timestamp() * 1000)  # of the session's zone
+        self.handle.registerTimer(int(pd.Timestamp(heard).timestamp() * 1000) + offset + self.stale * 1000)
         if state["messages"]:
-            yield pd.DataFrame([(key[0], *(state[n] for n in names_of(STATE)), len(track))], columns=names_of(OUTPUT))
+            yield self.row(key, state, track, False)
+
+    def read(self) -> dict:
+        empty = dict.fromkeys(names_of(STATE)) | {"messages": 0}
+        return dict(zip(names_of(STATE), self.value.get())) if self.value.exists() else empty
+
+    def write(self, state: dict, track: list[tuple]) -> None:
+        self.value.update(tuple(state[n] for n in names_of(STATE)))
+        self.track.put(track) if track else self.track.clear()
+
+    def emptied(self, state: dict) -> dict:
+        """The state of a vessel that starts anew: its static data stay."""
+        return dict.fromkeys(names_of(STATE)) | {"messages": 0} | {n: v for n, v in state.items() if n in STATIC or n.endswith("_at")}
+
+    def moved(self, state: dict, track: list[tuple], placed: pd.DataFrame) -> tuple[dict, list[tuple]]:
+        """State and track after the positions ``placed``, in order."""
+        state, now = dict(state), names_of(f"timestamp timestamp, {PLACE}")
+        # the newest two of these and of the state decide what is latest and previous
+        known = [{n: state[n] for n in now}] if state["messages"] else []
+        if state["prev_latitude"] is not None:
+            before = (state["timestamp"] - timedelta(microseconds=track[-1][0] - track[-2][0])) if len(track) > 1 else state["first_timestamp"]
+            known.insert(0, {n: state.get(f"prev_{n}") for n in now} | {"timestamp": before})
+        last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=lambda r: r["timestamp"])
+        state |= last[-1]
+        if len(last) > 1:
+            state |= {f"prev_{n}": last[-2].get(n) for n in ("latitude", "longitude", "speed", "heading")}
+        oldest = plain(placed.iloc[0], ["timestamp", "latitude", "longitude"])
+        if state["first_timestamp"] is None or oldest["timestamp"] < state["first_timestamp"]:
+            state |= {f"first_{n}": v for n, v in oldest.items()}
+        state["messages"] += len(placed)
+        rows = placed.tail(self.points)[names_of(POINT)].itertuples(index=False)  # keeps whole numbers whole
+        points = [(int(us), int(seq), *(None if pd.isna(v) else float(v) for v in rest)) for us, seq, *rest in rows]
+        return state, sorted([*track, *points], key=lambda p: p[:2])[-self.points :]
+
+    def row(self, key, state: dict, track: list[tuple], evicted: bool) -> pd.DataFrame:
+        points = [dict(zip(names_of(POINT), p)) for p in track]
+        return pd.DataFrame([(key[0], *(state[n] for n in names_of(STATE)), len(track), points, evicted)], columns=names_of(OUTPUT.split(", track array")[0]) + ["track", "evicted"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, track = self.read(), list(map(tuple, self.track.get())) if self.track.exists() else []
         self.value.clear()
         self.track.clear()
-        return iter(())
+        yield self.row(key, state, track, True)
 
     def close(self) -> None:
         pass
@@ -94,12 +134,13 @@ class VesselState(StatefulProcessor):
 def vessel_state(positions: DataFrame, delay: str = "10 minutes", cfg: Config = DEFAULT, stale_seconds: int | None = None) -> DataFrame:
     """The changed state of vessels after every micro-batch of ``positions`` (timestamp, seq, place; course,
     nav_status and the static fields where it has them). Needs the RocksDB state store. Rows that come
-    more than ``delay`` behind the newest are dropped as late; within it they may come in any order. A
-    vessel that is silent for stale_seconds of event time is dropped; a later report starts it anew."""
-    timed = positions.withWatermark("timestamp", delay)
+    more than ``delay`` behind the newest, and rows without a time, are dropped; within it they may come in any order. A
+    vessel that is silent for stale_seconds of event time is dropped, with a row that says so (evicted; messages is 0 for
+    one that only sent static data); a later report starts it anew. track: its last points in order."""
+    timed = positions.filter("timestamp IS NOT NULL").withWatermark("timestamp", delay)
     kinds = dict(x.split(" ") for x in f"{PLACE}, ship_name string, ship_type string, destination string, eta string, draught double".split(", "))
     columns = [F.col(n).cast(t).alias(n) if n in positions.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
-    grouped = timed.select("vessel_id", "seq", "timestamp", *columns).groupBy("vessel_id")
+    grouped = timed.select("vessel_id", "seq", "timestamp", F.unix_micros("timestamp").alias("us"), *columns).groupBy("vessel_id")
     return grouped.transformWithStateInPandas(VesselState(cfg.recent_live, stale_seconds or cfg.stale_seconds), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
 
 

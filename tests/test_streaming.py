@@ -4,9 +4,13 @@ import datetime as dt
 import json
 import time
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
-from fairlead.operators import alert_rules, tracks
+from fairlead.config import DEFAULT
+from fairlead.operators import alert_rules, features, geofence, iforest, tracks
 from fairlead.plans import fixtures, queries
 from fairlead.sources import dimensions
 from fairlead.streaming import jobs, messages, state
@@ -25,7 +29,7 @@ def test_vessel_state(spark, small, tmp_path):
     t.repartitionByRange(3, "timestamp").sortWithinPartitions("timestamp").write.parquet(str(tmp_path / "in"))
     stream = jobs.replay_stream(spark, str(tmp_path / "in"), t.schema, 10)
     rows = []
-    jobs.run_available(state.vessel_state(stream), lambda df, n: rows.extend(df.collect()), str(tmp_path / "c"), "update")
+    jobs.run_available(state.vessel_state(stream, stale_seconds=10**9), lambda df, n: rows.extend(df.collect()), str(tmp_path / "c"), "update")
     latest = {r["vessel_id"]: r for r in rows}
     twin = {r["vessel_id"]: r for r in tracks.latest(t).collect()}
     assert latest.keys() == twin.keys()
@@ -111,11 +115,89 @@ def test_live_counters(spark, small, tmp_path):
     assert counters.counts["messages"] == 1000 and 0 < counters.counts["failures"] < 50 and counters.counts["static_messages"] > 100
 
 
-def test_live_rescore_of_active_vessels(spark, small, tmp_path):
+def live_parts(spark, small):
     t = fixtures.tracks(spark, small)
-    t.repartitionByRange(2, "timestamp").write.parquet(str(tmp_path / "in"))
-    states = state.vessel_state(jobs.replay_stream(spark, str(tmp_path / "in"), t.schema, 10), stale_seconds=10**9)
-    rescore = jobs.rescorer(dimensions.zones(spark))
-    jobs.live_rescore(states, t, rescore, str(tmp_path / "out"), str(tmp_path / "c"))
-    found = spark.read.parquet(str(tmp_path / "out"))
-    assert found.count() > 0 and found.agg(F.max("overall_score"), F.min("overall_score")).first()[1] >= 0
+    nodes, columns = spark.createDataFrame(queries.FIXED_FOREST, iforest.NODES), ["speed", "displacement_ratio"]
+    zones, latest = dimensions.zones(spark), tracks.latest(t)
+    base = features.base_features(latest, t, geofence.check_zones(latest, zones))
+    return t, zones, nodes, columns, iforest.bounds_of(base, nodes, columns)
+
+
+def test_a_vessels_live_score_does_not_depend_on_its_companions(spark, small):
+    t, zones, nodes, columns, bounds = live_parts(spark, small)
+    rescore = jobs.rescorer(zones, (nodes, columns, bounds), queries.FIXED_SEQUENCES)
+    fleet = {r["vessel_id"]: r["overall_score"] for r in rescore(t).collect()}
+    for vessels in (["V0012"], ["V0001", "V0005"]):
+        some = rescore(t.filter(F.col("vessel_id").isin(vessels))).collect()
+        assert {r["vessel_id"]: r["overall_score"] for r in some} == {v: fleet[v] for v in vessels}
+    with pytest.raises(ValueError):
+        jobs.rescorer(zones, (nodes, columns))
+
+
+def test_stored_forests_have_bounds(spark, small, tmp_path):
+    matrix = queries.written(queries.feature_matrix(spark, small), "matrix")
+    cfg = replace(DEFAULT, trees=10)
+    own, status = iforest.detect(matrix, queries.FEATURES, path=str(tmp_path / "forest"), cfg=cfg)
+    nodes, columns, bounds = iforest.stored(spark, str(tmp_path / "forest"))
+    again = iforest.score(matrix, nodes, columns, cfg=cfg, bounds=bounds)
+    assert status == "trained" and sorted(map(tuple, own.collect())) == sorted(map(tuple, again.collect()))
+    assert iforest.stored(spark, str(tmp_path / "none")) is None
+
+
+def test_live_rescore_leaves_out_who_is_gone(spark, small, tmp_path):
+    t, zones, nodes, columns, bounds = live_parts(spark, small)
+    last = t.agg(F.max("timestamp")).first()[0]
+    silent = (F.col("vessel_id") == "V0003") & (F.unix_micros("timestamp") > F.unix_micros(F.lit(last)) - 4 * 3600 * 10**6)
+    rows = queries.by_quarter(t.filter(~silent))
+    rescore = jobs.rescorer(zones, (nodes, columns, bounds), queries.FIXED_SEQUENCES)
+    for k in range(4):
+        rows.filter(F.col("quarter") == k).drop("quarter").write.mode("append").parquet(str(tmp_path / "in"))
+        states = state.vessel_state(spark.readStream.schema(t.schema).parquet(str(tmp_path / "in")), "1 minute", stale_seconds=3600 * 3)
+        jobs.live_rescore(states, rescore, str(tmp_path / "out"), str(tmp_path / "c"))
+    found = {r["vessel_id"] for r in jobs.active_risk(spark, str(tmp_path / "out")).collect()}
+    ages = {r["vessel_id"]: (last - r["t"]).total_seconds() for r in rows.groupBy("vessel_id").agg(F.max("timestamp").alias("t")).collect()}
+    assert "V0003" not in found and found == {v for v, a in ages.items() if a < 3600 * 3}
+
+
+def test_vessels_with_static_data_alone_are_dropped_too(spark, tmp_path):
+    static = "vessel_id string, seq long, timestamp timestamp, latitude double, longitude double, speed double, heading double, ship_name string"
+    row = lambda v, hour, lat, name: (v, hour, dt.datetime(2025, 1, 1, hour), lat, 0.0 if lat else None, None, None, name)
+    rows = spark.createDataFrame([row("A", 0, None, "ALPHA"), row("B", 0, 1.0, None), row("B", 3, 2.0, None), row("B", 9, 3.0, None), row("C", 9, 1.0, "CHARLIE")], static)
+    build = lambda stream: state.vessel_state(stream, "1 minute", stale_seconds=2 * 3600)
+    out = jobs.in_batches(rows.withColumn("b", (F.col("seq") >= 9).cast("int")), "b", 2, build, "update").cache()
+    gone = sorted((r["vessel_id"], r["messages"]) for r in out.filter("evicted").collect())
+    assert gone == [("A", 0), ("B", 1), ("B", 1)]  # B after its first report and after its second
+    assert [r["evicted_so_far"] for r in jobs.evictions(out).orderBy("written_in").collect()][-1] == 2
+    assert {(r["vessel_id"], r["messages"]) for r in out.filter("NOT evicted AND latitude IN (3.0, 1.0) AND timestamp > '2025-01-01 05:00:00'").collect()} == {("B", 1), ("C", 1)}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rows = [("A", h, dt.datetime(2025, 1, 1, h)) for h in (0, 1, 5, 9)] + [("B", 20, dt.datetime(2025, 1, 1, 0, 30)), ("B", 21, dt.datetime(2025, 1, 1, 9, 30))]
+    df = spark.createDataFrame(rows, "vessel_id string, seq long, timestamp timestamp").withColumn("b", (F.col("seq") >= 20).cast("int"))
+    counters = jobs.LiveCounters()
+    spark.streams.addListener(counters)
+    try:
+        found = jobs.in_batches(df, "b", 2, lambda s: jobs.counts_by_window(s, "1 hour", delay="1 hour"))
+        assert {(r["window_start"].hour, r["messages"], r["vessels"]) for r in found.collect()} == {(0, 1, 1), (1, 1, 1), (5, 1, 1)}
+        for _ in range(50):
+            if counters.late:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.late == 1
+
+
+def test_windowed_counts_of_a_batch(spark):
+    rows = spark.createDataFrame([("A", dt.datetime(2025, 1, 1, 0, m)) for m in (1, 9, 11)] + [("B", dt.datetime(2025, 1, 1, 0, 2))], "vessel_id string, timestamp timestamp")
+    found = {(r["window_start"].minute, r["messages"], r["vessels"]) for r in jobs.counts_by_window(rows).collect()}
+    assert found == {(0, 3, 2), (10, 1, 1)}
+    each = {(r["vessel_id"], r["window_start"].minute, r["messages"]) for r in jobs.counts_by_window(rows, keys=("vessel_id",)).collect()}
+    assert each == {("A", 0, 2), ("A", 10, 1), ("B", 0, 1)}
+
+
+def test_messages_are_parsed_once(spark, small):
+    parsed = messages.parsed(fixtures.messages(spark, small))
+    for df in (messages.positions(parsed), messages.static_data(parsed), messages.counters(parsed)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1
