@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
 from fairlead.functions.shapes import edges, point_in_polygon, segment_distance
+from fairlead.sources.tables import written
 
 #: Up to so many sides of all zones are written out as plain expressions.
 FEW_SIDES = 96
+#: More zones are looked up by grid; grids of up to so many cells are broadcast.
+MANY_ZONES, SMALL_CELLS = 200, 20_000
 
 
 def verdict(best: Column, cfg: Config) -> dict[str, Column]:
@@ -60,8 +63,8 @@ def check_zones(df: DataFrame, zones: DataFrame, cfg: Config = DEFAULT) -> DataF
     zone_status. No zones, or no place: open waters, distance null.
 
     Every position is compared with every zone. Zones of up to FEW_SIDES sides in all are known when
-    the plan is made and become plain expressions; more are one array, a scalar subquery. For
-    hundreds of zones see ``check_zones_by_grid``.
+    the plan is made and become plain expressions; more are one array, a scalar subquery. More than
+    MANY_ZONES are found by grid, with the same results (``check_zones_by_grid``).
     """
     lat, lon = F.col("latitude"), F.col("longitude")
     known = lat.isNotNull() & lon.isNotNull()
@@ -73,26 +76,45 @@ def check_zones(df: DataFrame, zones: DataFrame, cfg: Config = DEFAULT) -> DataF
             return df.withColumns(verdict(none, cfg))
         rows = df.withColumn("_best", F.when(known, F.array_min(F.array(*each))))
         return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_best")
+    if zones.limit(MANY_ZONES + 1).count() > MANY_ZONES:
+        return check_zones_by_grid(df, zones, cfg=cfg)
     array = zones.agg(F.array_sort(F.collect_list(F.struct("zone_ord", "name", edges(F.col("ring")).alias("sides")))).alias("_zones")).scalar()
     each = F.transform("_zones", lambda z: candidate(lat, lon, lambda n: z[n]))
     rows = df.withColumn("_zones", array).withColumn("_best", F.when(known, F.array_min(each)))
     return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_zones", "_best")
 
 
-def check_zones_by_grid(df: DataFrame, zones: DataFrame, key: list[str], cell: float = 0.5, cfg: Config = DEFAULT) -> DataFrame:
-    """As ``check_zones`` for any number of zones: an equi-join on grid cells, each zone in the
-    cells that its box, grown by the farthest distance that matters, touches.
+#: The grid's cells are so wide at first, and so many times wider from level to level; the last is wider than the globe.
+CELL, WIDER, LEVELS = 0.5, 4.0, 7
 
-    Beyond that distance min_dist_deg is null and nearest_zone empty. ``key`` tells rows apart.
-    """
-    reach = cfg.proximity_max
+
+def cells_of(zones: DataFrame, width: float) -> DataFrame:
+    """(_y, _x, _near): for the cells of a grid the zones that are within ``width`` of some place in it, as an array."""
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
     box = [F.array_min(lats).alias("s"), F.array_max(lats).alias("n"), F.array_min(lons).alias("w"), F.array_max(lons).alias("e")]
-    grown = zones.select("zone_ord", "name", edges(F.col("ring")).alias("sides"), *box)
-    span = lambda a, b: F.sequence(F.floor((F.col(a) - reach) / cell), F.floor((F.col(b) + reach) / cell))
-    cells = grown.withColumn("_y", F.explode(span("s", "n"))).withColumn("_x", F.explode(span("w", "e"))).drop("s", "n", "w", "e")
-    placed = df.withColumns({"_y": F.floor(F.col("latitude") / cell), "_x": F.floor(F.col("longitude") / cell)})
-    best = candidate(F.col("latitude"), F.col("longitude"), F.col)
-    found = placed.join(cells, ["_y", "_x"]).select(*key, best.alias("_c")).filter(F.col("_c.dist") <= reach).groupBy(*key).agg(F.min("_c").alias("_best"))
-    rows = df.join(found, key, "left")
+    grown = zones.select(F.struct("zone_ord", "name", edges(F.col("ring")).alias("sides")).alias("zone"), *box)
+    span = lambda a, b: F.sequence(F.floor((F.col(a) - width) / width), F.floor((F.col(b) + width) / width))
+    cells = grown.withColumn("_y", F.explode(span("s", "n"))).withColumn("_x", F.explode(span("w", "e")))
+    return cells.groupBy("_y", "_x").agg(F.collect_list("zone").alias("_near"))
+
+
+def check_zones_by_grid(df: DataFrame, zones: DataFrame, cell: float = CELL, cfg: Config = DEFAULT) -> DataFrame:
+    """As ``check_zones``, the same columns, for any number of zones.
+
+    A position first meets the zones that are within a cell's width of its grid cell. If the best of these is no
+    farther away than that, no other zone can be nearer; else it meets those of a grid of wider cells, and so
+    on, until cells are wider than the globe. Rows are carried along: a level is an equi-join on the cell with one
+    row a cell, broadcast if the table is small, and positions that are settled take no part.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    zones = zones.select("zone_ord", "name", "ring").filter(F.size("ring") > 0)
+    rows = df.withColumn("_best", F.lit(None).cast("struct<outside: boolean, dist: double, zone_ord: int, inside: boolean, name: string>"))
+    for level in range(LEVELS):
+        width = cell * WIDER**level
+        table = written(cells_of(zones, width), "zone-cells")
+        open_ = F.col("_best").isNull()
+        rows = rows.withColumns({"_y": F.when(open_, F.floor(lat / width)), "_x": F.when(open_, F.floor(lon / width))})
+        best = F.array_min(F.transform("_near", lambda z: candidate(lat, lon, lambda n: z[n])))
+        rows = rows.join(F.broadcast(table) if table.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS else table, ["_y", "_x"], "left").withColumn("_found", F.when(open_, best))
+        rows = rows.withColumn("_best", F.coalesce("_best", F.when(F.col("_found.dist") <= width, F.col("_found")))).drop("_y", "_x", "_near", "_found")
     return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_best")

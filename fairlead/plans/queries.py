@@ -118,9 +118,10 @@ def geofence_all_positions(spark, sf_dir):
 
 
 def geofence_grid(spark, sf_dir):
+    """All positions against the zones by grid, with the distance to the nearest however far."""
     t, _, zones = parts(spark, sf_dir)
-    rows = geofence.check_zones_by_grid(t, zones, ["vessel_id", "seq"])
-    return rows.groupBy("zone_status").agg(F.count("*").alias("n"), F.count("min_dist_deg").alias("in_reach"))
+    rows = geofence.check_zones_by_grid(t, zones)
+    return rows.select("vessel_id", "seq", "inside", "zone_name", "near", "nearest_zone", F.round("min_dist_deg", 4).alias("min_dist_deg"), "zone_status")
 
 
 # -- behaviour and features -----------------------------------------------------------------------

@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
     "tick_progress": select(TICKS, "SELECT tick, max(last) OVER (ORDER BY tick) AS us, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS rows_so_far, round((tick + 1) / CAST(max(tick) OVER () + 1 AS DOUBLE), 4) AS done FROM (SELECT tick, max(us) AS last, count(*) AS n FROM ticked GROUP BY tick)"),
     "geofence_latest": select(CLEAN_SQL + LATEST + zones("latest", "vessel_id"), "SELECT vessel_id, inside, zone_name, near, nearest_zone, round(min_dist_deg, 4) AS min_dist_deg, zone_status FROM geo"),
     "geofence_all_positions": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, zone_status, count(*) AS n FROM geo GROUP BY ALL"),
-    "geofence_grid": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT zone_status, count(*) AS n, count(*) FILTER (g.inside OR dist <= CAST(0.3 AS DOUBLE)) AS in_reach FROM geo g JOIN best USING (vessel_id, seq) GROUP BY ALL"),
+    "geofence_grid": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, seq, inside, zone_name, near, nearest_zone, round(min_dist_deg, 4) AS min_dist_deg, zone_status FROM geo"),
     "behaviour_metrics": select(CLEAN_SQL + STEPS + BEHAVIOUR, f"SELECT vessel_id, {', '.join(f'round(CAST({n} AS DOUBLE), 2) AS {n}' for n in METRICS)}, significant_gap_count, position_count FROM behave"),
     "behaviour_labels": select(
         CLEAN_SQL + STEPS + BEHAVIOUR + LABELS,

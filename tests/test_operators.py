@@ -113,7 +113,7 @@ def test_zone_inside_near_and_far(spark):
 def test_grid_equals_all_zones_in_reach(spark, small):
     t = fixtures.tracks(spark, small)
     a = geofence.check_zones(t, dimensions.zones(spark)).select("vessel_id", "seq", "zone_status")
-    b = geofence.check_zones_by_grid(t, dimensions.zones(spark), ["vessel_id", "seq"]).select("vessel_id", "seq", "zone_status")
+    b = geofence.check_zones_by_grid(t, dimensions.zones(spark)).select("vessel_id", "seq", "zone_status")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
@@ -432,3 +432,29 @@ def test_alert_orders(spark):
     assert [r["vessel_id"] for r in rows.orderBy(*risk.alert_order()).collect()] == ["B", "C", "A"]
     ticks = spark.createDataFrame([(1, 5, "A", "X"), (1, 9, "B", "X"), (0, 1, "C", "X")], "tick long, overall_score int, vessel_id string, alert_type string")
     assert [r["vessel_id"] for r in ticks.orderBy(*alert_rules.order()).collect()] == ["C", "B", "A"]
+
+
+def test_many_zones_by_grid_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    rings = []
+    for i in range(260):
+        la, lo, r = rng.uniform(-80, 80), rng.uniform(-175, 175), rng.choice([0.02, 0.2, 3.0])
+        rings.append(("x", i, f"Z{i}", "k", [(la + rng.uniform(0, r), lo), (la, lo + r), (la - r, lo), (la, lo - r)] if i % 9 else [(la, lo), (la, lo + r), (la + r, lo)]))
+    rings += [("x", 260, "twin", "k", rings[0][4]), ("x", 261, "empty", "k", [])]
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(300 + i, r[4][0][0] - 0.001, r[4][0][1] + 0.001) for i, r in enumerate(rings[:260])] + [(900, None, 1.0), (901, 1.0, None)]
+    df = spark.createDataFrame(places, "seq long, latitude double, longitude double")
+    own = lambda zones, found: sorted(map(str, found(df, spark.createDataFrame(zones, dimensions.ZONE_SCHEMA)).collect()))
+    few = rings[:150]  # below the limit: every position with every zone
+    assert own(few, geofence.check_zones_by_grid) == own(few, geofence.check_zones)
+    assert own(few, lambda d, z: geofence.check_zones_by_grid(d, z, cell=40.0)) == own(few, geofence.check_zones)
+    many = own(rings, geofence.check_zones)  # by grid
+    import fairlead.operators.geofence as module
+
+    limit, module.MANY_ZONES = module.MANY_ZONES, 10**6
+    try:
+        assert many == own([r for r in rings if r[4]], geofence.check_zones)
+    finally:
+        module.MANY_ZONES = limit
+    assert own([], geofence.check_zones_by_grid) == own([], geofence.check_zones)
