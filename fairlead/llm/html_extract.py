@@ -3,20 +3,22 @@
 A page is a sequence of words and tags. A word scores the share of such words that are content in
 labelled pages, a tag loses by the share of such tags that stand outside of it, so words are
 positive and tags negative; one linear scan finds the contiguous region with the largest sum. The
-region is widened to whole blocks; blocks in menus, notices, adverts, forms or comments inside of
-it are left out.
-
-Words are told apart by what every page has: the kind of block that holds them, its length, its
-share of links, and whether it stands in boilerplate. Labelled pages are those that mark one article
-(article or main element). The marks only label: they give no tokens and no features, so the scanned
-region chooses the blocks of every page in the same way. Counts are summed by Spark for a fixed set of features; pages are
-handled in their own rows.
+region is widened to whole blocks. Where it starts and ends is the scan's alone; what stands between its blocks
+in a menu, notice, advert, form, comment or sidebar is left out.
+
+Words are told apart by the kind of block that holds them, its length, its share of links, and the
+element or class name around them that speaks of boilerplate. Such a name is a feature like others: an element that
+holds more than half of the page's running words is none, whatever its name. Labelled pages are those that mark one article
+(article or main element). These marks only label: they give no tokens and no features. Of the labelled pages a third
+counts without its attributes and a third also without telling element names, so that weights do not rest on
+names alone. Counts are summed by Spark for a fixed set of features; pages are handled in their own rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,99 +53,129 @@ MARKS = {
 }
 MARK_OF = {word: kind for kind, words in MARKS.items() for word in words}
 CONTEXTS = ("none", *sorted({*SIDE.values(), *MARKS}))
-#: Contexts whose blocks can be main text; a header can be that of the article.
+#: Contexts whose blocks are main text if the region has them; a header can be that of the article.
 OPEN_CONTEXTS = frozenset(("none", "header"))
 #: What holds a word: the nearest block element, by kind.
 HOLDERS = {**{f"h{i}": "h" for i in range(1, 7)}, **dict.fromkeys("p blockquote pre dd dt figcaption".split(), "p"), "li": "li", "td": "cell", "th": "cell"}
 KINDS = ("p", "h", "li", "cell", "other")
 #: Weights without labelled pages, and how many labelled tokens they count as.
-WORD_PRIOR, LINKS_PRIOR, HEADING_PRIOR = 0.7, 0.1, 0.5
+WORD_PRIOR, LINKS_PRIOR, HEADING_PRIOR, TITLE_PRIOR = 0.7, 0.1, 0.5, 0.9
 SIDE_PRIOR, TAG_PRIOR, TAG_LOSS, PRIOR_TOKENS = 0.02, 0.6, 3.25, 20
+#: What one run of tags and hardly scoring words can cost at most, so that a list within the text does not cut it.
+RUN_LOSS = 60.0
 TEXT_TAGS, TEXT_TAG_PRIOR = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption other".split()), 0.12
 
 
-def context(name: str, attributes: str, outer: str) -> str:
-    """The context inside an element: a kind of boilerplate, or that outside."""
-    if outer not in OPEN_CONTEXTS or name in ARTICLE:
-        return outer
+def mark(name: str, attributes: str) -> str | None:
+    """The kind of boilerplate that an element's name or its class, id or role speaks of; of a paragraph only
+    that it is an advert."""
+    if name in ARTICLE:
+        return None
     if attributes and name not in ("html", "body"):
         for m in NAMES.finditer(attributes):
             for word in re.split(r"[^a-z0-9]+", m[1].lower()):
-                if kind := MARK_OF.get(word):
+                if (kind := MARK_OF.get(word)) and (kind == "ad" or name not in HOLDERS):
                     return kind
-    return SIDE.get(name, outer)
+    return SIDE.get(name)
 
 
-def parsed(page: str) -> tuple[list[tuple[str, str, int, bool, int, int]], list[str]]:
-    """The page's tokens and its blocks' raw texts, without what stands in boilerplate.
+class Page:
+    """A page's tokens and blocks.
 
-    A token is (feature, context, article, is word run, number of words, block); a run of words is
-    one token. Outermost article elements are numbered from 1, 0 is outside of them.
-    """
-    tokens: list[tuple[str, str, int, bool, int, int]] = []
-    blocks: list[list[str]] = [[]]
-    sizes: list[list[int]] = [[0, 0]]  # words and linked words of each block
-    stack: list[tuple[str, str, bool, str, int]] = []  # name; outside: context, link, holder, article
-    now, link, holder, article, articles, at = "none", False, "other", 0, 0, 0
-    length = len(page)
-
-    def words(a: int, b: int) -> None:
-        if a < b:
-            text = entities.unescape(page[a:b])
-            blocks[-1].append(text if now in OPEN_CONTEXTS else " ")
-            if n := len(text.split()):
-                sizes[-1][0] += n
-                sizes[-1][1] += n * link
-                tokens.append((f"w:{now}:{holder}", now, article, True, n, len(blocks) - 1))
-
-    while at < length:
-        m = TOKEN.search(page, at)
-        if m is None:
-            words(at, length)
-            break
-        words(at, m.start())
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in BLOCKS and blocks[-1]:
-            blocks.append([])
-            sizes.append([0, 0])
-        if name == "br":
-            blocks[-1].append(" ")
-        tag = f"t:{name if name in BLOCKS or name == 'a' else 'other'}"
-        if closing:
+    tokens: (feature, mark, article, is word run, number of words, block); a run of words is one token. Outermost
+    article elements are numbered from 1, 0 is outside of them. blocks: their texts in pieces (text, mark).
+    contexts: what each mark comes to; mark 0 is none. ``how``: 1 leaves out attributes, 2 also the names of elements
+    that tell boilerplate."""
+
+    def __init__(self, page: str, how: int = 0):
+        self.tokens: list[tuple[str, int, int, bool, int, int]] = []
+        self.blocks: list[list[tuple[str, int]]] = [[]]
+        self.marks: list[tuple[str, int]] = [("none", 0)]  # kind, and the mark outside
+        self.sizes: list[list[int]] = [[0, 0]]  # words and linked words of each block
+        self.running: list[int] = [0]  # words outside of links, by mark
+        self.scan(page, how)
+        self.contexts = self.settled()
+        ends = [f":{int(2 * linked > n)}:{(n > 4) + (n > 20)}" for n, linked in self.sizes]
+        self.tokens = [(f"w:{self.contexts[t[1]]}:{t[0]}{ends[t[5]]}", *t[1:]) if t[3] else t for t in self.tokens]
+
+    def settled(self) -> list[str]:
+        """The context of each mark: that of the outermost one around it that counts."""
+        held = list(self.running)
+        for k in range(len(self.marks) - 1, 0, -1):  # inner ones come later
+            held[self.marks[k][1]] += held[k]
+        out = ["none"]
+        for k, (kind, outer) in enumerate(self.marks[1:], 1):
+            around = out[outer]
+            out.append(around if around not in OPEN_CONTEXTS or 2 * held[k] > held[0] else kind)
+        return out
+
+    def scan(self, page: str, how: int) -> None:
+        stack: list[tuple[str, int, bool, str, int]] = []  # name; outside: mark, link, holder, article
+        now, link, holder, article, articles, at = 0, False, "other", 0, 0, 0
+        length, tokens, blocks, sizes = len(page), self.tokens, self.blocks, self.sizes
+
+        def words(a: int, b: int) -> None:
+            if a < b:
+                text = entities.unescape(page[a:b])
+                blocks[-1].append((text, now))
+                if n := len(text.split()):
+                    sizes[-1][0] += n
+                    sizes[-1][1] += n * link
+                    self.running[now] += n * (not link)
+                    tokens.append((holder, now, article, True, n, len(blocks) - 1))
+
+        while at < length:
+            m = TOKEN.search(page, at)
+            if m is None:
+                words(at, length)
+                break
+            words(at, m.start())
+            at = m.end()
+            if m[2] is None:
+                continue
+            name, closing = m[2].lower(), bool(m[1])
+            if how == 2 and name in SIDE and name in BLOCKS:
+                name = "div"
+            if name in BLOCKS and blocks[-1]:
+                blocks.append([])
+                sizes.append([0, 0])
+            if name == "br":
+                blocks[-1].append((" ", now))
+            tag = f"t:{name if name in BLOCKS or name == 'a' else 'other'}"
+            if closing:
+                if name not in ARTICLE:
+                    tokens.append((tag, now, article, False, 0, len(blocks) - 1))
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                if k is not None:
+                    now, link, holder, article = stack[k][1:]
+                    del stack[k:]
+                continue
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at) if not m[3].endswith("/") else None
+                if end:
+                    close = page.find(">", end.start())
+                    at = length if close < 0 else close + 1
+                elif not m[3].endswith("/"):
+                    at = length
+                continue
             if name not in ARTICLE:
                 tokens.append((tag, now, article, False, 0, len(blocks) - 1))
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                now, link, holder, article = stack[k][1:]
-                del stack[k:]
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at) if not m[3].endswith("/") else None
-            if end:
-                close = page.find(">", end.start())
-                at = length if close < 0 else close + 1
-            elif not m[3].endswith("/"):
-                at = length
-            continue
-        if name not in ARTICLE:
-            tokens.append((tag, now, article, False, 0, len(blocks) - 1))
-        if name in VOID or m[3].endswith("/") or (name not in BLOCKS and name not in ("a", "span", "button", "select", "label")):
-            continue
-        if name in ("p", "li") and stack and stack[-1][0] == name:
-            now, link, holder, article = stack.pop()[1:]
-        stack.append((name, now, link, holder, article))
-        now, link = context(name, m[3], now), link or name == "a"
-        if name in ARTICLE:
-            if not article:
-                articles += 1
-                article = articles
-        elif name in BLOCKS:
-            holder = HOLDERS.get(name, "other")
-    ends = [f":{int(2 * linked > n)}:{(n > 4) + (n > 20)}" for n, linked in sizes]
-    return [(t[0] + ends[t[5]], *t[1:]) if t[3] else t for t in tokens], ["".join(b) for b in blocks]
+            if name in VOID or m[3].endswith("/") or (name not in BLOCKS and name not in ("a", "span", "button", "select", "label")):
+                continue
+            if name in ("p", "li") and stack and stack[-1][0] == name:
+                now, link, holder, article = stack.pop()[1:]
+            stack.append((name, now, link, holder, article))
+            link = link or name == "a"
+            if kind := mark(name, "" if how else m[3]):
+                self.marks.append((kind, now))
+                self.running.append(0)
+                now = len(self.marks) - 1
+            if name in ARTICLE:
+                if not article:
+                    articles += 1
+                    article = articles
+            elif name in BLOCKS:
+                holder = HOLDERS.get(name, "other")
 
 
 def counts(pages: DataFrame, html: str = "html") -> dict[str, tuple[int, int]]:
@@ -154,10 +186,10 @@ def counts(pages: DataFrame, html: str = "html") -> dict[str, tuple[int, int]]:
         inside, outside = Counter(), Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                tokens, _ = parsed(page or "")
-                if {t[2] for t in tokens if t[2]} == {1}:
-                    for feature, c, article, word, n, _ in tokens:
-                        (inside if article and c in OPEN_CONTEXTS else outside)[feature] += n if word else 1
+                p = Page(page or "", how=zlib.crc32((page or "").encode("utf-8", "replace")) % 3)
+                if {t[2] for t in p.tokens if t[2]} == {1}:
+                    for feature, m, article, word, n, _ in p.tokens:
+                        (inside if article and p.contexts[m] in OPEN_CONTEXTS else outside)[feature] += n if word else 1
         names = sorted({*inside, *outside})
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["feature", "inside", "outside"])
@@ -173,8 +205,8 @@ def weights(found: dict[str, tuple[int, int]]) -> dict[str, float]:
         for kind in KINDS:
             for links in (0, 1):
                 prior = SIDE_PRIOR if c != "none" else LINKS_PRIOR if links else WORD_PRIOR
-                if c == "header" and kind == "h" and not links:
-                    prior = HEADING_PRIOR
+                if kind == "h" and c in OPEN_CONTEXTS and not links:
+                    prior = HEADING_PRIOR if c == "header" else TITLE_PRIOR
                 for size in (0, 1, 2):
                     a, b = found.get(key := f"w:{c}:{kind}:{links}:{size}", (0, 0))
                     out[key] = (a + prior * PRIOR_TOKENS) / (a + b + PRIOR_TOKENS)
@@ -197,12 +229,33 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def bounded(scores: list[float]) -> list[float]:
+    """``scores`` with each run of those below one made to cost RUN_LOSS at most."""
+    out, start = list(scores), 0
+    for i in range(len(scores) + 1):
+        if i == len(scores) or scores[i] >= 1:
+            total = sum(scores[start:i])
+            if total < -RUN_LOSS:
+                out[start:i] = [x * RUN_LOSS / -total for x in scores[start:i]]
+            start = i + 1
+    return out
+
+
 def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The page's main text: one line for each block; empty if there is none."""
-    tokens, blocks = parsed(page or "")
-    a, b = best_region([weight[f] * (n if word else 1) for f, _, _, word, n, _ in tokens])
-    inside = {k for _, c, _, word, _, k in tokens[a:b] if word and c in OPEN_CONTEXTS}
-    lines = (" ".join(blocks[k].split()) for k in sorted(inside))
+    p = Page(page or "")
+    a, b = best_region(bounded([weight[f] * (n if word else 1) for f, _, _, word, n, _ in p.tokens]))
+    words = [(k, p.contexts[m] in OPEN_CONTEXTS) for _, m, _, word, _, k in p.tokens[a:b] if word]
+    plain = [i for i, (_, open_) in enumerate(words) if open_]
+    first, last = (plain[0], plain[-1]) if plain else (len(words), -1)
+    inside: dict[int, bool] = {}  # block: whether it stands between blocks of the text, so that only its own text counts
+    for i, (k, open_) in enumerate(words):
+        if open_ or not first < i < last:
+            inside[k] = inside.get(k, True) and (open_ or first < i < last)
+    lines = []
+    for k in sorted(inside):
+        pieces = [t if not inside[k] or p.contexts[m] in OPEN_CONTEXTS else " " for t, m in p.blocks[k]]
+        lines.append(" ".join("".join(pieces).split()))
     return "\n".join(x for x in lines if x)
 
 

@@ -473,15 +473,43 @@ def test_html_marks_only_label(spark):
             assert got[d] == f"Title {i}\n{words(i, 40)}\n{words(i + 1, 3)}", (size, d)
 
 
-def test_the_region_decides(spark, small, monkeypatch):
-    pages = [re.sub(r"</?(?:article|main)\b[^>]*>", "", r["html"]) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
-    weight = html_extract.weights(html_extract.counts(spark.read.parquet(f"{small}/pages.parquet")))
-    loose = [p.replace("<body>", "<body><div><a href='/terms'>Terms and rules of this site, in short</a></div>", 1) for p in pages if "<body>" in p]
-    assert loose
-    scanned = [html_extract.main_text(p, weight) for p in loose]
+def articles_of(pages):
+    import html
+
+    inside = [re.search(r"<article>(.*?)(</article>|\Z)", p, re.S)[1] for p in pages]
+    lines = [[" ".join(html.unescape(re.sub(r"<[^>]*>|<[^>]*\Z", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", i)] for i in inside]
+    return ["\n".join(x for x in y if x) for y in lines]
+
+
+def test_the_region_decides(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weight = html_extract.weights(html_extract.counts(table))
+    pages = [r["html"] for r in table.select("html").collect()]
+    want = articles_of(pages)
+    bare = [re.sub(r"<([a-z0-9]+)\s[^>]*>", r"<\1>", p) for p in pages]
+    neutral = [re.sub(r"<(/?)(?:nav|header|footer|aside|form|article|main)\b[^>]*>", r"<\1div>", p) for p in bare]
+    right = lambda given: sum(html_extract.main_text(p, weight) == t for p, t in zip(given, want))
+    assert right(pages) == len(pages) and right(bare) >= 0.9 * len(pages) and right(neutral) >= 0.9 * len(pages)
     monkeypatch.setattr(html_extract, "best_region", lambda scores: (0, len(scores)))
-    assert sum(a == html_extract.main_text(p, weight) for a, p in zip(scanned, loose)) < 0.05 * len(loose)
-    assert not any(x.startswith("Terms and rules") for x in scanned)
+    assert right(pages) < 0.05 * len(pages)
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_names_are_features_and_no_filter(spark, learned):
+    weight = html_extract.weights(html_extract.counts(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")) if learned else {})
+    words = "running words of the text, one after the other, and more of them to come. " * 4
+    body = f"<h1>Title</h1><p>{words}</p><p>{words}</p>"
+    text = f"Title\n{words.strip()}\n{words.strip()}"
+    menu = '<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul>'
+    for name in ('class="social-science"', 'id="toc-wrap"', 'class="content sidebar-left"', 'id="comment-policy-article"'):
+        assert html_extract.main_text(f"<body><nav>{menu}</nav><div {name}>{body}</div><footer>&copy; us</footer>", weight) == text
+    alert = html_extract.main_text(f'<body><article>{body}<p class="alert-info">{words}</p>{body}</article>', weight)
+    assert alert == "\n".join([text, words.strip(), text])
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(30)) + "</ul>"
+    found = html_extract.main_text(f"<body><article>{body}{links}{body}</article><footer>us</footer>", weight)
+    assert found.startswith(text) and found.endswith(text) and "Link 7" in found
+    inner = f'<body><article>{body}<aside><p>Read this too, it is a good one</p></aside><div class="ad"><p>Buy now</p></div>{body}</article>'
+    assert html_extract.main_text(inner, weight) == f"{text}\n{text}"
 
 
 def test_an_advert_within_a_paragraph_is_left_out():
