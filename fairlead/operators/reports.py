@@ -57,3 +57,8 @@ def vessel_report(vessel_id: str, risk: DataFrame, features: DataFrame, behaviou
     rest = features.select("vessel_id", F.struct(*(c for c in features.columns if c != "vessel_id")).alias("features"))
     out = one(risk).join(one(rest), "vessel_id", "left").join(one(behaviour.drop(*drop, "loitering_score")), "vessel_id", "left").join(one(temporal), "vessel_id", "left")
     return out.fillna({"temporal_anomaly_score": 0.0, "temporal_model_status": "insufficient_data"})
+
+
+def alert_panel(alerts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` alerts on top: HIGH first, then the latest, then by vessel and type."""
+    return alerts.orderBy(F.col("level") != "HIGH", F.desc("tick"), "vessel_id", "alert_type").limit(n)

@@ -121,7 +121,7 @@ def geofence_grid(spark, sf_dir):
     """All positions against the zones by grid, with the distance to the nearest however far."""
     t, _, zones = parts(spark, sf_dir)
     rows = geofence.check_zones_by_grid(t, zones)
-    return rows.select("vessel_id", "seq", "inside", "zone_name", "near", "nearest_zone", F.round("min_dist_deg", 4).alias("min_dist_deg"), "zone_status")
+    return rows.select("vessel_id", "seq", "inside", "zone_name", "near", "nearest_zone", "min_dist_deg", "zone_status")
 
 
 # -- behaviour and features -----------------------------------------------------------------------
@@ -483,6 +483,70 @@ def tumbling_counts(spark, sf_dir):
     return rows.select(us("window_start").alias("start_us"), "messages")
 
 
+def csv_ingest(spark, sf_dir):
+    """The raw positions through a CSV file with other column names."""
+    raw = fixtures.raw_positions(spark, sf_dir)
+    names = {"vessel_id": "MMSI", "timestamp": "BaseDateTime", "latitude": "LAT", "longitude": " lon ", "speed": "SOG", "heading": "COG"}
+    path = f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}.csv"
+    raw.select(*(F.col(c).alias(n) for c, n in names.items())).write.option("header", True).csv(path)
+    return positions.load(spark, path).groupBy("vessel_id").agg(F.count("*").alias("n"), F.max(F.unix_micros("timestamp")).alias("last_us"), F.round(F.max("speed"), 4).alias("top_speed"))
+
+
+def order_without_times(spark, sf_dir):
+    """The last position of vessels of a source without times: rows keep the order that they come in."""
+    rows = positions.coerced(positions.normalise(fixtures.tracks(spark, sf_dir).drop("timestamp", "seq")))
+    return tracks.latest(rows).select("vessel_id", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"), F.col("timestamp").isNull().alias("untimed"))
+
+
+def small_run(spark: SparkSession, sf_dir: str) -> tuple:
+    """The frames of a run without positions, and without alerts."""
+    _, latest, _ = parts(spark, sf_dir)
+    own = written(latest, "latest")
+    anomaly = own.select("vessel_id", F.lit(0.5).alias("anomaly_score"), F.lit(False).alias("is_anomalous"))
+    scored = own.select("vessel_id", F.lit(7).alias("overall_score"), F.lit("LOW").alias("risk_level"), F.lit("b").alias("behavior"), F.lit("z").alias("zone_status"))
+    none = spark.createDataFrame([], "vessel_id string, level string, message string, reason string")
+    return own, own.select("vessel_id", "speed"), anomaly, scored, none, "feed", "bay"
+
+
+def history_fallback(spark, sf_dir):
+    """What two runs without positions leave: a vessel's place once, without a time."""
+    store = history.HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    for _ in range(2):
+        store.write_run(*small_run(spark, sf_dir))
+    return store.table("positions").groupBy("vessel_id").agg(F.count("*").alias("n"), F.count("timestamp").alias("timed"), F.max("latitude").alias("latitude"))
+
+
+def streamed_alerts_append(spark, sf_dir):
+    """Alerts with cooldown that a stream has appended to a run, by type."""
+    store = history.HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    store.write_run(*small_run(spark, sf_dir))
+    run = store.table("runs").first()["run_id"]
+    store.append_alerts(jobs.cooled(spark, alert_rules.evaluate(ticked_risk(spark, sf_dir))), run)
+    return store.table("alerts").filter("created_at IS NOT NULL").groupBy("alert_type").agg(F.count("*").alias("n"), F.max("tick").alias("last_tick"))
+
+
+def alert_buffer(spark, sf_dir):
+    """The panel of eight over the last fifty alerts that fired: HIGH first, then the latest."""
+    fired = alert_rules.with_cooldown(alert_rules.evaluate(ticked_risk(spark, sf_dir)).filter("alert_type <> 'ZONE_ENTRY'"))
+    last = history.recent(fired.withColumn("row_ord", F.concat("vessel_id", "alert_type")), 50, "tick", "row_ord")
+    return reports.alert_panel(last, 8).select("vessel_id", "alert_type", "level", "tick")
+
+
+def sequence_moments(spark, sf_dir):
+    """What the sequence model standardises by: mean and population deviation of each place of a window."""
+    n, sums, products = sequences.moments(segments.segmented(fixtures.tracks(spark, sf_dir), DEFAULT.sequence_length), DEFAULT)
+    mean = sums / n
+    scale = (products.diagonal() / n - mean * mean).clip(0) ** 0.5
+    rows = spark.createDataFrame([(i, float(m), float(d)) for i, (m, d) in enumerate(zip(mean, scale))], "place int, mean double, deviation double")
+    return rows.select("place", (F.round("mean", 3) + 0.0).alias("mean"), F.round("deviation", 3).alias("deviation"))
+
+
+def sequence_reference(spark, sf_dir):
+    """The error that counts as 1: the exact 95 % quantile of the windows' errors under the fixed model."""
+    found = written(sequences.errors(fixtures.tracks(spark, sf_dir), FIXED_SEQUENCES), "sequence-errors")
+    return spark.createDataFrame([(sequences.quantile(found, "error", 0.95, few=100), found.count())], "reference double, windows long").select(F.round("reference", 4).alias("reference"), "windows")
+
+
 def by_quarter(rows: DataFrame) -> DataFrame:
     """``rows`` with the quarter of twelve hours that they fall into, the last one open."""
     return rows.withColumn("quarter", F.least(F.lit(3), F.floor((F.unix_micros("timestamp") - fixtures.START) / 10800e6)).cast("int"))
@@ -528,4 +592,5 @@ ALL = [
     temporal_fixed_score, iforest_scores, iforest_fixed_score, anomaly_ranking, minmax_normalise, risk_components, risk_scores, risk_factor_breakdown, risk_reasons, risk_alerts, fleet_stats, fleet_ranked, medium_risk_top_factors,
     high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, history_summary, history_recent_risk, history_vessel, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
     ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts, streaming_counts, streaming_evictions, live_rescore,
+    csv_ingest, order_without_times, history_fallback, streamed_alerts_append, alert_buffer, sequence_moments, sequence_reference,
 ]

@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
     "tick_progress": select(TICKS, "SELECT tick, max(last) OVER (ORDER BY tick) AS us, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS rows_so_far, round((tick + 1) / CAST(max(tick) OVER () + 1 AS DOUBLE), 4) AS done FROM (SELECT tick, max(us) AS last, count(*) AS n FROM ticked GROUP BY tick)"),
     "geofence_latest": select(CLEAN_SQL + LATEST + zones("latest", "vessel_id"), "SELECT vessel_id, inside, zone_name, near, nearest_zone, round(min_dist_deg, 4) AS min_dist_deg, zone_status FROM geo"),
     "geofence_all_positions": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, zone_status, count(*) AS n FROM geo GROUP BY ALL"),
-    "geofence_grid": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, seq, inside, zone_name, near, nearest_zone, round(min_dist_deg, 4) AS min_dist_deg, zone_status FROM geo"),
+    "geofence_grid": select(CLEAN_SQL + zones("clean", "vessel_id, seq"), "SELECT vessel_id, seq, inside, zone_name, near, nearest_zone, min_dist_deg, zone_status FROM geo"),
     "behaviour_metrics": select(CLEAN_SQL + STEPS + BEHAVIOUR, f"SELECT vessel_id, {', '.join(f'round(CAST({n} AS DOUBLE), 2) AS {n}' for n in METRICS)}, significant_gap_count, position_count FROM behave"),
     "behaviour_labels": select(
         CLEAN_SQL + STEPS + BEHAVIOUR + LABELS,
@@ -435,3 +435,21 @@ ORACLES["live_rescore"] = select(
     ),
     "SELECT vessel_id, overall_score, risk_level FROM risk",
 )
+ORACLES["csv_ingest"] = select(RAW_SQL, "SELECT vessel_id, count(*) AS n, max(us) AS last_us, round(max(speed), 4) AS top_speed FROM raw WHERE vessel_id <> '' AND us IS NOT NULL AND longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 GROUP BY vessel_id")
+ORACLES["order_without_times"] = select(CLEAN_SQL, f"SELECT vessel_id, {rounded('arg_max(latitude, seq)', 4)} AS latitude, {rounded('arg_max(longitude, seq)', 4)} AS longitude, true AS untimed FROM clean GROUP BY vessel_id")
+ORACLES["history_fallback"] = select(CLEAN_SQL + LATEST, "SELECT vessel_id, 1 AS n, 0 AS timed, latitude FROM latest")
+FIRED = ORACLES["alert_cooldown"].removesuffix("SELECT vessel_id, alert_type, tick FROM fired")
+ORACLES["streamed_alerts_append"] = FIRED + "SELECT alert_type, count(*) AS n, max(tick) AS last_tick FROM fired GROUP BY alert_type"
+ORACLES["alert_buffer"] = FIRED + """SELECT vessel_id, alert_type, level, tick FROM (
+  SELECT *, CASE WHEN alert_type IN ('HIGH_RISK', 'COMBINED') THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM fired WHERE alert_type <> 'ZONE_ENTRY' ORDER BY tick DESC, vessel_id || alert_type DESC LIMIT 50)
+ORDER BY level <> 'HIGH', tick DESC, vessel_id, alert_type LIMIT 8"""
+STEP_VALUES = ["coalesce(speed, 0)", "coalesce(heading_change, 0)", "dlat", "dlon", "km", "greatest(coalesce(gap_minutes, 0), 0)"]
+ORACLES["sequence_moments"] = select(
+    CLEAN_SQL
+    + STEPS
+    + f""",
+stepped AS (SELECT vessel_id, us, seq, row_number() OVER {W} AS rn, {", ".join(f"{v} AS v{i}" for i, v in enumerate(STEP_VALUES))} FROM steps WHERE dlat IS NOT NULL),
+placed AS (SELECT rn, {", ".join(f"lag(v{i}, {9 - k}) OVER {W} AS p{6 * k + i}" for k in range(10) for i in range(6))} FROM stepped)""",
+    " UNION ALL ".join(f"SELECT {p} AS place, round(avg(p{p}), 3) + 0.0 AS mean, round(stddev_pop(p{p}), 3) AS deviation FROM placed WHERE rn >= 10" for p in range(60)),
+)
+ORACLES["sequence_reference"] = select(CLEAN_SQL + STEPS + TEMPORAL, "SELECT round(quantile_cont(error, 0.95), 4) AS reference, count(*) AS windows FROM errs WHERE rn >= 10")
