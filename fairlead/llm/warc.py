@@ -103,6 +103,8 @@ def archive(records: list[bytes], level: int = 3) -> bytes:
 
 def frame_end(data: memoryview, at: int) -> int:
     """Where the frame that starts at ``at`` ends, by its header and block headers."""
+    if at + 6 > len(data):
+        raise ValueError("WARC: archive is cut off")
     flags = data[at + 4]
     single, has_checksum = flags >> 5 & 1, flags >> 2 & 1
     at += 5 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
@@ -129,8 +131,12 @@ def records(data: bytes) -> Iterator[bytes]:
         trained, at = zstandard.ZstdCompressionDict(raw), 8 + size
     decompressor = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
     while at < len(data):
+        if at + 4 > len(data):
+            raise ValueError("WARC: archive is cut off")
         magic = struct.unpack_from("<I", data, at)[0]
         if magic & 0xFFFFFFF0 == 0x184D2A50:  # another skippable frame
+            if at + 8 > len(data):
+                raise ValueError("WARC: archive is cut off")
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
         if magic != FRAME_MAGIC:
