@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm import jaccard_join, packing, pii, quality_classifier, quality_rules
-from fairlead.llm.common import if_small, table, written
+from fairlead.llm.common import discard, if_small, table, written
 from fairlead.llm.queries import BATCH_ROWS, TOKENIZER
 
 
@@ -74,8 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over ``documents``; a stage's table is deleted when the next one's is written, but for the last, which
+    the result reads."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = written(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        if hasattr(before, "written_to"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

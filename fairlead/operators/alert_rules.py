@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
+from fairlead.functions.texts import LIVE_ALERTS, filled
 from fairlead.sources.tables import written
 
 
 def candidates(cfg: Config = DEFAULT) -> Column:
     """array<struct<alert_type, level, message, reason>> that a risk row calls for, in order."""
-    v, z = F.col("vessel_id"), F.col("zone_status")
-    gap, score = F.col("ais_gap_minutes").cast("string"), F.col("overall_score").cast("string")
     zone, quiet, odd, temporal = (
         F.col("geofence_component") >= cfg.alert_zone,
         F.col("ais_gap_component") >= cfg.alert_gap,
@@ -24,15 +23,11 @@ def candidates(cfg: Config = DEFAULT) -> Column:
     )
     strong = sum((c.cast("int") for c in (quiet, odd, temporal)), zone.cast("int"))
     high = F.col("risk_level") == "HIGH"
-    alert = lambda kind, level, message, reason: F.struct(F.lit(kind).alias("alert_type"), level.alias("level"), message.alias("message"), F.lit(reason).alias("reason"))
-    rules = [
-        (zone, alert("ZONE_ENTRY", F.when(high, "HIGH").otherwise("MEDIUM"), F.concat(v, F.lit(" inside monitoring zone ("), z, F.lit("). Suspicious fishing-related behaviour indicators.")), "Inside monitoring zone")),
-        (quiet, alert("AIS_GAP", F.lit("MEDIUM"), F.concat(v, F.lit(" significant AIS gap ("), gap, F.lit(" min) — suspicious reporting-gap behaviour indicator.")), "Significant AIS gap")),
-        (odd, alert("BEHAVIOUR_ANOMALY", F.lit("MEDIUM"), F.concat(v, F.lit(" strong behavioural anomaly (loitering/turning/speed).")), "Behavioural anomaly")),
-        (temporal, alert("TEMPORAL_ANOMALY", F.lit("MEDIUM"), F.concat(v, F.lit(" elevated temporal sequence anomaly.")), "Temporal anomaly")),
-        (high, alert("HIGH_RISK", F.lit("HIGH"), F.concat(v, F.lit(" HIGH risk ("), score, F.lit("/100). Suspicious fishing-related behaviour indicators detected.")), "HIGH overall risk")),
-        (strong >= 2, alert("COMBINED", F.lit("HIGH"), F.concat(v, F.lit(" multiple suspicious indicators detected ("), strong.cast("string"), F.lit(" signals).")), "Multiple suspicious indicators")),
-    ]
+    columns = {"vessel": F.col("vessel_id"), "zone": F.col("zone_status"), "gap": F.col("ais_gap_minutes"), "score": F.col("overall_score"), "signals": strong}
+    medium, top = F.lit("MEDIUM"), F.lit("HIGH")
+    cases = {"ZONE_ENTRY": (zone, F.when(high, top).otherwise(medium)), "AIS_GAP": (quiet, medium), "BEHAVIOUR_ANOMALY": (odd, medium), "TEMPORAL_ANOMALY": (temporal, medium), "HIGH_RISK": (high, top), "COMBINED": (strong >= 2, top)}
+    alert = lambda kind, level: F.struct(F.lit(kind).alias("alert_type"), level.alias("level"), filled(LIVE_ALERTS[kind][0], **columns).alias("message"), F.lit(LIVE_ALERTS[kind][1]).alias("reason"))
+    rules = [(case, alert(kind, level)) for kind, (case, level) in cases.items()]
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), a) for c, a in rules)))
 
 

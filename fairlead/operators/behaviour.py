@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import BEHAVIOUR_FEATURES, DEFAULT, Config
 from fairlead.functions.motion import haversine_km
+from fairlead.functions.texts import BEHAVIOUR, filled
 from fairlead.operators.tracks import own, steps
 
 #: The metrics and the places that they are rounded to; labels are told from unrounded ones.
@@ -62,21 +63,21 @@ def metrics(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def labels(cfg: Config) -> tuple[Column, Column]:
     """The labels of unrounded metrics and their summary in words."""
-    minutes = F.floor("max_ais_gap_minutes").cast("long")
-    rules = [
-        (F.col("loitering_score") >= cfg.loitering_flag, "LOITERING", F.lit("prolonged loitering")),
-        (F.col("stationary_ratio") >= cfg.slow_share, "SLOW_MOVEMENT", F.lit("sustained low-speed/stationary movement")),
-        (F.col("mean_heading_change") >= cfg.high_turning, "HIGH_TURNING", F.lit("frequent sharp course changes")),
-        ((F.col("significant_gap_count") > 0) | (F.col("max_ais_gap_minutes") >= 30.0), "AIS_GAP", F.concat(F.lit("significant AIS gap ("), minutes.cast("string"), F.lit(" min)"))),
-        (F.col("speed_std") >= cfg.speed_anomaly_std, "SPEED_ANOMALY", F.lit("highly variable speed")),
-    ]
+    cases = {
+        "LOITERING": F.col("loitering_score") >= cfg.loitering_flag,
+        "SLOW_MOVEMENT": F.col("stationary_ratio") >= cfg.slow_share,
+        "HIGH_TURNING": F.col("mean_heading_change") >= cfg.high_turning,
+        "AIS_GAP": (F.col("significant_gap_count") > 0) | (F.col("max_ais_gap_minutes") >= 30.0),
+        "SPEED_ANOMALY": F.col("speed_std") >= cfg.speed_anomaly_std,
+    }
+    rules = [(case, n, filled(BEHAVIOUR[n], gap=F.floor("max_ais_gap_minutes").cast("long"))) for n, case in cases.items()]
     found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n, _ in rules)))
     words = F.array_join(F.array_compact(F.array(*(F.when(c, w) for c, _, w in rules))), ", ")
     single = F.col("position_count") <= 1
     named = F.when(single, F.array(F.lit("INSUFFICIENT_DATA"))).when(F.size(found) == 0, F.array(F.lit("NORMAL_TRANSIT"))).when(F.size(found) >= 2, F.array_append(found, F.lit("MIXED_SUSPICIOUS"))).otherwise(found)
     said = (
-        F.when(single, "Only one position available — insufficient for behaviour analysis.")
-        .when(F.size(found) == 0, "Consistent transit movement — no notable suspicious indicators.")
+        F.when(single, BEHAVIOUR["single"])
+        .when(F.size(found) == 0, BEHAVIOUR["transit"])
         .otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10_000), F.lit(".")))
     )
     return named, said

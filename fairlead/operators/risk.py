@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT, Config
 from fairlead.functions.motion import clamp01
+from fairlead.functions.texts import ALERTS, FACTORS, LEVELS, REASONS, filled
 
 
 def joined(vessels: DataFrame, geo: DataFrame, features: DataFrame, behaviour: DataFrame | None = None, anomaly: DataFrame | None = None, temporal: DataFrame | None = None, reported_gaps: DataFrame | None = None) -> DataFrame:
@@ -65,18 +66,18 @@ def score(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     parts = [("_geo", cfg.weight_geofence), ("_iso", cfg.weight_isolation), ("_temp", cfg.weight_temporal), ("_beh", cfg.weight_behaviour), ("_gapc", cfg.weight_gap)]
     total = sum((F.col(n) * w for n, w in parts[1:]), F.col("_geo") * cfg.weight_geofence)
     rows = rows.withColumn("overall_score", whole(F.least(total, F.lit(1.0)) * 100))
-    minutes = F.floor("_gap").cast("int").cast("string")
-    zone = F.when(F.col("inside"), F.concat(F.lit("Inside monitoring zone ("), "zone_name", F.lit(")"))).when(F.col("near"), F.concat(F.lit("Near monitoring zone ("), "nearest_zone", F.lit(")")))
-    names = [zone, F.lit("Isolation Forest anomaly"), F.lit("Temporal sequence anomaly"), F.lit("Behavioural anomaly (loitering/turning/speed)"), F.concat(F.lit("Significant AIS gap ("), minutes, F.lit(" min)"))]
+    minutes = F.floor("_gap").cast("int")
+    by_zone = lambda texts: F.when(F.col("inside"), filled(texts["inside"], zone=F.col("zone_name"))).when(F.col("near"), filled(texts["near"], zone=F.col("nearest_zone")))
+    names = [by_zone(FACTORS), *(F.lit(FACTORS[n]) for n in ("isolation", "temporal", "behaviour")), filled(FACTORS["gap"], gap=minutes)]
     factor = lambda name, n, w: F.struct(name.alias("factor"), whole(F.col(n) * w * 100).alias("contribution"), F.lit(round(w * 100)).alias("max_weight"), F.round(n, 4).alias("component"))
     factors = F.filter(F.array(*(factor(name, n, w) for name, (n, w) in zip(names, parts))), lambda x: (x["component"] > 0.01) & x["factor"].isNotNull())
     said = [
-        F.when(F.col("inside"), F.concat(F.lit("Inside demonstration monitoring zone ("), "zone_name", F.lit(")"))).when(F.col("near"), F.concat(F.lit("Operating near monitoring zone ("), "nearest_zone", F.lit(")"))),
-        F.when(F.col("_iso") >= cfg.anomaly_threshold, "Elevated Isolation Forest anomaly"),
-        F.when(F.col("_temp") >= cfg.alert_temporal, "Elevated temporal sequence anomaly"),
-        F.when(F.col("loitering_score") >= 0.6, "Loitering behaviour"),
-        F.when(F.col("mean_heading_change") >= cfg.high_turning, "High turning activity"),
-        F.when(F.col("speed_deviation") >= 0.4, "Speed anomaly"),
+        by_zone(REASONS),
+        F.when(F.col("_iso") >= cfg.anomaly_threshold, REASONS["isolation"]),
+        F.when(F.col("_temp") >= cfg.alert_temporal, REASONS["temporal"]),
+        F.when(F.col("loitering_score") >= 0.6, REASONS["loitering"]),
+        F.when(F.col("mean_heading_change") >= cfg.high_turning, REASONS["turning"]),
+        F.when(F.col("speed_deviation") >= 0.4, REASONS["speed"]),
         F.when(F.col("_gapc") > 0.01, names[4]),
     ]
     reasons = F.array_compact(F.array(*said))
@@ -92,11 +93,7 @@ def score(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .otherwise("Normal Transit")
     )
     level = F.when(F.col("overall_score") >= cfg.high, "HIGH").when(F.col("overall_score") >= cfg.medium, "MEDIUM").otherwise("LOW")
-    told = (
-        F.when(level == "HIGH", "Multiple or strong suspicious fishing-related behaviour indicators detected.")
-        .when(level == "MEDIUM", "Some suspicious behaviour indicators present; monitor.")
-        .otherwise("No significant suspicious behaviour indicators.")
-    )
+    told = F.when(level == "HIGH", LEVELS["HIGH"]).when(level == "MEDIUM", LEVELS["MEDIUM"]).otherwise(LEVELS["LOW"])
     components = {"geofence_component": "_geo", "isolation_component": "_iso", "temporal_component": "_temp", "behaviour_component": "_beh", "ais_gap_component": "_gapc"}
     return rows.select(
         "vessel_id",
@@ -107,7 +104,7 @@ def score(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "zone_status",
         *(F.round(c, 4).alias(n) for n, c in components.items()),
         factors.alias("factors"),
-        F.when(F.size(reasons) == 0, F.array(F.lit("No elevated risk indicators"))).otherwise(reasons).alias("risk_factors"),
+        F.when(F.size(reasons) == 0, F.array(F.lit(REASONS["none"]))).otherwise(reasons).alias("risk_factors"),
         told.alias("explanation"),
         whole(F.col("_gap")).alias("ais_gap_minutes"),
         "behavior_summary",
@@ -123,20 +120,19 @@ def alerts(risk: DataFrame) -> DataFrame:
     """
     best = F.aggregate("factors", F.get("factors", F.lit(0)), lambda a, f: F.when(f["contribution"] > a["contribution"], f).otherwise(a))
     rows = risk.filter("risk_level IN ('HIGH', 'MEDIUM')").withColumn("reason", F.when(F.size("factors") > 0, best["factor"]).otherwise(F.col("behavior")))
-    v, s, z, g = F.col("vessel_id"), F.col("overall_score").cast("string"), F.col("zone_status"), F.col("ais_gap_minutes").cast("string")
     has = lambda c, text: F.col(c).contains(text)
-    shown = "Suspicious fishing-related behaviour indicators detected."
-    message = (
-        F.when(has("behavior", "Zone Violation") | has("zone_status", "INSIDE"), F.concat(v, F.lit(" detected inside monitoring zone — "), z, F.lit(f". {shown}")))
-        .when(has("behavior", "Loitering"), F.concat(v, F.lit(" sustained loitering behaviour (risk "), s, F.lit(f"/100). {shown}")))
-        .when(F.col("ais_gap_minutes") >= 20, F.concat(v, F.lit(" AIS signal gap of "), g, F.lit(" minutes — suspicious reporting-gap behaviour indicator.")))
-        .when(has("reason", "Temporal"), F.concat(v, F.lit(" elevated temporal sequence anomaly (risk "), s, F.lit("/100).")))
-        .when(has("behavior", "Speed Anomaly"), F.concat(v, F.lit(" speed anomaly — movement inconsistent with normal fishing.")))
-        .when(has("behavior", "Erratic"), F.concat(v, F.lit(" erratic course changes — behaviour inconsistent with transit.")))
-        .when(has("behavior", "Proximity") | has("zone_status", "Near"), F.concat(v, F.lit(" operating close to monitoring zone ("), z, F.lit(") — monitor.")))
-        .when(has("behavior", "Anomalous"), F.concat(v, F.lit(" flagged by anomaly detection (risk "), s, F.lit("/100).")))
-        .otherwise(F.concat(v, F.lit(" risk "), s, F.lit("/100 — "), F.col("reason"), F.lit(".")))
-    )
+    columns = {"vessel": F.col("vessel_id"), "score": F.col("overall_score"), "zone": F.col("zone_status"), "gap": F.col("ais_gap_minutes"), "reason": F.col("reason")}
+    cases = {
+        "inside": has("behavior", "Zone Violation") | has("zone_status", "INSIDE"),
+        "loitering": has("behavior", "Loitering"),
+        "gap": F.col("ais_gap_minutes") >= 20,
+        "temporal": has("reason", "Temporal"),
+        "speed": has("behavior", "Speed Anomaly"),
+        "erratic": has("behavior", "Erratic"),
+        "near": has("behavior", "Proximity") | has("zone_status", "Near"),
+        "anomalous": has("behavior", "Anomalous"),
+    }
+    message = F.coalesce(*(F.when(case, filled(ALERTS[n], **columns)) for n, case in cases.items()), filled(ALERTS["other"], **columns))
     icon = F.when(F.col("risk_level") == "HIGH", "🔴").otherwise("🟠")
     return rows.select(F.col("risk_level").alias("level"), icon.alias("icon"), "vessel_id", message.alias("message"), "reason", "overall_score")
 

@@ -17,10 +17,22 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_fairlead").rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's own tables."""
+    return f"{shared_folder(spark)}/fairlead-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Deletes all tables that this application has ``written`` and not discarded: results that are not yet read or
+    stored elsewhere can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back; it cuts the lineage. options: of the
     Parquet writer."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
