@@ -102,6 +102,69 @@ def test_rules_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_verdicts(votes, steps=25):
+    """Posterior probabilities of rows of votes (1, 0 or None) by expectation-maximisation over the rows."""
+    k = {0: 0, 1: 1, None: 2}
+    x = np.array([[k[v] for v in row] for row in votes])
+    n, m = x.shape
+    prior, good, bad = 0.85, np.tile([0.02, 0.78, 0.20], (m, 1)), np.tile([0.30, 0.60, 0.10], (m, 1))
+
+    def posterior():
+        ratio = np.log(good / bad)
+        ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), np.maximum(ratio[:, 1], 0), 0
+        return 1 / (1 + np.exp(-(ratio[np.arange(m), x].sum(1) + math.log(prior / (1 - prior)))))
+
+    for _ in range(steps):
+        p = posterior()
+        old = [prior, good.copy(), bad.copy()]
+        prior = min(0.98, max(0.5, p.mean()))
+        for table, w, was in ((good, p, old[1]), (bad, 1 - p, old[2])):
+            for v in (0, 1):
+                table[:, v] = np.clip((((x == v) * w[:, None]).sum(0) + was[:, v]) / (w.sum() + 1), 0.002, 0.98)
+            table[:, 2] = np.maximum(0.002, 1 - table[:, 0] - table[:, 1])
+        if max(abs(prior - old[0]), np.abs(good - old[1]).max(), np.abs(bad - old[2]).max()) < 1e-3:
+            break
+    return posterior()
+
+
+def test_verdicts_equal_a_plain_version(spark, small):
+    rows = quality_rules.judge(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")).collect()
+    want = plain_verdicts([[r[f"vote_{name}"] for name, _, _ in quality_rules.RULES] for r in rows])
+    assert np.allclose([r["quality_probability"] for r in rows], want, atol=1e-6)
+    assert [r["kept"] for r in rows] == [not r["base_failed"] and p >= 0.5 for r, p in zip(rows, want)]
+
+
+def test_scores_equal_a_plain_version(spark, small, docs):
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.train(df, spark.read.parquet(f"{small}/labels.parquet"))
+    for r in quality_classifier.classify(df, model).collect():
+        z = np.clip((quality_classifier.features(docs[r["doc_id"]]) - model.mean) * model.scale, -6, 6)
+        margin = sum(math.tanh(float((z * model.hidden[:, j]).sum() + model.bias[j])) * float(model.out[j]) for j in range(len(model.out))) + model.shift
+        want = 1 / (1 + math.exp(-max(-30, min(30, (margin - model.centre) * model.slope))))
+        assert abs(r["score"] - want) < 1e-3 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_best_region_equals_all_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice([-3.0, -1.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 25))]
+        sums = {(a, b): sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+        best = max(sums.values(), default=0)
+        a, b = html_extract.best_region(x)
+        assert abs(sum(x[a:b]) - max(best, 0)) < 1e-9
+        capped = html_extract.bounded([100 * v for v in x])
+        assert len(capped) == len(x) and all((c == 100 * v) or v < 0 for c, v in zip(capped, x))
+
+
+def test_tiers_hold_what_they_say(spark, small):
+    rows = packing.pack(spark.read.parquet(f"{small}/documents.parquet"), PATH).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append(r)
+    for pieces in by.values():
+        assert len({p["tier"] for p in pieces}) == 1 and sum(p["length"] for p in pieces) == pieces[0]["tier"]
+
+
 def check_packing(rows, want):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
