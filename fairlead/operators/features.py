@@ -69,15 +69,6 @@ def base_features(latest: DataFrame, positions: DataFrame, geo: DataFrame, cfg:
     return joined.select("vessel_id", *base_columns(cfg))
 
 
-def feature_matrix(base: DataFrame, behaviour: DataFrame | None = None) -> DataFrame:
-    """Base features, with those of ``analyse`` if given (0 for vessels that it lacks), in the
-    order of FEATURES."""
-    if behaviour is None:
-        return base.select("vessel_id", *BASE_FEATURES)
-    joined = base.join(feature_row(behaviour), "vessel_id", "left")
-    return joined.fillna(0.0, list(BEHAVIOUR_FEATURES)).select("vessel_id", *FEATURES)
-
-
 def feature_json(matrix: DataFrame) -> DataFrame:
     """vessel_id and its features as JSON text."""
     return matrix.select("vessel_id", F.to_json(F.struct(*(c for c in matrix.columns if c != "vessel_id"))).alias("feature_json"))

@@ -10,16 +10,6 @@ from fairlead.functions.motion import clamp01
 from fairlead.functions.texts import ALERTS, FACTORS, LEVELS, REASONS, filled
 
 
-def joined(vessels: DataFrame, geo: DataFrame, features: DataFrame, behaviour: DataFrame | None = None, anomaly: DataFrame | None = None, temporal: DataFrame | None = None, reported_gaps: DataFrame | None = None) -> DataFrame:
-    """Every vessel with what ``score`` needs; missing parts get their defaults: open waters, no
-    anomaly, no behaviour, no reported gap."""
-    out = vessels.select("vessel_id").join(geo.select("vessel_id", "inside", "near", "zone_name", "nearest_zone", "zone_status"), "vessel_id", "left")
-    out = out.join(features.select("vessel_id", "speed", "speed_deviation", "loitering_score", "zone_proximity_norm", "erratic_score"), "vessel_id", "left")
-    if behaviour is not None:
-        out = out.join(behaviour.select("vessel_id", "mean_heading_change", "max_ais_gap_minutes", "behavior_labels", "behavior_summary"), "vessel_id", "left")
-    return with_scores(out, anomaly, temporal, reported_gaps)
-
-
 def with_scores(out: DataFrame, anomaly: DataFrame | None = None, temporal: DataFrame | None = None, reported_gaps: DataFrame | None = None) -> DataFrame:
     """Vessel rows with model scores and reported gaps, defaults where these are missing."""
     if anomaly is not None:

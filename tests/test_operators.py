@@ -474,3 +474,47 @@ def test_written_tables_of_a_run_are_cleared(spark, tmp_path):
         assert [p.name for p in tmp_path.iterdir()] == ["other"]
     finally:
         spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_forest_scores_follow_a_plain_forest(spark):
+    """Scores of the distributed forest against one grown in numpy from random samples of the same rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(6, 0.5, (6, 3))])
+    df = spark.createDataFrame([(f"V{i}", *map(float, r)) for i, r in enumerate(x)], "vessel_id string, a double, b double, c double")
+    cfg = replace(DEFAULT, trees=100, tree_rows=128)
+    columns = ["a", "b", "c"]
+    got = {r["vessel_id"]: r["raw"] for r in iforest.raw_table(df, iforest.fit(df, columns, cfg=cfg), columns, cfg=cfg).collect()}
+    depths = np.zeros(len(x))
+    for _ in range(100):
+        sample = x[rng.choice(len(x), 128, replace=False)]
+
+        def depth(points, rows, level):
+            """Path lengths of ``points`` in a tree grown from ``rows``."""
+            if level >= 7 or len(rows) <= 1:
+                return np.full(len(points), level + float(iforest.average_path(len(rows))))
+            f = rng.integers(3)
+            t = rng.uniform(rows[:, f].min(), rows[:, f].max())
+            left, out = points[:, f] < t, np.empty(len(points))
+            out[left], out[~left] = depth(points[left], rows[rows[:, f] < t], level + 1), depth(points[~left], rows[rows[:, f] >= t], level + 1)
+            return out
+
+        depths += depth(x, sample, 0)
+    plain = 2 ** (-depths / 100 / float(iforest.average_path(128)))
+    mine = np.array([got[f"V{i}"] for i in range(len(x))])
+    assert np.corrcoef(mine, plain)[0, 1] > 0.95 and np.abs(mine - plain).mean() < 0.03
+    assert set(np.argsort(-mine)[:6]) == set(range(500, 506))
+
+
+def test_sequence_model_equals_a_plain_fit(spark, small):
+    import numpy as np
+
+    t = fixtures.tracks(spark, small)
+    rows = np.array([r["features"] for r in sequences.windows(t).collect()])
+    z = (rows - rows.mean(0)) / np.where(rows.std(0) < 1e-12, 1, rows.std(0))
+    _, _, v = np.linalg.svd(z, full_matrices=False)
+    errors = ((z - z @ v[:32].T @ v[:32]) ** 2).mean(1)
+    model, found = sequences.fit(t)
+    assert np.allclose(sorted(r["error"] for r in found.collect()), np.sort(errors), atol=1e-6)
+    assert abs(model.reference - np.quantile(errors, 0.95)) < 1e-6 and len(model.components[0]) == 32
