@@ -460,20 +460,16 @@ def test_many_zones_by_grid_equal_all_pairs(spark):
     assert own([], geofence.check_zones_by_grid) == own([], geofence.check_zones)
 
 
-def test_written_tables_of_a_run_are_cleared(spark, tmp_path):
+def test_written_tables_of_a_run_are_cleared(spark, tmp_path, monkeypatch):
     from fairlead.sources import tables
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        one, two = tables.written(spark.range(3), "one"), tables.written(spark.range(4), "two")
-        tables.discard(one)
-        assert two.count() == 4 and len(list(tmp_path.glob("*/*"))) == 1
-        (tmp_path / "other").mkdir()
-        tables.clear_run(spark)
-        assert [p.name for p in tmp_path.iterdir()] == ["other"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path))
+    one, two = tables.written(spark.range(3), "one"), tables.written(spark.range(4), "two")
+    tables.discard(one)
+    assert two.count() == 4 and len(list(tmp_path.glob("*/*"))) == 1
+    (tmp_path / "other").mkdir()
+    tables.clear_run(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
 
 
 def test_forest_scores_follow_a_plain_forest(spark):
