@@ -39,6 +39,7 @@ class Config:
     stale_seconds: int = 300
     sequence_length: int = 10
     windows_per_vessel: int | None = None  # all; the reference stops at 50
+    training_windows: int | None = None  # all; the reference stops at 5,000
     temporal_components: int = 32
     trees: int = 200
     tree_rows: int = 256

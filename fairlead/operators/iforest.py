@@ -183,6 +183,15 @@ def metadata(spark: SparkSession, path: str) -> dict | None:
         return None
 
 
+def nodes_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored forest's nodes; None if they are gone, are no Parquet or have other columns."""
+    try:
+        nodes = spark.read.parquet(f"{path}/nodes")
+        return nodes if nodes.columns == spark.createDataFrame([], NODES).columns and nodes.limit(1).count() else None
+    except Exception:  # any damage means: train anew
+        return None
+
+
 def compatible(meta: dict | None, columns: list[str], version: int = VERSION, **more) -> bool:
     """Whether a stored model fits: version, number, names and order of columns, and the rest."""
     return bool(meta) and meta.get("version") == version and meta.get("columns") == list(columns) and all(meta.get(k) == v for k, v in more.items())
@@ -207,8 +216,8 @@ def load_or_train(matrix: DataFrame, columns: list[str], path: str, key: str = "
     or retrained where one was there)."""
     spark = matrix.sparkSession
     meta = metadata(spark, path)
-    if compatible(meta, columns):
-        return spark.read.parquet(f"{path}/nodes"), "loaded"
+    if compatible(meta, columns) and (nodes := nodes_at(spark, path)) is not None:
+        return nodes, "loaded"
     nodes = written(fit(matrix, columns, key, cfg), "forest")
     kept = {"trees": cfg.trees, "tree_rows": cfg.tree_rows, "seed": cfg.seed, "bounds": bounds_of(matrix, nodes, columns, key, cfg)}
     save(spark, path, nodes, {"version": VERSION, "columns": list(columns), **kept})

@@ -8,8 +8,9 @@ number for each.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,18 @@ def blocks(batches: Iterator[pa.RecordBatch], cfg: Config) -> Iterator[tuple[np.
         ids, segments, rows = ids[keep:], segments[keep:], rows[keep:]
 
 
+def as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``blocks``, for windows that are rows (vessel_id, features)."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def source(df: DataFrame, cfg: Config, chosen: DataFrame | None) -> tuple[DataFrame, Callable]:
+    """The rows that windows are taken from, and what takes them."""
+    return (step_rows(df), partial(blocks, cfg=cfg)) if chosen is None else (chosen.select("vessel_id", "features"), as_rows)
+
+
 @dataclass
 class Model:
     """Means and scales by place, components (place x k), and the error that counts as 1."""
@@ -96,29 +109,38 @@ class Model:
     reference: float
 
 
-def errors(df: DataFrame, model: Model, cfg: Config = DEFAULT) -> DataFrame:
-    """(vessel_id, error) of every window of the positions ``df``: the mean square of what the
-    components leave of it."""
+def errors(df: DataFrame, model: Model, cfg: Config = DEFAULT, chosen: DataFrame | None = None) -> DataFrame:
+    """(vessel_id, error) of every window of the positions ``df``, or of those ``chosen`` (vessel_id, features): the mean
+    square of what the components leave of it."""
     mean, scale, components = (np.array(x, float) for x in (model.mean, model.scale, model.components))
+    rows, taken = source(df, cfg, chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in blocks(batches, cfg):
+        for ids, x in taken(batches):
             z = (x - mean) / scale
             error = np.maximum(0.0, ((z * z).sum(1) - ((z @ components) ** 2).sum(1)) / len(mean))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(error)], names=["vessel_id", "error"])
 
-    return step_rows(df).mapInArrow(run, "vessel_id string, error double")
+    return rows.mapInArrow(run, "vessel_id string, error double")
+
+
+def training_windows(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The windows that a model is fitted to, as rows (see ``windows``): of all vessels, and with training_windows the first
+    so many in order of vessel and start."""
+    rows = windows(df, cfg)
+    return rows if cfg.training_windows is None else rows.orderBy("vessel_id", "start").limit(cfg.training_windows)
 
 
-def moments(df: DataFrame, cfg: Config) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sums and sums of products of the windows' places. A task sends one row; these are summed
-    in groups, so that a bounded number reaches the driver."""
+def moments(df: DataFrame, cfg: Config, chosen: DataFrame | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sums and sums of products of the windows' places, of the windows ``chosen`` (vessel_id, features) if there
+    are such. A task sends one row; these are summed in groups, so that a bounded number reaches the driver."""
     places = cfg.sequence_length * len(STEP_FEATURES)
     schema = "salt int, sums binary"
+    source_rows, taken = source(df, cfg, chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((places + 1, places + 1))
-        for _, x in blocks(batches, cfg):
+        for _, x in taken(batches):
             x = np.column_stack([np.ones(len(x)), x])
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["salt", "sums"])
@@ -127,7 +149,7 @@ def moments(df: DataFrame, cfg: Config) -> tuple[int, np.ndarray, np.ndarray]:
         total = np.sum([np.frombuffer(x.as_buffer()) for x in part.column("sums")], axis=0)
         return pa.table([part.column("salt").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["salt", "sums"])
 
-    rows = step_rows(df).mapInArrow(run, schema).groupBy("salt").applyInArrow(add, schema).collect()
+    rows = source_rows.mapInArrow(run, schema).groupBy("salt").applyInArrow(add, schema).collect()
     total = np.sum([np.zeros((places + 1) ** 2), *(np.frombuffer(r["sums"]) for r in rows)], axis=0).reshape(places + 1, places + 1)
     return round(total[0, 0]), total[0, 1:], total[1:, 1:]
 
@@ -160,8 +182,10 @@ def quantile(table: DataFrame, column: str, q: float, buckets: int = 2048, few:
 
 def fit(df: DataFrame, cfg: Config = DEFAULT) -> tuple[Model | None, DataFrame | None]:
     """A model of the windows of the positions ``df``, and the windows' errors (a written table); None
-    without windows. Two passes over the positions; only sums over the 60 places reach the driver."""
-    n, sums, products = moments(df, cfg)
+    without windows. Two passes over the positions; only sums over the 60 places reach the driver. With
+    training_windows only so many are fitted to, and a third pass tells which."""
+    chosen = None if cfg.training_windows is None else written(training_windows(df, cfg).select("vessel_id", "features"), "sequence-training")
+    n, sums, products = moments(df, cfg, chosen)
     if not n:
         return None, None
     mean = sums / n
@@ -173,7 +197,7 @@ def fit(df: DataFrame, cfg: Config = DEFAULT) -> tuple[Model | None, DataFrame |
     components = vectors[:, np.argsort(-values, kind="stable")[:k]] if n > 1 else np.zeros((len(mean), 1))
     model = Model(mean.tolist(), scale.tolist(), components.tolist(), 1.0)
     found = written(errors(df, model, cfg), "sequence-errors")
-    reference = quantile(found, "error", 0.95)
+    reference = quantile(found if chosen is None else written(errors(df, model, cfg, chosen), "sequence-errors"), "error", 0.95)
     model.reference = reference if reference > 1e-9 else 1.0
     return model, found
 

@@ -128,7 +128,17 @@ def geofence_grid(spark, sf_dir):
 
 
 def behaviour_metrics(spark, sf_dir):
-    rows = behaviour.metrics(segments.segmented(fixtures.tracks(spark, sf_dir), 1))
+    return metric_rows(fixtures.tracks(spark, sf_dir))
+
+
+def behaviour_by_place(spark, sf_dir):
+    """Metrics of tracks that have nothing but places, in the order of seq: what needs speeds, headings or times stays 0."""
+    none = F.lit(None)
+    return metric_rows(fixtures.tracks(spark, sf_dir).withColumns({"timestamp": none.cast("timestamp"), "speed": none.cast("double"), "heading": none.cast("double")}))
+
+
+def metric_rows(positions: DataFrame) -> DataFrame:
+    rows = behaviour.metrics(segments.segmented(positions, 1))
     names = ["distance_travelled_km", "avg_speed", "max_speed", "speed_std", "mean_heading_change", "max_heading_change", "heading_change_std", "stationary_ratio", "loitering_score", "max_ais_gap_minutes", "mean_ais_gap_minutes", "trajectory_duration_minutes", "speed_change_rate", "turning_rate"]
     return rows.select("vessel_id", *(F.round(n, 2).alias(n) for n in names), "significant_gap_count", "position_count")
 
@@ -172,6 +182,14 @@ def sequence_windows(spark, sf_dir, cfg=PARITY):
     return rows.groupBy("vessel_id").agg(F.count("*").alias("n_windows"), F.max("start").alias("last_start"), F.round(F.sum(total), 1).alias("total"))
 
 
+def sequence_training(spark, sf_dir):
+    """The training matrix under the reference's caps, which are the feature here: how many windows of each vessel are in it."""
+    cfg = replace(PARITY, training_windows=5000)
+    rows = sequences.training_windows(segments.segmented(fixtures.tracks(spark, sf_dir), cfg.sequence_length), cfg)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("vessel_id").agg(F.count("*").alias("n_windows"), F.round(F.sum(total), 1).alias("total"))
+
+
 def sequence_windows_all(spark, sf_dir):
     return sequence_windows(spark, sf_dir, DEFAULT)
 
@@ -306,11 +324,13 @@ def live_table(spark, sf_dir):
 
 def vessel_report(spark, sf_dir):
     """Everything about the vessel with the highest score."""
-    t, latest, zones = parts(spark, sf_dir)
-    rows = risk_rows(spark, sf_dir)
+    t, _, zones = parts(spark, sf_dir)
+    rows = written(risk_rows(spark, sf_dir), "risk")
     top = rows.orderBy(F.desc("overall_score"), "vessel_id").first()["vessel_id"]
-    temporal, _ = sequences.detect(latest, t, model=FIXED_SEQUENCES)
-    found = reports.vessel_report(top, rows, feature_matrix(spark, sf_dir), behaviour.analyse(t), temporal)
+    own = written(t.filter(F.col("vessel_id") == top), "own-track")  # one vessel's rows: all else is made of them
+    of_own = written(pipeline.fleet(segments.segmented(own, pipeline.TURN_HALO), zones), "own-row")
+    temporal, _ = sequences.detect(of_own, segments.segmented(own, DEFAULT.sequence_length), model=FIXED_SEQUENCES)
+    found = reports.vessel_report(top, rows, pipeline.matrix_of(of_own), of_own.select("vessel_id", "behave.*"), temporal)
     return found.select("vessel_id", "overall_score", "risk_level", F.col("features.path_length_deg").alias("path_length_deg"), F.round("max_ais_gap_minutes", 1).alias("max_ais_gap_minutes"), F.round("temporal_anomaly_score", 3).alias("temporal_anomaly_score"))
 
 
@@ -547,6 +567,39 @@ def sequence_reference(spark, sf_dir):
     return spark.createDataFrame([(sequences.quantile(found, "error", 0.95, few=100), found.count())], "reference double, windows long").select(F.round("reference", 4).alias("reference"), "windows")
 
 
+def replay_ticks(spark, sf_dir):
+    """A replay of twelve ticks as a stream: what each micro-batch saw, one tick after the other."""
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    jobs.write_replay(fixtures.tracks(spark, sf_dir), f"{folder}/ticks", 12)
+    keep = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/out")
+    schema = spark.read.parquet(f"{folder}/ticks").drop("folder").schema
+    jobs.replay(spark, f"{folder}/ticks", schema, lambda stream: stream, keep)
+    return spark.read.parquet(f"{folder}/out").groupBy("batch", "tick").agg(F.count("*").alias("n"), F.max(F.unix_micros("timestamp")).alias("sim_us"), F.sum("seq").alias("seqs"))
+
+
+def model_store(spark, sf_dir):
+    """What successive runs find in the model store, and how many vessels they score: nothing, a model that fits, one of other
+    features or window length, a damaged one."""
+    path, cfg = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}", replace(DEFAULT, trees=10)
+    matrix, t = written(feature_matrix(spark, sf_dir), "matrix"), fixtures.tracks(spark, sf_dir)
+    found = []
+
+    def forest(run: str, columns: list[str]) -> None:
+        scores, status = iforest.detect(matrix, columns, f"{path}/forest", cfg=cfg)
+        found.append(("forest", run, status, scores.filter("anomaly_score BETWEEN 0 AND 1").count()))
+
+    def sequence(run: str, length: int) -> None:
+        own = replace(cfg, sequence_length=length)
+        scores, status = sequences.detect(matrix, t, f"{path}/sequences", own)
+        found.append(("sequences", run, status, scores.filter("temporal_anomaly_score BETWEEN 0 AND 1").count()))
+
+    forest("empty store", FEATURES), forest("same features", FEATURES), forest("fewer features", FEATURES[:5]), forest("other order", FEATURES[4::-1])
+    spark.range(1).select(F.lit("{broken").alias("value")).write.mode("overwrite").text(f"{path}/forest/metadata")
+    forest("damaged", FEATURES)
+    sequence("empty store", 10), sequence("same length", 10), sequence("other length", 5)
+    return spark.createDataFrame(found, "model string, run string, status string, vessels long")
+
+
 def by_quarter(rows: DataFrame) -> DataFrame:
     """``rows`` with the quarter of twelve hours that they fall into, the last one open."""
     return rows.withColumn("quarter", F.least(F.lit(3), F.floor((F.unix_micros("timestamp") - fixtures.START) / 10800e6)).cast("int"))
@@ -593,4 +646,5 @@ ALL = [
     high_risk_top_factors, alert_panel, fleet_enriched, live_table, vessel_report, vessel_track, score_histogram, ranked_risk_fixed, ranked_risk, stream_alert_rules, alert_cooldown, vessel_upsert, positions_anti_append, history_summary, history_recent_risk, history_vessel, recent_alerts_topk, vessel_recent_topk, parse_position_json, parse_static_json,
     ship_type_decode, static_merge, message_counters, evicted_count, stale_eviction, streaming_state, streaming_alerts, session_gaps, tumbling_counts, streaming_counts, streaming_evictions, live_rescore,
     csv_ingest, order_without_times, history_fallback, streamed_alerts_append, alert_buffer, sequence_moments, sequence_reference,
+    behaviour_by_place, sequence_training, replay_ticks, model_store,
 ]

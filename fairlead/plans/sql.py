@@ -453,3 +453,19 @@ placed AS (SELECT rn, {", ".join(f"lag(v{i}, {9 - k}) OVER {W} AS p{6 * k + i}"
     " UNION ALL ".join(f"SELECT {p} AS place, round(avg(p{p}), 3) + 0.0 AS mean, round(stddev_pop(p{p}), 3) AS deviation FROM placed WHERE rn >= 10" for p in range(60)),
 )
 ORACLES["sequence_reference"] = select(CLEAN_SQL + STEPS + TEMPORAL, "SELECT round(quantile_cont(error, 0.95), 4) AS reference, count(*) AS windows FROM errs WHERE rn >= 10")
+#: Tracks of places alone, in the order of seq.
+PLACES_SQL = CLEAN_SQL.replace("nullif(heading, 511) AS heading", "CAST(NULL AS DOUBLE) AS heading, CAST(NULL AS DOUBLE) AS speed, CAST(NULL AS BIGINT) AS us")
+ORACLES["behaviour_by_place"] = ORACLES["behaviour_metrics"].replace(CLEAN_SQL, PLACES_SQL)
+ORACLES["sequence_training"] = select(
+    CLEAN_SQL + STEPS,
+    f"""SELECT vessel_id, count(*) AS n_windows, round(sum(total), 1) AS total FROM (
+  SELECT vessel_id, total, row_number() OVER (ORDER BY vessel_id, rn) AS place FROM (
+    SELECT vessel_id, rn, sum(v) OVER (PARTITION BY vessel_id ORDER BY us, seq ROWS 9 PRECEDING) AS total
+    FROM (SELECT vessel_id, us, seq, speed + coalesce(heading_change, 0) + dlat + dlon + km + greatest(gap_minutes, 0) AS v, row_number() OVER {W} AS rn FROM steps WHERE dlat IS NOT NULL)) WHERE rn >= 10 AND rn < 60) WHERE place <= 5000 GROUP BY vessel_id""",
+)
+ORACLES["replay_ticks"] = select(TICKS.replace("// 60)", "// 12)"), "SELECT tick AS batch, tick, count(*) AS n, max(us) AS sim_us, CAST(sum(seq) AS BIGINT) AS seqs FROM ticked GROUP BY tick")
+ORACLES["model_store"] = select(
+    CLEAN_SQL,
+    """SELECT model, run, status, count(DISTINCT vessel_id) AS vessels FROM clean CROSS JOIN (VALUES ('forest', 'empty store', 'trained'), ('forest', 'same features', 'loaded'), ('forest', 'fewer features', 'retrained'),
+  ('forest', 'other order', 'retrained'), ('forest', 'damaged', 'trained'), ('sequences', 'empty store', 'trained'), ('sequences', 'same length', 'loaded'), ('sequences', 'other length', 'retrained')) runs(model, run, status) GROUP BY ALL""",
+)

@@ -37,10 +37,36 @@ def live_positions(stream: DataFrame, region: str | None = None) -> DataFrame:
 
 
 def write_replay(df: DataFrame, path: str, n_ticks: int = 60) -> None:
-    """Positions as one folder for each tick, for a replay in order."""
+    """Positions with their tick, as one folder for each tick, for a replay in order."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a tick's rows go to several tasks in order of time, not all to one
-    ticks(df, n_ticks).repartitionByRange(parts, "tick", "timestamp", "vessel_id", "seq").sortWithinPartitions("tick", "timestamp", "vessel_id", "seq").write.partitionBy("tick").mode("overwrite").parquet(path)
+    ranged = ticks(df, n_ticks).repartitionByRange(parts, "tick", "timestamp", "vessel_id", "seq").sortWithinPartitions("tick", "timestamp", "vessel_id", "seq")
+    ranged.withColumn("folder", F.col("tick")).write.partitionBy("folder").mode("overwrite").parquet(path)
+
+
+def replay(spark: SparkSession, path: str, schema, build: Callable[[DataFrame], DataFrame], each: Callable[[DataFrame, int], None], mode: str = "append", most: int | None = None) -> int:
+    """Runs the stream ``build(positions)`` over what ``write_replay`` has left at ``path``, tick by tick in their order;
+    ``each`` gets what a micro-batch writes. Returns how many ticks are still to come.
+
+    A tick's folder is moved to where the stream looks when all before it have been handled, so every tick is a micro-batch
+    of its own, however many files it has. A replay that stops, or is told to after ``most`` ticks, goes on from
+    its checkpoint: a tick that was moved but not handled comes first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    seen = f"{path}-seen"
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place(f"{seen}/in"))
+    stream = build(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{seen}/in"))
+    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{seen}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+        names = [f.getPath().getName() for f in files.listStatus(place(path)) if f.isDirectory()]
+        waiting = sorted((n for n in names if n.startswith("folder=")), key=lambda n: int(n[7:]))
+        for name in waiting[:most]:
+            files.rename(place(f"{path}/{name}"), place(f"{seen}/in/{name}"))
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return len(waiting[most:]) if most is not None else 0
 
 
 def replay_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

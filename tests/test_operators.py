@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import shutil
 from dataclasses import replace
 
 import numpy as np
@@ -514,3 +515,26 @@ def test_sequence_model_equals_a_plain_fit(spark, small):
     model, found = sequences.fit(t)
     assert np.allclose(sorted(r["error"] for r in found.collect()), np.sort(errors), atol=1e-6)
     assert abs(model.reference - np.quantile(errors, 0.95)) < 1e-6 and len(model.components[0]) == 32
+
+
+def test_sequence_model_of_the_first_windows(spark, small):
+    t = fixtures.tracks(spark, small)
+    cfg = replace(DEFAULT, windows_per_vessel=20, training_windows=130)
+    x = np.array([r["features"] for r in sorted(sequences.windows(t, cfg).collect(), key=lambda r: (r["vessel_id"], r["start"]))[:130]])
+    model, found = sequences.fit(t, cfg)
+    assert np.allclose(model.mean, x.mean(0)) and found.count() == sequences.errors(t, model, cfg).count() > 130
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
+    c = np.array(model.components)
+    left = np.maximum(0, ((z * z).sum(1) - ((z @ c) ** 2).sum(1)) / x.shape[1])
+    assert np.isclose(model.reference, np.quantile(left, 0.95))
+    every, _ = sequences.fit(t, replace(cfg, training_windows=10**6))
+    assert np.allclose(every.mean, sequences.fit(t, replace(cfg, training_windows=None))[0].mean)
+
+
+def test_a_forest_without_its_nodes_is_trained_anew(spark, tmp_path):
+    matrix = spark.createDataFrame([(f"v{i}", float(i), float(i % 7)) for i in range(40)], "vessel_id string, f1 double, f2 double")
+    path, cfg = str(tmp_path / "m"), replace(DEFAULT, trees=5)
+    assert iforest.load_or_train(matrix, ["f1", "f2"], path, cfg=cfg)[1] == "trained"
+    shutil.rmtree(f"{path}/nodes")
+    assert iforest.load_or_train(matrix, ["f1", "f2"], path, cfg=cfg)[1] == "retrained"
+    assert iforest.load_or_train(matrix, ["f1", "f2"], path, cfg=cfg)[1] == "loaded"
