@@ -943,3 +943,20 @@ def test_queries_equal_sql(spark, small, name):
     assert columns == sorted(want.columns)
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(want.select(*columns).fetchall(), key=key)
+
+
+def test_context_counts_of_many_bits_equal_a_plain_sum(spark, small):
+    """Whatever a task reads: its 32-bit counts go over to 64-bit ones in between."""
+    df = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    counts = lm_score.word_counts(df, "text", None)
+    total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
+    code = lm_score.Code(lm_score.head_words(counts, 1000), total, kinds)
+    shared = spark.sparkContext.broadcast(code)
+    whole, parted = (lm_score.context_tables(df, "text", shared, 12, held) for held in (lm_score.HELD_BITS, 50))
+    sums = np.zeros((lm_score.COUNTED, 1 << 12, 2), np.int64)
+    for r in df.collect():
+        _, bits = lm_score.bits_of(code, *lm_score.tokens_of([r["text"]]))
+        for k in range(lm_score.COUNTED):
+            np.add.at(sums[k], (lm_score.slots_of(bits, k, 12), bits.bit), 1)
+    plain = np.rint(np.clip(lm_score.stretched(sums[..., 0].astype(float), sums[..., 1].astype(float)) * lm_score.SCALE, -127, 127)).astype(np.int8)
+    assert (whole == plain).all() and (parted == plain).all()
