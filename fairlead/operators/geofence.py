@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +111,15 @@ def check_zones_by_grid(df: DataFrame, zones: DataFrame, cell: float = CELL, cfg
     lat, lon = F.col("latitude"), F.col("longitude")
     zones = zones.select("zone_ord", "name", "ring").filter(F.size("ring") > 0)
     rows = df.withColumn("_best", F.lit(None).cast("struct<outside: boolean, dist: double, zone_ord: int, inside: boolean, name: string>"))
-    for level in range(LEVELS):
-        width = cell * WIDER**level
-        table = written(cells_of(zones, width), "zone-cells")
+    widths = [cell * WIDER**level for level in range(LEVELS)]
+    grids = [cells_of(zones, width).withColumn("_level", F.lit(level)) for level, width in enumerate(widths)]
+    table = written(reduce(DataFrame.union, grids), "zone-cells")
+    sizes = {r["_level"]: r["count"] for r in table.groupBy("_level").count().collect()}  # LEVELS rows
+    for level, width in enumerate(widths):
+        grid = table.filter(F.col("_level") == level).drop("_level")
         open_ = F.col("_best").isNull()
         rows = rows.withColumns({"_y": F.when(open_, F.floor(lat / width)), "_x": F.when(open_, F.floor(lon / width))})
         best = F.array_min(F.transform("_near", lambda z: candidate(lat, lon, lambda n: z[n])))
-        rows = rows.join(F.broadcast(table) if table.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS else table, ["_y", "_x"], "left").withColumn("_found", F.when(open_, best))
+        rows = rows.join(F.broadcast(grid) if sizes.get(level, 0) <= SMALL_CELLS else grid, ["_y", "_x"], "left").withColumn("_found", F.when(open_, best))
         rows = rows.withColumn("_best", F.coalesce("_best", F.when(F.col("_found.dist") <= width, F.col("_found")))).drop("_y", "_x", "_near", "_found")
     return rows.withColumns(verdict(F.col("_best"), cfg)).drop("_best")
