@@ -488,7 +488,7 @@ def session_gaps(spark, sf_dir):
 
 def streaming_state(spark, sf_dir):
     """The fleet's state after the whole message stream has passed, vessel by vessel."""
-    rows = jobs.final_state(spark, fixtures.messages(spark, sf_dir).select("value"))
+    rows = jobs.final_state(spark, fixtures.messages(spark, sf_dir))
     names = ["latitude", "longitude", "speed", "prev_latitude", "prev_speed"]
     return rows.select("vessel_id", us(), *(F.round(n, 5).alias(n) for n in names), "nav_status", "prev_heading", us("first_timestamp").alias("first_us"), "messages", "track_points", "ship_name", "ship_type", "destination")
 

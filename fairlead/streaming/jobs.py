@@ -123,9 +123,10 @@ def evictions(out: DataFrame) -> DataFrame:
 
 def live_messages(stream: DataFrame, region: str | None = None) -> DataFrame:
     """Positions and static data of a message stream as rows of one kind, for one keyed state: static
-    rows have no place and the time of their message. seq, a hash of the message, decides between
-    messages of one time, so that the result does not depend on how they arrive."""
-    rows = messages.parsed(stream).withColumn("seq", F.xxhash64("value"))
+    rows have no place and the time of their message. seq, the stream's own column of that name (a long) or
+    else a hash of the message, decides between messages of one time, so that the result does not depend on
+    how they arrive."""
+    rows = messages.parsed(stream if "seq" in stream.columns else stream.withColumn("seq", F.xxhash64("value")))
     places = messages.positions(rows)
     places = in_region(places, region) if region else places
     time = F.coalesce(messages.message_time(F.col("m.MetaData.time_utc")), F.current_timestamp())
@@ -134,14 +135,15 @@ def live_messages(stream: DataFrame, region: str | None = None) -> DataFrame:
 
 
 def final_state(spark: SparkSession, lines: DataFrame, files: int = 4, delay: str = "3650 days", stale_seconds: int = 10**9) -> DataFrame:
-    """The state of every vessel after a whole message stream (``lines``: value, JSON) has passed in
-    micro-batches: the last row that the stream wrote of each. The stream reads and writes the
-    shared folder. Lines may come in any order within ``delay``; vessels are dropped after
+    """The state of every vessel after a whole message stream (``lines``: value, JSON, and seq, the order of
+    messages of one time, where there is one) has passed in micro-batches: the last row that the stream wrote
+    of each. The stream reads and writes the shared folder. Lines may come in any order within ``delay``; vessels are dropped after
     ``stale_seconds`` only."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    lines.select("value").repartition(files).write.text(f"{folder}/in")
-    changed = state.vessel_state(live_messages(message_stream(spark, f"{folder}/in")), delay, stale_seconds=stale_seconds)
+    lines = lines.select("value", *(c for c in lines.columns if c == "seq"))
+    lines.repartition(files).write.parquet(f"{folder}/in")
+    changed = state.vessel_state(live_messages(replay_stream(spark, f"{folder}/in", lines.schema)), delay, stale_seconds=stale_seconds)
     run_available(changed, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", "update")
     rows = spark.read.parquet(f"{folder}/out")
     names = [c for c in rows.columns if c not in ("vessel_id", "batch", "track")]

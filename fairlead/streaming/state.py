@@ -8,7 +8,6 @@ not history. What is dropped comes out as a row, so that a sink can count and re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from fairlead.config import DEFAULT, Config
 
 PLACE = "latitude double, longitude double, speed double, heading double, course double, nav_status int"
-STATE = f"timestamp timestamp, {PLACE}, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_latitude double, first_longitude double, messages long, ship_name string, ship_type string, destination string, eta string, draught double, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp"
+STATE = f"timestamp timestamp, seq long, {PLACE}, prev_timestamp timestamp, prev_seq long, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_seq long, first_latitude double, first_longitude double, messages long, ship_name string, ship_type string, destination string, eta string, draught double, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp, ship_name_seq long, ship_type_seq long, destination_seq long, eta_seq long, draught_seq long"
 POINT = "us long, seq long, latitude double, longitude double, speed double, heading double"
 OUTPUT = f"vessel_id string, {STATE}, track_points int, track array<struct<{POINT}>>, evicted boolean"
 STATIC = ["ship_name", "ship_type", "destination", "eta", "draught"]
@@ -35,11 +34,16 @@ def plain(row: pd.Series, names: list[str]) -> dict:
     return {n: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for n, v in values.items()}
 
 
+def in_order(row: dict) -> tuple:
+    return row["timestamp"], row["seq"]
+
+
 class VesselState(StatefulProcessor):
     """Latest, previous and first values, a message count, the last points and the static data of each
     vessel. Values follow event time: a position that comes late counts as a message and may become
     the previous or the first one or a point of the track, but never replaces a newer latest one. Of
-    each static field the last that says something stays; blanks and Unknown replace none.
+    each static field the last that says something stays; blanks and Unknown replace none. seq decides
+    between reports of one time, in whichever batches they come.
 
     A vessel whose next position is more than stale seconds after its last one was gone in between: it is
     evicted and starts anew, whether the two come in one batch or a timer has fired before."""
@@ -59,9 +63,9 @@ class VesselState(StatefulProcessor):
         for n in STATIC:
             said = data[data[n].notna() & (data[n].astype(str).str.lower() != "unknown" if n == "ship_type" else True)]
             if len(said):
-                new = plain(said.iloc[-1], [n, "timestamp"])
-                if state[f"{n}_at"] is None or new["timestamp"] >= state[f"{n}_at"]:
-                    state |= {n: new[n], f"{n}_at": new["timestamp"]}
+                new = plain(said.iloc[-1], [n, "timestamp", "seq"])
+                if state[f"{n}_at"] is None or in_order(new) >= (state[f"{n}_at"], state[f"{n}_seq"]):
+                    state |= {n: new[n], f"{n}_at": new["timestamp"], f"{n}_seq": new["seq"]}
         placed = data[data["latitude"].notna()]
         last = max((p[0] for p in track), default=None)
         ends, start = [], 0  # where a silence of more than stale seconds ends
@@ -95,22 +99,21 @@ class VesselState(StatefulProcessor):
 
     def emptied(self, state: dict) -> dict:
         """The state of a vessel that starts anew: its static data stay."""
-        return dict.fromkeys(names_of(STATE)) | {"messages": 0} | {n: v for n, v in state.items() if n in STATIC or n.endswith("_at")}
+        return dict.fromkeys(names_of(STATE)) | {"messages": 0} | {n: v for n, v in state.items() if n.startswith(tuple(STATIC))}
 
     def moved(self, state: dict, track: list[tuple], placed: pd.DataFrame) -> tuple[dict, list[tuple]]:
         """State and track after the positions ``placed``, in order."""
-        state, now = dict(state), names_of(f"timestamp timestamp, {PLACE}")
+        state, now = dict(state), names_of(f"timestamp timestamp, seq long, {PLACE}")
         # the newest two of these and of the state decide what is latest and previous
         known = [{n: state[n] for n in now}] if state["messages"] else []
         if state["prev_latitude"] is not None:
-            before = (state["timestamp"] - timedelta(microseconds=track[-1][0] - track[-2][0])) if len(track) > 1 else state["first_timestamp"]
-            known.insert(0, {n: state.get(f"prev_{n}") for n in now} | {"timestamp": before})
-        last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=lambda r: r["timestamp"])
+            known.insert(0, {n: state.get(f"prev_{n}") for n in now})
+        last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=in_order)
         state |= last[-1]
         if len(last) > 1:
-            state |= {f"prev_{n}": last[-2].get(n) for n in ("latitude", "longitude", "speed", "heading")}
-        oldest = plain(placed.iloc[0], ["timestamp", "latitude", "longitude"])
-        if state["first_timestamp"] is None or oldest["timestamp"] < state["first_timestamp"]:
+            state |= {f"prev_{n}": last[-2].get(n) for n in ("timestamp", "seq", "latitude", "longitude", "speed", "heading")}
+        oldest = plain(placed.iloc[0], ["timestamp", "seq", "latitude", "longitude"])
+        if state["first_timestamp"] is None or in_order(oldest) < (state["first_timestamp"], state["first_seq"]):
             state |= {f"first_{n}": v for n, v in oldest.items()}
         state["messages"] += len(placed)
         rows = placed.tail(self.points)[names_of(POINT)].itertuples(index=False)  # keeps whole numbers whole

@@ -99,6 +99,18 @@ def test_static_data_is_merged_in_state_and_late_blanks_replace_none(spark, tmp_
     assert [(r["vessel_id"], r["latitude"], r["ship_name"], r["ship_type"], r["destination"]) for r in row] == [("7", 2.0, "NEW", "Cargo", "PORT")]
 
 
+def test_messages_of_one_time_go_by_their_order(spark):
+    """Places and static data of one time, however they fall into batches: seq decides, also between previous ones."""
+    meta = {"MMSI": 7, "time_utc": "2025-01-01 00:01:00 +0000 UTC"}
+    place = lambda lat: json.dumps({"MessageType": "PositionReport", "MetaData": meta, "Message": {"PositionReport": {"Latitude": lat, "Longitude": 1.0}}})
+    static = lambda name: json.dumps({"MessageType": "ShipStaticData", "MetaData": meta, "Message": {"ShipStaticData": {"Name": name}}})
+    lines = [(seq, text) for seq in range(1, 9) for text in (place(float(seq)), static(f"S{seq}"))]
+    for files, order in ((1, 1), (8, 1), (8, -1)):
+        df = spark.createDataFrame(lines[::order], "seq long, value string")
+        (r,) = jobs.final_state(spark, df, files=files).collect()
+        assert (r["latitude"], r["prev_latitude"], r["first_latitude"], r["ship_name"], r["messages"], r["track_points"]) == (8.0, 7.0, 1.0, "S8", 8, 8)
+
+
 def test_live_counters(spark, small, tmp_path):
     fixtures.messages(spark, small).select("value").repartition(3).write.text(str(tmp_path / "in"))
     counters = jobs.LiveCounters()
