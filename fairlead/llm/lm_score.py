@@ -4,9 +4,9 @@ A text is a sequence of words and one end. A word's code is a path of splits int
 mass; the path is coded bit by bit. Several predictors give each bit's log odds: the counts that
 hashed contexts of earlier words gathered from all training texts, and counts of the text itself that
 grow with every bit seen. They are combined by weights that a small context gates; weights and a
-refining table learn online from the text. The first ``depth`` bits of a word are mixed so; what they
-leave open costs what the word's training count says, as does which rare word it is. The sum is the
-log10 probability of the text, and so its total bits, from which bits per byte follow.
+refining table learn online from the text. All bits of a word are mixed so (or the first ``depth``; what they
+leave open costs what the word's training count says); which of the words beyond HEAD it is costs what that word's
+count says. The sum is the log10 probability of the text, and so its total bits, from which bits per byte follow.
 
 Weights, refining table and a text's own counts start anew in each text, so a score never depends on
 how Spark deals the rows out. Word counts are aggregated and joined by Spark and grow with the
@@ -33,7 +33,7 @@ from fairlead.llm.common import ragged, slices, word_hashes, written
 
 HEAD = 262_144
 #: So many bits of a word's code are mixed; None: all of them.
-DEPTH = 8
+DEPTH = None
 #: The first bits of a code, as context of the next words.
 CLASS_BITS = 5
 #: Predictors with counts from the training texts: last word, last two words, classes of the last

@@ -773,6 +773,15 @@ def test_lm_score_equals_a_plain_version(depth):
     assert all(abs(a - plain_cost(code, tables, t)) < 1e-4 * abs(a) + 1e-4 for a, t in zip(sums, texts))
 
 
+def test_lm_mixes_all_bits_of_a_word():
+    """Mixed bits alone tell all head words apart: nothing is left that their counts would have to say."""
+    code, words, _ = small_code(lm_score.DEPTH, 1000)
+    assert abs(code.inside).max() < 1e-9
+    assert len(set(zip(code.codes.tolist(), code.lengths.tolist()))) == len(words) + 1
+    _, bits = lm_score.bits_of(code, words, np.array([len(words)]))
+    assert (np.bincount(bits.token, minlength=len(words)) == code.lengths[:-1]).all()
+
+
 def test_lm_head_is_filled_from_a_bucket_that_does_not_fit(spark):
     counts = spark.createDataFrame([(0, 5000, None), *((i * 7919 + 1, 3, None) for i in range(1000))], "word long, n long, group string")
     head = lm_score.head_words(counts, 500)
