@@ -403,6 +403,7 @@ def similar(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     # 2 ** SKETCH_BITS numbers of 2 bytes
     shared = df.sparkSession.sparkContext.broadcast(sketch(docs, "text", size))
     rows = written(with_prefixes(docs, "text", size, percent, shared), "jaccard-rows")
+    shared.destroy()  # else driver and executors keep it until the driver happens to collect its garbage
     hits = hits_of(rows.filter("node IS NOT NULL"))
     long, rows = rows, written(rows.drop("prefix"), "jaccard-documents")
     discard(long)  # the prefixes are the larger part

@@ -40,6 +40,8 @@ CLASS[65:91] = 1
 CLASS[48:58] = 2
 for _i, _c in enumerate(SINGLE):
     CLASS[ord(_c)] = 3 + _i
+#: So many rows, and so many columns, of the samples are worked on at once on the driver.
+ROWS, COLUMNS = 512, 64
 #: Beside the shares of classes and of their pairs.
 MEASURES = 9
 FEATURES = KINDS + KINDS * KINDS + MEASURES
@@ -90,6 +92,9 @@ class Model:
     slope: float = 1.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
+        """Of many rows in parts, so that no copy of all of them is made."""
+        if len(x) > ROWS:
+            return np.concatenate([self.margins(x[a : a + ROWS]) for a in range(0, len(x), ROWS)])
         z = np.clip((x - self.mean) * self.scale, -6, 6)
         return np.tanh(z @ self.hidden + self.bias) @ self.out + self.shift
 
@@ -130,15 +135,27 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.99))
 
 
+def standardised(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of both with features of mean 0 and spread 1, the means and the scales. A few columns at a time: the
+    samples are the largest thing that the driver holds, and this is their only copy in 32 bits."""
+    both = np.empty((len(positive) + len(unlabelled), positive.shape[1]), np.float32)
+    mean, scale = np.empty((2, both.shape[1]), np.float32)
+    for a in range(0, both.shape[1], COLUMNS):
+        part = np.concatenate([x[:, a : a + COLUMNS] for x in (positive, unlabelled)], dtype=np.float32)
+        spread = part.std(0)
+        mean[a : a + COLUMNS] = part.mean(0)
+        scale[a : a + COLUMNS] = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-3), 0)
+        both[:, a : a + COLUMNS] = np.clip((part - mean[a : a + COLUMNS]) * scale[a : a + COLUMNS], -6, 6)
+    return both, mean, scale
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 800, batch: int = 256, units: int = 16, rate: float = 0.003, seed: int = 7) -> Model:
     """Minimises the non-negative risk with the logistic loss by Adam: prior * R+(P) + max(0,
     R-(U) - prior * R-(P)). While the bracket is negative, its steps go the other way. Without a prior
     the two sets are told apart."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, spread = both.mean(0), both.std(0)
-    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-3), 0).astype(np.float32)
-    p, u = (np.clip((x - mean) * scale, -6, 6) for x in (positive, unlabelled))
+    both, mean, scale = standardised(positive, unlabelled)
+    p, u = both[: len(positive)], both[len(positive) :]
     params = [rng.normal(0, 0.3 / math.sqrt(p.shape[1]), (p.shape[1], units)), np.zeros(units), rng.normal(0, 0.3, units), np.array([math.log(prior / (1 - prior)) if prior else 0.0])]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for step in range(1, steps + 1):
@@ -177,7 +194,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def sampled(df: DataFrame, ids: DataFrame, text: str, doc_id: str, sample: int) -> np.ndarray:
-    """Features of at most ``sample`` rows: those whose id has the smallest hashes, of rows with the
+    """Features, in 16 bits, of at most ``sample`` rows: those whose id has the smallest hashes, of rows with the
     same id those with the smallest hashes of their text."""
     chosen = ids.select(doc_id).filter(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
     schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("x", T.BinaryType())])
@@ -190,7 +207,7 @@ def sampled(df: DataFrame, ids: DataFrame, text: str, doc_id: str, sample: int)
     rows = df.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.xxhash64(doc_id).alias("at"), F.xxhash64(text).alias("hash"), text)
     rows = rows.mapInArrow(run, schema).orderBy("at", "hash").limit(sample).toArrow().column("x")
     found = sorted(x.as_py() for x in rows)  # the order of rows must not matter
-    return np.frombuffer(b"".join(found), np.float16).reshape(len(found), FEATURES).astype(np.float32)
+    return np.frombuffer(b"".join(found), np.float16).reshape(len(found), FEATURES)
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Model | None:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -828,6 +829,19 @@ def test_classifier_stage_drops_what_labels_call_bad(spark):
     assert sum(d not in kept for d in bad) >= 0.95 * len(bad) and sum(d in kept for d in good) >= 0.99 * len(good)
 
 
+def test_classifier_fit_holds_one_copy_of_the_samples():
+    """The driver holds the samples in 16 bits and once, standardised, in 32; not three times over."""
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.random((2, 3000, quality_classifier.FEATURES)).astype(np.float16)
+    tracemalloc.start()
+    model = quality_classifier.fit(positive, unlabelled, 0.85, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 4 * 6000 * quality_classifier.FEATURES
+    both = np.concatenate([positive, unlabelled]).astype(np.float32)
+    assert np.array_equal(model.mean, both.mean(0)) and np.array_equal(model.scale, 1 / both.std(0))
+
+
 def test_prior_is_estimated_from_positives_and_unlabelled_rows():
     rng = np.random.default_rng(1)
     good = lambda n: rng.normal(1, 1, (n, 12)).astype(np.float32)
