@@ -41,12 +41,14 @@ CLASS_BITS = 5
 COUNTED = 4
 #: A context table has a slot for so many training tokens, and 2 ** MOST_SLOT_BITS bytes at most.
 TOKENS_A_SLOT, MOST_SLOT_BITS, SCALE = 8, 22, 20
+#: So many bits of a token share a line of a table.
+NEAR = 6
 #: Gates: level of the bit in the code and place in the text.
 LEVELS, PLACES = 8, 4
 CELLS = 25
 FIRST_STEP, LONGEST_STEP = 16, 1024
 RATE, REFINE_RATE, START_WEIGHT = 0.02, 0.02, 0.3
-CHARS = 1_000_000  # that are scored together
+CHARS = 1_250_000  # that are scored together
 #: A counting task adds its 32-bit counts to 64-bit ones after so many bits.
 HELD_BITS = 1 << 30
 #: A counting task sends its words on when it holds this many different ones.
@@ -233,9 +235,12 @@ def before(x: np.ndarray, back: int, starts: np.ndarray) -> np.ndarray:
 class Bits:
     """The mixed bits of some texts, in order."""
 
+    lengths: np.ndarray  # of each token, how many it has
     token: np.ndarray  # to which token each belongs
     bit: np.ndarray
     node: np.ndarray  # the path so far
+    mark: np.ndarray  # a hash of the path up to the last multiple of NEAR bits
+    inner: np.ndarray  # the path from there
     gate: np.ndarray
     text_starts: np.ndarray  # the first bit of each text, and the end
     contexts: list[np.ndarray]  # of each token, a hash for each counted predictor
@@ -248,23 +253,41 @@ def bits_of(code: Code, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
     cls, lengths = code.classes[ids], code.lengths[ids]
     ends = np.cumsum(lengths, dtype=np.int64)
     token = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-    level = (np.arange(len(token), dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)).astype(np.int64)
-    path = np.repeat(code.codes[ids], lengths)
-    node = path & ((1 << level) - 1) | 1 << level
+    level = np.arange(len(token), dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
+    kind = np.int32 if code.lengths.max() < 31 else np.int64  # narrow numbers wherever paths fit
+    path, top = np.repeat(code.codes[ids].astype(kind), lengths), np.left_shift(kind(1), level, dtype=kind)
+    node = path & (top - 1) | top
+    far = level // NEAR * NEAR
+    below = np.left_shift(kind(1), far, dtype=kind)
+    mark = (path & (below - 1) | below).astype(np.uint32) * np.uint32(0x9E3779B1)
+    inner = (node >> far).astype(np.uint8)
     place = np.minimum(np.log2(np.arange(1, len(ids) + 1, dtype=np.float32) - np.repeat(starts, sizes)), 15).astype(np.int16)
     last = [before(cls, k, starts) for k in (1, 2, 3)]
     word = [before(words, k, starts) for k in (1, 2)]
     contexts = [hashed(word[0]), hashed(*word), hashed(*last), hashed(place, last[0])]
     gate = np.minimum(level, LEVELS - 1).astype(np.int16) * PLACES + np.repeat(np.minimum(place // 3, PLACES - 1), lengths)
-    return ids, Bits(token, (path >> level & 1).astype(np.int8), node, gate, np.r_[0, ends[np.cumsum(sizes) - 1]], contexts)
+    return ids, Bits(lengths, token, (path & top != 0).view(np.int8), node, mark, inner, gate, np.r_[0, ends[np.cumsum(sizes) - 1]], contexts)
 
 
 def slots_of(b: Bits, k: int, slot_bits: int) -> np.ndarray:
-    """The slot of each bit in the table of predictor ``k``."""
-    x = (b.contexts[k][b.token] ^ b.node.astype(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
+    """The slot of each bit in the table of predictor ``k``. NEAR bits of a token lie side by side, in the
+    slots around a hash of its context and the path before them: memory is fetched once for them all."""
+    x = np.repeat(b.contexts[k], b.lengths)
+    x ^= b.mark
+    x *= np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0xC2B2AE35)
-    return (x >> np.uint32(32 - slot_bits)).view(np.int32)
+    x >>= np.uint32(32 - slot_bits)
+    x ^= b.inner
+    return x.view(np.int32)
+
+
+def add_counts(sums: np.ndarray, b: Bits) -> None:
+    """Counts the bits in ``sums`` (predictor, slot, value)."""
+    for k, table in enumerate(sums):
+        at = slots_of(b, k, sums.shape[1].bit_length() - 1) * 2
+        at += b.bit
+        np.add.at(table.reshape(-1), at, np.int32(1))
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -292,8 +315,7 @@ def context_tables(training: DataFrame, text: str, code, slot_bits: int, held_bi
             texts = batch.column(0).to_pylist()
             for a, b in slices([x or "" for x in texts], CHARS):
                 any_row, (_, bits) = True, bits_of(c, *tokens_of(texts[a:b]))
-                for k in range(COUNTED):
-                    np.add.at(sums[k].reshape(-1), slots_of(bits, k, slot_bits) * 2 + bits.bit, np.int32(1))
+                add_counts(sums, bits)
                 held += len(bits.bit)
                 if held >= held_bits:
                     more = np.zeros(sums.shape, np.int64) if more is None else more
@@ -328,7 +350,7 @@ def inputs_of(b: Bits, tables: np.ndarray) -> np.ndarray:
 
 
 def mixed_cost(b: Bits, inputs: np.ndarray) -> np.ndarray:
-    """log10 probability of each bit.
+    """Natural log of each bit's probability.
 
     Every text has weights of its own, one set for each gate, that start equal, a refining table of
     (level, probability), and counts of its own bits by path. All learn from every bit, in steps: the
@@ -338,10 +360,12 @@ def mixed_cost(b: Bits, inputs: np.ndarray) -> np.ndarray:
     sizes = np.diff(b.text_starts)
     order = np.argsort(-sizes, kind="stable")
     begins, sizes = b.text_starts[:-1][order], sizes[order]
-    n, k, gates, paths = len(sizes), len(inputs) + 1, LEVELS * PLACES, 1 << OWN_BITS
+    n, k, gates, paths, cells = len(sizes), len(inputs) + 1, LEVELS * PLACES, 1 << OWN_BITS, LEVELS * CELLS
     weights = np.full((k, n * gates), START_WEIGHT, np.float32)
     table = np.tile(squash((np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2), n * LEVELS)
-    own = np.zeros((2, n * paths), np.float32)
+    own = np.zeros((n * paths, 2), np.float32)
+    path_of = np.where(b.node < paths, b.node, 0).astype(np.int16)  # 0: deeper than what a text counts
+    cell_of = b.gate // PLACES * CELLS + CELLS // 2
     cost = np.empty(len(b.bit), np.float32)
     done = 0
     while n and done < sizes[0]:
@@ -349,40 +373,36 @@ def mixed_cost(b: Bits, inputs: np.ndarray) -> np.ndarray:
         m = int(np.searchsorted(-sizes, -done, "left"))
         long = np.minimum(sizes[:m] - done, step)
         at = ragged(begins[:m] + done, long)
-        row = np.repeat(np.arange(m, dtype=np.int32) * gates, long) + b.gate[at]
-        by = np.argsort(row.astype(np.uint16) if m * gates < 1 << 16 else row, kind="stable")
-        at, row = at[by], row[by]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        rows, seen = row[first], np.diff(np.r_[first, len(row)])
-        y = b.bit[at].astype(np.float32)
-        node = b.node[at]
-        path = row // gates * paths + np.where(node < paths, node, 0).astype(np.int32)
-        x = [*(p[at] for p in inputs), np.where(node < paths, stretched(own[0][path], own[1][path]), np.float32(0))]
-        score = np.zeros(len(at), np.float32)
-        for j in range(k):
-            score += np.repeat(weights[j][rows], seen) * x[j]
+        text = np.repeat(np.arange(m), long)
+        row, path, bit = text * gates + b.gate[at], text * paths + path_of[at], b.bit[at]
+        odds = stretched(own[: m * paths, 0], own[: m * paths, 1])
+        odds[::paths] = 0
+        x = [*(p[at] for p in inputs), odds[path]]
+        score = weights[0][row] * x[0]
+        for j in range(1, k):
+            score += weights[j][row] * x[j]
         p = np.clip(squash(score), np.float32(0.0005), np.float32(0.9995))
-        cell = row // PLACES * CELLS + np.clip(np.rint(score * 2), -(CELLS // 2), CELLS // 2).astype(np.int32) + CELLS // 2
-        refined = table[cell]
-        mixed = np.clip(0.75 * p + 0.25 * refined, np.float32(0.0005), np.float32(0.9995))
-        cost[at] = np.where(y > 0, mixed, 1 - mixed)
-        error, rate = y - p, (RATE / np.sqrt(1 + seen)).astype(np.float32)
+        cell = text * cells + cell_of[at] + np.clip(np.rint(score * 2), -(CELLS // 2), CELLS // 2).astype(np.int8)
+        mixed = np.clip(0.75 * p + 0.25 * table[cell], np.float32(0.0005), np.float32(0.9995))
+        cost[at] = np.abs(mixed - (1 - bit))
+        error = bit - p
+        rate = RATE / np.sqrt(1 + np.bincount(row, minlength=m * gates))
         for j in range(k):
-            weights[j][rows] += rate * np.add.reduceat(error * x[j], first)
-        cells = m * LEVELS * CELLS
-        moved = REFINE_RATE * np.bincount(cell, y - refined, cells) / (1 + REFINE_RATE * np.bincount(cell, minlength=cells))
-        table[:cells] += moved.astype(np.float32)
-        np.add.at(own[0], path, 1 - y)
-        np.add.at(own[1], path, y)
+            weights[j][: m * gates] += rate * np.bincount(row, error * x[j], m * gates)
+        seen = np.bincount(cell * 2 + bit, minlength=2 * m * cells).reshape(-1, 2)
+        zeros, ones = seen[:, 0], seen[:, 1]
+        now = table[: m * cells]
+        now += REFINE_RATE * (ones * (1 - now) - zeros * now) / (1 + REFINE_RATE * (zeros + ones))
+        own[: m * paths] += np.bincount(path * 2 + bit, minlength=2 * m * paths).reshape(-1, 2)
         done += step
-    return np.log10(cost).astype(np.float64)
+    return np.log(cost)
 
 
 def token_costs(code: Code, tables: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each token of some texts, up to what rare words cost among themselves,
     and the tokens' head places."""
     ids, b = bits_of(code, words, sizes)
-    return code.inside[ids] + np.bincount(b.token, mixed_cost(b, inputs_of(b, tables)), len(ids)), ids
+    return code.inside[ids] + np.bincount(b.token, mixed_cost(b, inputs_of(b, tables)), len(ids)) / math.log(10), ids
 
 
 # -- scoring ------------------------------------------------------------------------------------

@@ -783,6 +783,30 @@ def test_lm_mixes_all_bits_of_a_word():
     assert (np.bincount(bits.token, minlength=len(words)) == code.lengths[:-1]).all()
 
 
+@pytest.mark.parametrize("deep", [False, True])
+def test_lm_bits_of_a_token_lie_side_by_side(deep):
+    """The bits of a token fall into one line of a table for every NEAR of them, each into a slot of its own; a path of
+    more than 30 bits is kept whole, a shorter one in narrow numbers."""
+    import pyarrow as pa
+
+    code, words, _ = small_code(None, 1000)
+    if deep:
+        words = np.arange(1, 46, dtype=np.uint64) << np.uint64(40)
+        head = pa.table({"word": words.view(np.int64), "n": [1 << 45 - i for i in range(45)], "group": pa.nulls(45, pa.string())})
+        code = lm_score.Code(head, (1 << 46) - 2, 45, None)
+    assert (code.lengths.max() > 31) == deep
+    ids, bits = lm_score.bits_of(code, words, np.array([len(words)]))
+    level = np.arange(len(bits.token)) - np.searchsorted(bits.token, bits.token)
+    path = code.codes[ids][bits.token]
+    assert (bits.bit == path >> level & 1).all() and (bits.node == path & (1 << level) - 1 | 1 << level).all()
+    assert bits.node.dtype == (np.int64 if deep else np.int32)
+    line = list(zip(bits.token.tolist(), (level // lm_score.NEAR).tolist()))
+    for k in range(lm_score.COUNTED):
+        slots = lm_score.slots_of(bits, k, 22)
+        assert len(set(zip(line, (slots >> lm_score.NEAR).tolist()))) == len(set(line))
+        assert len(set(zip(line, slots.tolist()))) == len(slots)
+
+
 def test_lm_head_is_filled_from_a_bucket_that_does_not_fit(spark):
     counts = spark.createDataFrame([(0, 5000, None), *((i * 7919 + 1, 3, None) for i in range(1000))], "word long, n long, group string")
     head = lm_score.head_words(counts, 500)
