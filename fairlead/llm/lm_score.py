@@ -17,7 +17,6 @@ a proven size, go to every task.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,13 +47,15 @@ LEVELS, PLACES = 8, 4
 CELLS = 25
 FIRST_STEP, LONGEST_STEP = 16, 1024
 RATE, REFINE_RATE, START_WEIGHT = 0.02, 0.02, 0.3
-CHARS = 1_250_000  # that are scored together
+CHARS = 400_000  # that are scored together
 #: A counting task adds its 32-bit counts to 64-bit ones after so many bits.
 HELD_BITS = 1 << 30
 #: A counting task sends its words on when it holds this many different ones.
 HELD_WORDS = 500_000
+#: Blocks of up to so many bytes stay with a task's process when they are freed.
+KEPT_BYTES = 31 << 20
 END = np.uint64(0)  # the end token; no word has this hash
-#: A text counts its own bits along the first bits of a code.
+#: A text counts its own bits along the first bits of a code; seven at most, as the path and a bit are held in a byte.
 OWN_BITS = 7
 
 
@@ -62,6 +63,12 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def keep_memory() -> None:
+    """From here on this process keeps what it frees, up to twice KEPT_BYTES, in place of giving it back to the system and
+    getting it page by page again: glibc's allocator takes the largest block that was freed as the measure."""
+    np.empty(KEPT_BYTES, np.uint8)
+
+
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of some texts, as hashes of the words (A-Z count as a-z) with END after each text,
     and the number of tokens of each."""
@@ -231,63 +238,136 @@ def before(x: np.ndarray, back: int, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Lines:
+    """The mixed bits of some texts, in order; NEAR bits of a token, or its last few, are a line."""
+
+    lengths: np.ndarray  # of each token, how many bits it has
+    codes: np.ndarray  # of each token
+    contexts: list[np.ndarray]  # of each token, a hash for each counted predictor
+    places: np.ndarray  # of each token, the gate for its place in the text
+    token: np.ndarray  # to which token each line belongs
+    far: np.ndarray  # the bits of its token before it
+    held: np.ndarray  # its bits
+    path: np.ndarray  # of what values they are, the first lowest
+    mark: np.ndarray  # a hash of the path up to it
+
+
 @dataclass
 class Bits:
-    """The mixed bits of some texts, in order."""
+    """Each bit of some lines by itself: in order, or step by step as they are mixed."""
 
-    lengths: np.ndarray  # of each token, how many it has
-    token: np.ndarray  # to which token each belongs
+    lines: Lines
+    line: np.ndarray  # to which line each belongs
+    level: np.ndarray  # how many are before it in its line
+    inner: np.ndarray  # the path from its line's start
     bit: np.ndarray
-    node: np.ndarray  # the path so far
-    mark: np.ndarray  # a hash of the path up to the last multiple of NEAR bits
-    inner: np.ndarray  # the path from there
-    gate: np.ndarray
-    text_starts: np.ndarray  # the first bit of each text, and the end
-    contexts: list[np.ndarray]  # of each token, a hash for each counted predictor
 
+    @property
+    def token(self) -> np.ndarray:
+        """To which token each belongs."""
+        return self.lines.token.take(self.line)
 
-def bits_of(code: Code, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Bits]:
-    """The head places of the tokens of some texts, and their bits."""
+    @property
+    def node(self) -> np.ndarray:
+        """The path so far, in narrow numbers wherever they do."""
+        x = self.lines
+        far = x.far.take(self.line)
+        node = x.codes.take(self.token) & ((1 << far) - 1) | self.inner.astype(np.int64) << far
+        return node.astype(np.int32 if x.lengths.max() < 31 else np.int64)
+
+
+def lines_of(code: Code, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Lines]:
+    """The head places of the tokens of some texts, and their lines."""
     ids = code.places(words)
     starts = np.cumsum(sizes) - sizes
-    cls, lengths = code.classes[ids], code.lengths[ids]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    token = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-    level = np.arange(len(token), dtype=np.int32) - np.repeat((ends - lengths).astype(np.int32), lengths)
-    kind = np.int32 if code.lengths.max() < 31 else np.int64  # narrow numbers wherever paths fit
-    path, top = np.repeat(code.codes[ids].astype(kind), lengths), np.left_shift(kind(1), level, dtype=kind)
-    node = path & (top - 1) | top
-    far = level // NEAR * NEAR
-    below = np.left_shift(kind(1), far, dtype=kind)
-    mark = (path & (below - 1) | below).astype(np.uint32) * np.uint32(0x9E3779B1)
-    inner = (node >> far).astype(np.uint8)
+    cls, lengths, codes = code.classes[ids], code.lengths[ids].astype(np.int64), code.codes[ids]
+    lines = (lengths + NEAR - 1) // NEAR
+    token = np.repeat(np.arange(len(ids)), lines)
+    far = (np.arange(len(token)) - (np.cumsum(lines) - lines).take(token)) * NEAR
+    held = np.minimum(lengths.take(token) - far, NEAR)
+    path, below = codes.take(token), np.left_shift(1, far)
+    mark = (path & (below - 1) | below).astype(np.uint32)
+    mark *= np.uint32(0x9E3779B1)
+    path >>= far
+    path &= (1 << NEAR) - 1
     place = np.minimum(np.log2(np.arange(1, len(ids) + 1, dtype=np.float32) - np.repeat(starts, sizes)), 15).astype(np.int16)
     last = [before(cls, k, starts) for k in (1, 2, 3)]
     word = [before(words, k, starts) for k in (1, 2)]
     contexts = [hashed(word[0]), hashed(*word), hashed(*last), hashed(place, last[0])]
-    gate = np.minimum(level, LEVELS - 1).astype(np.int16) * PLACES + np.repeat(np.minimum(place // 3, PLACES - 1), lengths)
-    return ids, Bits(lengths, token, (path & top != 0).view(np.int8), node, mark, inner, gate, np.r_[0, ends[np.cumsum(sizes) - 1]], contexts)
+    return ids, Lines(lengths, codes, contexts, np.minimum(place // 3, PLACES - 1), token, far, held, path, mark)
 
 
-def slots_of(b: Bits, k: int, slot_bits: int) -> np.ndarray:
-    """The slot of each bit in the table of predictor ``k``. NEAR bits of a token lie side by side, in the
-    slots around a hash of its context and the path before them: memory is fetched once for them all."""
-    x = np.repeat(b.contexts[k], b.lengths)
-    x ^= b.mark
+def bits_of(code: Code, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, Bits]:
+    """The head places of the tokens of some texts, and their bits in order."""
+    ids, lines = lines_of(code, words, sizes)
+    return ids, spread(lines, np.arange(lines.lengths.sum()))
+
+
+def spread(lines: Lines, at: np.ndarray) -> Bits:
+    """The bits at such places of the order."""
+    line = np.repeat(np.arange(len(lines.held)), lines.held).take(at)
+    level = (at - (np.cumsum(lines.held) - lines.held).take(line)).astype(np.uint8)
+    inner, top = lines.path.astype(np.uint8).take(line), np.left_shift(np.uint8(1), level)
+    bit = (inner & top != 0).view(np.uint8)
+    inner &= top - np.uint8(1)
+    inner |= top
+    return Bits(lines, line, level, inner, bit)
+
+
+def stepwise(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order in which the bits of texts are mixed, given their numbers of bits: each text's rank, the bits step
+    by step, and of each step the number of its texts and the range of its bits. A step is the first bits of
+    a text, then as many as there were, at most LONGEST_STEP."""
+    order = np.argsort(-sizes, kind="stable")
+    ranks = np.empty(len(sizes), np.int64)
+    ranks[order] = np.arange(len(sizes))
+    begins, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    at, steps, done, start = [np.empty(0, np.int64)], [], 0, 0
+    while len(sizes) and done < sizes[0]:
+        step = min(max(done, FIRST_STEP), LONGEST_STEP)
+        whole, m = int(np.searchsorted(-sizes, -done - step, "right")), int(np.searchsorted(-sizes, -done, "left"))
+        at.append((begins[:whole, None] + np.arange(done, done + step)).reshape(-1))
+        at.append(ragged(begins[whole:m] + done, sizes[whole:m] - done))
+        end = start + len(at[-2]) + len(at[-1])
+        steps.append((m, start, end))
+        start, done = end, done + step
+    return ranks, np.concatenate(at), steps
+
+
+def first_slots(lines: Lines, k: int, slot_bits: int) -> np.ndarray:
+    """The slot in the table of predictor ``k`` that the bits of each line lie around: a hash of its context and the
+    path before it. Memory is fetched once for them all."""
+    x = lines.contexts[k].take(lines.token)
+    x ^= lines.mark
     x *= np.uint32(0x85EBCA6B)
     x ^= x >> np.uint32(15)
     x *= np.uint32(0xC2B2AE35)
     x >>= np.uint32(32 - slot_bits)
-    x ^= b.inner
-    return x.view(np.int32)
+    return x.astype(np.int64)
+
+
+def slots_of(b: Bits, k: int, slot_bits: int) -> np.ndarray:
+    """The slot of each bit in the table of predictor ``k``."""
+    slots = first_slots(b.lines, k, slot_bits).take(b.line)
+    slots ^= b.inner
+    return slots
 
 
-def add_counts(sums: np.ndarray, b: Bits) -> None:
-    """Counts the bits in ``sums`` (predictor, slot, value)."""
-    for k, table in enumerate(sums):
-        at = slots_of(b, k, sums.shape[1].bit_length() - 1) * 2
-        at += b.bit
-        np.add.at(table.reshape(-1), at, np.int32(1))
+#: For each path of a line, twice the path to each of its bits plus the bit.
+INNER = np.array([[((path & (1 << i) - 1) | 1 << i) * 2 + (path >> i & 1) for i in range(NEAR)] for path in range(1 << NEAR)])
+
+
+def add_counts(sums: np.ndarray, lines: Lines) -> None:
+    """Counts the bits in ``sums`` (predictor, slot, value): those of all lines of a length together, as these are
+    the same few patterns again and again."""
+    first = [first_slots(lines, k, sums.shape[1].bit_length() - 1) * 2 for k in range(COUNTED)]
+    for held in range(1, NEAR + 1):
+        which = np.flatnonzero(lines.held == held)
+        inner = np.ascontiguousarray(INNER[:, :held]).take(lines.path.take(which), axis=0)
+        for k, table in enumerate(sums):
+            at = first[k].take(which)[:, None] ^ inner
+            np.add.at(table.reshape(-1), at.reshape(-1), np.int32(1))
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -300,6 +380,22 @@ def slot_bits_for(total: int) -> int:
     return min(MOST_SLOT_BITS, max(12, (total // TOKENS_A_SLOT).bit_length()))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small: a compressed byte for each, 255 if it is not below that, then these whole."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return pa.Codec("zstd", 1).compress(low.tobytes() + counts[low == 255].astype("<i8").tobytes(), asbytes=True)
+
+
+def add_packed(sums: np.ndarray, data: pa.Buffer) -> None:
+    """Adds counts that ``packed`` gave."""
+    with pa.CompressedInputStream(pa.BufferReader(data), "zstd") as f:
+        raw = f.read()
+    low = np.frombuffer(raw, np.uint8, len(sums))
+    high = low == 255
+    sums += low
+    sums[high] += np.frombuffer(raw, "<i8", offset=len(sums)) - 255
+
+
 def context_tables(training: DataFrame, text: str, code, slot_bits: int, held_bits: int = HELD_BITS) -> np.ndarray:
     """For each counted predictor and slot the log odds of a 1 in the training texts, times 20, as
     small integers. A few times as many tasks as there are cores count, whatever the input; they send
@@ -310,25 +406,26 @@ def context_tables(training: DataFrame, text: str, code, slot_bits: int, held_bi
     chunks = COUNTED * size // width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         c, sums, more, held, any_row = code.value, np.zeros((COUNTED, size, 2), np.int32), None, 0, False
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices([x or "" for x in texts], CHARS):
-                any_row, (_, bits) = True, bits_of(c, *tokens_of(texts[a:b]))
-                add_counts(sums, bits)
-                held += len(bits.bit)
+                any_row, (_, lines) = True, lines_of(c, *tokens_of(texts[a:b]))
+                add_counts(sums, lines)
+                held += int(lines.lengths.sum())
                 if held >= held_bits:
                     more = np.zeros(sums.shape, np.int64) if more is None else more
                     more += sums
                     sums[:], held = 0, 0
         for i, part in enumerate(sums.reshape(chunks, -1) if any_row else ()):
-            part = part.astype("<i8") if more is None else part + more.reshape(chunks, -1)[i]
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=schema.names)
+            part = part if more is None else part + more.reshape(chunks, -1)[i]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(part)], pa.binary())], names=schema.names)
 
     def total(part: pa.Table) -> pa.Table:
         sums = np.zeros(2 * width, np.int64)
         for x in part.column("counts"):
-            sums += np.frombuffer(zlib.decompress(x.as_buffer()), "<i8")
+            add_packed(sums, x.as_buffer())
         odds = np.rint(np.clip(stretched(sums[0::2].astype(np.float64), sums[1::2].astype(np.float64)) * SCALE, -127, 127)).astype(np.int8)
         return pa.table([part.column("chunk").slice(0, 1), pa.array([odds.tobytes()], pa.binary())], names=schema.names)
 
@@ -340,69 +437,106 @@ def context_tables(training: DataFrame, text: str, code, slot_bits: int, held_bi
     return out.reshape(COUNTED, size)
 
 
-def inputs_of(b: Bits, tables: np.ndarray) -> np.ndarray:
-    """The counted predictors' log odds of a 1 for every bit."""
-    slot_bits = tables.shape[1].bit_length() - 1
-    x = np.empty((COUNTED, len(b.bit)), np.float32)
-    for k in range(COUNTED):
-        np.multiply(tables[k][slots_of(b, k, slot_bits)], np.float32(1 / SCALE), out=x[k])
-    return x
+def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values by places that are known to be right."""
+    return values.take(at, mode="clip")
+
 
+def sums_of(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of ``x`` by ``row``. Two columns at a time are added, as complex numbers."""
+    pairs = x.view(np.complex64)
+    sums = np.zeros((pairs.shape[1], n), np.complex64)
+    for k, out in enumerate(sums):
+        np.add.at(out, row, pairs[:, k])
+    return np.ascontiguousarray(sums.T).view(np.float32)
 
-def mixed_cost(b: Bits, inputs: np.ndarray) -> np.ndarray:
-    """Natural log of each bit's probability.
+
+def mixed_cost(lines: Lines, sizes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The natural log of each token's probability; ``sizes``: of each text, its tokens.
 
     Every text has weights of its own, one set for each gate, that start equal, a refining table of
-    (level, probability), and counts of its own bits by path. All learn from every bit, in steps: the
-    first bits of a text, then as many as there were, at most LONGEST_STEP; within a step they stand
-    still. All texts go side by side.
+    (level, probability), and counts of its own bits by path. All learn from every bit, in steps (see
+    ``stepwise``); within a step they stand still. All texts go side by side.
     """
-    sizes = np.diff(b.text_starts)
-    order = np.argsort(-sizes, kind="stable")
-    begins, sizes = b.text_starts[:-1][order], sizes[order]
-    n, k, gates, paths, cells = len(sizes), len(inputs) + 1, LEVELS * PLACES, 1 << OWN_BITS, LEVELS * CELLS
-    weights = np.full((k, n * gates), START_WEIGHT, np.float32)
-    table = np.tile(squash((np.arange(CELLS, dtype=np.float32) - CELLS // 2) / 2), n * LEVELS)
-    own = np.zeros((n * paths, 2), np.float32)
-    path_of = np.where(b.node < paths, b.node, 0).astype(np.int16)  # 0: deeper than what a text counts
-    cell_of = b.gate // PLACES * CELLS + CELLS // 2
+    n, gates, paths, cells, half = len(sizes), LEVELS * PLACES, 1 << OWN_BITS, LEVELS * CELLS, CELLS // 2
+    ranks, at, steps = stepwise(np.add.reduceat(lines.lengths, np.cumsum(sizes) - sizes))
+    b = spread(lines, at)
+    # the counted predictors' weights of a gate lie side by side, to be fetched at once
+    weights, own_weights = np.full((n * gates, COUNTED), START_WEIGHT, np.float32), np.full(n * gates, START_WEIGHT, np.float32)
+    table = np.tile(squash((np.arange(CELLS, dtype=np.float32) - half) / 2), n * LEVELS)
+    own = np.zeros(2 * n * paths, np.int64)
     cost = np.empty(len(b.bit), np.float32)
-    done = 0
-    while n and done < sizes[0]:
-        step = min(max(done, FIRST_STEP), LONGEST_STEP)
-        m = int(np.searchsorted(-sizes, -done, "left"))
-        long = np.minimum(sizes[:m] - done, step)
-        at = ragged(begins[:m] + done, long)
-        text = np.repeat(np.arange(m), long)
-        row, path, bit = text * gates + b.gate[at], text * paths + path_of[at], b.bit[at]
-        odds = stretched(own[: m * paths, 0], own[: m * paths, 1])
+    # of each line: its slots, and the first gate of its text and place
+    slots = [first_slots(lines, k, tables.shape[1].bit_length() - 1) for k in range(COUNTED)]
+    first_row = (np.repeat(ranks, sizes) * gates + lines.places).take(lines.token)
+    # of each bit, in bytes: its level, and its path in a text's own counts (0: deeper than what is counted)
+    far = np.minimum(lines.far, 100).astype(np.uint8).take(b.line)
+    level = far + b.level
+    path = (lines.codes.take(lines.token) & np.left_shift(1, lines.far) - 1).astype(np.uint8).take(b.line)
+    path |= np.left_shift(b.inner, np.minimum(far, np.uint8(7)))
+    path *= level < OWN_BITS
+    path += path
+    path += b.bit
+    np.minimum(level, np.uint8(LEVELS - 1), out=level)
+    for m, start, end in steps:
+        part = slice(start, end)
+        line, bit, inner = b.line[part], b.bit[part], b.inner[part].astype(np.int64)
+        row = pick(first_row, line)
+        row += level[part] * np.uint8(PLACES)
+        cell = row // PLACES  # levels of texts
+        cell *= CELLS
+        counted = row // gates  # texts
+        counted *= 2 * paths
+        counted += path[part]
+        x = np.empty((end - start, COUNTED), np.float32)
+        for k, odds in enumerate(tables):
+            slot = pick(slots[k], line)
+            slot ^= inner
+            np.multiply(pick(odds, slot), np.float32(1 / SCALE), out=x[:, k])
+        held = own[: 2 * m * paths].astype(np.float32)
+        odds = stretched(held[0::2], held[1::2])
         odds[::paths] = 0
-        x = [*(p[at] for p in inputs), odds[path]]
-        score = weights[0][row] * x[0]
-        for j in range(1, k):
-            score += weights[j][row] * x[j]
+        own_x = pick(odds, counted >> 1)
+        parts = weights.take(row, axis=0, mode="clip")
+        parts *= x
+        score = parts[:, 0].copy()
+        for k in range(1, COUNTED):
+            score += parts[:, k]
+        score += pick(own_weights, row) * own_x
         p = np.clip(squash(score), np.float32(0.0005), np.float32(0.9995))
-        cell = text * cells + cell_of[at] + np.clip(np.rint(score * 2), -(CELLS // 2), CELLS // 2).astype(np.int8)
-        mixed = np.clip(0.75 * p + 0.25 * table[cell], np.float32(0.0005), np.float32(0.9995))
-        cost[at] = np.abs(mixed - (1 - bit))
+        score *= 2
+        np.rint(score, out=score)
+        np.clip(score, -half, half, out=score)
+        score += half
+        cell += score.astype(np.int64)
+        mixed = pick(table, cell)
+        mixed *= np.float32(0.25)
+        mixed += np.float32(0.75) * p
+        np.clip(mixed, np.float32(0.0005), np.float32(0.9995), out=mixed)
+        np.abs(mixed - (1 - bit), out=cost[part])
         error = bit - p
-        rate = RATE / np.sqrt(1 + np.bincount(row, minlength=m * gates))
-        for j in range(k):
-            weights[j][: m * gates] += rate * np.bincount(row, error * x[j], m * gates)
-        seen = np.bincount(cell * 2 + bit, minlength=2 * m * cells).reshape(-1, 2)
-        zeros, ones = seen[:, 0], seen[:, 1]
-        now = table[: m * cells]
-        now += REFINE_RATE * (ones * (1 - now) - zeros * now) / (1 + REFINE_RATE * (zeros + ones))
-        own[: m * paths] += np.bincount(path * 2 + bit, minlength=2 * m * paths).reshape(-1, 2)
-        done += step
-    return np.log(cost)
+        rate = (RATE / np.sqrt(1 + np.bincount(row, minlength=m * gates))).astype(np.float32)
+        own_x *= error
+        own_weights[: m * gates] += rate * np.bincount(row, own_x, m * gates)
+        for k in range(COUNTED):
+            x[:, k] *= error
+        weights[: m * gates] += rate[:, None] * sums_of(row, x, m * gates)
+        cell += cell
+        cell += bit
+        seen = np.bincount(cell, minlength=2 * m * cells).reshape(-1, 2)
+        times = seen[:, 0] + seen[:, 1]
+        hit = np.flatnonzero(times)
+        now, times = table[hit], times[hit]
+        table[hit] = now + REFINE_RATE * (seen[hit, 1] - times * now) / (1 + REFINE_RATE * times)
+        own[: 2 * m * paths] += np.bincount(counted, minlength=2 * m * paths)
+    return np.bincount(b.token, np.log(cost, out=cost), len(lines.lengths))
 
 
 def token_costs(code: Code, tables: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of each token of some texts, up to what rare words cost among themselves,
     and the tokens' head places."""
-    ids, b = bits_of(code, words, sizes)
-    return code.inside[ids] + np.bincount(b.token, mixed_cost(b, inputs_of(b, tables)), len(ids)) / math.log(10), ids
+    ids, lines = lines_of(code, words, sizes)
+    return code.inside[ids] + mixed_cost(lines, sizes, tables) / math.log(10), ids
 
 
 # -- scoring ------------------------------------------------------------------------------------
@@ -416,6 +550,7 @@ def head_scores(df: DataFrame, text: str, code, inputs) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in rest), *(T.StructField(*f) for f in own), T.StructField("rare", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         c, tables = code.value, inputs.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

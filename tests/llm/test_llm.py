@@ -807,6 +807,44 @@ def test_lm_bits_of_a_token_lie_side_by_side(deep):
         assert len(set(zip(line, slots.tolist()))) == len(slots)
 
 
+def test_lm_counts_lines_as_it_would_bits():
+    """Lines of a length are counted together, whatever their number and whether they are cut short, as bits one by one are;
+    a task's counts travel in a byte each, larger ones whole."""
+    code, words, _ = small_code(None, 1000)
+    text = np.random.default_rng(5).choice(words, 3000)
+    sizes = np.array([1, 999, 2000])
+    sums, plain = np.zeros((lm_score.COUNTED, 1 << 12, 2), np.int32), np.zeros((lm_score.COUNTED, 1 << 12, 2), np.int32)
+    lm_score.add_counts(sums, lm_score.lines_of(code, text, sizes)[1])
+    _, bits = lm_score.bits_of(code, text, sizes)
+    for k in range(lm_score.COUNTED):
+        np.add.at(plain[k], (lm_score.slots_of(bits, k, 12), bits.bit), 1)
+    assert (sums == plain).all()
+
+    import pyarrow as pa
+
+    counts = np.zeros(1 << 17, np.int64)
+    counts[::5], counts[::1000], counts[7], counts[8], counts[9] = 3, 254, 255, 256, 1 << 40
+    data, back = lm_score.packed(counts), np.ones(1 << 17, np.int64)
+    lm_score.add_packed(back, pa.py_buffer(data))
+    lm_score.add_packed(back, pa.py_buffer(lm_score.packed(np.zeros(1 << 17, np.int32))))
+    assert (back == counts + 1).all() and len(data) < 20_000
+
+
+def test_lm_steps_go_through_each_bit_once_and_in_order():
+    """Each text's bits come step by step, the texts with bits left side by side, the longest first."""
+    sizes = np.array([0, 5, 16, 3000, 17, 0, 1024, 40])
+    ranks, at, steps = lm_score.stepwise(sizes)
+    assert sorted(at.tolist()) == list(range(sizes.sum())) and [s[1] for s in steps] == [0, *(s[2] for s in steps[:-1])]
+    text, begins, done = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, 0
+    for m, start, end in steps:
+        step = min(max(done, lm_score.FIRST_STEP), lm_score.LONGEST_STEP)
+        own, place = text[at[start:end]], at[start:end] - begins[text[at[start:end]]]
+        assert (ranks[own] == np.sort(ranks[own])).all() and set(ranks[own].tolist()) == set(range(m))
+        assert all((place[own == t] == np.arange(done, min(done + step, sizes[t]))).all() for t in set(own.tolist()))
+        done += step
+    assert done >= 3000 and len(lm_score.stepwise(sizes[:0])[1]) == 0
+
+
 def test_lm_head_is_filled_from_a_bucket_that_does_not_fit(spark):
     counts = spark.createDataFrame([(0, 5000, None), *((i * 7919 + 1, 3, None) for i in range(1000))], "word long, n long, group string")
     head = lm_score.head_words(counts, 500)
