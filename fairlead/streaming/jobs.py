@@ -16,6 +16,8 @@ from fairlead.sources.dimensions import in_region
 from fairlead.sources.tables import discard, shared_folder, written
 from fairlead.streaming import messages, state
 
+#: A fixed value: the bytes of a row group of written messages.
+BLOCK = 4 * 2**20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -142,8 +144,9 @@ def final_state(spark: SparkSession, lines: DataFrame, files: int = 4, delay: st
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     lines = lines.select("value", *(c for c in lines.columns if c == "seq"))
-    lines.repartition(files).write.parquet(f"{folder}/in")
-    changed = state.vessel_state(live_messages(replay_stream(spark, f"{folder}/in", lines.schema)), delay, stale_seconds=stale_seconds)
+    # one file is a micro-batch, which many tasks read: the file is cut where its row groups end
+    lines.repartition(files).write.option("parquet.block.size", BLOCK).parquet(f"{folder}/in")
+    changed = state.vessel_state(live_messages(replay_stream(spark, f"{folder}/in", lines.schema)), delay, stale_seconds=stale_seconds, tracks=False)
     run_available(changed, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint", "update")
     rows = spark.read.parquet(f"{folder}/out")
     names = [c for c in rows.columns if c not in ("vessel_id", "batch", "track")]

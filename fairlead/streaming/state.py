@@ -7,35 +7,51 @@ not history. What is dropped comes out as a row, so that a sink can count and re
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fairlead.config import DEFAULT, Config
 
 PLACE = "latitude double, longitude double, speed double, heading double, course double, nav_status int"
-STATE = f"timestamp timestamp, seq long, {PLACE}, prev_timestamp timestamp, prev_seq long, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_seq long, first_latitude double, first_longitude double, messages long, ship_name string, ship_type string, destination string, eta string, draught double, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp, ship_name_seq long, ship_type_seq long, destination_seq long, eta_seq long, draught_seq long"
+SAID = "ship_name string, ship_type string, destination string, eta string, draught double"
+STATE = f"timestamp timestamp, seq long, {PLACE}, prev_timestamp timestamp, prev_seq long, prev_latitude double, prev_longitude double, prev_speed double, prev_heading double, first_timestamp timestamp, first_seq long, first_latitude double, first_longitude double, messages long, {SAID}, ship_name_at timestamp, ship_type_at timestamp, destination_at timestamp, eta_at timestamp, draught_at timestamp, ship_name_seq long, ship_type_seq long, destination_seq long, eta_seq long, draught_seq long"
 POINT = "us long, seq long, latitude double, longitude double, speed double, heading double"
-OUTPUT = f"vessel_id string, {STATE}, track_points int, track array<struct<{POINT}>>, evicted boolean"
-STATIC = ["ship_name", "ship_type", "destination", "eta", "draught"]
+STATIC = [x.split(" ")[0] for x in SAID.split(", ")]
 
+#: Reports, states and their changes go between Spark and Python as one JSON text each, as every cell
+#: of a row, and the schema of every value read, costs more there than the work on it. The store keeps of a vessel one value,
+#: read and written at once, with a point of the track as six numbers of eight bytes, NaN for a null.
+STORED = "state string, track binary"
+CHANGED = "vessel_id string, state string, track_points int, track string, evicted boolean"
+PACKED = struct.Struct("<2q4d")
+IN_ORDER = itemgetter(0, 1)  # of reports: us, seq
 
-def names_of(schema: str) -> list[str]:
-    return [x.split(" ")[0] for x in schema.split(", ")]
 
+def kinds_of(schema: str) -> dict[str, str]:
+    return dict(x.split(" ") for x in schema.split(", "))
 
-def plain(row: pd.Series, names: list[str]) -> dict:
-    """A row's values as plain Python ones; missing ones as None. pandas makes a whole number a float
-    where others of its column are missing."""
-    values = {n: int(row[n]) if n == "nav_status" and not pd.isna(row[n]) else row[n] for n in names}
-    return {n: None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for n, v in values.items()}
 
+KEPT = [*kinds_of(STATE), "due", "timer"]  # in milliseconds, when the vessel is stale and when its timer fires; the other times are microseconds
+POINTS, NOW = list(kinds_of(POINT)), ["timestamp", "seq", *kinds_of(PLACE)]
+READ = kinds_of(f"{PLACE}, {SAID}")  # of a report, after its us and seq
+DOUBLES = [i for i, t in enumerate(READ.values(), 2) if t == "double"]
+Changed = Row(*kinds_of(CHANGED))
 
-def in_order(row: dict) -> tuple:
-    return row["timestamp"], row["seq"]
+
+def report_of(text: str) -> tuple:
+    """A report's values: us, seq, those of READ. Spark writes an infinite number as text."""
+    values = list(json.loads(text).values())
+    if "Infinity" in text:
+        for i in DOUBLES:
+            values[i] = None if values[i] is None else float(values[i])
+    return tuple(values)
 
 
 class VesselState(StatefulProcessor):
@@ -46,105 +62,116 @@ class VesselState(StatefulProcessor):
     between reports of one time, in whichever batches they come.
 
     A vessel whose next position is more than stale seconds after its last one was gone in between: it is
-    evicted and starts anew, whether the two come in one batch or a timer has fired before."""
+    evicted and starts anew, whether the two come in one batch or a timer has fired before.
+
+    A batch may bring a few rows of each of very many vessels, so a vessel costs one read and one write of the store
+    and plain Python. A timer stays where it is when the vessel is heard again; one that fires too early is set anew."""
 
-    def __init__(self, points: int, stale_seconds: int):
-        self.points, self.stale = points, stale_seconds
+    def __init__(self, points: int, stale_seconds: int, tracks: bool = True):
+        self.points, self.stale, self.tracks = points, stale_seconds, tracks
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("vessel", STATE)
-        self.track = handle.getListState("track", POINT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        data = pd.concat(list(rows)).sort_values(["timestamp", "seq"], kind="stable")
-        state = self.read()
-        track = list(map(tuple, self.track.get())) if self.track.exists() else []
-        for n in STATIC:
-            said = data[data[n].notna() & (data[n].astype(str).str.lower() != "unknown" if n == "ship_type" else True)]
-            if len(said):
-                new = plain(said.iloc[-1], [n, "timestamp", "seq"])
-                if state[f"{n}_at"] is None or in_order(new) >= (state[f"{n}_at"], state[f"{n}_seq"]):
-                    state |= {n: new[n], f"{n}_at": new["timestamp"], f"{n}_seq": new["seq"]}
-        placed = data[data["latitude"].notna()]
-        last = max((p[0] for p in track), default=None)
+        self.value = handle.getValueState("vessel", STORED)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        data = sorted((report_of(r["report"]) for r in rows), key=IN_ORDER)
+        state, track = self.read()
+        for i, n in enumerate(STATIC, len(NOW)):
+            said = next((r for r in reversed(data) if r[i] is not None and (n != "ship_type" or r[i].lower() != "unknown")), None)
+            if said and (state[f"{n}_at"] is None or said[:2] >= (state[f"{n}_at"], state[f"{n}_seq"])):
+                state |= {n: said[i], f"{n}_at": said[0], f"{n}_seq": said[1]}
+        placed = [r[: len(NOW)] for r in data if r[2] is not None]
+        last = track[-1][0] if track else None
         ends, start = [], 0  # where a silence of more than stale seconds ends
-        for i, us in enumerate(placed["us"].tolist()):
+        for i, (us, *_) in enumerate(placed):
             if last is not None and us - last > self.stale * 1_000_000:
                 ends.append(i)
             last = us if last is None else max(last, us)
         for end in [*ends, len(placed)]:
             if end > start:
-                state, track = self.moved(state, track, placed.iloc[start:end])
+                state, track = self.moved(state, track, placed[start:end])
             if end in ends:
                 if state["messages"]:
                     yield self.row(key, state, track, True)
                 state, track, start = self.emptied(state), [], end
+        state["due"] = (state["timestamp"] if state["messages"] else data[-1][0]) // 1000 + self.stale * 1000
+        if state["timer"] is None or state["due"] < state["timer"]:
+            if state["timer"] is not None:
+                self.handle.deleteTimer(state["timer"])
+            self.wake(state)
         self.write(state, track)
-        heard = state["timestamp"] if state["messages"] else max(t.to_pydatetime() for t in data["timestamp"])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        offset = int(data["us"].iloc[0]) // 1000 - int(pd.Timestamp(data["timestamp"].iloc[0]).timestamp() * 1000)  # of the session's zone
-        self.handle.registerTimer(int(pd.Timestamp(heard).timestamp() * 1000) + offset + self.stale * 1000)
         if state["messages"]:
             yield self.row(key, state, track, False)
 
-    def read(self) -> dict:
-        empty = dict.fromkeys(names_of(STATE)) | {"messages": 0}
-        return dict(zip(names_of(STATE), self.value.get())) if self.value.exists() else empty
+    def read(self) -> tuple[dict, list[tuple]]:
+        found = self.value.get()
+        if found is None:
+            return dict.fromkeys(KEPT) | {"messages": 0}, []
+        return json.loads(found[0]), list(PACKED.iter_unpack(found[1]))
 
     def write(self, state: dict, track: list[tuple]) -> None:
-        self.value.update(tuple(state[n] for n in names_of(STATE)))
-        self.track.put(track) if track else self.track.clear()
+        self.value.update((json.dumps(state), b"".join(PACKED.pack(*p) for p in track)))
+
+    def wake(self, state: dict) -> None:
+        """A timer for when the vessel is stale."""
+        self.handle.registerTimer(state["due"])
+        state["timer"] = state["due"]
 
     def emptied(self, state: dict) -> dict:
-        """The state of a vessel that starts anew: its static data stay."""
-        return dict.fromkeys(names_of(STATE)) | {"messages": 0} | {n: v for n, v in state.items() if n.startswith(tuple(STATIC))}
+        """The state of a vessel that starts anew: its static data and its timer stay."""
+        return dict.fromkeys(KEPT) | {"messages": 0} | {n: v for n, v in state.items() if n.startswith((*STATIC, "timer"))}
 
-    def moved(self, state: dict, track: list[tuple], placed: pd.DataFrame) -> tuple[dict, list[tuple]]:
+    def moved(self, state: dict, track: list[tuple], placed: list[tuple]) -> tuple[dict, list[tuple]]:
         """State and track after the positions ``placed``, in order."""
-        state, now = dict(state), names_of(f"timestamp timestamp, seq long, {PLACE}")
         # the newest two of these and of the state decide what is latest and previous
-        known = [{n: state[n] for n in now}] if state["messages"] else []
+        known = [tuple(state[n] for n in NOW)] if state["messages"] else []
         if state["prev_latitude"] is not None:
-            known.insert(0, {n: state.get(f"prev_{n}") for n in now})
-        last = sorted([*known, *(plain(r, now) for _, r in placed.tail(2).iterrows())], key=in_order)
-        state |= last[-1]
+            known.insert(0, tuple(state.get(f"prev_{n}") for n in NOW))
+        last = sorted([*known, *placed[-2:]], key=IN_ORDER)
+        state = state | dict(zip(NOW, last[-1]))
         if len(last) > 1:
-            state |= {f"prev_{n}": last[-2].get(n) for n in ("timestamp", "seq", "latitude", "longitude", "speed", "heading")}
-        oldest = plain(placed.iloc[0], ["timestamp", "seq", "latitude", "longitude"])
-        if state["first_timestamp"] is None or in_order(oldest) < (state["first_timestamp"], state["first_seq"]):
-            state |= {f"first_{n}": v for n, v in oldest.items()}
+            state |= {f"prev_{n}": v for n, v in zip(NOW[:6], last[-2])}
+        oldest = placed[0]
+        if state["first_timestamp"] is None or oldest[:2] < (state["first_timestamp"], state["first_seq"]):
+            state |= {f"first_{n}": v for n, v in zip(NOW[:4], oldest)}
         state["messages"] += len(placed)
-        rows = placed.tail(self.points)[names_of(POINT)].itertuples(index=False)  # keeps whole numbers whole
-        points = [(int(us), int(seq), *(None if pd.isna(v) else float(v) for v in rest)) for us, seq, *rest in rows]
-        return state, sorted([*track, *points], key=lambda p: p[:2])[-self.points :]
-
-    def row(self, key, state: dict, track: list[tuple], evicted: bool) -> pd.DataFrame:
-        points = [dict(zip(names_of(POINT), p)) for p in track]
-        return pd.DataFrame([(key[0], *(state[n] for n in names_of(STATE)), len(track), points, evicted)], columns=names_of(OUTPUT.split(", track array")[0]) + ["track", "evicted"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, track = self.read(), list(map(tuple, self.track.get())) if self.track.exists() else []
-        self.value.clear()
-        self.track.clear()
-        yield self.row(key, state, track, True)
+        points = [(*p[:4], *(float("nan") if v is None else v for v in p[4:6])) for p in placed[-self.points :]]
+        return state, sorted([*track, *points], key=IN_ORDER)[-self.points :]
+
+    def row(self, key, state: dict, track: list[tuple], evicted: bool) -> Row:
+        points = [dict(zip(POINTS, (*p[:4], *(v if v == v else None for v in p[4:])))) for p in track if self.tracks]
+        return Changed(key[0], json.dumps(state), len(track), json.dumps(points) if self.tracks else None, evicted)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state, track = self.read()
+        if state["due"] > timerValues.getCurrentWatermarkInMs():  # heard since the timer was set
+            self.wake(state)
+            self.write(state, track)
+        else:
+            self.value.clear()
+            yield self.row(key, state, track, True)
 
     def close(self) -> None:
         pass
 
 
-def vessel_state(positions: DataFrame, delay: str = "10 minutes", cfg: Config = DEFAULT, stale_seconds: int | None = None) -> DataFrame:
+def vessel_state(positions: DataFrame, delay: str = "10 minutes", cfg: Config = DEFAULT, stale_seconds: int | None = None, tracks: bool = True) -> DataFrame:
     """The changed state of vessels after every micro-batch of ``positions`` (timestamp, seq, place; course,
     nav_status and the static fields where it has them). Needs the RocksDB state store. Rows that come
     more than ``delay`` behind the newest, and rows without a time, are dropped; within it they may come in any order. A
     vessel that is silent for stale_seconds of event time is dropped, with a row that says so (evicted; messages is 0 for
-    one that only sent static data); a later report starts it anew. track: its last points in order."""
+    one that only sent static data); a later report starts it anew. track: its last points in order, null without ``tracks``."""
     timed = positions.filter("timestamp IS NOT NULL").withWatermark("timestamp", delay)
-    kinds = dict(x.split(" ") for x in f"{PLACE}, ship_name string, ship_type string, destination string, eta string, draught double".split(", "))
-    columns = [F.col(n).cast(t).alias(n) if n in positions.columns else F.lit(None).cast(t).alias(n) for n, t in kinds.items()]
-    grouped = timed.select("vessel_id", "seq", "timestamp", F.unix_micros("timestamp").alias("us"), *columns).groupBy("vessel_id")
-    return grouped.transformWithStateInPandas(VesselState(cfg.recent_live, stale_seconds or cfg.stale_seconds), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+    own = lambda n, t: F.nanvl(F.col(n).cast(t), F.lit(None).cast(t)) if t == "double" else F.col(n).cast(t)
+    columns = [(own(n, t) if n in positions.columns else F.lit(None).cast(t)).alias(n) for n, t in READ.items()]
+    report = F.to_json(F.struct(F.unix_micros("timestamp").alias("us"), "seq", *columns), {"ignoreNullFields": "false"})
+    grouped = timed.select("vessel_id", "timestamp", report.alias("report")).groupBy("vessel_id")
+    changed = grouped.transformWithState(VesselState(cfg.recent_live, stale_seconds or cfg.stale_seconds, tracks), outputStructType=CHANGED, outputMode="Update", timeMode="EventTime")
+    values = F.from_json("state", STATE.replace(" timestamp", " long"))
+    rows = changed.withColumn("s", F.explode(F.array(values)))  # parsed once
+    shown = [(F.timestamp_micros(f"s.{n}") if t == "timestamp" else F.col(f"s.{n}")).alias(n) for n, t in kinds_of(STATE).items()]
+    return rows.select("vessel_id", *shown, "track_points", F.from_json("track", f"array<struct<{POINT}>>").alias("track"), "evicted")
 
 
 class Cooldown(StatefulProcessor):

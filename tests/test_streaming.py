@@ -1,18 +1,22 @@
 """Streams against their batch twins."""
 
 import datetime as dt
+import glob
 import json
 import time
 
 from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fairlead.config import DEFAULT
 from fairlead.operators import alert_rules, features, geofence, iforest, tracks
 from fairlead.plans import fixtures, queries
 from fairlead.sources import dimensions
+from fairlead.sources.tables import shared_folder
 from fairlead.streaming import jobs, messages, state
 
 
@@ -239,3 +243,58 @@ def test_a_replay_keeps_vessel_state(spark, small, tmp_path):
     jobs.replay(spark, path, schema, lambda s: state.vessel_state(s, "1 day", stale_seconds=10**9), lambda df, n: out.extend(df.collect()), "update")
     last = {r["vessel_id"]: r["messages"] for r in sorted(out, key=lambda r: r["messages"])}
     assert last == {r["vessel_id"]: r["count"] for r in t.groupBy("vessel_id").count().collect()}
+
+
+class Store:
+    """The state of one vessel, with a list of what is asked of it."""
+
+    def __init__(self):
+        self.kept, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.kept
+
+    def update(self, value):
+        self.calls.append("update")
+        self.kept = value
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_a_vessel_costs_one_read_and_one_write_a_batch_and_one_timer():
+    """Not several of each, and no list of timers: with tens of thousands of vessels in a batch that takes the time."""
+    store, processor = Store(), state.VesselState(50, 3600)
+    processor.init(store)
+    for batch in range(3):
+        place = {"latitude": 1.0, "longitude": batch / 2, "speed": "Infinity", "heading": None, "course": None, "nav_status": 3}
+        static = {"ship_name": f"S{batch}", "ship_type": "unknown", "destination": None, "eta": None, "draught": 2.5}
+        reports = [Row(report=json.dumps({"us": us * 10**6, "seq": us} | place | static)) for us in (batch * 60 + 1, batch * 60)]
+        (out,) = processor.handleInputRows(("A",), iter(reports), None)
+    assert store.calls == ["get", 3601000, "update", "get", "update", "get", "update"]
+    found = json.loads(out["state"])
+    assert (found["timestamp"], found["prev_seq"], found["first_seq"], found["messages"]) == (121 * 10**6, 120, 0, 6)
+    assert (found["speed"], found["ship_name"], found["ship_type"], found["draught_seq"], found["due"]) == (float("inf"), "S2", None, 121, 3721000)
+    assert [p["seq"] for p in json.loads(out["track"])] == [0, 1, 60, 61, 120, 121]
+
+
+def test_a_vessel_that_is_heard_again_stays_until_its_last_report_is_stale(spark):
+    rows = [("A", 0, 0.0, 0), ("B", 0, 0.0, 0), ("A", 1, 1.5, 1), ("B", 1, 3.0, 1), ("B", 2, 3.0 + 31 / 60, 2)]
+    times = [(v, seq, dt.datetime(2025, 1, 1) + dt.timedelta(hours=hour), 1.0, 2.0, None, None, b) for v, seq, hour, b in rows]
+    df = spark.createDataFrame(times, "vessel_id string, seq long, timestamp timestamp, latitude double, longitude double, speed double, heading double, b int")
+    build = lambda stream: state.vessel_state(stream, "1 minute", stale_seconds=2 * 3600)
+    out = jobs.in_batches(df, "b", 3, build, "update").filter("evicted AND vessel_id = 'A'").collect()
+    assert [(r["messages"], r["timestamp"], len(r["track"])) for r in out] == [(2, dt.datetime(2025, 1, 1, 1, 30), 2)]  # not at 02:00; at 03:30 sharp
+
+
+def test_a_micro_batch_is_read_by_many_tasks(spark, small, monkeypatch):
+    monkeypatch.setattr(jobs, "BLOCK", 20_000)
+    before = set(glob.glob(f"{shared_folder(spark)}/live-*"))
+    assert jobs.final_state(spark, fixtures.messages(spark, small), files=1).count() == fixtures.tracks(spark, small).select("vessel_id").distinct().count()
+    (folder,) = set(glob.glob(f"{shared_folder(spark)}/live-*")) - before
+    (file,) = glob.glob(f"{folder}/in/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 2
